@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,18 @@ def distance(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column, normalize: bool = False) -> Column:
     """The dot product, divided by the lengths only if asked: the engine this is held against leaves them out."""
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))) if normalize else dot(a, b)
+
+
+def dimension(df: DataFrame, column: str = "emb") -> int:
+    """Length of the vectors of ``column``, as the first row has it; all rows have the same."""
+    row = df.select(F.size(column)).first()
+    return row[0] if row else 0
+
+
+def sum_vectors(column: str, dim: int) -> Column:
+    """Aggregate: sums by position, one row for a group and task whatever the dimension."""
+    return F.array(*[F.sum(F.get(column, F.lit(i))) for i in range(dim)])
+
+
+def max_vectors(column: str, dim: int) -> Column:
+    return F.array(*[F.max(F.get(column, F.lit(i))) for i in range(dim)])

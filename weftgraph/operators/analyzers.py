@@ -59,13 +59,18 @@ def sketch_overlap(sketch: DataFrame, key: str) -> DataFrame:
 
 
 def coverage(counts: DataFrame, tops: Sequence[int], fractions: Sequence[float] = ()) -> DataFrame:
-    """One row: total, distinct and the share of all accesses (key, n) that the most frequent keys take."""
-    n = counts.count()
-    cuts = [(f"top_{k}", k) for k in tops] + [(f"top_{f:g}_of_keys".replace(".", "_"), max(1, int(n * f))) for f in fractions]
-    most = max(k for _, k in cuts)
-    best = counts.orderBy(F.desc("n"), "key").limit(most).withColumn("nth", F.row_number().over(Window.orderBy(F.desc("n"), "key")))
-    sums = best.agg(*[F.sum(F.when(F.col("nth") <= k, F.col("n"))).alias(name) for name, k in cuts])
-    return counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_keys")).join(sums).select("total", "n_keys", *[(F.col(name) / F.col("total")).alias(name) for name, _ in cuts])
+    """One row: total, n_keys and the share of all accesses (key, n) that the most frequent keys take.
+
+    The sum of the greatest counts depends on how many keys have each count, of which there are few: the keys
+    themselves are never ranked.
+    """
+    alike = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_c"))
+    later = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.select("n", "_c", F.coalesce(F.sum("_c").over(later), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_keys"))
+    wanted = [(f"top_{k}", F.lit(k)) for k in tops] + [(f"top_{f:g}_of_keys".replace(".", "_"), F.greatest(F.lit(1), F.floor(F.col("_keys") * f))) for f in fractions]
+    taken = lambda k: F.col("n") * F.least("_c", F.greatest(k - F.col("_before"), F.lit(0)))
+    total = F.sum(F.col("n") * F.col("_c"))
+    return placed.agg(total.alias("total"), F.sum("_c").alias("n_keys"), *[(F.sum(taken(k)) / total).alias(name) for name, k in wanted])
 
 
 def runs(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

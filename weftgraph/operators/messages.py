@@ -1,7 +1,7 @@
 """Aggregation over neighbours, and the layers built from it.
 
-Sums over a node's neighbours are grouped sums by dimension (partial in every task), so that a node of very many
-neighbours is never gathered. Matrices of layers multiply in batches of rows.
+Sums over a node's neighbours are grouped sums of every component (partial in every task, a row for a node), so that
+a node of very many neighbours is never gathered. Matrices of layers multiply in batches of rows.
 """
 
 from __future__ import annotations
@@ -13,16 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import vectors as V
 
-def segment_sum(rows: DataFrame, by: str = "seg", column: str = "vec") -> DataFrame:
-    """``by``, vec: sums of vectors by position."""
-    parts = rows.select(by, F.posexplode(column).alias("_at", "_x")).groupBy(by, "_at").agg(F.sum("_x").alias("_x"))
-    return parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda p: p["_x"]).alias("vec"))
 
+def segment_sum(rows: DataFrame, dim: int, by: str = "seg", column: str = "vec") -> DataFrame:
+    """``by``, vec: sums of vectors of ``dim`` components by position."""
+    return rows.groupBy(by).agg(V.sum_vectors(column, dim).alias("vec"))
 
-def segment_max(rows: DataFrame, by: str = "seg", column: str = "vec") -> DataFrame:
-    parts = rows.select(by, F.posexplode(column).alias("_at", "_x")).groupBy(by, "_at").agg(F.max("_x").alias("_x"))
-    return parts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda p: p["_x"]).alias("vec"))
+
+def segment_max(rows: DataFrame, dim: int, by: str = "seg", column: str = "vec") -> DataFrame:
+    return rows.groupBy(by).agg(V.max_vectors(column, dim).alias("vec"))
 
 
 def segment_softmax(rows: DataFrame, own: DataFrame, by: str = "seg") -> DataFrame:
@@ -41,8 +41,7 @@ def neighbour_sum(edges: DataFrame, emb: DataFrame, to: str = "dst") -> DataFram
     """id, vec, degree: sums of the vectors of the other ends of a node's edges (incoming ones for ``to`` dst)."""
     other = "src" if to == "dst" else "dst"
     rows = edges.select(F.col(to).alias("seg"), F.col(other).alias("id")).join(emb.select("id", "emb"), "id")
-    degree = edges.groupBy(F.col(to).alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    return segment_sum(rows.select("seg", F.col("emb").alias("vec"))).withColumnRenamed("seg", "id").join(degree, "id")
+    return rows.groupBy(F.col("seg").alias("id")).agg(V.sum_vectors("emb", V.dimension(emb)).alias("vec"), F.count(F.lit(1)).alias("degree"))
 
 
 def sage_gcn(edges: DataFrame, emb: DataFrame) -> DataFrame:
@@ -62,7 +61,7 @@ def gcn(edges: DataFrame, emb: DataFrame) -> DataFrame:
     """id, vec: neighbours and own vector, each by 1 / sqrt of the product of both ends' degrees (own edge counted)."""
     degrees = emb.select("id").join(edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_d")), "id", "left").select("id", (F.coalesce("_d", F.lit(0)) + 1).alias("_d"))
     scaled = emb.select("id", "emb").join(degrees, "id").select("id", F.transform("emb", lambda x: x / F.sqrt(F.col("_d"))).alias("emb"), "_d")
-    sums = segment_sum(edges.select(F.col("dst").alias("seg"), F.col("src").alias("id")).join(scaled, "id").select("seg", F.col("emb").alias("vec"))).withColumnRenamed("seg", "id")
+    sums = segment_sum(edges.select(F.col("dst").alias("seg"), F.col("src").alias("id")).join(scaled, "id").select("seg", F.col("emb").alias("vec")), V.dimension(emb)).withColumnRenamed("seg", "id")
     rows = scaled.join(sums, "id", "left")
     own = F.when(F.col("vec").isNull(), F.col("emb")).otherwise(F.zip_with("vec", "emb", lambda a, b: a + b))
     return rows.select("id", F.transform(own, lambda x: x / F.sqrt(F.col("_d"))).alias("vec"))
@@ -101,7 +100,7 @@ def gat(edges: DataFrame, emb: DataFrame, weights: np.ndarray, attend: np.ndarra
         weighed = both.join(top, "seg").withColumn("_e", F.exp(F.col("x") - F.col("_top")))
         total = weighed.groupBy("seg").agg(F.sum("_e").alias("_total"))
         shares = weighed.join(total, "seg").select("seg", F.col("src").alias("id"), (F.col("_e") / F.col("_total")).alias("_w"))
-        summed = segment_sum(shares.join(terms.select("id", "vec"), "id").select("seg", F.transform("vec", lambda x: x * F.col("_w")).alias("vec")))
+        summed = segment_sum(shares.join(terms.select("id", "vec"), "id").select("seg", F.transform("vec", lambda x: x * F.col("_w")).alias("vec")), weights[h].shape[1])
         part = summed.select(F.col("seg").alias("id"), F.col("vec").alias(f"_h{h}"))
         out = part if out is None else out.join(part, "id")
     return out.select("id", F.concat(*[f"_h{h}" for h in range(heads)]).alias("vec"))
@@ -113,8 +112,7 @@ def rgcn(edges: DataFrame, emb: DataFrame, weights: np.ndarray, own: np.ndarray)
     Vectors are averaged by (node, relation) before they are multiplied, once for each pair.
     """
     keyed = edges.select("src", "rel", F.col("dst").alias("id")).join(emb.select("id", "emb"), "id")
-    parts = keyed.select("src", "rel", F.posexplode("emb").alias("_at", "_x")).groupBy("src", "rel", "_at").agg(F.sum("_x").alias("_x"))
-    sums = parts.groupBy("src", "rel").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda p: p["_x"]).alias("vec"))
+    sums = keyed.groupBy("src", "rel").agg(V.sum_vectors("emb", weights.shape[1]).alias("vec"))
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +121,7 @@ def rgcn(edges: DataFrame, emb: DataFrame, weights: np.ndarray, own: np.ndarray)
                 out = np.einsum("nd,ndk->nk", np.stack(frame["vec"].to_numpy()), weights[frame["rel"].to_numpy()]) / frame["degree"].to_numpy()[:, None]
                 yield pd.DataFrame({"seg": frame["src"], "vec": list(out)})
 
-    messages = segment_sum(sums.join(degree, "src").select("src", "rel", "vec", "degree").mapInPandas(run, "seg long, vec array<double>")).withColumnRenamed("seg", "id")
+    messages = segment_sum(sums.join(degree, "src").select("src", "rel", "vec", "degree").mapInPandas(run, "seg long, vec array<double>"), weights.shape[2]).withColumnRenamed("seg", "id")
     selves = linear(emb.select("id", F.col("emb").alias("vec")), own).withColumnRenamed("vec", "_own")
     rows = selves.join(messages, "id", "left")
     return rows.select("id", F.when(F.col("vec").isNull(), F.col("_own")).otherwise(F.zip_with("vec", "_own", lambda a, b: a + b)).alias("vec"))

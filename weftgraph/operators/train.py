@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import uniform
+from weftgraph.functions.vectors import dimension, sum_vectors
 from weftgraph.operators.sampling import batches, shuffle_edges, uniform_negatives
 from weftgraph.sources.shared import cut, ship
 
@@ -69,8 +70,7 @@ def superstep(edges: DataFrame, table: DataFrame, rels: dict[int, np.ndarray], d
 
     found = cut(left.groupBy("batch").cogroup(right.groupBy("batch")).applyInPandas(work, "id long, loss double, grad array<double>"))
     loss = found.agg(F.sum("loss")).first()[0] or 0.0
-    parts = found.select("id", F.posexplode("grad").alias("at", "x")).groupBy("id", "at").agg(F.sum("x").alias("x"))
-    grads = parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("grad"))
+    grads = found.groupBy("id").agg(sum_vectors("grad", dimension(table)).alias("grad"))
     return cut(sparse_adagrad(table, grads, rate)), loss / max(edges.count(), 1)
 
 

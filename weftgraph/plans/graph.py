@@ -201,12 +201,12 @@ def _unfold(rows: DataFrame, key: str) -> DataFrame:
 
 @query(f"WITH {FOLDED}, {VECTORS} SELECT src AS seg, i, round(sum(emb[i]), 6) AS x FROM vec JOIN emb ON dst = id, range(1, 5) t(i) GROUP BY ALL")
 def a8_segment_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.segment_sum(_segments(spark, sf_dir)), "seg")
+    return _unfold(E.segment_sum(_segments(spark, sf_dir), 4), "seg")
 
 
 @query(f"WITH {FOLDED}, {VECTORS} SELECT src AS seg, i, round(max(emb[i]), 6) AS x FROM vec JOIN emb ON dst = id, range(1, 5) t(i) GROUP BY ALL")
 def a9_segment_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.segment_max(_segments(spark, sf_dir)), "seg")
+    return _unfold(E.segment_max(_segments(spark, sf_dir), 4), "seg")
 
 
 @query(f"WITH {FOLDED}, {VECTORS}, rows AS (SELECT src AS seg, rel, dst, emb[1] * 5 AS x FROM vec JOIN emb ON dst = id), own AS (SELECT id AS seg, emb[2] * 5 AS self_x FROM emb), tot AS (SELECT seg, sum(exp(x)) + any_value(exp(self_x)) AS t FROM rows JOIN own USING (seg) GROUP BY seg) SELECT seg, rel, dst, round(exp(x) / t, 6) AS weight FROM rows JOIN tot USING (seg)")
@@ -227,7 +227,7 @@ def a12_gradient_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums by node over both ends of edges (each end's gradient is the other's vector, as for a dot product)."""
     edges = folded(spark, sf_dir)
     both = edges.select(F.col("src").alias("seg"), F.col("dst").alias("id")).union(edges.select("dst", "src"))
-    return _unfold(E.segment_sum(both.join(first_four(spark, sf_dir), "id").select("seg", F.col("emb").alias("vec"))), "seg")
+    return _unfold(E.segment_sum(both.join(first_four(spark, sf_dir), "id").select("seg", F.col("emb").alias("vec")), 4), "seg")
 
 
 HITS = ", ".join(f"avg((rank <= {k})::INT) AS hits_{k}" for k in (1, 3, 5, 10, 50, 100))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions.ranking import positions
+from weftgraph.functions.vectors import dimension, sum_vectors
 
 #: Formats by name. Only the last two are taken from memory.
 DELIMITED, ARRAYS = ("CSV", "TSV", "TXT", "DELIM", "DELIMITED"), ("NUMPY", "PYTORCH")
@@ -108,8 +109,7 @@ def upsert(table: DataFrame, changes: DataFrame, columns: Sequence[str]) -> Data
 
 def accumulate(table: DataFrame, deltas: DataFrame, column: str = "emb") -> DataFrame:
     """``table`` (id, ``column``) with the vectors of ``deltas`` (id, delta) added, repeated ids summed first."""
-    parts = deltas.select("id", F.posexplode("delta").alias("_at", "_x")).groupBy("id", "_at").agg(F.sum("_x").alias("_x"))
-    summed = parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda p: p["_x"]).alias("_delta"))
+    summed = deltas.groupBy("id").agg(sum_vectors("delta", dimension(table, column)).alias("_delta"))
     added = F.when(F.col("_delta").isNull(), F.col(column)).otherwise(F.zip_with(column, "_delta", lambda a, b: a + b))
     return table.join(summed, "id", "left").select(*[added.alias(c) if c == column else F.col(c) for c in table.columns])
 
