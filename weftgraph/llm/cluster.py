@@ -1,61 +1,29 @@
-"""What the operators need of the cluster: their code on the executors, and tables that survive lost executors."""
+"""What the operators share of the cluster: code on the executors, written tables, and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import hashlib
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
-_own_folder: list[str] = []
-_shipped: set[tuple[str, str]] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each context and state of the code."""
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for path in sorted(PACKAGE.rglob("*.py")):
-            z.writestr(zipfile.ZipInfo(str(path.relative_to(PACKAGE.parent))), path.read_bytes())
-    digest = hashlib.sha256(held.getvalue()).hexdigest()[:16]
-    if (key := (spark.sparkContext.applicationId, digest)) in _shipped:
-        return
-    path = os.path.join(tempfile.mkdtemp(), f"weftgraph-{digest}.zip")
-    Path(path).write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(key)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="weftgraph-"))
-    return _own_folder[0]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: what reads them later doesn't run ``df`` again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weftgraph-{uuid.uuid4().hex}.parquet"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+from weftgraph.sources.shared import cut, shared_folder, ship
+
+__all__ = ["bound_batches", "bounded_sample", "crc_mod", "cut", "map_arrow", "shared_folder", "ship"]
+
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to about 8 MB (or one row), so that a task's memory doesn't depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function of one batch that yields batches."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,18 +33,17 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names like the given ones that no column of ``df`` has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def crc_mod(column, n: int):
+def crc_mod(column: Column, n: int) -> Column:
     """crc32 of a value's text, modulo n."""
     return F.crc32(column.cast("string").cast("binary")) % n
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows of the smallest hashed ``key``, or all if there are fewer.
+
+    A bound on the hash leaves a few more than n rows before any are sorted, however large the table is.
+    """
+    total = rows.count()
+    share = min(1.0, (n + 10 * n**0.5 + 10) / max(total, 1))
+    place = F.shiftrightunsigned(F.xxhash64(key), 1)
+    return rows.where(place <= int(share * (2**63 - 1))).orderBy(place, key).limit(n)

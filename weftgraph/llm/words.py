@@ -29,7 +29,7 @@ def text_array(column) -> pa.Array:
     return column.fill_null("").cast(pa.large_binary())
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Row ranges of a batch whose texts hold about ``limit`` bytes, each with its texts as large_binary."""
     texts = text_array(batch.column(column))
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
