@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import crc_mod, map_arrow
+from weftgraph.llm.cluster import bounded_sample, crc_mod, map_arrow
 from weftgraph.llm.words import LEAD, Words, codes_of, slices
 
 PASSAGE = 64
@@ -140,7 +140,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, folds:
     """doc_id, text and y of the ``sample`` labelled rows outside the held-out fold with the smallest hashed doc_id."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
     known = known.select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = bounded_sample(known, "doc_id", sample)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
 
 
