@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import uniform
+from weftgraph.functions.optim import Adam
 from weftgraph.functions.vectors import dimension, sum_vectors
 from weftgraph.operators.sampling import batches, shuffle_edges, uniform_negatives
 from weftgraph.sources.shared import cut, ship
@@ -87,3 +88,36 @@ def train(edges: DataFrame, n_nodes: int, dim: int = 16, epochs: int = 2, batch:
         table, loss = superstep(cutting, table, rels, drawn, rate)
         losses.append(loss)
     return table, losses
+
+
+def train_classifier(rows: DataFrame, n_classes: int, epochs: int = 30, optimizer=None) -> tuple[np.ndarray, list[float]]:
+    """Weights (dim + 1, classes) of a softmax over encoded nodes (id, vec, label; labels under 0 are left out), and the
+    mean loss of each epoch.
+
+    Every task hands on one gradient for all its rows; the driver sums matrices, as many as there are tasks.
+    """
+    rows = cut(rows.where("label >= 0").select("vec", "label"))
+    dim, n = dimension(rows, "vec"), rows.count()
+    params, optimizer, losses = {"w": np.zeros((dim + 1, n_classes))}, optimizer or Adam(0.1), []
+    for _ in range(epochs):
+        w = params["w"]
+
+        def work(frames, w=w):
+            loss, grad = 0.0, np.zeros_like(w)
+            for frame in frames:
+                if len(frame):
+                    x = np.column_stack([np.stack(frame["vec"].to_numpy()), np.ones(len(frame))])
+                    logits = x @ w
+                    top = logits.max(1, keepdims=True)
+                    p = np.exp(logits - top)
+                    p /= p.sum(1, keepdims=True)
+                    own = np.arange(len(frame)), frame["label"].to_numpy()
+                    loss -= np.log(p[own]).sum()
+                    p[own] -= 1
+                    grad += x.T @ p
+            yield pd.DataFrame({"loss": [loss], "grad": [grad.ravel()]})
+
+        parts = rows.mapInPandas(work, "loss double, grad array<double>").collect()
+        losses.append(sum(p["loss"] for p in parts) / max(n, 1))
+        optimizer.step(params, {"w": sum(np.array(p["grad"]) for p in parts).reshape(w.shape) / max(n, 1)})
+    return params["w"], losses

@@ -439,12 +439,3 @@ def u4_state_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sets.alias("a"), sets.alias("b")
     shared = F.size(F.array_intersect("a.parts", "b.parts")).cast("long")
     return a.join(b, F.col("a.state") < F.col("b.state")).select(F.col("a.state").alias("a"), F.col("b.state").alias("b"), shared.alias("shared"), (~F.arrays_overlap("a.parts", "b.parts")).alias("disjoint"))
-
-
-
-
-def write_scores(df: DataFrame, path: str) -> None:
-    """Scores or metrics as a file with a header (S15)."""
-    df.write.mode("overwrite").csv(path, header=True)
-
-

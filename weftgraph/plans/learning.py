@@ -227,3 +227,12 @@ def train_link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(found)], "epoch int, loss double")
 
 
+@query()
+def train_node_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of a softmax over vectors averaged with their neighbours', and its first and last loss."""
+    emb = vectors(spark, sf_dir)
+    rows = E.sage_gcn(folded(spark, sf_dir).where("rel = 0"), emb.select("id", "emb")).join(emb.select("id", "emb", "label"), "id").select("id", F.concat("emb", "vec").alias("vec"), "label")
+    weights, found = T.train_classifier(rows, 10, epochs=20)
+    scored = E.linear(rows, weights[:-1], bias=weights[-1]).join(rows.select("id", "label"), "id").select("label", S.argmax(F.col("vec")).alias("predicted"))
+    accuracy = S.accuracy(scored).first().accuracy
+    return spark.createDataFrame([(found[0], found[-1], accuracy)], "first_loss double, last_loss double, accuracy double")

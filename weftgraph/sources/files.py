@@ -134,3 +134,8 @@ def append(df: DataFrame, path: str) -> None:
 def with_edge_ids(edges: DataFrame, order: Sequence[str]) -> DataFrame:
     """``edges`` with edge_id, their place (from 0) in ``order``."""
     return positions(edges, list(order), "edge_id")
+
+
+def write_scores(df: DataFrame, path: str) -> None:
+    """Scores, labels or metrics as text files with a header."""
+    df.write.mode("overwrite").csv(path, header=True)
