@@ -20,6 +20,9 @@ MENU = "<nav><ul><li><a href='/a'>A</a></li><li><a href='/b'>Menu entry that is
         f"<body><div class='menu'>One Two Three</div><div id='content'>{ARTICLE}</div><div class='comments'><p>A reader says a lot about this article and more than that.</p></div></body>",
         f"<body><div class='ad'>Buy this thing now, it is the very best of all things</div><article>{ARTICLE}<form><input name=q><label>Search the whole site for words</label></form></article>",
         f"<nav><ul><li>left open<article>{ARTICLE}",
+        f"<head><meta charset=x><title>left open</title><p></p><select><option>One<option>Two<main>{ARTICLE}</main>",
+        f"<body><div role='search'>Find what you look for on all pages of this site</div><article>{ARTICLE}<section id='user-comments'><p>I have read this article and would like to say much.</p></section></article>",
+        f"<body><div hidden>Words that no reader of the page gets to see at all</div><main>{ARTICLE}</main>",
         f"<body><div class='cookie-notice'>We use cookies to make this site better for all its readers</div><article>{ARTICLE}<!-- hidden <p>words</p> --></article>",
     ],
 )

@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame
 from weftgraph.llm.cluster import map_arrow
 
 #: Elements whose text is never content.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video map select option datalist textarea button".split())
+SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist textarea button".split())
+#: Of these, those that a block ends if they were left open.
+SOFT = frozenset("head select datalist button".split())
 EXCLUDED = frozenset("nav footer aside form menu dialog".split())
 CONTAINERS = frozenset("body div section article main nav aside header footer form ul ol dl table figure blockquote details fieldset menu dialog address center".split())
 MAIN = frozenset(["article", "main"])
+BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class and id attributes that mark a container as no content.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|sidebars?|side|menus?|nav(?:bar|igation)?|breadcrumbs?|footers?|masthead|topbar|toolbar|site-header|page-header|cookies?|consent|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|replies|disqus|respond|social|share|sharing|related|recommended|widgets?|pagination|pager|skip-link)(?:$|[\s_-])", re.I)
+MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|sidebars?|side|menus?|nav(?:bar|igation)?|breadcrumbs?|footers?|masthead|top-?bar|toolbar|site-header|page-header|cookies?|consent|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|replies|disqus|respond|social|share|sharing|related|recommended|widgets?|pagination|pager|skip-link|complementary|contentinfo|search(?:box|form)?|dialog)(?:$|[\s_-])", re.I)
 SPREAD = np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
 
 
@@ -66,7 +69,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.opened += 1
         if self.silent:
-            if tag in MAIN or tag == "body":
+            if tag in MAIN or tag == "body" or self.silent in SOFT and tag in BLOCKS:
                 self.silent = ""
             else:
                 return
@@ -83,7 +86,7 @@ class Lines(HTMLParser):
             if tag in MAIN:
                 excluded, main = False, True
             marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-            if tag in EXCLUDED or tag == "header" and not main or marks and tag not in MAIN and tag != "body" and MARKED.search(marks):
+            if tag in EXCLUDED or any(k == "hidden" for k, _ in attrs) or tag == "header" and not main or marks and tag not in MAIN and tag != "body" and MARKED.search(marks):
                 excluded = True
             if excluded or not main or tag in MAIN:
                 self.n_regions += 1
