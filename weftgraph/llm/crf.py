@@ -22,6 +22,8 @@ half without labels); an empty table gives an empty result; other columns pass t
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,9 @@ from weftgraph.llm.words import LEAD, Words, slices
 WINDOW = 64
 PRECISE = 0.8
 KEPT_WORDS = 300_000
+BUCKETS = 1 << 20
+#: Words that training works on at once.
+PART = 200_000
 
 
 def normal(word: bytes) -> str:
@@ -48,10 +53,11 @@ def normal(word: bytes) -> str:
     return unicodedata.normalize("NFC", text[at:to]) if not text.isascii() else text[at:to]
 
 
-def features(word: str) -> list[str]:
+def features(word: str) -> list[int]:
+    """Hashed features: the word, its prefixes and its end."""
     if not word:
         return []
-    return ["=" + word, *(word[:k] for k in range(2, min(len(word), 9) + 1)), "-" + word[-3:]]
+    return [crc32(f.encode()) & (BUCKETS - 1) for f in ("=" + word, *(word[:k] for k in range(2, min(len(word), 9) + 1)), "-" + word[-3:])]
 
 
 class Chains:
@@ -103,8 +109,10 @@ def beliefs(emission: np.ndarray, chains: Chains, move: np.ndarray) -> tuple[np.
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], move: np.ndarray, rate: float | None = None) -> None:
-        self.weights, self.move, self.rate = weights, move, rate
+    """``weights`` by hashed feature, and the constant of the toxic state."""
+
+    def __init__(self, weights: np.ndarray, bias: float, move: np.ndarray, rate: float | None = None) -> None:
+        self.weights, self.bias, self.move, self.rate = weights.astype(np.float32), bias, move, rate
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self) -> dict:
@@ -114,8 +122,8 @@ class Model:
         if (found := self.known.get(word)) is None:
             if len(self.known) > KEPT_WORDS:
                 self.known.clear()
-            get = self.weights.get
-            found = self.known[word] = get("", 0.0) + sum(get(f, 0.0) for f in features(normal(word)))
+            weight = self.weights.item
+            found = self.known[word] = self.bias + sum([weight(f) for f in features(normal(word))])
         return found
 
     def tag(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
@@ -138,70 +146,94 @@ class Model:
         return np.clip(scores, 0, 1), spans
 
 
-def train(texts: list[str], y: np.ndarray, rounds: int = 25, refits: int = 40, rate: float = 0.3, decay: float = 2e-4, rare: int = 4) -> Model:
-    """A model from whole texts and their labels. Features of fewer than ``rare`` texts are left out."""
-    if len(y) == 0 or y.min() == y.max():
-        return Model({}, np.zeros((2, 2)), float(y.mean()) if len(y) else 0.5)
-    words = Words(pa.array([t.encode() for t in texts], pa.large_binary()))
-    codes, known = words.encoded()
-    names: dict[str, int] = {}
+def train(rows: Iterable[tuple[str, float]], rounds: int = 25, refits: int = 40, rate: float = 0.3, decay: float = 2e-4, rare: int = 4) -> Model:
+    """A model from whole texts and their labels. Features of fewer than ``rare`` texts are left out.
+
+    Texts are kept as numbers of their distinct words; arrays by token exist for ``PART`` words at a time.
+    """
     forms: dict[str, int] = {}
-    form_of = np.array([forms.setdefault(normal(w), len(forms)) for w in known.to_pylist()], np.int64)
-    own = [[names.setdefault(f, len(names)) for f in features(form)] for form in forms]
-    tokens = form_of[codes]
-    ids, owner = np.array([i for x in own for i in x], np.int64), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    form_of: dict[bytes, int] = {}
+    tokens, counts, y = [], [], []
+    for text, label in rows:
+        words = Words(pa.array([text.encode()], pa.large_binary()))
+        y.append(label)
+        counts.append(len(words))
+        if len(words):
+            codes, known = words.encoded()
+            own = []
+            for word in known.to_pylist():
+                if (at := form_of.get(word)) is None:
+                    at = form_of[word] = forms.setdefault(normal(word), len(forms))
+                own.append(at)
+            tokens.append(np.array(own, np.int32)[codes])
+    labels_of, counts = np.array(y, float), np.array(counts, np.int64)
+    if not len(labels_of) or labels_of.min() == labels_of.max() or not tokens:
+        return Model(np.zeros(1), 0.0, np.zeros((2, 2)), float(labels_of.mean()) if len(labels_of) else 0.5)
+    form_of.clear()
+    lists = [np.array(features(form), np.int32) for form in forms]
+    forms.clear()
+    sizes = np.array([len(x) for x in lists], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    ids, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes)
+    n_forms, n_docs = len(lists), len(labels_of)
+    del lists
     # Texts that hold a feature, by label.
-    seen = np.unique(words.doc * np.int64(len(forms)) + tokens)
-    doc, form = seen // len(forms), seen % len(forms)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-    sizes = np.diff(starts)[form]
-    flat = ids[np.repeat(starts[form] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
-    held = np.unique(flat * np.int64(len(y)) + np.repeat(doc, sizes))
-    of_doc = y[held % len(y)] > 0
-    toxic_df = np.bincount(held[of_doc] // len(y), minlength=len(names))
-    df = np.bincount(held // len(y), minlength=len(names))
+    df, toxic_df = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for label, own in zip(labels_of[counts > 0], tokens, strict=True):
+        form = np.unique(own)
+        held = np.unique(ids[np.repeat(starts[form] - np.concatenate([[0], np.cumsum(sizes[form])[:-1]]), sizes[form]) + np.arange(sizes[form].sum())])
+        df[held] += 1
+        toxic_df[held] += label > 0
     kept = df >= rare
     precise = kept & (toxic_df >= rare) & (toxic_df / np.maximum(df, 1) >= PRECISE)
-    marked = np.bincount(owner, precise[ids], minlength=len(own)) > 0
-    ids, owner = ids[kept[ids]], owner[kept[ids]]
-    labels = (marked[tokens] & (y[words.doc] > 0)).astype(float)
-
-    chains = Chains(words.counts)
-    in_doc = np.repeat(np.arange(len(y)), chains.n_windows)
-    theta = np.zeros(len(names) + 1 + 4)
-    bias, moves = len(names), slice(len(names) + 1, None)
-    theta[bias], theta[moves] = -4.0, [0.0, 0.0, 0.0, 0.5]
-    before = np.where(chains.step > 0, np.concatenate([[0.0], labels[:-1]]), 0.0)
-    told = np.array([[((1 - before) * (1 - labels)).sum(), ((1 - before) * labels).sum()], [(before * (1 - labels)).sum(), (before * labels).sum()]])
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    marked = np.bincount(owner, precise[ids], minlength=n_forms) > 0
+    useful = kept[ids]
+    ids, owner = ids[useful], owner[useful]
+
+    # Parts of whole texts with about PART words each.
+    filled = np.flatnonzero(counts)
+    cuts = np.searchsorted(np.cumsum(counts[filled]), np.arange(PART, counts.sum() + PART, PART))
+    parts = []
+    for first, last in zip([0, *(c + 1 for c in cuts)], [c + 1 for c in cuts], strict=False):
+        docs = filled[first:last]
+        if len(docs):
+            own = np.concatenate(tokens[first:last])
+            chains = Chains(counts[docs])
+            doc = np.repeat(docs, counts[docs])
+            told = marked[own] & (labels_of[doc] > 0)
+            parts.append((docs, own, doc, chains, told))
+    tokens.clear()
+    theta, move, bias = np.zeros(BUCKETS), np.array([[0.0, 0.0], [0.0, 0.5]]), -4.0
+    first, second = np.zeros(BUCKETS + 5), np.zeros(BUCKETS + 5)
     for turn in range(rounds + refits):
-        emission = (np.bincount(owner, theta[ids], minlength=len(own)) + theta[bias])[tokens]
-        move = theta[moves].reshape(2, 2)
-        toxic, clean, moved = beliefs(emission, chains, move)
-        grad = np.zeros_like(theta)
-        if turn < rounds:  # log likelihood of the labelled tokens
-            error = labels - toxic
-            grad[moves] = (told - moved).ravel()
-        else:  # log likelihood of the documents' labels
-            none = np.bincount(in_doc, clean, minlength=len(y))
-            weight = np.where(y > 0, np.exp(none) / np.maximum(-np.expm1(none), 1e-6), -1.0)
-            error = toxic * weight[words.doc]
-        by_form = np.bincount(tokens, error, minlength=len(own))
-        grad[: len(names)] = np.bincount(ids, by_form[owner], minlength=len(names))
-        grad[bias] = error.sum()
-        grad = grad / len(y) - decay * np.where(np.arange(len(theta)) < bias, theta, 0)
+        by_form = np.bincount(owner, theta[ids], minlength=n_forms) + bias
+        error_of, moved, total = np.zeros(n_forms), np.zeros((2, 2)), 0.0
+        for docs, own, doc, chains, told in parts:
+            toxic, clean, transitions = beliefs(by_form[own], chains, move)
+            if turn < rounds:  # log likelihood of the labelled tokens
+                label = told.astype(float)
+                error = label - toxic
+                before = np.where(chains.step > 0, np.concatenate([[0.0], label[:-1]]), 0.0)
+                moved += np.array([[((1 - before) * (1 - label)).sum(), ((1 - before) * label).sum()], [(before * (1 - label)).sum(), (before * label).sum()]]) - transitions
+            else:  # log likelihood of the documents' labels
+                none = np.add.reduceat(clean, chains.bounds[:-1])
+                weight = np.where(labels_of[docs] > 0, np.exp(none) / np.maximum(-np.expm1(none), 1e-6), -1.0)
+                error = toxic * np.repeat(weight, counts[docs])
+            error_of += np.bincount(own, error, minlength=n_forms)
+            total += error.sum()
+        grad = np.concatenate([np.bincount(ids, error_of[owner], minlength=BUCKETS), [total], moved.ravel()]) / n_docs
+        grad[:BUCKETS] -= decay * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        theta = theta + rate * (first / (1 - 0.9 ** (turn + 1))) / (np.sqrt(second / (1 - 0.99 ** (turn + 1))) + 1e-4)
-    name_of = list(names)
-    weights = {name_of[i]: float(theta[i]) for i in np.flatnonzero(kept) if abs(theta[i]) > 1e-3}
-    return Model(weights | {"": float(theta[bias])}, theta[moves].reshape(2, 2))
+        change = rate * (first / (1 - 0.9 ** (turn + 1))) / (np.sqrt(second / (1 - 0.99 ** (turn + 1))) + 1e-4)
+        theta, bias, move = theta + change[:BUCKETS], bias + change[BUCKETS], move + change[BUCKETS + 1 :].reshape(2, 2)
+    return Model(theta, float(bias), move)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 5000, folds: int = 4, held_out: int = 2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 4000, folds: int = 4, held_out: int = 2) -> Model:
     """A model of ``labels.label`` from rows whose crc32(doc_id) mod ``folds`` isn't ``held_out``."""
     rows = labelled(docs, labels, label, sample, folds, held_out).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "y")
     found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(found["text"].to_pylist(), np.array(found["y"].to_pylist(), float))
+    return train((text.as_py(), float(y.as_py())) for text, y in zip(found["text"], found["y"], strict=True))
 
 
 def with_tags(docs: DataFrame, model: Model, score: str = "score", spans: str = "spans", column: str = "text") -> DataFrame:
