@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 def degree_offsets(edges: DataFrame, nodes: DataFrame, by: str = "src") -> DataFrame:
     """id, degree, offset: the place of each node's first edge when edges are sorted by ``by`` (nodes: id, dense).
 
-    The sum over all smaller ids runs over blocks of ids first and then inside each block.
+    The sum over all smaller ids runs over 4096 blocks of ids first and then inside each block.
     """
-    block = 4096
+    block = -(-((nodes.agg(F.max("id")).first()[0] or 0) + 1) // 4096)
     counts = edges.groupBy(F.col(by).alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     rows = nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.floor(F.col("id") / block).cast("long").alias("_block"))
     sums = rows.groupBy("_block").agg(F.sum("degree").alias("_n"))
     before = sums.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.coalesce(F.sum("degree").over(Window.partitionBy("_block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_inner", inner).join(F.broadcast(before), "_block").select("id", "degree", (F.col("_before") + F.col("_inner")).alias("offset"))  # a row for each 4096 ids
+    return rows.withColumn("_inner", inner).join(F.broadcast(before), "_block").select("id", "degree", (F.col("_before") + F.col("_inner")).alias("offset"))  # 4096 rows at most
 
 
 def superstep_overlap(schedule: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def degree_negatives(batched: DataFrame, n_batches: int, chunks: int, n: int, en
     """batch, chunk, slot, sample_row, node: ends of random edges of the batch, so that nodes come as often as they
     have edges. ``batched``: batch, row, src, dst."""
     sizes = batched.groupBy("batch").agg(F.count(F.lit(1)).alias("_size"))
-    drawn = grid(batched.sparkSession, n_batches, chunks, n).join(F.broadcast(sizes), "batch")  # a row for each batch asked for
+    drawn = grid(batched.sparkSession, n_batches, chunks, n).join(sizes, "batch")
     drawn = drawn.withColumn("sample_row", pick(F.col("_size"), seed, F.col("batch"), F.col("chunk"), F.col("slot")).cast("int"))
     ends = batched.select("batch", F.col("row").alias("sample_row"), F.col(end).alias("node"))
     return drawn.join(ends, ["batch", "sample_row"]).select("batch", "chunk", "slot", "sample_row", "node")

@@ -43,7 +43,7 @@ def strip_header(spark: SparkSession, paths: Sequence[str] | str, n: int) -> Dat
     """
     lines = spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
     first = lines.where("_start = 0").groupBy("_file").agg(F.min("_at").alias("_first"))
-    return lines.join(F.broadcast(first), "_file").where(F.col("_at") >= F.col("_first") + n).select("line")  # a row for each file
+    return lines.join(first, "_file").where(F.col("_at") >= F.col("_first") + n).select("line")
 
 
 def scan_arrays(spark: SparkSession, rows, names: Sequence[str] = ("src", "rel", "dst")) -> DataFrame:
