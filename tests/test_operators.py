@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import losses as L
 from weftgraph.functions import optim
-from weftgraph.functions.ranking import positions, shuffled_positions
+from weftgraph.functions.ranking import places_within, positions, shuffled_positions
 from weftgraph.operators import dictionary as D
 from weftgraph.operators import messages as E
 from weftgraph.operators import partition as P
@@ -35,6 +35,13 @@ def test_positions(spark):
     assert positions(df.limit(0), ["x"], "at").count() == 0
 
 
+def test_places_within_ranges(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 500).alias("x"))
+    found = places_within(df, ["k"], "x", "at", width=16).collect()
+    for k in range(3):
+        assert [r.at for r in sorted((r for r in found if r.k == k), key=lambda r: r.x)] == list(range(sum(r.k == k for r in found)))
+
+
 def test_dictionary_keeps_isolated_nodes(spark, edges):
     known = spark.createDataFrame([(9,)], "raw long")
     ids = D.dense_ids(D.node_universe(edges, known)).collect()

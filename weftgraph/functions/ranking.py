@@ -39,3 +39,17 @@ def shuffled_positions(df: DataFrame, ids: list[str], seed: str, name: str) -> D
     within = F.row_number().over(Window.partitionBy("_head").orderBy("_hash", *ids))
     placed = hashed.withColumn("_within", within).join(F.broadcast(starts), "_head")  # 4096 rows at most
     return placed.select(*df.columns, (F.col("_before") + F.col("_within") - 1).cast("long").alias(name))
+
+
+def places_within(df: DataFrame, keys: list[str], order: str, name: str, width: int = 1 << 18) -> DataFrame:
+    """``df`` with each row's place (from 0) among the rows of its ``keys``, by the whole number ``order``.
+
+    Rows are ranked inside ranges of ``width`` values and offset by the counts of earlier ranges, so that a key that
+    holds a large part of all rows is ranked by many tasks.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width).cast("long"))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
+    return ranged.withColumn("_within", within).join(starts, [*keys, "_range"]).select(*df.columns, (F.col("_before") + F.col("_within")).cast("long").alias(name))

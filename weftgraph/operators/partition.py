@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.ranking import positions
+from weftgraph.sources.shared import cut
+
 
 def partition_size(n_nodes: int, parts: int) -> int:
     return math.ceil(n_nodes / parts)
@@ -97,3 +100,11 @@ def check_ids(edges: DataFrame, n_nodes: int) -> DataFrame:
     ends = [F.col("src"), F.col("dst")]
     count = lambda test: sum((F.sum(F.when(test(c), 1).otherwise(0)) for c in ends), F.lit(0)).cast("long")
     return edges.agg(F.count(F.lit(1)).alias("n_rows"), count(lambda c: c < 0).alias("negative"), count(lambda c: c >= n_nodes).alias("too_large"), count(lambda c: c.isNull()).alias("missing"))
+
+
+def places_in_buckets(bucketed: DataFrame, order: Sequence[str], name: str = "at") -> DataFrame:
+    """``bucketed`` with each edge's place in its bucket, by ``order``: its place among all edges less that of the
+    bucket's first one."""
+    placed = cut(positions(bucketed, ["bucket", *order], "_place"))
+    first = placed.groupBy("bucket").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "bucket").select(*bucketed.columns, (F.col("_place") - F.col("_first")).alias(name))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import digest, pick, uniform
-from weftgraph.functions.ranking import shuffled_positions
+from weftgraph.functions.ranking import places_within, shuffled_positions
 from weftgraph.sources.shared import cut
 
 
@@ -41,11 +41,10 @@ def sample_uniform(found: DataFrame, most: int, seed: str = "uniform") -> DataFr
     """Rows of ``neighbours`` with slot: all of a node's edges if there are at most ``most``, else that many draws
     with replacement from its edges in order of edge_id.
 
-    A node of very many edges is counted before its edges are joined to its draws, so that no task holds them all.
+    The edges of a node are placed by ranges of ids, so that no task holds all edges of a node that has very many.
     """
     keys = ["root", "node", "direction"]
-    window = Window.partitionBy(*keys).orderBy("edge_id")
-    listed = found.withColumn("_at", F.row_number().over(window) - 1)
+    listed = places_within(found, keys, "edge_id", "_at")
     degree = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_degree"))
     small = listed.join(degree.where(F.col("_degree") <= most), keys).withColumn("slot", F.col("_at").cast("int"))
     draws = degree.where(F.col("_degree") > most).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))

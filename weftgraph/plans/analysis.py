@@ -124,9 +124,7 @@ POSITIONED = f"{BUCKETS}, placed AS (SELECT *, row_number() OVER (PARTITION BY b
 
 
 def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return bucketed(spark, sf_dir).withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("src", "rel", "dst")) - 1)
+    return P.places_in_buckets(bucketed(spark, sf_dir), ["src", "rel", "dst"])
 
 
 @query(f"WITH {POSITIONED}, s AS (SELECT * FROM placed WHERE place % 65536 % 4 = 0), ends AS (SELECT bucket, src AS node FROM s UNION ALL SELECT bucket, dst FROM s) SELECT bucket, count(*) // 2 AS n_edges, count(DISTINCT node) AS n_nodes FROM ends GROUP BY bucket")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.ranking import positions, shuffled_positions
@@ -372,8 +372,7 @@ def w7_lookahead_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BUCKETS} SELECT bucket, src, rel, dst, row_number() OVER (PARTITION BY bucket ORDER BY src, dst, rel) - 1 AS at FROM bucketed")
 def o1_sort_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("bucket").orderBy("src", "dst", "rel")) - 1
-    return bucketed(spark, sf_dir).select("bucket", "src", "rel", "dst", at.cast("long").alias("at"))
+    return P.places_in_buckets(bucketed(spark, sf_dir).select("bucket", "src", "rel", "dst"), ["src", "dst", "rel"])
 
 
 @query(f"WITH {EDGE_IDS} SELECT edge_id, row_number() OVER (ORDER BY {sql_order(chr(39) + 'shuffle' + chr(39), 'edge_id')}, edge_id) - 1 AS pos FROM ids")
