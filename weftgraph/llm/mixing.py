@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import cut, map_arrow
+from weftgraph.llm.cluster import bounded_sample, cut, map_arrow
 from weftgraph.llm.mil import CLASS, N_CLASSES
 from weftgraph.llm.words import Words, slices
 
@@ -97,7 +97,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, domains: lis
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = 4000) -> Classifier:
     """A classifier of ``labels`` (doc_id, domain) over the domains of ``targets`` that have a labelled document."""
     known = labels.where(F.col("domain").isin(list(targets)) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = bounded_sample(known, "doc_id", sample)
 
     def run(batch: pa.RecordBatch):
         for rows, texts in slices(batch):
@@ -116,16 +116,18 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: i
     return train(rows, np.array([domains.index(d) for d in found["domain"]], np.int64), domains)
 
 
-def with_posteriors(docs: DataFrame, model: Classifier, tokens: str = "tokens", posterior: str = "posterior", column: str = "text") -> DataFrame:
-    """``docs`` with the words of ``column`` and its posteriors in thousandths (their sum is about 1000)."""
+def with_posteriors(docs: DataFrame, model: Classifier, rates: Rates | None = None, tokens: str = "tokens", posterior: str = "posterior", rate: str = "rate", column: str = "text") -> DataFrame:
+    """``docs`` with the words of ``column`` and its posteriors in thousandths (their sum is about 1000), and the rates
+    of the posteriors if they are given."""
 
     def run(batch: pa.RecordBatch):
         for rows, texts in slices(batch, column):
             p, n_words = model.posteriors(texts)
             held = pa.FixedSizeListArray.from_arrays(pa.array(np.round(p * UNIT).astype(np.int32).ravel()), p.shape[1]).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words.astype(np.int64)), held], names=[*rows.schema.names, tokens, posterior])
+            more = [] if rates is None else [pa.array(rates(shares(held, p.shape[1])))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words.astype(np.int64)), held, *more], names=[*rows.schema.names, tokens, posterior, rate][: len(rows.schema) + 2 + len(more)])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{tokens}` long", f"`{posterior}` array<int>"])
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{tokens}` long", f"`{posterior}` array<int>", *([] if rates is None else [f"`{rate}` double"])])
     return map_arrow(docs, run, fields)
 
 
@@ -226,9 +228,9 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], samp
     place = {c.lower(): inner[i] for i, c in reversed(list(enumerate(docs.columns)))}
     plain = docs.toDF(*inner)
     model = fit(plain.select(F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text")), labels, targets, sample)
-    placed = with_posteriors(plain, model, column=place["text"])
-    rates, _, _ = _rates(cut(placed.select("tokens", "posterior")), model, targets)
-    rated = with_rates(placed, rates, len(model.domains)).withColumn("copies", copies(F.col("rate"), F.col(place["doc_id"])))
+    texts = plain.select(F.col(place["text"]).alias("text"))
+    rates, _, _ = _rates(cut(with_posteriors(texts, model).drop("text")), model, targets)
+    rated = with_posteriors(plain, model, rates, column=place["text"]).withColumn("copies", copies(F.col("rate"), F.col(place["doc_id"])))
     rated = rated.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return rated.select(*[F.col(c).alias(o) for c, o in zip(inner, docs.columns, strict=True)])
 
