@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions import vectors as V
+from weftgraph.functions.hashing import uniform_int
 from weftgraph.functions.ranking import positions, shuffled_positions
 from weftgraph.operators import analyzers as X
 from weftgraph.operators import dictionary as D
@@ -13,8 +15,9 @@ from weftgraph.operators import partition as P
 from weftgraph.operators import sampling as N
 from weftgraph.operators import scoring as S
 from weftgraph.plans.base import query
-from weftgraph.plans.ingest import BUCKETS, COOC_NODES, EDGE_IDS, PARTS, SQL_OWNERS, SQL_STATES, STATES, SWAP_ROWS, SWAPS, bucketed, edges_with_ids
+from weftgraph.plans.ingest import BUCKETS, COOC_NODES, EDGE_IDS, SQL_OWNERS, SQL_STATES, STATES, SWAP_ROWS, SWAPS, bucketed, edges_with_ids
 from weftgraph.sources.graphs import FOLDED, PURCHASES, RELATIONS, SUPPLIES, VECTORS, folded, n_vectors, purchases, relation_vectors, sql_hash, sql_order, supplies, table, vectors
+from weftgraph.sources.shared import cut
 
 
 @query(f"WITH {FOLDED}, {VECTORS} SELECT src, rel, dst, round(a.emb[1] * 1.0, 6) AS s1, round(b.emb[1] * 1.0, 6) AS d1 FROM vec JOIN emb a ON src = a.id JOIN emb b ON dst = b.id")
@@ -42,16 +45,17 @@ def j4_relation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("src", "rel", "dst", F.round(F.element_at("rel_vec", 1), 6).alias("forward"), F.round(-F.element_at("rel_vec", 2), 6).alias("inverse"))
 
 
-@query(f"WITH {EDGE_IDS}, q AS (SELECT vec_id AS node FROM embeddings WHERE vec_id % 7 = 0) SELECT node, coalesce(min(edge_id), -1) AS first, coalesce(max(edge_id) + 1, -1) AS past FROM q LEFT JOIN ids ON src = node GROUP BY node")
+@query(f"WITH {EDGE_IDS}, q AS (SELECT vec_id AS node FROM embeddings) SELECT node, coalesce(min(edge_id), -1) AS first, coalesce(max(edge_id) + 1, -1) AS past FROM q LEFT JOIN ids ON src = node GROUP BY node")
 def j5_edge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of sorted edge ids of some nodes."""
-    asked = vectors(spark, sf_dir).where("id % 7 = 0").select(F.col("id").alias("src"))
+    """Range of sorted edge ids of each node."""
+    asked = vectors(spark, sf_dir).select(F.col("id").alias("src"))
     ranges = edges_with_ids(spark, sf_dir).groupBy("src").agg(F.min("edge_id").alias("first"), (F.max("edge_id") + 1).alias("past"))
     return asked.join(ranges, "src", "left").select(F.col("src").alias("node"), F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("past", F.lit(-1)).alias("past"))
 
 
 GRID = f"pos AS (SELECT *, row_number() OVER (ORDER BY {sql_order(chr(39) + 'shuffle' + chr(39), 'edge_id')}, edge_id) - 1 AS pos FROM ids), batched AS (SELECT *, pos // 1000 AS batch, CAST(pos % 1000 AS INTEGER) AS row, CAST(pos % 1000 // 250 AS INTEGER) AS chunk FROM pos)"
-NEG = f"neg AS (SELECT b AS batch, CAST(c AS INTEGER) AS chunk, CAST(s AS INTEGER) AS slot, {sql_hash(chr(39) + 'neg' + chr(39), 'b', 'c', 's')} % (SELECT n FROM nv) AS node FROM range(2) x(b), range(4) y(c), range(20) z(s))"
+N_NEG = 10
+NEG = f"neg AS (SELECT b AS batch, CAST(c AS INTEGER) AS chunk, CAST(s AS INTEGER) AS slot, {sql_hash(chr(39) + 'neg' + chr(39), 'b', 'c', 's')} % (SELECT n FROM nv) AS node FROM range((SELECT max(batch) + 1 FROM batched)) x(b), range(4) y(c), range({N_NEG}) z(s))"
 CAND = f"{EDGE_IDS}, {GRID}, {NEG}, cand AS (SELECT batched.batch, row, edge_id, src, rel, dst, slot, node FROM batched JOIN neg USING (batch, chunk))"
 
 
@@ -59,8 +63,13 @@ def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.batches(N.shuffle_edges(edges_with_ids(spark, sf_dir)), 1000)
 
 
+def n_batches(spark: SparkSession, sf_dir: str) -> int:
+    return -(-folded(spark, sf_dir).count() // 1000)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = N.uniform_negatives(spark, 2, 4, 20, n_vectors(spark, sf_dir))
+    """Ten negatives for each edge, shared by the 250 edges of its chunk."""
+    drawn = N.uniform_negatives(spark, n_batches(spark, sf_dir), 4, N_NEG, n_vectors(spark, sf_dir))
     return N.candidates(batched(spark, sf_dir), drawn, 250).select("batch", "row", "edge_id", "src", "rel", "dst", "slot", "node")
 
 
@@ -74,21 +83,21 @@ def j7_drop_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.drop_local(candidates(spark, sf_dir), batched(spark, sf_dir)).select("batch", "row", "slot", "node")
 
 
-DEG = f"sizes AS (SELECT batch, count(*) AS size FROM batched GROUP BY batch), deg AS (SELECT x.b AS batch, CAST(y.c AS INTEGER) AS chunk, CAST(z.s AS INTEGER) AS slot, CAST({sql_hash(chr(39) + 'deg' + chr(39), 'x.b', 'y.c', 'z.s')} % size AS INTEGER) AS sample_row FROM range(2) x(b) JOIN sizes ON batch = x.b, range(4) y(c), range(20) z(s))"
+DEG = f"sizes AS (SELECT batch, count(*) AS size FROM batched GROUP BY batch), deg AS (SELECT x.b AS batch, CAST(y.c AS INTEGER) AS chunk, CAST(z.s AS INTEGER) AS slot, CAST({sql_hash(chr(39) + 'deg' + chr(39), 'x.b', 'y.c', 'z.s')} % size AS INTEGER) AS sample_row FROM sizes JOIN (SELECT batch AS b FROM sizes) x ON batch = x.b, range(4) y(c), range(20) z(s))"
 
 
 @query(f"WITH {EDGE_IDS}, {GRID}, {DEG} SELECT deg.batch, deg.chunk, slot, sample_row, dst AS node, sample_row // 250 = deg.chunk AS filtered FROM deg JOIN batched ON deg.batch = batched.batch AND sample_row = row")
 def j8_degree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = N.degree_negatives(batched(spark, sf_dir), 2, 4, 20)
+    drawn = N.degree_negatives(batched(spark, sf_dir), n_batches(spark, sf_dir), 4, 20)
     return drawn.withColumn("filtered", N.from_own_chunk(F.col("sample_row"), F.col("chunk"), 250))
 
 
-ROOTS = "roots AS (SELECT vec_id AS root FROM embeddings WHERE vec_id % 50 = 0)"
+ROOTS = "roots AS (SELECT vec_id AS root FROM embeddings)"
 HOP = "SELECT {0} AS hop, root, node, edge_id, src, rel, dst, 'in' AS direction FROM {1} JOIN ids ON dst = node UNION ALL SELECT {0}, root, node, edge_id, src, rel, dst, 'out' FROM {1} JOIN ids ON src = node"
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("root"))
+    return vectors(spark, sf_dir).select(F.col("id").alias("root"))
 
 
 @query(f"WITH {EDGE_IDS}, {ROOTS}, f AS (SELECT root, root AS node FROM roots) SELECT root, node, edge_id, src, rel, dst, direction FROM ({HOP.format(0, 'f')})")
@@ -110,20 +119,20 @@ def j11_search_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("src").join(ids.withColumnRenamed("raw", "src"), "src")
 
 
-EVAL = f"eval AS (SELECT * FROM ids WHERE {sql_hash(chr(39) + 'eval' + chr(39), 'edge_id')} % 40 = 0)"
+EVAL = f"eval AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {sql_order(chr(39) + 'split' + chr(39), 'src', 'rel', 'dst')}, src, rel, dst) - 1 AS place, count(*) OVER () AS k FROM ids) WHERE place >= floor(k * 0.9) + floor(k * 0.05))"
 SCORED = "query AS (SELECT edge_id, src, rel, dst, [a.emb[i] * r.vec[i] FOR i IN range(1, 65)] AS q FROM eval JOIN emb a ON src = a.id JOIN rels r USING (rel)), alls AS (SELECT edge_id, src, rel, dst, c.id AS node, round(list_dot_product(q, c.emb), 6) AS score FROM query, emb c), pos AS (SELECT edge_id, score AS pos FROM alls WHERE node = dst)"
 RANKS = "ranks AS (SELECT edge_id, src, rel, dst, pos AS score, 1 + sum((alls.score >= pos AND NOT EXISTS (SELECT 1 FROM vec k WHERE k.src = alls.src AND k.rel = alls.rel AND k.dst = alls.node))::INT) AS rank FROM alls JOIN pos USING (edge_id) GROUP BY ALL)"
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.functions.hashing import pick
-
-    return edges_with_ids(spark, sf_dir).where(pick(40, "eval", F.col("edge_id")) == 0)
+    """The test split."""
+    split = D.split_edges(edges_with_ids(spark, sf_dir), (0.9, 0.05, 0.05), ["src", "rel", "dst"])
+    return split.where("split = 'test'").drop("split")
 
 
 @query(f"WITH {EDGE_IDS}, {VECTORS}, {RELATIONS}, {EVAL}, {SCORED}, {RANKS} SELECT edge_id, src, rel, dst, score, CAST(rank AS BIGINT) AS rank FROM ranks")
 def j12_all_candidates_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filtered ranks of a hashed sample of edges (the evaluation set) among all nodes."""
+    """Filtered ranks of the test edges among all nodes."""
     return S.filtered_ranks(evaluated(spark, sf_dir), vectors(spark, sf_dir), relation_vectors(spark), folded(spark, sf_dir))
 
 
@@ -161,10 +170,10 @@ def a2_csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.degree_offsets(folded(spark, sf_dir), vectors(spark, sf_dir))
 
 
-@query(f"WITH {BUCKETS} SELECT CAST(b AS INTEGER) AS bucket, count(bucket) AS n FROM range({PARTS * PARTS}) t(b) LEFT JOIN bucketed ON bucket = b AND rel = 0 AND src < 100 GROUP BY b")
+@query(f"WITH {FOLDED}, size AS (SELECT CAST(ceil(n / 64.0) AS BIGINT) AS s FROM nv), placed AS (SELECT src // s * 64 + dst // s AS k FROM vec, size) SELECT CAST(b AS INTEGER) AS bucket, count(k) AS n FROM range(4096) t(b) LEFT JOIN placed ON k = b GROUP BY b")
 def a3_bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of few edges, so that some buckets are empty."""
-    return P.bucket_sizes(bucketed(spark, sf_dir).where("rel = 0 AND src < 100"), PARTS)
+    """Of 64 partitions, so that some buckets are empty."""
+    return P.bucket_sizes(P.with_buckets(folded(spark, sf_dir), n_vectors(spark, sf_dir), 64), 64)
 
 
 @query("SELECT event_id, user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS inverse FROM events")
@@ -243,8 +252,6 @@ def link_prediction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CAND}, {VECTORS}, sc AS (SELECT batch, row, edge_id, round(list_dot_product(a.emb, b.emb), 6) AS neg FROM cand JOIN emb a ON src = a.id JOIN emb b ON node = b.id), ps AS (SELECT edge_id, round(list_dot_product(a.emb, b.emb), 6) AS pos FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id) SELECT edge_id, 1 + CAST(sum((neg >= pos)::INT) AS BIGINT) AS rank FROM sc JOIN ps USING (edge_id) GROUP BY edge_id")
 def a14_sampled_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unfiltered ranks among the negatives of the edge's chunk."""
-    from weftgraph.functions import vectors as V
-
     emb = vectors(spark, sf_dir)
     rows = candidates(spark, sf_dir).join(emb.select(F.col("id").alias("src"), F.col("emb").alias("s")), "src").join(emb.select(F.col("id").alias("node"), F.col("emb").alias("n")), "node").join(emb.select(F.col("id").alias("dst"), F.col("emb").alias("d")), "dst")
     scored = rows.select("edge_id", F.round(V.dot(F.col("s"), F.col("n")), 6).alias("neg"), F.round(V.dot(F.col("s"), F.col("d")), 6).alias("pos"))
@@ -277,8 +284,6 @@ KMV = f"hashes AS (SELECT DISTINCT l_returnflag AS grp, {sql_hash(chr(39) + 'kmv
 
 
 def kmv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.functions.hashing import uniform_int
-
     return X.smallest_hashes(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), "l_partkey"), ["grp"], uniform_int("kmv", F.col("l_partkey")), 256)
 
 
@@ -289,8 +294,6 @@ def a18_distinct_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {KMV}, n AS (SELECT grp, count(*) AS n FROM kept GROUP BY grp) SELECT a.grp AS a, b.grp AS b, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) AS overlap FROM kept a JOIN kept b ON a.h = b.h AND a.grp < b.grp JOIN n x ON x.grp = a.grp JOIN n y ON y.grp = b.grp GROUP BY ALL")
 def a19_sketch_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.sources.shared import cut
-
     return X.sketch_overlap(cut(kmv(spark, sf_dir)), "grp").select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
@@ -311,8 +314,6 @@ def a21_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RELATIONS} SELECT round(avg(sqrt(list_dot_product(vec, vec))), 6) AS mean_norm FROM rels")
 def a22_relation_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.functions import vectors as V
-
     return relation_vectors(spark).agg(F.round(F.avg(F.sqrt(V.dot(F.col("vec"), F.col("vec")))), 6).alias("mean_norm"))
 
 
@@ -389,8 +390,6 @@ SCORED_CAND = f"{CAND}, {VECTORS}, sc AS (SELECT batch, row, slot, node, round(l
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.functions import vectors as V
-
     emb = vectors(spark, sf_dir)
     rows = candidates(spark, sf_dir).join(emb.select(F.col("id").alias("src"), F.col("emb").alias("s")), "src").join(emb.select(F.col("id").alias("node"), F.col("emb").alias("n")), "node")
     return rows.select("batch", "row", "slot", "node", F.round(V.dot(F.col("s"), F.col("n")), 6).alias("score"))
@@ -401,9 +400,9 @@ def o4_top_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.select_top(scored_candidates(spark, sf_dir), 5, ["batch", "row"]).drop("nth")
 
 
-@query(f"WITH {SCORED_CAND} SELECT batch, row, slot, node, score FROM sc QUALIFY row_number() OVER (PARTITION BY batch, row, slot // 4 ORDER BY score DESC, slot) = 1")
+@query(f"WITH {SCORED_CAND} SELECT batch, row, slot, node, score FROM sc QUALIFY row_number() OVER (PARTITION BY batch, row, slot // 2 ORDER BY score DESC, slot) = 1")
 def o5_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.select_tournament(scored_candidates(spark, sf_dir), 20, 5, ["batch", "row"])
+    return N.select_tournament(scored_candidates(spark, sf_dir), N_NEG, 5, ["batch", "row"])
 
 
 @query(f"WITH {SUPPLIES} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM cooc UNION ALL SELECT dst FROM cooc) GROUP BY node ORDER BY degree DESC, node LIMIT 50")

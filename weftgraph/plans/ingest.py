@@ -18,11 +18,11 @@ from weftgraph.sources.shared import new_path
 PARTS = 4
 
 
-@query(f"WITH {PURCHASES} SELECT src, rel, dst FROM kg WHERE rel <> 'N'")
+@query(f"WITH {PURCHASES} SELECT src, rel, dst FROM kg")
 def s1_delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written with columns permuted to (src, dst, rel) and read by places (0, 2, 1)."""
     path = new_path(spark, "tsv")
-    purchases(spark, sf_dir).where("rel <> 'N'").select("src", "dst", "rel").write.option("sep", "\t").csv(path)
+    purchases(spark, sf_dir).select("src", "dst", "rel").write.option("sep", "\t").csv(path)
     return files.scan(spark, path, "TSV", columns=(0, 2, 1))
 
 
@@ -72,10 +72,12 @@ def s11_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.gather(ids, vectors(spark, sf_dir)).select("at", "id", F.element_at("emb", 1).alias("x"), "label")
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS value FROM customer")
+@query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS value FROM customer")
 def s12_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    return files.upsert(rows, rows.where("id % 3 = 0").withColumn("value", F.col("value") * 2), ["value"])
+    """Balances of one segment doubled."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"), "c_mktsegment")
+    changes = rows.where("c_mktsegment = 'BUILDING'").withColumn("value", F.col("value") * 2)
+    return files.upsert(rows.drop("c_mktsegment"), changes, ["value"])
 
 
 @query(f"""WITH {FOLDED}, {VECTORS}, deltas AS (SELECT src AS id, i, sum(emb[i]) AS x FROM vec JOIN emb ON dst = id, range(1, 5) t(i) GROUP BY ALL)
@@ -123,10 +125,15 @@ def p5_string_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dense_ids(D.node_universe(purchases(spark, sf_dir)))
 
 
-@query(f"WITH {COOC_NODES}, train AS (SELECT * FROM cooc WHERE src % 2 = 0) SELECT raw, row_number() OVER (ORDER BY raw NOT IN (SELECT src FROM train UNION SELECT dst FROM train), {sql_order(chr(39) + 'nodes' + chr(39), 'raw')}, raw) - 1 AS id FROM nodes")
+COOC_TRAIN = f"split AS (SELECT *, row_number() OVER (ORDER BY {sql_order(chr(39) + 'split' + chr(39), 'src', 'dst')}, src, dst) - 1 AS place, count(*) OVER () AS n FROM cooc), train AS (SELECT * FROM split WHERE place < floor(n * 0.01))"
+
+
+@query(f"WITH {COOC_NODES}, {COOC_TRAIN} SELECT raw, row_number() OVER (ORDER BY raw NOT IN (SELECT src FROM train UNION SELECT dst FROM train), {sql_order(chr(39) + 'nodes' + chr(39), 'raw')}, raw) - 1 AS id FROM nodes")
 def p6_train_first_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few training edges (a hundredth), so that some nodes have none."""
     edges = supplies(spark, sf_dir)
-    return D.train_first_ids(D.node_universe(edges), edges.where("src % 2 = 0"))
+    train = D.split_edges(edges, (0.01, 0.99), ["src", "dst"]).where("split = 'train'")
+    return D.train_first_ids(D.node_universe(edges), train)
 
 
 @query(f"""WITH {COOC_NODES}, deg AS (SELECT raw, count(*) AS d FROM (SELECT src AS raw FROM cooc UNION ALL SELECT dst FROM cooc) GROUP BY raw),

@@ -15,13 +15,13 @@ from weftgraph.operators import train as T
 from weftgraph.plans.base import query
 from weftgraph.plans.graph import first_four
 from weftgraph.plans.ingest import EDGE_IDS, edges_with_ids
-from weftgraph.sources.graphs import FOLDED, RELATIONS, VECTORS, folded, n_vectors, relation_vectors, vectors
+from weftgraph.sources.graphs import FOLDED, RELATIONS, VECTORS, folded, n_vectors, relation_vectors, table, vectors
 
-ENDS = f"{EDGE_IDS}, {VECTORS}, {RELATIONS}, ends AS (SELECT edge_id, ids.rel, a.emb AS s, r.vec AS r, b.emb AS d FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = ids.rel WHERE edge_id % 10 = 0)"
+ENDS = f"{EDGE_IDS}, {VECTORS}, {RELATIONS}, ends AS (SELECT edge_id, ids.rel, a.emb AS s, r.vec AS r, b.emb AS d FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = ids.rel)"
 
 
 def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = edges_with_ids(spark, sf_dir).where("edge_id % 10 = 0")
+    edges = edges_with_ids(spark, sf_dir)
     rows = S.with_relation(S.with_ends(edges, vectors(spark, sf_dir)), relation_vectors(spark))
     return rows.select("edge_id", "rel", F.col("src_emb").alias("s"), F.col("rel_vec").alias("r"), F.col("dst_emb").alias("d"))
 
@@ -56,30 +56,28 @@ def m8_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ends(spark, sf_dir), **{k: S.decoder_score(k, s, r, d) for k in ("distmult", "complex", "transe")})
 
 
-@query(f"WITH {EDGE_IDS}, {VECTORS}, {RELATIONS} SELECT edge_id, round(list_dot_product([a.emb[i] * r.vec[i] FOR i IN range(1, 65)], b.emb), 6) AS score, round(list_dot_product([b.emb[i] * -r.vec[i] FOR i IN range(1, 65)], a.emb), 6) AS inverse_score FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = ids.rel WHERE edge_id % 10 = 0")
+@query(f"WITH {EDGE_IDS}, {VECTORS}, {RELATIONS} SELECT edge_id, round(list_dot_product([a.emb[i] * r.vec[i] FOR i IN range(1, 65)], b.emb), 6) AS score, round(list_dot_product([b.emb[i] * -r.vec[i] FOR i IN range(1, 65)], a.emb), 6) AS inverse_score FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = ids.rel")
 def m11_positive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward and inverse scores, the inverse relations being the negated ones."""
     rels = relation_vectors(spark)
     inverse = rels.select("rel", V.scale(F.col("vec"), -1.0).alias("vec"))
-    rows = S.score_positives(edges_with_ids(spark, sf_dir).where("edge_id % 10 = 0"), vectors(spark, sf_dir), rels, inverse=inverse)
+    rows = S.score_positives(edges_with_ids(spark, sf_dir), vectors(spark, sf_dir), rels, inverse=inverse)
     return rows.select("edge_id", F.round("score", 6).alias("score"), F.round("inverse_score", 6).alias("inverse_score"))
 
 
 @query("SELECT event_id, round(greatest(value - 50, 0.0), 6) AS relu, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS sigmoid FROM events")
 def m15_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.sources.graphs import table
-
     x = F.col("value") - 50
     return table(spark, sf_dir, "events").select("event_id", F.round(L.relu(x), 6).alias("relu"), F.round(L.sigmoid(x / 10), 6).alias("sigmoid"))
 
 
-@query(f"""WITH {ENDS}, x AS (SELECT edge_id, list_dot_product(s, d) AS pos, [s[i] * 3 FOR i IN range(1, 11)] AS neg, CAST(edge_id % 20 = 0 AS DOUBLE) AS y, edge_id % 10 AS target FROM ends)
+@query(f"""WITH {ENDS}, x AS (SELECT edge_id, list_dot_product(s, d) AS pos, [s[i] * 3 FOR i IN range(1, 11)] AS neg, CAST(edge_id % 2 = 0 AS DOUBLE) AS y FROM ends)
 SELECT edge_id, round(ln(exp(pos) + list_sum([exp(v) FOR v IN neg])) - pos, 6) AS softmax, round(list_sum([greatest(v - pos + 0.1, 0) FOR v IN neg]), 6) AS ranking,
  round(ln(list_sum([exp(v) FOR v IN neg])) - neg[3], 6) AS cross_entropy, round(-(y * ln(1 / (1 + exp(-pos))) + (1 - y) * ln(1 - 1 / (1 + exp(-pos)))), 6) AS bce, round(ln(1 + exp(pos)) - y * pos, 6) AS bce_logits,
  round((pos - y) * (pos - y), 6) AS mse, round(ln(1 + exp(CASE WHEN y > 0 THEN -pos ELSE pos END)), 6) AS softplus FROM x""")
 def m16_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All losses (M16-M22) by row."""
-    rows = ends(spark, sf_dir).select("edge_id", V.dot(F.col("s"), F.col("d")).alias("pos"), F.transform(F.slice("s", 1, 10), lambda x: x * 3).alias("neg"), F.when(F.col("edge_id") % 20 == 0, 1.0).otherwise(0.0).alias("y"))
+    rows = ends(spark, sf_dir).select("edge_id", V.dot(F.col("s"), F.col("d")).alias("pos"), F.transform(F.slice("s", 1, 10), lambda x: x * 3).alias("neg"), F.when(F.col("edge_id") % 2 == 0, 1.0).otherwise(0.0).alias("y"))
     pos, neg, y = F.col("pos"), F.col("neg"), F.col("y")
     return _rounded(rows, softmax=L.softmax_loss(pos, neg), ranking=L.ranking_loss(pos, neg), cross_entropy=L.cross_entropy(neg, F.lit(2)), bce=L.bce_after_sigmoid(pos, y), bce_logits=L.bce_with_logits(pos, y), mse=L.squared_error(pos, y), softplus=L.softplus_loss(pos, y))
 
@@ -124,11 +122,12 @@ def m26_optimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "optimizer string, gap double")
 
 
-@query(f"""WITH {VECTORS}, g AS (SELECT id, [emb[i] * 0.5 FOR i IN range(1, 5)] AS g FROM emb WHERE id % 2 = 0)
+@query(f"""WITH {VECTORS}, g AS (SELECT id, [emb[i] * 0.5 FOR i IN range(1, 5)] AS g FROM emb WHERE label < 5)
 SELECT e.id, i, round(e.emb[i] + CASE WHEN g.id IS NULL THEN 0 ELSE -0.1 * g[i] / (sqrt(0.25 + g[i] * g[i]) + 1e-10) END, 6) AS x, round(0.25 + coalesce(g[i] * g[i], 0), 6) AS state FROM emb e LEFT JOIN g ON g.id = e.id, range(1, 5) t(i)""")
 def m29_sparse_adagrad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of half the labels have a gradient."""
     rows = first_four(spark, sf_dir).withColumn("state", F.array_repeat(F.lit(0.25), 4))
-    grads = rows.where("id % 2 = 0").select("id", V.scale(F.col("emb"), 0.5).alias("grad"))
+    grads = rows.join(vectors(spark, sf_dir).where("label < 5").select("id"), "id").select("id", V.scale(F.col("emb"), 0.5).alias("grad"))
     out = T.sparse_adagrad(rows, grads).select("id", F.posexplode(F.arrays_zip("emb", "state")).alias("i", "p"))
     return out.select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("p.emb", 6).alias("x"), F.round("p.state", 6).alias("state"))
 
@@ -231,7 +230,7 @@ def train_link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_node_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of a softmax over vectors averaged with their neighbours', and its first and last loss."""
     emb = vectors(spark, sf_dir)
-    rows = E.sage_gcn(folded(spark, sf_dir).where("rel = 0"), emb.select("id", "emb")).join(emb.select("id", "emb", "label"), "id").select("id", F.concat("emb", "vec").alias("vec"), "label")
+    rows = E.sage_gcn(folded(spark, sf_dir), emb.select("id", "emb")).join(emb.select("id", "emb", "label"), "id").select("id", F.concat("emb", "vec").alias("vec"), "label")
     weights, found = T.train_classifier(rows, 10, epochs=20)
     scored = E.linear(rows, weights[:-1], bias=weights[-1]).join(rows.select("id", "label"), "id").select("label", S.argmax(F.col("vec")).alias("predicted"))
     accuracy = S.accuracy(scored).first().accuracy

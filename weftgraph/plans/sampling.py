@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as V
+from weftgraph.functions.ranking import positions
 from weftgraph.operators import sampling as N
 from weftgraph.operators import scoring as S
 from weftgraph.plans.base import query
-from weftgraph.plans.graph import CAND, DEG, GRID, HOP, ROOTS, batched, candidates, roots, scored_candidates
+from weftgraph.plans.graph import CAND, DEG, GRID, HOP, N_NEG, ROOTS, batched, candidates, n_batches, roots, scored_candidates
 from weftgraph.plans.ingest import EDGE_IDS, edges_with_ids
 from weftgraph.sources.graphs import RELATIONS, VECTORS, folded, n_vectors, relation_vectors, sql_hash, vectors
 
 
-@query(f"WITH {EDGE_IDS}, {GRID} SELECT batch, row, edge_id FROM batched WHERE batch < 3")
+@query(f"WITH {EDGE_IDS}, {GRID} SELECT batch, row, edge_id FROM batched")
 def n1_edge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batched(spark, sf_dir).where("batch < 3").select("batch", "row", "edge_id")
+    return batched(spark, sf_dir).select("batch", "row", "edge_id")
 
 
 @query(f"WITH {EDGE_IDS}, {ROOTS}, f AS (SELECT root, root AS node FROM roots) SELECT root, direction, count(*) AS n, CAST(sum(src + dst) AS BIGINT) AS ends FROM ({HOP.format(0, 'f')}) GROUP BY ALL")
@@ -43,12 +44,27 @@ def n4_dropout_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.sample_dropout(found, 0.7).select("root", "direction", "edge_id")
 
 
-@query(f"""WITH {EDGE_IDS}, {ROOTS}, f0 AS (SELECT root, root AS node FROM roots WHERE root % 100 = 0), h0 AS (SELECT 0 AS hop, root, node, edge_id, src, dst FROM f0 JOIN ids ON src = node),
-f1 AS (SELECT DISTINCT root, dst AS node FROM h0 WHERE (root, dst) NOT IN (SELECT root, node FROM f0)), h1 AS (SELECT 1 AS hop, root, node, edge_id, src, dst FROM f1 JOIN ids ON src = node)
-SELECT root, hop, count(*) AS n, count(DISTINCT dst) AS reached FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1) GROUP BY ALL""")
+def hop_sql(hop: int, most: int = 5) -> str:
+    """Tables of one hop: the edges out of its frontier f<hop>, what is drawn of them, and the next frontier."""
+    seen = " UNION ".join(f"SELECT root, node FROM f{h}" for h in range(hop + 1))
+    place = sql_hash(f"'hop{hop}'", "root", "node", "'out'", "s")
+    return f"""found{hop} AS (SELECT root, node, edge_id, src, rel, dst, row_number() OVER (PARTITION BY root, node ORDER BY edge_id) - 1 AS place, count(*) OVER (PARTITION BY root, node) AS degree FROM f{hop} JOIN ids ON src = node),
+draws{hop} AS (SELECT root, node, s, {place} % degree AS place FROM (SELECT DISTINCT root, node, degree FROM found{hop}), range({most}) t(s) WHERE degree > {most}),
+h{hop} AS (SELECT {hop} AS hop, root, edge_id, src, rel, dst FROM found{hop} WHERE degree <= {most} UNION ALL SELECT {hop}, root, edge_id, src, rel, dst FROM draws{hop} JOIN found{hop} USING (root, node, place)),
+f{hop + 1} AS (SELECT root, dst AS node FROM h{hop} EXCEPT ({seen}))"""
+
+
+HOPS = f"{EDGE_IDS}, {ROOTS}, f0 AS (SELECT root, root AS node FROM roots), {hop_sql(0)}, {hop_sql(1)}"
+
+
+def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five outgoing edges of every node, and of what they reach."""
+    return N.k_hop(roots(spark, sf_dir), edges_with_ids(spark, sf_dir), 2, incoming=False, most=5)
+
+
+@query(f"WITH {HOPS} SELECT root, hop, count(*) AS n, count(DISTINCT dst) AS reached, CAST(sum(edge_id) AS BIGINT) AS ids FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1) GROUP BY ALL")
 def n5_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.k_hop(roots(spark, sf_dir).where("root % 100 = 0"), edges_with_ids(spark, sf_dir), 2, incoming=False)
-    return found.groupBy("root", "hop").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("reached"))
+    return two_hops(spark, sf_dir).groupBy("root", "hop").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("reached"), F.sum("edge_id").alias("ids"))
 
 
 @query(f"WITH {EDGE_IDS}, {ROOTS}, s AS (SELECT root, edge_id, src, dst FROM roots JOIN ids ON src = root), nodes AS (SELECT root, src AS node FROM s UNION SELECT root, dst FROM s), loc AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY node) - 1 AS local FROM nodes) SELECT s.root, edge_id, a.local AS local_src, b.local AS local_dst FROM s JOIN loc a ON a.root = s.root AND a.node = src JOIN loc b ON b.root = s.root AND b.node = dst")
@@ -57,11 +73,10 @@ def n6_local_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.local_subgraph(found)[1].select("root", "edge_id", "local_src", "local_dst")
 
 
-@query(f"WITH {EDGE_IDS}, {ROOTS} SELECT root, edge_id, src, rel, dst FROM roots JOIN ids ON src = root WHERE root % 100 = 0")
+@query(f"WITH {HOPS} SELECT root, edge_id, src, rel, dst FROM h0")
 def n7_drop_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layers that are left when the outer one is done."""
-    found = N.k_hop(roots(spark, sf_dir).where("root % 100 = 0"), edges_with_ids(spark, sf_dir), 2, incoming=False)
-    return found.where("hop < 1").select("root", "edge_id", "src", "rel", "dst")
+    return two_hops(spark, sf_dir).where("hop < 1").select("root", "edge_id", "src", "rel", "dst")
 
 
 NEGATIVES = "SELECT b AS batch, CAST(c AS INTEGER) AS chunk, CAST(s AS INTEGER) AS slot, {hash} % (SELECT count(*) FROM embeddings) AS node FROM range({b}) x(b), range({c}) y(c), range({n}) z(s)"
@@ -74,33 +89,33 @@ def n8_uniform_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDGE_IDS}, {GRID}, {DEG} SELECT deg.batch, deg.chunk, slot, sample_row, dst AS node FROM deg JOIN batched ON deg.batch = batched.batch AND sample_row = row")
 def n9_degree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.degree_negatives(batched(spark, sf_dir), 2, 4, 20)
+    return N.degree_negatives(batched(spark, sf_dir), n_batches(spark, sf_dir), 4, 20)
 
 
 MIXED = f"""{EDGE_IDS}, {GRID}, sizes AS (SELECT batch, count(*) AS size FROM batched GROUP BY batch),
-deg AS (SELECT x.b AS batch, CAST(y.c AS INTEGER) AS chunk, CAST(z.s AS INTEGER) AS slot, CAST({sql_hash("'neg-deg'", 'x.b', 'y.c', 'z.s')} % size AS INTEGER) AS sample_row FROM range(2) x(b) JOIN sizes ON batch = x.b, range(4) y(c), range(7) z(s)),
-uni AS (SELECT x.b AS batch, CAST(y.c AS INTEGER) AS chunk, CAST(z.s + 7 AS INTEGER) AS slot, {sql_hash("'neg'", 'x.b', 'y.c', 'z.s')} % (SELECT n FROM nv) AS node FROM range(2) x(b), range(4) y(c), range(13) z(s))"""
+deg AS (SELECT x.b AS batch, CAST(y.c AS INTEGER) AS chunk, CAST(z.s AS INTEGER) AS slot, CAST({sql_hash("'neg-deg'", 'x.b', 'y.c', 'z.s')} % size AS INTEGER) AS sample_row FROM sizes JOIN (SELECT batch AS b FROM sizes) x ON batch = x.b, range(4) y(c), range(7) z(s)),
+uni AS (SELECT x.b AS batch, CAST(y.c AS INTEGER) AS chunk, CAST(z.s + 7 AS INTEGER) AS slot, {sql_hash("'neg'", 'x.b', 'y.c', 'z.s')} % (SELECT n FROM nv) AS node FROM (SELECT batch AS b FROM sizes) x, range(4) y(c), range(13) z(s))"""
 
 
 @query(f"WITH {MIXED} SELECT deg.batch, deg.chunk, slot, dst AS node FROM deg JOIN batched ON deg.batch = batched.batch AND sample_row = row UNION ALL SELECT batch, chunk, slot, node FROM uni")
 def n10_mixed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty of which int(20 * 0.35) follow degrees."""
-    return N.negatives(batched(spark, sf_dir), 2, 4, 20, n_vectors(spark, sf_dir), 0.35).select("batch", "chunk", "slot", "node")
+    return N.negatives(batched(spark, sf_dir), n_batches(spark, sf_dir), 4, 20, n_vectors(spark, sf_dir), 0.35).select("batch", "chunk", "slot", "node")
 
 
 @query(f"WITH {MIXED} SELECT b.batch, b.chunk, slot, src AS src_node, dst AS dst_node FROM deg b JOIN batched ON b.batch = batched.batch AND sample_row = row UNION ALL SELECT batch, chunk, slot, node, node FROM uni")
 def n11_shared_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ends' negatives from the same draws."""
     n = n_vectors(spark, sf_dir)
-    side = lambda end: N.negatives(batched(spark, sf_dir), 2, 4, 20, n, 0.35, end).select("batch", "chunk", "slot", F.col("node").alias(f"{end}_node"))
+    side = lambda end: N.negatives(batched(spark, sf_dir), n_batches(spark, sf_dir), 4, 20, n, 0.35, end).select("batch", "chunk", "slot", F.col("node").alias(f"{end}_node"))
     return side("src").join(side("dst"), ["batch", "chunk", "slot"])
 
 
-@query(f"WITH {EDGE_IDS}, q AS (SELECT * FROM ids WHERE edge_id % 500 = 0) SELECT edge_id, count(*) AS n, CAST(sum(c.vec_id) AS BIGINT) AS ids FROM q, embeddings c WHERE NOT EXISTS (SELECT 1 FROM vec k WHERE k.src = q.src AND k.rel = q.rel AND k.dst = c.vec_id) GROUP BY edge_id")
+@query(f"WITH {EDGE_IDS}, q AS (SELECT DISTINCT src, rel FROM vec), open AS (SELECT src, rel, c.vec_id AS node FROM q, embeddings c EXCEPT SELECT src, rel, dst FROM vec), sums AS (SELECT src, rel, count(*) AS n, CAST(sum(node) AS BIGINT) AS ids FROM open GROUP BY ALL) SELECT edge_id, coalesce(sums.n, 0) AS n, coalesce(sums.ids, 0) AS ids FROM ids LEFT JOIN sums USING (src, rel)")
 def n12_filtered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes but those of known edges, counted: totals less what is listed, so that no pairs are made."""
     nodes = vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("_n"), F.sum("id").alias("_ids"))
-    asked = edges_with_ids(spark, sf_dir).where("edge_id % 500 = 0").select("edge_id", "src", "rel")
+    asked = edges_with_ids(spark, sf_dir).select("edge_id", "src", "rel")
     known = folded(spark, sf_dir).groupBy("src", "rel").agg(F.count(F.lit(1)).alias("k"), F.sum("dst").alias("dsts"))
     return asked.join(known, ["src", "rel"]).join(F.broadcast(nodes)).select("edge_id", (F.col("_n") - F.col("k")).alias("n"), (F.col("_ids") - F.col("dsts")).alias("ids"))  # one row
 
@@ -127,18 +142,18 @@ def model_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REL_SCORED} SELECT batch, row, slot, node, score FROM sc QUALIFY row_number() OVER (PARTITION BY batch, row, slot // 2 ORDER BY score DESC, slot) = 1")
 def n15_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of twenty, each the better of a pair."""
-    return S.select_hard(model_scored(spark, sf_dir), 20, 0.5, ["batch", "row"])
+    """Half of ten, each the better of a pair."""
+    return S.select_hard(model_scored(spark, sf_dir), N_NEG, 0.5, ["batch", "row"])
 
 
-@query(f"WITH {CAND}, {VECTORS}, sc AS (SELECT batch, row, slot, node, round(list_dot_product(list_reverse(a.emb), b.emb), 6) AS score FROM cand JOIN emb a ON src = a.id JOIN emb b ON node = b.id) SELECT batch, row, slot, node FROM sc QUALIFY row_number() OVER (PARTITION BY batch, row ORDER BY score DESC, slot) <= 6")
+@query(f"WITH {CAND}, {VECTORS}, sc AS (SELECT batch, row, slot, node, round(list_dot_product(list_reverse(a.emb), b.emb), 6) AS score FROM cand JOIN emb a ON src = a.id JOIN emb b ON node = b.id) SELECT batch, row, slot, node FROM sc QUALIFY row_number() OVER (PARTITION BY batch, row ORDER BY score DESC, slot) <= 3")
 def n16_generator_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected by a second table of vectors (here the first one's, reversed on the source side); six of twenty."""
+    """Selected by a second table of vectors (here the first one's, reversed on the source side); three of ten."""
     emb = vectors(spark, sf_dir)
     generator = emb.select(F.col("id").alias("src"), F.reverse("emb").alias("g"))
     rows = candidates(spark, sf_dir).join(generator, "src").join(emb.select(F.col("id").alias("node"), "emb"), "node")
     scored = rows.select("batch", "row", "slot", "node", F.round(V.dot(F.col("g"), F.col("emb")), 6).alias("score"))
-    return S.select_hard(scored, 20, 0.3, ["batch", "row"], tournament=False).drop("score")
+    return S.select_hard(scored, N_NEG, 0.3, ["batch", "row"], tournament=False).drop("score")
 
 
 @query(NEGATIVES.format(hash=sql_hash("'neg'", "(b // 2)", "c", "s"), b=4, c=2, n=30))
@@ -149,7 +164,5 @@ def n18_reused_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH r AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS local FROM embeddings WHERE label < 5) SELECT a AS at, node FROM range(200) t(a) JOIN r ON local = {sql_hash(chr(39) + 'resident' + chr(39), 'a')} % (SELECT count(*) FROM r)")
 def n20_random_residents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.functions.ranking import positions
-
     resident = positions(vectors(spark, sf_dir).where("label < 5").select(F.col("id").alias("node")), ["node"], "local")
     return N.random_nodes(spark, 200, resident)
