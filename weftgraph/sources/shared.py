@@ -45,8 +45,19 @@ def new_path(spark: SparkSession, suffix: str = "parquet") -> str:
     return f"{shared_folder(spark)}/weftgraph-{uuid.uuid4().hex}.{suffix}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a written table: what reads them later doesn't run ``df`` again, and lost executors lose none."""
-    path = new_path(df.sparkSession)
+def cut(df: DataFrame, narrow: int = 1) -> DataFrame:
+    """The rows as a written table: what reads them later doesn't run ``df`` again, and lost executors lose none.
+
+    ``narrow``: of a table that is far smaller than what it is made from, that many shuffle partitions go to one file.
+    """
+    spark = df.sparkSession
+    path, schema = new_path(spark), df.schema
+    if narrow > 1:
+        df = narrowed(df, narrow)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def narrowed(df: DataFrame, by: int) -> DataFrame:
+    """``df`` in a ``by``-th of the session's shuffle partitions, without another shuffle."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
