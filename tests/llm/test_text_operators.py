@@ -382,6 +382,26 @@ def test_rooms_find_the_tightest():
         assert rooms.tightest(least) == min((r for r in own if r >= least), default=None)
 
 
+def test_ids_equal_the_tokenizers_own():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(1)
+    signs = [*"abzAZ019.,;!'\"*#$%&|<>_-^`~()[]{}@+=/\\ \n\t", *"éßÜ×÷ĀſıİΣς…“”—中ªﬁǄẞñ¿¡²½😀", "\u0301", "\u0327", "\u00a0", "\u200b", "\x01", "\x1c", "'s", "'re", "'ll", "'t"]
+    every = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(20_000)] + [t or "" for t in ODD]
+    encoder = packing.Encoder(path)
+    for kept in (10**6, 100):
+        packing.KEPT_WORDS, held = kept, packing.KEPT_WORDS
+        for at in range(0, len(every), 5000):
+            part = every[at : at + 5000]
+            ids, bounds = encoder.encode(pa.array([t.encode() for t in part], pa.large_binary()))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        packing.KEPT_WORDS = held
+
+
 def test_packing_on_odd_documents(documents, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

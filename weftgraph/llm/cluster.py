@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.sources.shared import cut, shared_folder, ship
+from weftgraph.sources.shared import cut, narrowed, shared_folder, ship
 
-__all__ = ["bound_batches", "bounded_sample", "crc_mod", "cut", "map_arrow", "shared_folder", "ship"]
+__all__ = ["bound_batches", "bounded_sample", "crc_mod", "cut", "map_arrow", "narrowed", "shared_folder", "ship"]
 
 BATCH_BYTES = 8 << 20
 
@@ -46,4 +46,4 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     total = rows.count()
     share = min(1.0, (n + 10 * n**0.5 + 10) / max(total, 1))
     place = F.shiftrightunsigned(F.xxhash64(key), 1)
-    return rows.where(place <= int(share * (2**63 - 1))).orderBy(place, key).limit(n)
+    return rows.where(place <= min(int(share * 2.0**63), 2**63 - 1)).orderBy(place, key).limit(n)

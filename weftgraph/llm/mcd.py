@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import quality_stats
-from weftgraph.llm.cluster import cut, map_arrow
+from weftgraph.llm.cluster import cut, map_arrow, ship
 from weftgraph.llm.words import slices
 
 STATS = quality_stats.NAMES
@@ -37,6 +37,8 @@ STATS = quality_stats.NAMES
 FLOORS = (0.06, 0.04, 0.20, 0.25)
 P = len(FLOORS)
 UNIT = 1000
+#: Tables with a row for a group are written in a sixteenth of the shuffle partitions.
+SMALL = 16
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 MODEL = ["floor_only boolean", *(f"m{i} double" for i in range(P)), *(f"p{i}{j} double" for i, j in PAIRS)]
@@ -124,22 +126,23 @@ def fit(statistics: DataFrame, min_group: int = 200, steps: int = 4, share: floa
     The result is a written table with a row for each group. ``share``: of a group's rows the half that each
     concentration step keeps.
     """
+    ship(statistics.sparkSession)
     vectors = cut(_keys(statistics.where(~base_failed())).select("lang_key", "source_key", *coordinates()))
-    groups = cut(_groups(vectors, min_group))
+    groups = cut(_groups(vectors, min_group), SMALL)
     placed = lambda models: vectors.join(groups.join(models, "grp"), ["lang_key", "source_key"])
     half = lambda c: F.percentile(c, F.lit(0.5))
-    start = cut(vectors.join(groups, ["lang_key", "source_key"]).groupBy("grp").agg(*(half(x).alias(f"m{i}") for i, x in enumerate(X))))
+    start = cut(vectors.join(groups, ["lang_key", "source_key"]).groupBy("grp").agg(*(half(x).alias(f"m{i}") for i, x in enumerate(X))), SMALL)
     spread = placed(start).groupBy("grp").agg(*(half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(X)))
     precision = lambda i, j: 1 / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i] * UNIT)) ** 2 if i == j else F.lit(0.0)
-    models = cut(start.join(spread, "grp").select("grp", *(f"m{i}" for i in range(P)), *(precision(i, j).alias(f"p{i}{j}") for i, j in PAIRS)))
+    models = cut(start.join(spread, "grp").select("grp", *(f"m{i}" for i in range(P)), *(precision(i, j).alias(f"p{i}{j}") for i, j in PAIRS)), SMALL)
     schema = ", ".join(["grp string", *MODEL])
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS]
     for _ in range(steps):
         near = F.round(F.log1p(F.greatest(distance2(), F.lit(0.0))) * UNIT).cast("long")
         reach = placed(models).groupBy("grp").agg(F.percentile(near, F.lit(share)).alias("reach"))
         chosen = placed(models.join(reach, "grp")).where(near <= F.col("reach")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums)
-        models = cut(chosen.mapInPandas(lambda frames: (_model(f, min_group, share) for f in frames if len(f)), schema))
-    return cut(groups.join(models, "grp"))
+        models = cut(chosen.mapInPandas(lambda frames: (_model(f, min_group, share) for f in frames if len(f)), schema), SMALL)
+    return cut(groups.join(models, "grp"), SMALL)
 
 
 def verdicts(rows: DataFrame, models: DataFrame, confidence: float = 0.9999) -> DataFrame:

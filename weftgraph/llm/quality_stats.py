@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from weftgraph.llm.words import LEAD, Words, codes_of, sums
+from weftgraph.llm.words import LEAD, SPACE, Words, codes_of
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -19,21 +19,11 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     around it is found at least twice in its text.
     """
     words = Words(texts)
-    solid = sums(LEAD[words.data], words.offsets) - sums(LEAD[words.data] & _space(words), words.offsets)
+    solid = words.per_doc(LEAD[words.data] & ~SPACE[words.data])
     n_lines, n_dup = _lines(words)
     return {"n_words": words.counts.astype(np.int64), "word_chars": solid, "n_symbols": words.per_doc(SYMBOL[words.data]), "n_dup_lines": n_dup, "n_repeat_words": _repeated(words), "n_lines": n_lines}
 
 
-def _space(words: Words) -> np.ndarray:
-    space = np.ones(len(words.data), bool)
-    if len(words):
-        marks = np.zeros(len(words.data) + 1, np.int8)
-        marks[words.starts] += 1
-        marks[words.ends] -= 1
-        space = np.cumsum(marks[:-1], dtype=np.int8) == 0
-    return space
-
-
 def _lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those equal to an earlier line of the same text."""
     data, offsets, n = words.data, words.offsets, words.n_docs
