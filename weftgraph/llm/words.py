@@ -77,6 +77,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def split(self, at: np.ndarray) -> None:
+        """Cut words in two at places inside them."""
+        self.starts, self.ends = (np.sort(np.concatenate([x, at]), kind="stable") for x in (self.starts, self.ends))
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.counts = np.diff(self.bounds)
+        self.doc = np.repeat(np.arange(self.n_docs), self.counts)
+
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each row are flagged."""
         return sums(flags, self.offsets)
