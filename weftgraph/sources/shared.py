@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -18,17 +17,21 @@ _shipped: set[tuple[str, str]] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each context and state of the code."""
+    """Send this package's code to the executors by the shared folder, once for each context and state of the code."""
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
         for path in sorted(PACKAGE.rglob("*.py")):
             z.writestr(zipfile.ZipInfo(str(path.relative_to(PACKAGE.parent))), path.read_bytes())
     digest = hashlib.sha256(held.getvalue()).hexdigest()[:16]
-    if (key := (spark.sparkContext.applicationId, digest)) in _shipped:
+    context = spark.sparkContext
+    if (key := (context.applicationId, digest)) in _shipped:
         return
-    path = os.path.join(tempfile.mkdtemp(), f"weftgraph-{digest}.zip")
-    Path(path).write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(path)
+    name = f"{shared_folder(spark)}/weftgraph-{digest}-{uuid.uuid4().hex[:8]}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    context.addPyFile(name)
     _shipped.add(key)
 
 
