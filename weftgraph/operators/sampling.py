@@ -121,6 +121,13 @@ def negatives(batched: DataFrame, n_batches: int, chunks: int, n: int, n_nodes:
     return degree_negatives(batched, n_batches, chunks, weighted, end, f"{seed}-deg").select("batch", "chunk", "slot", "node", "sample_row").unionByName(rest)
 
 
+def relation_negatives(batched: DataFrame, n: int, n_relations: int, seed: str = "rel") -> DataFrame:
+    """``batched`` (batch, row, rel, ...) with slot and corrupted: n seeded relations other than the row's own."""
+    shift = 1 + pick(n_relations - 1, seed, F.col("batch"), F.col("row"), F.col("slot"))
+    rows = batched.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rows.withColumn("corrupted", F.pmod(F.col("rel") + shift, F.lit(n_relations)).cast("int"))
+
+
 def candidates(batched: DataFrame, drawn: DataFrame, chunk: int) -> DataFrame:
     """Every row of a batch beside the negatives of its chunk (``chunk`` rows each)."""
     keyed = batched.withColumn("chunk", F.floor(F.col("row") / chunk).cast("int"))

@@ -166,3 +166,18 @@ def n18_reused_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n20_random_residents(spark: SparkSession, sf_dir: str) -> DataFrame:
     resident = positions(vectors(spark, sf_dir).where("label < 5").select(F.col("id").alias("node")), ["node"], "local")
     return N.random_nodes(spark, 200, resident)
+
+
+CORRUPTED = f"{EDGE_IDS}, {GRID}, corrupt AS (SELECT batch, row, edge_id, src, dst, s AS slot, CAST((rel + 1 + {sql_hash(chr(39) + 'rel' + chr(39), 'batch', 'row', 's')} % 2) % 3 AS INTEGER) AS corrupted FROM batched, range(2) t(s))"
+
+
+@query(f"WITH {CORRUPTED} SELECT batch, row, CAST(slot AS INTEGER) AS slot, corrupted FROM corrupt")
+def n19_relation_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.relation_negatives(batched(spark, sf_dir), 2, 3).select("batch", "row", "slot", "corrupted")
+
+
+@query(f"WITH {CORRUPTED}, {VECTORS}, {RELATIONS} SELECT edge_id, CAST(slot AS INTEGER) AS slot, round(list_dot_product([a.emb[i] * r.vec[i] FOR i IN range(1, 65)], b.emb), 6) AS score FROM corrupt JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = corrupted")
+def m14_relation_corruption_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.relation_negatives(batched(spark, sf_dir), 2, 3).select("edge_id", "src", "dst", "slot", F.col("corrupted").alias("rel"))
+    scored = S.score_positives(rows, vectors(spark, sf_dir), relation_vectors(spark))
+    return scored.select("edge_id", "slot", F.round("score", 6).alias("score"))
