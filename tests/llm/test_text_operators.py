@@ -45,7 +45,7 @@ def empty(spark):
 
 def clashing(documents):
     """Extra columns whose names are those of operators' own."""
-    return documents.select("doc_id", F.lit("x").alias("TEXT2"), "text", "lang", "source", "n_chars", *[F.lit(7).alias(c) for c in ("n_words", "fp", "score", "kept", "tokens", "rate", "copies", "posterior", "rank", "bucket", "nth", "head")])
+    return documents.select("doc_id", "text", F.lit("x").alias("TEXT"), F.lit(1).alias("DOC_ID"), "lang", "source", "n_chars", *[F.lit(7).alias(c) for c in ("n_words", "fp", "score", "kept", "tokens", "rate", "copies", "posterior", "rank", "bucket", "nth", "head")])
 
 
 def split(text):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.sources.shared import cut, narrowed, shared_folder, ship
 
-__all__ = ["bound_batches", "bounded_sample", "crc_mod", "cut", "map_arrow", "narrowed", "shared_folder", "ship"]
+__all__ = ["bound_batches", "bounded_sample", "crc_mod", "cut", "map_arrow", "narrowed", "places", "shared_folder", "ship", "take"]
 
 BATCH_BYTES = 8 << 20
 
@@ -47,3 +47,19 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     share = min(1.0, (n + 10 * n**0.5 + 10) / max(total, 1))
     place = F.shiftrightunsigned(F.xxhash64(key), 1)
     return rows.where(place <= min(int(share * 2.0**63), 2**63 - 1)).orderBy(place, key).limit(n)
+
+
+def places(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """``df`` with columns named by their places, these names by a column's own, and all of them in order.
+
+    Own names are looked up as they are written, or else in any case; of columns that share one the first counts.
+    """
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    found = {c.lower(): i for c, i in reversed(list(zip(df.columns, inner, strict=True)))}
+    return df.toDF(*inner), found | dict(reversed(list(zip(df.columns, inner, strict=True)))), inner
+
+
+def take(df: DataFrame, *names: str) -> DataFrame:
+    """Columns by name, whatever others there are."""
+    plain, place, _ = places(df)
+    return plain.select(*[F.col(place[n]).alias(n) for n in names])

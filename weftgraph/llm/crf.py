@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import crc_mod, map_arrow
+from weftgraph.llm.cluster import crc_mod, map_arrow, take
 from weftgraph.llm.mil import labelled
 from weftgraph.llm.words import LEAD, Words, slices
 
@@ -253,5 +253,5 @@ def with_tags(docs: DataFrame, model: Model, score: str = "score", spans: str =
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """doc_id, held_out, score, predicted and spans of each row of ``docs`` (doc_id, text)."""
     folds, held_out = how.get("folds", 4), how.get("held_out", 2)
-    tagged = with_tags(docs.select("doc_id", "text"), fit(docs, labels, **how)).drop("text")
+    tagged = with_tags(take(docs, "doc_id", "text"), fit(docs, labels, **how)).drop("text")
     return tagged.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import map_arrow, ship
+from weftgraph.llm.cluster import map_arrow, ship, take
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SIGNS = [a + b for a in ALPHABET for b in ALPHABET]
@@ -195,7 +195,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     it is the next one of the last row, so that no task has to see another's rows; the driver holds the ranges'
     bounds and first ids only.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, take(docs, "doc_id", "text")
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = -(1 << 63)
@@ -248,6 +248,6 @@ def neighbours(docs: DataFrame) -> DataFrame:
                         yield _compare(held, type_of)
                     held, size = ([], 0) if copied else ([held[-1]], len(text))
 
-    dealt = map_arrow(docs.select("doc_id", "text"), deal, f"bucket long, copied boolean, key long, doc_id {kind}, text string")
+    dealt = map_arrow(docs, deal, f"bucket long, copied boolean, key long, doc_id {kind}, text string")
     ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "copied", F.desc("key"), "text")
     return ordered.mapInArrow(walk, RESULT.replace("doc_id long", f"doc_id {kind}"))

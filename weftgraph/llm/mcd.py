@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import quality_stats
-from weftgraph.llm.cluster import cut, map_arrow, ship
+from weftgraph.llm.cluster import cut, map_arrow, places, ship, take
 from weftgraph.llm.words import slices
 
 STATS = quality_stats.NAMES
@@ -161,7 +161,7 @@ def verdicts(rows: DataFrame, models: DataFrame, confidence: float = 0.9999) ->
 
 def rules(docs: DataFrame, **how) -> DataFrame:
     """doc_id, lang, source, STATS, base_failed, distance2 and kept of every row of ``docs`` (doc_id, text, lang, source)."""
-    rows = cut(with_statistics(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    rows = cut(with_statistics(take(docs, "doc_id", "lang", "source", "text")).drop("text"))
     return verdicts(rows, fit(rows, **how))
 
 
@@ -170,9 +170,7 @@ def keep(docs: DataFrame, **how) -> DataFrame:
 
     The texts are read twice, once for the models and once for the verdicts, and never shuffled.
     """
-    inner = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*inner)
-    place = {c.lower(): inner[i] for i, c in reversed(list(enumerate(docs.columns)))}
+    plain, place, inner = places(docs)
     named = lambda *names: [F.col(place[n]).alias(n) for n in names]
     models = fit(cut(with_statistics(plain.select(*named("lang", "source", "text"))).drop("text")), **how)
     rest = [c for c in inner if c not in (place["lang"], place["source"], place["text"])]

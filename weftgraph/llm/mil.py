@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import bounded_sample, crc_mod, map_arrow
+from weftgraph.llm.cluster import bounded_sample, crc_mod, map_arrow, places, take
 from weftgraph.llm.words import LEAD, Words, codes_of, slices
 
 PASSAGE = 64
@@ -138,10 +138,11 @@ def train(features: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int =
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, folds: int, held_out: int) -> DataFrame:
     """doc_id, text and y of the ``sample`` labelled rows outside the held-out fold with the smallest hashed doc_id."""
+    docs, labels = take(docs, "doc_id", "text"), take(labels, "doc_id", label)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
     known = known.select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = bounded_sample(known, "doc_id", sample)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
+    return docs.join(F.broadcast(known), "doc_id")  # at most ``sample`` rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000, folds: int = 5, held_out: int = 0) -> Model:
@@ -173,15 +174,13 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", column: str =
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text)."""
     folds, held_out = how.get("folds", 5), how.get("held_out", 0)
-    scored = with_score(docs.select("doc_id", "text"), fit(docs, labels, **how)).drop("text")
+    scored = with_score(take(docs, "doc_id", "text"), fit(docs, labels, **how)).drop("text")
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
     """The rows of ``docs`` scored at ``threshold`` or more, with their own columns."""
-    inner = [f"c{i}" for i in range(len(docs.columns))]
-    place = {c.lower(): inner[i] for i, c in reversed(list(enumerate(docs.columns)))}
-    plain = docs.toDF(*inner)
+    plain, place, inner = places(docs)
     model = fit(plain.select(F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text")), labels, **how)
     kept = with_score(plain, model, column=place["text"]).where(F.col("score") >= threshold)
     return kept.select(*[F.col(c).alias(o) for c, o in zip(inner, docs.columns, strict=True)])

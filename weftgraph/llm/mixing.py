@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import bounded_sample, cut, map_arrow
+from weftgraph.llm.cluster import bounded_sample, cut, map_arrow, places, take
 from weftgraph.llm.mil import CLASS, N_CLASSES
 from weftgraph.llm.words import Words, slices
 
@@ -96,6 +96,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, domains: lis
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = 4000) -> Classifier:
     """A classifier of ``labels`` (doc_id, domain) over the domains of ``targets`` that have a labelled document."""
+    docs, labels = take(docs, "doc_id", "text"), take(labels, "doc_id", "domain")
     known = labels.where(F.col("domain").isin(list(targets)) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = bounded_sample(known, "doc_id", sample)
 
@@ -109,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: i
             values = [v[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["domain"], pa.array(held, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "domain", "columns", "values"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "domain", "text")  # ``sample`` rows at most
+    joined = docs.join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "domain", "text")  # ``sample`` rows at most
     found = map_arrow(joined, run, "doc_id string, domain string, columns binary, values binary").toArrow().sort_by([("doc_id", "ascending"), ("columns", "ascending")]).to_pydict()
     domains = [d for d in targets if d in set(found["domain"])] or list(targets)
     rows = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for c, v in zip(found["columns"], found["values"], strict=True)]
@@ -211,7 +212,7 @@ def copies(rate, doc_id):
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = 4000) -> DataFrame:
     """doc_id, tokens, domain (the likeliest), posterior, rate and copies of each row of ``docs`` (doc_id, text)."""
     model = fit(docs, labels, targets, sample)
-    rows = cut(with_posteriors(docs.select("doc_id", "text"), model).drop("text"))
+    rows = cut(with_posteriors(take(docs, "doc_id", "text"), model).drop("text"))
     rates, _, _ = _rates(rows, model, targets)
     best = F.element_at(F.array(*[F.lit(d) for d in model.domains]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
     return with_rates(rows, rates, len(model.domains)).select("doc_id", "tokens", best.alias("domain"), "posterior", "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
@@ -224,9 +225,7 @@ def _rates(rows: DataFrame, model: Classifier, targets: dict[str, float]) -> tup
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = 4000) -> DataFrame:
     """Each row of ``docs`` as many times as its rate says, with its own columns; the texts aren't shuffled."""
-    inner = [f"c{i}" for i in range(len(docs.columns))]
-    place = {c.lower(): inner[i] for i, c in reversed(list(enumerate(docs.columns)))}
-    plain = docs.toDF(*inner)
+    plain, place, inner = places(docs)
     model = fit(plain.select(F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text")), labels, targets, sample)
     texts = plain.select(F.col(place["text"]).alias("text"))
     rates, _, _ = _rates(cut(with_posteriors(texts, model).drop("text")), model, targets)
@@ -237,4 +236,4 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], samp
 
 def quality_domains(labels: DataFrame) -> DataFrame:
     """doc_id and a domain such as "quality 1, toxic 0" of rows that have both labels."""
-    return labels.where("quality is not null and toxic is not null").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string")).alias("domain"))
+    return take(labels, "doc_id", "quality", "toxic").where("quality is not null and toxic is not null").select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit(", toxic "), F.col("toxic").cast("string")).alias("domain"))

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.cluster import take
+
 ROLE = "assistant"
 TURNS = "array<struct<role: string, text: string>>"
 
@@ -56,7 +58,7 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     """pair_id, n_prefix_turns, prompt, and completion and mask of chosen and rejected, for ``pairs`` (pair_id, chosen,
     rejected: TURNS)."""
     turns = lambda c: F.coalesce(F.col(c), F.array().cast(TURNS)).alias(c)
-    rows = pairs.select("pair_id", turns("chosen"), turns("rejected")).withColumn("n_prefix_turns", common_prefix(F.col("chosen"), F.col("rejected")))
+    rows = take(pairs, "pair_id", "chosen", "rejected").select("pair_id", turns("chosen"), turns("rejected")).withColumn("n_prefix_turns", common_prefix(F.col("chosen"), F.col("rejected")))
     rest = lambda c: F.slice(F.col(c), F.col("n_prefix_turns").cast("int") + 1, F.size(c))
     rows = rows.select("pair_id", "n_prefix_turns", F.slice("chosen", F.lit(1), F.col("n_prefix_turns").cast("int")).alias("prefix"), rest("chosen").alias("chosen"), rest("rejected").alias("rejected"))
     return rows.select("pair_id", "n_prefix_turns", render(F.col("prefix")).alias("prompt"), render(F.col("chosen")).alias("chosen"), mask(F.col("chosen")).alias("chosen_mask"), render(F.col("rejected")).alias("rejected"), mask(F.col("rejected")).alias("rejected_mask"))
@@ -64,12 +66,14 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id and the ordered turns of each conversation of ``turns`` (conv_id, turn, role, text)."""
+    turns = take(turns, "conv_id", "turn", "role", "text")
     return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
 def swapped_answers(turns: DataFrame) -> DataFrame:
     """Pairs from conversations that have no rejected side: chosen is a conversation up to its last answer, rejected
     the same with the last answer of the conversation of the next conv_id in place of its own, or none."""
+    turns = take(turns, "conv_id", "turn", "role", "text")
     held = conversations(turns)
     at = F.coalesce(F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == ROLE, i + 1))), F.lit(0))
     donors = turns.where(F.col("role") == ROLE).groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(F.max(F.struct("turn", "text")).alias("answer"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import crf, ctph, html_text, mcd, mil, mixing, packing, preference, simhash, warc
+from weftgraph.llm.cluster import take
 
 #: Token weights of the mixture by domain.
 TARGETS = {"quality 1, toxic 0": 0.93, "quality 0, toxic 0": 0.04, "quality 1, toxic 1": 0.03}
@@ -84,7 +85,7 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html_text.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = html_text.with_main_text(take(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
     return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

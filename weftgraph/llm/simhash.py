@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import cut, map_arrow
+from weftgraph.llm.cluster import cut, map_arrow, places, take
 from weftgraph.llm.components import components
 from weftgraph.llm.words import Words, slices
 
@@ -111,17 +111,16 @@ def classes(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id of each row of ``docs`` (doc_id, text)."""
-    fps = cut(with_fingerprint(docs.select("doc_id", "text")).drop("text"))
+    fps = cut(with_fingerprint(take(docs, "doc_id", "text")).drop("text"))
     return fps.join(classes(fps).drop("head"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest doc_id, and of rows that share it the one of the
     smallest fingerprint and text."""
-    inner = [f"c{i}" for i in range(len(docs.columns))]
-    place = {c.lower(): inner[i] for i, c in reversed(list(enumerate(docs.columns)))}
-    plain = with_fingerprint(docs.toDF(*inner), "fp", place["text"])
-    fps = cut(with_fingerprint(docs.toDF(*inner).select(F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text"))).drop("text"))
+    plain, place, inner = places(docs)
+    plain = with_fingerprint(plain, "fp", place["text"])
+    fps = cut(with_fingerprint(take(docs, "doc_id", "text")).drop("text"))
     heads = classes(fps).where("fp = head").select(F.col("fp").alias("head"), "component_id")
     kept = plain.join(heads, (F.col("fp") == F.col("head")) & F.col(place["doc_id"]).eqNullSafe(F.col("component_id")))
     order = Window.partitionBy("fp", place["doc_id"]).orderBy(place["text"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import map_arrow
+from weftgraph.llm.cluster import map_arrow, take
 from weftgraph.llm.html_text import INLINE, VOID
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -177,7 +177,8 @@ def responses(pages: DataFrame) -> DataFrame:
             rows = batch.slice(at, 64)
             yield _batch([response(u, h, str(i)) for i, u, h in zip(*(rows.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)], {"page_id": rows.column("page_id")})
 
-    return map_arrow(pages.select("page_id", "url", "html"), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {RECORD}")
+    pages = take(pages, "page_id", "url", "html")
+    return map_arrow(pages, run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {RECORD}")
 
 
 def from_files(paths: DataFrame) -> DataFrame:
