@@ -235,3 +235,18 @@ def test_checks(edges):
     row = P.check_ids(edges, 4).first()
     assert (row.n_rows, row.negative, row.too_large, row.missing) == (8, 0, 2, 0)
     json.dumps(row.asDict())
+
+
+def test_event_counts_and_scores(spark, sf_dir, tmp_path):
+    from weftgraph.streaming.degrees import event_counts
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = event_counts(events)
+    assert rows.agg(F.sum("n")).first()[0] == events.count()
+    files.write_scores(rows, str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s")).columns == ["day", "event_type", "n", "total"]
+
+
+def test_relation_corruption_changes_the_relation(spark, edges):
+    rows = N.relation_negatives(N.batches(N.shuffle_edges(edges), 5), 3, 4).collect()
+    assert len(rows) == 3 * len(EDGES) and all(r.corrupted != r.rel and 0 <= r.corrupted < 4 for r in rows)
