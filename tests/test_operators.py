@@ -126,6 +126,17 @@ def test_filtered_ranks_equal_brute_force(spark, edges, decoder):
     assert {r.edge_id: r.rank for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("decoder", ["distmult", "complex", "transe", "dot"])
+def test_candidate_scores_by_matrix_and_by_join(spark, edges, decoder):
+    rng = np.random.default_rng(5)
+    nodes = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(6) if i != 4], "id long, emb array<double>")
+    rels = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(2)], "rel int, vec array<double>")
+    rows = edges.select("edge_id", "src", "rel", F.col("dst").alias("node"))
+    rows = rows.unionByName(spark.createDataFrame([(90, 0, 7, 1), (91, 99, 0, 1), (92, 0, 0, None)], rows.schema))
+    by = [{r.edge_id: round(r.score, 9) for r in S.score_candidates(rows, nodes, rels, decoder, small).collect()} for small in (1 << 20, 0)]
+    assert by[0] == by[1] and sorted(by[0]) == [i for i, e in enumerate(EDGES) if 4 not in e]
+
+
 def test_ties_count_against_the_positive(spark):
     df = spark.createDataFrame([(1.0, [1.0, 2.0, 0.5])], "pos double, neg array<double>")
     assert df.select(S.rank(F.col("pos"), F.col("neg")).alias("r")).first().r == 3

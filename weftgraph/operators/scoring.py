@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +64,58 @@ def score_positives(edges: DataFrame, emb: DataFrame, rels: DataFrame, decoder:
     return out.drop("src_emb", "dst_emb", "rel_vec", "inv_vec")
 
 
-def score_candidates(rows: DataFrame, emb: DataFrame, rels: DataFrame, decoder: str = "distmult") -> DataFrame:
-    """``rows`` (src, rel, node, ...) with score of (src, rel, node)."""
-    known = with_relation(rows.join(emb.select(F.col("id").alias("src"), F.col("emb").alias("_src")), "src"), rels, "_rel")
-    known = known.join(emb.select(F.col("id").alias("node"), F.col("emb").alias("_node")), "node")
-    return known.withColumn("score", decoder_score(decoder, F.col("_src"), F.col("_rel"), F.col("_node"), positive=False)).drop("_src", "_rel", "_node")
+def score_candidates(rows: DataFrame, emb: DataFrame, rels: DataFrame, decoder: str = "distmult", small: int = 64 << 20) -> DataFrame:
+    """``rows`` (src, rel, node, ...) with score of (src, rel, node); rows without a vector for one of these are left out.
+
+    If the vectors of all nodes take ``small`` bytes at most, tasks get them as a matrix and rows stay narrow. Else
+    vectors are joined; a source's meets its relation's once for each distinct pair, not for each candidate.
+    """
+    operate, _, candidate, _ = DECODERS[decoder]
+    size = emb.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.size("emb")).alias("dim")).first()
+    if size["n"] and size["first"] >= 0 and 8 * (size["last"] + 1) * size["dim"] <= small:
+        return _score_by_matrix(rows, emb, rels, decoder)
+    pairs = with_relation(rows.select("src", "rel").distinct().join(emb.select(F.col("id").alias("src"), F.col("emb").alias("_src")), "src"), rels, "_rel")
+    queries = pairs.select("src", "rel", operate(F.col("_src"), F.col("_rel")).alias("_query"))
+    known = rows.join(queries, ["src", "rel"]).join(emb.select(F.col("id").alias("node"), F.col("emb").alias("_node")), "node")
+    return known.withColumn("score", candidate(F.col("_query"), F.col("_node"))).select(*rows.columns, "score")
+
+
+def _matrix(table: DataFrame, key: str, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors by id, and which ids have one."""
+    held = table.select(key, column).toArrow()
+    ids = held[key].to_numpy()
+    values = np.zeros((int(ids.max(initial=-1)) + 1, len(held[column][0]) if len(held) else 0))
+    values[ids] = np.array(held[column].to_pylist()).reshape(len(ids), -1)
+    there = np.zeros(len(values), bool)
+    there[ids] = True
+    return values, there
+
+
+def _score_by_matrix(rows: DataFrame, emb: DataFrame, rels: DataFrame, decoder: str) -> DataFrame:
+    context = rows.sparkSession.sparkContext
+    nodes, relations = context.broadcast(_matrix(emb, "id", "emb")), context.broadcast(_matrix(rels, "rel", "vec"))
+    names = rows.columns
+
+    def known(ids: np.ndarray, there: np.ndarray) -> np.ndarray:
+        inside = (ids >= 0) & (ids < len(there))
+        return inside & there[np.where(inside, ids, 0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (e, has), (r, has_rel) = nodes.value, relations.value
+        for batch in batches:
+            src, rel, node = (np.asarray(batch[c].fill_null(-1)).astype(np.int64) for c in ("src", "rel", "node"))
+            kept = known(src, has) & known(node, has) & known(rel, has_rel)
+            a, b, c = e[src[kept]], r[rel[kept]], e[node[kept]]
+            if decoder == "complex":
+                half = a.shape[1] // 2
+                a = np.concatenate([a[:, :half] * b[:, :half] - a[:, half:] * b[:, half:], a[:, :half] * b[:, half:] + a[:, half:] * b[:, :half]], 1)
+            elif decoder != "dot":
+                a = a + b if decoder == "transe" else a * b
+            scores = np.sqrt(np.maximum(((a - c) ** 2).sum(1), 1e-8)) if decoder == "transe" else np.einsum("nd,nd->n", a, c)
+            own = batch.filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores)], names=[*names, "score"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "score double"]))
 
 
 def select_hard(scored: DataFrame, n: int, ratio: float, by: list[str], tournament: bool = True) -> DataFrame:
@@ -133,9 +181,8 @@ def filtered_ranks(edges: DataFrame, emb: DataFrame, rels: DataFrame, known: Dat
 
     beaten = keyed_edges.groupBy("rows", "block").cogroup(keyed_nodes.groupBy("rows", "block")).applyInPandas(count, "edge_id long, beaten long").groupBy("edge_id").agg(F.sum("beaten").alias("beaten"))
     facts = known.select("src", "rel", F.col("dst").alias("node")).distinct()
-    listed = queries.select("edge_id", "src", "rel", "query", "score").join(facts, ["src", "rel"]).join(emb.select(F.col("id").alias("node"), "emb"), "node")
-    compare = V.distance if distance else V.dot
-    dropped = listed.where(F.round(compare(F.col("query"), F.col("emb")), places) >= F.col("score")).groupBy("edge_id").agg(F.count(F.lit(1)).alias("dropped"))
+    listed = queries.select("edge_id", "src", "rel", F.col("score").alias("_own")).join(facts, ["src", "rel"])
+    dropped = score_candidates(listed, emb, rels, decoder).where(F.round("score", places) >= F.col("_own")).groupBy("edge_id").agg(F.count(F.lit(1)).alias("dropped"))
     out = queries.join(beaten, "edge_id").join(dropped, "edge_id", "left")
     return out.select("edge_id", "src", "rel", "dst", "score", (1 + F.col("beaten") - F.coalesce("dropped", F.lit(0))).alias("rank"))
 

@@ -252,10 +252,11 @@ def link_prediction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CAND}, {VECTORS}, sc AS (SELECT batch, row, edge_id, round(list_dot_product(a.emb, b.emb), 6) AS neg FROM cand JOIN emb a ON src = a.id JOIN emb b ON node = b.id), ps AS (SELECT edge_id, round(list_dot_product(a.emb, b.emb), 6) AS pos FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id) SELECT edge_id, 1 + CAST(sum((neg >= pos)::INT) AS BIGINT) AS rank FROM sc JOIN ps USING (edge_id) GROUP BY edge_id")
 def a14_sampled_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unfiltered ranks among the negatives of the edge's chunk."""
-    emb = vectors(spark, sf_dir)
-    rows = candidates(spark, sf_dir).join(emb.select(F.col("id").alias("src"), F.col("emb").alias("s")), "src").join(emb.select(F.col("id").alias("node"), F.col("emb").alias("n")), "node").join(emb.select(F.col("id").alias("dst"), F.col("emb").alias("d")), "dst")
-    scored = rows.select("edge_id", F.round(V.dot(F.col("s"), F.col("n")), 6).alias("neg"), F.round(V.dot(F.col("s"), F.col("d")), 6).alias("pos"))
-    return scored.groupBy("edge_id").agg((1 + F.sum(F.when(F.col("neg") >= F.col("pos"), 1).otherwise(0))).cast("long").alias("rank"))
+    emb, rels = vectors(spark, sf_dir), relation_vectors(spark)
+    neg = S.score_candidates(candidates(spark, sf_dir).select("edge_id", "src", "rel", "node"), emb, rels, "dot").select("edge_id", F.round("score", 6).alias("neg"))
+    edges = edges_with_ids(spark, sf_dir).withColumnRenamed("dst", "node")
+    pos = S.score_candidates(edges, emb, rels, "dot").select("edge_id", F.round("score", 6).alias("pos"))
+    return neg.join(pos, "edge_id").groupBy("edge_id").agg((1 + F.sum(F.when(F.col("neg") >= F.col("pos"), 1).otherwise(0))).cast("long").alias("rank"))
 
 
 @query(f"WITH {BUCKETS} SELECT part, CAST(sum(n) AS BIGINT) AS hotness FROM (SELECT src_part AS part, 1 AS n FROM bucketed UNION ALL SELECT dst_part, 1 FROM bucketed WHERE src_part <> dst_part) GROUP BY part")
@@ -390,9 +391,9 @@ SCORED_CAND = f"{CAND}, {VECTORS}, sc AS (SELECT batch, row, slot, node, round(l
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = vectors(spark, sf_dir)
-    rows = candidates(spark, sf_dir).join(emb.select(F.col("id").alias("src"), F.col("emb").alias("s")), "src").join(emb.select(F.col("id").alias("node"), F.col("emb").alias("n")), "node")
-    return rows.select("batch", "row", "slot", "node", F.round(V.dot(F.col("s"), F.col("n")), 6).alias("score"))
+    """Candidates by the dot product with their source."""
+    rows = S.score_candidates(candidates(spark, sf_dir), vectors(spark, sf_dir), relation_vectors(spark), "dot")
+    return rows.select("batch", "row", "slot", "node", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SCORED_CAND} SELECT batch, row, slot, node, score FROM sc QUALIFY row_number() OVER (PARTITION BY batch, row ORDER BY score DESC, slot) <= 5")
