@@ -103,7 +103,7 @@ def classes(fps: DataFrame) -> DataFrame:
     component_id: the smallest doc_id reachable over links; head: the smallest fingerprint that this doc_id has.
     """
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(cut(pairs(nodes.select("fp")))).withColumnRenamed("node", "fp")
+    roots = components(pairs(nodes.select("fp"))).withColumnRenamed("node", "fp")
     placed = cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     heads = cut(placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("x")).select("root", F.col("x.first").alias("component_id"), F.col("x.fp").alias("head")))
     return cut(placed.join(heads, "root").select("fp", "component_id", "head"))
