@@ -45,14 +45,15 @@ LATIN[0xC3:0xC6] = True
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, kept_words: int | None = None) -> Encoder:
+    return Encoder(path, kept_words)
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer file, with the ids of words met before."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_words: int | None = None) -> None:
+        self.kept_words = kept_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -88,7 +89,7 @@ class Encoder:
         words.split(seams(words))
         codes, known = words.encoded()
         names = known.to_pylist()
-        if len(self.place) > KEPT_WORDS:
+        if len(self.place) > (self.kept_words or KEPT_WORDS):
             self.clear()
         get = self.place.get
         found = [get(w, -1) for w in names]
@@ -115,12 +116,12 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[words.bounds].astype(np.int64)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, kept_words: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of ``docs`` (doc_id, text)."""
 
     def run(batch: pa.RecordBatch):
         for rows, texts in slices(batch):
-            ids, bounds = encoder(tokenizer).encode(texts)
+            ids, bounds = encoder(tokenizer, kept_words).encode(texts)
             ids = ids.astype("<u4", copy=False)
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -236,9 +237,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with their sequence_id and offset, and their ids if wanted."""
-    rows = cut(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, with_ids))
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, kept_words: int | None = None) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) with their sequence_id and offset, and their ids if wanted.
+
+    ``kept_words``: parts of words whose ids a worker keeps; fewer take less memory and more time.
+    """
+    rows = cut(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, with_ids, kept_words))
     return place(rows, capacity)
 
 
