@@ -14,6 +14,8 @@ from weftgraph.llm.cluster import shared_folder
 
 #: Token weights of the mixture by domain; low quality is gone by then.
 TARGETS = {"quality 1, toxic 0": 0.97, "quality 1, toxic 1": 0.03}
+#: Ids that a worker keeps while packing: few, since workers also serve the other stages.
+KEPT_WORDS = 100_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, kept_words=KEPT_WORDS)
 
 
 STAGES = [("quality classifier", quality_classifier), ("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("mixing", mixture), ("best-fit packing", packing_stage)]
