@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import crf, ctph, mcd, mil, mixing, packing, quality_stats, simhash, words
+from weftgraph.llm import crf, ctph, mcd, mil, mixing, packing, quality_stats, queries, simhash, words
 from weftgraph.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -326,6 +326,18 @@ def test_mixture_meets_targets(spark):
     assert np.allclose(rates(p), np.maximum(0, 1 + p @ z), atol=5e-3)
 
 
+def test_every_labelled_domain_has_a_target(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = mixing.quality_domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    assert {r.domain for r in labels.select("domain").distinct().collect()} == set(queries.TARGETS)
+    rows = mixing.mix(docs, labels, queries.TARGETS).join(labels.withColumnRenamed("domain", "told"), "doc_id").collect()
+    unwanted = [r for r in rows if r.told == "quality 0, toxic 1"]
+    assert all(len(r.posterior) == 4 for r in rows) and sum(r.domain == r.told for r in unwanted) > len(unwanted) / 2
+    share = lambda held: sum(r.tokens * r.rate for r in held) / sum(r.tokens for r in held)
+    assert share(unwanted) < 0.2 * share(rows)
+
+
 def test_mixing_on_odd_documents(spark, documents, empty):
     labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(50)] + [(None, "a"), (4, None)], "doc_id long, domain string")
     targets = {"a": 0.5, "b": 0.3, "never seen": 0.2}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import crf, ctph, html_text, mcd, mil, mixing, packing, preference, simhash, warc
 from weftgraph.llm.cluster import take
 
-#: Token weights of the mixture by domain.
-TARGETS = {"quality 1, toxic 0": 0.93, "quality 0, toxic 0": 0.04, "quality 1, toxic 1": 0.03}
+#: Token weights of the mixture, for each domain of the labels table; nothing is wanted of the last one.
+TARGETS = {"quality 1, toxic 0": 0.93, "quality 0, toxic 0": 0.04, "quality 1, toxic 1": 0.03, "quality 0, toxic 1": 0.0}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
