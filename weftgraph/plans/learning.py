@@ -178,13 +178,13 @@ def e4_gcn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e5_gat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, attend = init("glorot_uniform", (2, 4, 3), 1), init("glorot_uniform", (2, 2, 3), 2)
-    return _unfold(E.gat(folded(spark, sf_dir), first_four(spark, sf_dir), weights, attend))
+    weights, attend = init("glorot_uniform", (2, 64, 3), 1), init("glorot_uniform", (2, 2, 3), 2)
+    return _unfold(E.gat(folded(spark, sf_dir), vectors(spark, sf_dir), weights, attend))
 
 
 @query()
 def e6_rgcn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.rgcn(folded(spark, sf_dir), first_four(spark, sf_dir), init("glorot_uniform", (3, 4, 2), 3), init("glorot_uniform", (4, 2), 4)))
+    return _unfold(E.rgcn(folded(spark, sf_dir), vectors(spark, sf_dir), init("glorot_uniform", (3, 64, 2), 3), init("glorot_uniform", (64, 2), 4)))
 
 
 @query(f"WITH {VECTORS} SELECT id, i, round(CASE WHEN i <= 4 THEN emb[i] ELSE emb[i + 4] END, 6) AS x FROM emb, range(1, 9) t(i)")
@@ -201,9 +201,9 @@ def e8_bias_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def e9_staged_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two aggregations and a linear layer."""
-    weights = init("glorot_uniform", (4, 2), 5)
+    weights = init("glorot_uniform", (64, 2), 5)
     stages = [E.sage_gcn, E.gcn, lambda _, emb: E.linear(emb.select("id", F.col("emb").alias("vec")), weights)]
-    return _unfold(E.encode(folded(spark, sf_dir), first_four(spark, sf_dir), stages).select("id", F.col("emb").alias("vec")))
+    return _unfold(E.encode(folded(spark, sf_dir), vectors(spark, sf_dir), stages).select("id", F.col("emb").alias("vec")))
 
 
 @query(f"WITH {VECTORS} SELECT id, CAST(list_position(emb[1:10], list_max(emb[1:10])) - 1 AS INTEGER) AS predicted FROM emb")
