@@ -296,6 +296,42 @@ def test_beliefs_equal_enumeration():
     assert np.allclose(toxic, expected) and np.allclose(clean, chances) and np.allclose(moved, transitions)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_a_text_is_one_chain(monkeypatch, window):
+    monkeypatch.setattr(crf, "WINDOW", window)
+    test_beliefs_equal_enumeration_by_text()
+
+
+def test_beliefs_equal_enumeration_by_text():
+    rng = np.random.default_rng(4)
+    counts = np.array([7, 0, 4, 1, 6])
+    e, move = rng.normal(size=18) * 3, rng.normal(size=(2, 2))
+    chains = crf.Chains(counts)
+    toxic, clean, moved = crf.beliefs(e, chains, move)
+    by_text = np.array([clean[a:b].sum() for a, b in zip(chains.bounds, chains.bounds[1:])])
+    at, transitions = 0, np.zeros((2, 2))
+    for n, chance in zip(counts.tolist(), by_text):
+        weights = {tags: math.exp(sum(e[at + i] * t for i, t in enumerate(tags)) + sum(move[a, b] for a, b in zip((0, *tags), tags))) for tags in itertools.product((0, 1), repeat=n)}
+        z = sum(weights.values())
+        assert np.allclose(toxic[at : at + n], [sum(w for t, w in weights.items() if t[i]) / z for i in range(n)])
+        assert np.isclose(chance, math.log(weights[(0,) * n] / z))
+        for tags, w in weights.items():
+            for a, b in zip((0, *tags), tags):
+                transitions[a, b] += w / z
+        at += n
+    assert np.allclose(moved, transitions)
+
+
+def test_long_texts_have_no_seams(monkeypatch):
+    rng = np.random.default_rng(5)
+    counts = np.array([1000, 64, 65, 300, 0, 128])
+    e, move = rng.normal(size=counts.sum()) * 8 - 4, np.array([[0.0, -3.0], [-3.0, 3.0]])
+    toxic, clean, moved = crf.beliefs(e, crf.Chains(counts), move)
+    monkeypatch.setattr(crf, "WINDOW", 1000)
+    whole = crf.beliefs(e, crf.Chains(counts), move)
+    assert np.allclose(toxic, whole[0]) and np.isclose(clean.sum(), whole[1].sum()) and np.allclose(moved, whole[2])
+
+
 def test_spans_name_the_words(spark):
     rows = [(f"é you are a friend, all is fine here {i} today", 0.0) for i in range(30)] + [(f"é you are a filth{i % 4}y filth, today", 1.0) for i in range(30)]
     model = crf.train(rows)

@@ -2,7 +2,8 @@
 
 Two states, clean and toxic; a word's potential in the toxic state is the sum of weights of its features (the word
 in lower case without outer punctuation, its prefixes of 2 to 9 characters and its last three characters), beside
-four transition potentials. Chains are windows of 64 words of one text, which together cover the whole text.
+four transition potentials. A text is one chain; it is worked on in windows of 64 words at once, whose products of
+transfer matrices carry the messages from window to window.
 
 Training needs labelled tokens, and the labels table has labelled documents only. Tokens get theirs from these: a
 word of a document labelled toxic is a toxic token if one of its features is at least ``PRECISE`` in favour of
@@ -61,7 +62,8 @@ def features(word: str) -> list[int]:
 
 
 class Chains:
-    """Words of some texts laid out as columns of windows: ``place`` is each word's (step, window)."""
+    """Words of some texts laid out as columns of windows: each word's ``step`` and ``column``, and whether it begins a
+    text. ``linked`` are the windows that go on with the one before, by their place in the text in ``following``."""
 
     def __init__(self, counts: np.ndarray) -> None:
         self.n_windows = -(-counts // WINDOW)
@@ -71,7 +73,14 @@ class Chains:
         within = np.arange(total) - np.repeat(first, counts)
         self.column = np.repeat(self.bounds[:-1], counts) + within // WINDOW
         self.step = within % WINDOW
+        self.first = within == 0
         self.length = np.bincount(self.column, minlength=int(self.bounds[-1]))
+        by_size = np.argsort(-self.n_windows, kind="stable")
+        starts, sizes = self.bounds[:-1][by_size], self.n_windows[by_size]
+        held = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=1))), side="left")
+        self.following = [starts[:n] + k for k, n in enumerate(held.tolist(), 1)]
+        self.linked = np.concatenate(self.following) if self.following else np.zeros(0, np.int64)
+        self.joined = np.unique(np.concatenate([self.linked, self.linked - 1]))
 
     def grid(self, values: np.ndarray, fill: float) -> np.ndarray:
         out = np.full((min(WINDOW, int(self.length.max(initial=1))), int(self.bounds[-1])), fill)
@@ -79,20 +88,53 @@ class Chains:
         return out
 
 
+def seams(e: np.ndarray, chains: Chains, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forward message into each window and the backward message at its last word.
+
+    A window's potentials make a matrix of two by two, from the state before it to that of its last word; the
+    messages pass a whole window at a step.
+    """
+    n = e.shape[1]
+    before, after = np.zeros(n), np.ones(n)
+    if not len(chains.linked):
+        return before, after
+    at = chains.joined
+    length, held = chains.length[at], e[:, at]
+    clean, toxic = np.zeros((2, len(at))), np.zeros((2, len(at)))  # by the state before the window
+    clean[0], toxic[1] = 1.0, 1.0
+    for t in range(len(e)):
+        inside = length > t
+        clean, toxic = np.where(inside, m[0, 0] * clean + m[1, 0] * toxic, clean), np.where(inside, held[t] * (m[0, 1] * clean + m[1, 1] * toxic), toxic)
+        if t % 4 == 3:
+            scale = 1 / (clean + toxic).max(0)
+            clean, toxic = clean * scale, toxic * scale
+    place = np.zeros(n, np.int64)
+    place[at] = np.arange(len(at))
+    for columns in chains.following:
+        last, x = place[columns - 1], before[columns - 1]
+        before[columns] = (toxic[0, last] + toxic[1, last] * x) / (clean[0, last] + clean[1, last] * x)
+    for columns in reversed(chains.following):
+        own, x = place[columns], after[columns]
+        after[columns - 1] = (clean[1, own] + toxic[1, own] * x) / (clean[0, own] + toxic[0, own] * x)
+    return before, after
+
+
 def beliefs(emission: np.ndarray, chains: Chains, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of the toxic state by word; log chance by window that no word is toxic; expected transitions (2, 2).
 
-    ``emission`` is each word's potential in the toxic state, ``move`` the log potentials of transitions; a window
+    ``emission`` is each word's potential in the toxic state, ``move`` the log potentials of transitions; a text
     starts as if after a clean word. Messages are odds of the two states.
     """
     e = chains.grid(np.exp(np.clip(emission, -30, 30)), 1.0)
     m = np.exp(move)
     steps, n = e.shape
-    backward, clean = np.ones((steps, n)), np.empty((steps, n))
+    before, after = seams(e, chains, m)
+    backward, clean = np.empty((steps, n)), np.empty((steps, n))
+    backward[-1] = after
     for t in range(steps - 2, -1, -1):
         x = e[t + 1] * backward[t + 1]
-        backward[t] = np.where(chains.length > t + 1, (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x), 1.0)
-    forward, before = np.empty((steps, n)), np.zeros(n)
+        backward[t] = np.where(chains.length > t + 1, (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x), after)
+    forward = np.empty((steps, n))
     for t in range(steps):
         before = e[t] * (m[0, 1] + before * m[1, 1]) / (m[0, 0] + before * m[1, 0])
         forward[t] = before
@@ -102,6 +144,7 @@ def beliefs(emission: np.ndarray, chains: Chains, move: np.ndarray) -> tuple[np.
     toxic = np.where(inside, odds / (1 + odds), 0.0)
     # Expected transitions: into each word from its predecessor, the clean start included.
     out_of = np.vstack([np.zeros((1, n)), toxic[:-1]])
+    out_of[0, chains.linked] = toxic[-1, chains.linked - 1]
     stay = np.where(inside, m[1, 1] * e * backward / (m[1, 0] + m[1, 1] * e * backward), 0.0)
     both = (out_of * stay)[inside].sum()
     into, outgoing, total = toxic[inside].sum(), out_of[inside].sum(), inside.sum()
@@ -213,7 +256,7 @@ def train(rows: Iterable[tuple[str, float]], rounds: int = 25, refits: int = 40,
             if turn < rounds:  # log likelihood of the labelled tokens
                 label = told.astype(float)
                 error = label - toxic
-                before = np.where(chains.step > 0, np.concatenate([[0.0], label[:-1]]), 0.0)
+                before = np.where(chains.first, 0.0, np.concatenate([[0.0], label[:-1]]))
                 moved += np.array([[((1 - before) * (1 - label)).sum(), ((1 - before) * label).sum()], [(before * (1 - label)).sum(), (before * label).sum()]]) - transitions
             else:  # log likelihood of the documents' labels
                 none = np.add.reduceat(clean, chains.bounds[:-1])
