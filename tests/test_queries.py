@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from weftgraph.functions.optim import init
-from weftgraph.plans import registry
+from weftgraph.operators import schedule
+from weftgraph.plans import analysis, registry
 from weftgraph.sources.graphs import folded, vectors
 
 
@@ -43,6 +44,12 @@ def test_optimized_cover_is_no_worse(spark, sf_dir):
     assert [r.after for r in rows] <= [r.before for r in rows]
 
 
+def test_optimized_cover_has_four_lanes(spark, sf_dir):
+    sizes = analysis._sizes(spark, sf_dir, 16)
+    rows = registry.QUERIES["k6_optimized_cover"](spark, sf_dir).collect()
+    assert [r.before for r in rows] == list(schedule.score(range(16), schedule.cover(16), sizes, 16, 4, 1000))
+
+
 def test_layers_take_whole_vectors(spark, sf_dir):
     emb = {r.id: np.array(r.emb) for r in vectors(spark, sf_dir).select("id", "emb").collect()}
     edges = [(r.src, r.rel, r.dst) for r in folded(spark, sf_dir).collect()]

@@ -62,10 +62,10 @@ def k5_random_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k6_optimized_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of the cover of eight partitions before and after its partitions are dealt anew."""
-    sizes = _sizes(spark, sf_dir, 8)
-    before = K.score(range(8), K.cover(8), sizes, 8, 2, 1000)
-    _, after = K.optimize(sizes, 8, lanes=2, batch=1000)
+    """Score of the cover of 16 partitions in four lanes before and after its partitions are dealt anew."""
+    sizes = _sizes(spark, sf_dir, 16)
+    before = K.score(range(16), K.cover(16), sizes, 16, 4, 1000)
+    _, after = K.optimize(sizes, 16, lanes=4, batch=1000)
     names = ["worst_round_spread", "worst_batch_spread", "worst_state_weight", "total_round_spread", "admitted_hotness", "admitted", "deviation"]
     return spark.createDataFrame([(n, int(a), int(b)) for n, a, b in zip(names, before, after, strict=True)], "measure string, before long, after long")
 
