@@ -104,6 +104,22 @@ def test_robust_estimate_withstands_a_hot_group_of_junk(spark):
     assert all(r.kept == (r.doc_id < 600) for r in verdicts)
 
 
+def test_small_sources_have_estimates_of_their_own(spark):
+    """Two sources of 60 rows lie far apart, each with five rows that are ordinary in the other one."""
+    rng = np.random.default_rng(6)
+    place = {"a": 1.4, "b": 2.2}
+    rows = []
+    for source, other in (("a", "b"), ("b", "a")):
+        for k in range(60):
+            at = place[other if k < 5 else source]
+            rows.append((len(rows), "de", source, 200, int(200 * math.exp(rng.normal(at, 0.02))), 0, 0, 4, 10, k < 5))
+    stats = spark.createDataFrame([r[:-1] for r in rows], "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in mcd.STATS))
+    models = mcd.fit(stats)
+    assert models.select("grp").distinct().count() == 2
+    strange = {r[0] for r in rows if r[-1]}
+    assert all(r.kept == (r.doc_id not in strange) for r in mcd.verdicts(stats, models).collect())
+
+
 def test_concentration_steps_equal_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "en", "a", 500, int(500 * math.exp(rng.normal(1.6, 0.2))), int(rng.integers(0, 300)), int(rng.integers(0, 8)), int(rng.integers(0, 240)), 10) for i in range(400)]

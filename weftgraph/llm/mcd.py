@@ -7,7 +7,7 @@ half, and repeat. Medians and halves are exact: vectors and distances are whole
 group's percentile needs a count for each distinct value, of which there are a bounded number, and sums don't
 depend on the order of rows. A hot group is summed in every task before its few rows are shuffled.
 
-Groups under ``min_group`` rows are pooled with the other small groups of their language, and those pools that stay
+Groups under ``min_group`` rows, five for each coordinate, are pooled with the other small groups of their language, and those pools that stay
 small with one another. A pool that is still small takes the floors as its scatter.
 
 Defined cases: a null or empty text has no words and fails the base rules; null lang or source form groups of
@@ -120,7 +120,7 @@ def _model(sums: pd.DataFrame, min_group: int, share: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["grp", "floor_only", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)])
 
 
-def fit(statistics: DataFrame, min_group: int = 200, steps: int = 4, share: float = 0.5) -> DataFrame:
+def fit(statistics: DataFrame, min_group: int = 5 * P, steps: int = 4, share: float = 0.5) -> DataFrame:
     """A model for each (lang_key, source_key) of ``statistics`` (lang, source, STATS), from rows that pass the base rules.
 
     The result is a written table with a row for each group. ``share``: of a group's rows the half that each
