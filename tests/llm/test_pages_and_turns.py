@@ -1,7 +1,12 @@
 """Pages, WARC records and conversations."""
 
 import gzip
+import itertools
 import json
+import math
+import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -38,6 +43,94 @@ def test_extraction_of_odd_pages():
     assert html_text.extract(long) == " ".join(["word word word"] * 20_000)
 
 
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Go {i}</a></li>" for i in range(12)) + "</ul>"
+PLAIN = "<ul>" + "".join(f"<li>Item {i}</li>" for i in range(12)) + "</ul>"
+
+
+def test_ratios_decide_without_telling_containers():
+    """No container says what it is: menus, adverts and footers fall by their ratios and weights alone."""
+    page = f"<body><div><div>{LINKS}</div></div><div>Buy this thing now, the best of all</div><div><h1>Title</h1>{ARTICLE}</div><div>All rights reserved by someone for ever</div></body>"
+    assert html_text.extract(page) == "Title " + TEXT
+    assert html_text.extract(f"<body><article>{ARTICLE}{LINKS}</article></body>") == TEXT
+    assert html_text.extract(f"<body><article>{ARTICLE}{PLAIN}</article></body>") == " ".join([TEXT, *(f"Item {i}" for i in range(12))])
+    parts = [f"Paragraph {i} of a page whose author has put each one into a container of its own." for i in range(8)]
+    assert html_text.extract("<body>" + "".join(f"<div>{p}</div>" for p in parts) + "</body>") == " ".join(parts)
+
+
+@pytest.mark.parametrize("name, value", [("threshold", lambda values: 0.0), ("threshold", lambda values: 1e9), ("smooth", lambda ratios: ratios * 0 + 1.0)])
+def test_every_step_decides(monkeypatch, name, value):
+    monkeypatch.setattr(html_text, name, value)
+    with pytest.raises(AssertionError):
+        test_ratios_decide_without_telling_containers()
+
+
+def stripped(html):
+    """The page with every container a div without attributes."""
+    return re.sub(r"<(/?)(?:nav|article|footer|ul|div|section|aside|header|main|form)\b[^>]*>", r"<\1div>", html)
+
+
+def plain_content(lines):
+    """The classifier of lines, written plainly."""
+    n = len(lines.texts)
+    ratio = [0.0 if lines.excluded[i] else math.log(1 + len(lines.texts[i]) / lines.tags[i]) for i in range(n)]
+    smoothed = []
+    for i in range(n):
+        near = [(math.exp(-((i - j) ** 2) / 2), ratio[j]) for j in range(max(0, i - 2), min(n, i + 3))]
+        smoothed.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+
+    def middle(values):
+        low, high = min(values), max(values)
+        for _ in range(20):
+            upper, lower = [v for v in values if v >= (low + high) / 2], [v for v in values if v < (low + high) / 2]
+            if not upper or not lower:
+                break
+            low, high = sum(lower) / len(lower), sum(upper) / len(upper)
+        return (low + high) / 2
+
+    region = list(lines.regions)
+    for i in range(1, n):
+        a, b = lines.regions[i - 1], lines.regions[i]
+        if a != b and lines.around[a] == lines.around[b] and lines.regions.count(a) == lines.regions.count(b) == 1 and (lines.excluded[i - 1], lines.main[i - 1]) == (lines.excluded[i], lines.main[i]):
+            region[i] = region[i - 1]
+    open_to = [i for i in range(n) if not lines.excluded[i]]
+    if not open_to:
+        return [False] * n
+    limit = middle(smoothed) - 1e-12
+    dense = [i for i in open_to if smoothed[i] >= limit]
+    if any(lines.main[i] for i in dense):
+        dense = [i for i in dense if lines.main[i]]
+    weight = {}
+    for i in dense:
+        weight[region[i]] = weight.get(region[i], 0.0) + smoothed[i]
+    out = set(dense) & {i for i in dense if weight[region[i]] >= middle(list(weight.values())) - 1e-9} if dense else set()
+    for r in {region[i] for i in out}:
+        own = [i for i in open_to if region[i] == r]
+        for is_dense, run in itertools.groupby(own, key=lambda i: i in dense):
+            run = list(run)
+            if not is_dense and (len(run) <= 4 or sum(lines.tags[i] for i in run) < 2 * len(run)):
+                out |= set(run)
+    return [i in out for i in range(n)]
+
+
+def test_lines_equal_a_plain_classifier(spark, sf_dir):
+    pages = [r.html or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rng = random.Random(3)
+    tags = ["<div>", "</div>", "<p>", "<ul>", "</ul>", "<li><a>", "<article>", "</article>", "<nav>", "</nav>", "<h2>", "<span>"]
+    pages += ["".join(rng.choice(tags) + "word " * rng.choice([0, 1, 2, 9, 40]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    for page in [*pages, *map(stripped, pages)]:
+        lines = html_text.events(page)
+        assert html_text.content(lines).tolist() == plain_content(lines)
+
+
+def test_pages_without_telling_containers_give_the_same_text(spark, sf_dir):
+    """Word F1 of what is extracted with and without the names of containers."""
+    scores = []
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        a, b = (Counter(html_text.extract(x).split()) for x in (row.html, stripped(row.html)))
+        scores.append(2 * (a & b).total() / (a.total() + b.total()))
+    assert sum(scores) / len(scores) >= 0.98
+
+
 def test_pages_of_the_table(spark, sf_dir):
     rows = queries.op6_html_main_text(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()

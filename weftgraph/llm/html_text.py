@@ -3,19 +3,27 @@
 The parser's events are folded into lines, one for each block of text, as they come; a line keeps its text, the tags
 that opened since the line before and the container that it stands in. Lines of menus, headers, footers, sidebars,
 adverts, forms, notices and reader comments, which their containers give away, count as lines without text. The
-logarithms of the lines' ratios of characters to tags are smoothed by a Gaussian and parted into two clusters; the
-regions (neighbouring lines of one container, the whole of an article) that reach the upper cluster are content.
-Once an article or main element is among them, regions outside such elements aren't.
-
-Defined cases: a null or empty page has no text; a page whose text is all in excluded containers neither; tags
-that are never closed end with the container around them, and an article ends excluded containers left open; pages
-of any length are read whole; repeated rows are extracted each; an empty table gives an empty result; other
-columns are ignored.
+logarithms of the lines' ratios of characters to tags are smoothed by a Gaussian and parted into two clusters; lines
+of the upper one are dense.
+
+A region is the lines of one container (the whole of an article; neighbouring containers of a line each are one).
+Its weight is the sum of the smoothed ratios of its dense lines. The weights are parted into two clusters likewise,
+and the regions of the upper one hold the content, so that a footer's or an advert's lone line, which may be as
+dense as a paragraph, falls behind a text of several. Dense regions of an article or main element go before others.
+Of a content region the dense lines are kept, and runs of other lines that are short (headings, brief paragraphs
+beside long ones) or plain (under two tags a line); long runs of lines with links or marks are left out.
+
+Defined cases: a null or empty page has no text; a page whose text is all in excluded containers neither; equal
+ratios or weights (a page of one line, regions alike) are all in the upper cluster; tags that are never closed end
+with the container around them, and an article ends excluded containers left open; pages of any length are read
+whole, in memory in proportion to the page; repeated rows are extracted each; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,6 +45,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class and id attributes that mark a container as no content.
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|banners?|sidebars?|side|menus?|nav(?:bar|igation)?|breadcrumbs?|footers?|masthead|top-?bar|toolbar|site-header|page-header|cookies?|consent|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|replies|disqus|respond|social|share|sharing|related|recommended|widgets?|pagination|pager|skip-link|complementary|contentinfo|search(?:box|form)?|dialog)(?:$|[\s_-])", re.I)
 SPREAD = np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
+#: Lines of a run that isn't dense, within a content region, that are kept whatever their tags are; and the mean
+#: number of tags from which a longer run is left out (an entry of a list of links has two).
+SHORT_RUN, MANY_TAGS = 4, 2.0
 
 
 class Lines(HTMLParser):
@@ -52,6 +63,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, region, excluded, in an article
         self.parts: list[str] = []
         self.opened, self.n_regions, self.silent = 0, 1, ""
+        self.around: list[int] = [0, 0]  # the region around each region
 
     def flush(self) -> None:
         if self.parts:
@@ -90,6 +102,7 @@ class Lines(HTMLParser):
                 excluded = True
             if excluded or not main or tag in MAIN:
                 self.n_regions += 1
+                self.around.append(region)
                 region = self.n_regions
             self.stack.append((tag, region, excluded, main))
 
@@ -148,21 +161,45 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def extract(html: str | None) -> str:
-    """The main text of a page: its content blocks in page order, joined by one space."""
-    lines = events(html or "")
-    if not lines.texts:
-        return ""
-    excluded = np.array(lines.excluded)
+def joined(lines: Lines) -> list[int]:
+    """The region of each line, in which neighbouring containers of one line each, side by side, are one region."""
+    sizes = Counter(lines.regions)
+    out: list[int] = []
+    for i, region in enumerate(lines.regions):
+        last = lines.regions[i - 1] if i else region
+        beside = last != region and lines.around[last] == lines.around[region] and lines.excluded[i - 1] == lines.excluded[i] and lines.main[i - 1] == lines.main[i]
+        out.append(out[-1] if beside and sizes[last] == sizes[region] == 1 else region)
+    return out
+
+
+def content(lines: Lines) -> np.ndarray:
+    """Which lines of a page are content."""
+    excluded = np.array(lines.excluded, bool)
     if excluded.all():
-        return ""
+        return ~excluded
     ratios = np.array([0.0 if out else np.log1p(len(t) / n) for t, n, out in zip(lines.texts, lines.tags, lines.excluded, strict=True)])
     smoothed = smooth(ratios)
-    reached = {r for r, s, out in zip(lines.regions, smoothed >= threshold(smoothed), lines.excluded, strict=True) if s and not out}
-    in_main = {r for r, main, out in zip(lines.regions, lines.main, lines.excluded, strict=True) if main and not out}
-    if reached & in_main:
-        reached &= in_main
-    return " ".join(t for t, r, out in zip(lines.texts, lines.regions, lines.excluded, strict=True) if r in reached and not out)
+    dense = (smoothed >= threshold(smoothed)) & ~excluded
+    regions, tags, main = np.array(joined(lines)), np.array(lines.tags), np.array(lines.main)
+    if not dense.any():
+        return dense
+    if (dense & main).any():
+        dense &= main
+    names = np.unique(regions[dense])
+    weights = np.bincount(np.searchsorted(names, regions[dense]), smoothed[dense])
+    chosen = names[weights >= threshold(weights)]
+    at = np.flatnonzero(np.isin(regions, chosen) & ~excluded)
+    at = at[np.argsort(regions[at], kind="stable")]
+    kept = np.zeros(len(dense), bool)
+    for run in np.split(at, np.flatnonzero((np.diff(regions[at]) != 0) | (np.diff(dense[at].astype(int)) != 0)) + 1):
+        kept[run] = dense[run[0]] or len(run) <= SHORT_RUN or tags[run].mean() < MANY_TAGS
+    return kept
+
+
+def extract(html: str | None) -> str:
+    """The main text of a page: its content blocks in page order, joined by one space."""
+    lines = events(html or "")
+    return " ".join(t for t, kept in zip(lines.texts, content(lines).tolist(), strict=True) if kept)
 
 
 def with_main_text(pages: DataFrame, name: str = "text", column: str = "html") -> DataFrame:
