@@ -452,10 +452,12 @@ def test_ids_equal_the_tokenizers_own():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(1)
     signs = [*"abzAZ019.,;!'\"*#$%&|<>_-^`~()[]{}@+=/\\ \n\t", *"éßÜ×÷ĀſıİΣς…“”—中ªﬁǄẞñ¿¡²½😀", "\u0301", "\u0327", "\u00a0", "\u200b", "\x01", "\x1c", "'s", "'re", "'ll", "'t"]
+    special = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"]
     every = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(20_000)] + [t or "" for t in ODD]
+    every += ["".join(rng.choice(special if rng.random() < 0.3 else signs) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    every += ["hello <|endoftext|> world", "<|endoftext|>" * 5, "wo<|startoftext|>rd,<|endoftext|>.", "e<|endoftext|>\u0301", " <|startoftext|> "]
     encoder = packing.Encoder(path)
     for kept in (10**6, 100):
         packing.KEPT_WORDS, held = kept, packing.KEPT_WORDS
@@ -471,7 +473,6 @@ def test_packing_on_odd_documents(documents, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     packed = packing.pack(clashing(documents), with_ids=True)
     rows = packed.collect()
     own = defaultdict(list)

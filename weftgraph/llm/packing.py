@@ -9,19 +9,22 @@ with the same room; ``plan`` therefore places them by runs, from the number of p
 size depends on the capacity and not on the number of documents. Pieces then find their place by their rank among
 those of their length, which is counted in salted groups, so that a very common length lands in many tasks.
 
-Defined cases: a null or empty text is its end token alone; repeated rows are packed as often as they occur, each
-as a document of its own; a row without doc_id is packed like any other; an empty table gives an empty result;
-other columns are ignored; texts of any length are read whole.
+Defined cases: a null or empty text is its end token alone; the string of one of the tokenizer's added tokens in a
+text is that token; pieces of one length are placed in order of doc_id; repeated rows are packed as often as they
+occur, each as a document of its own; a row without doc_id is packed like any other; an empty table gives an empty
+result; other columns are ignored; texts of any length are read whole, in memory in proportion to the text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +61,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = self.tokenizer.get_added_tokens_decoder()
+        if odd := [t.content for t in special.values() if t.normalized or t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"added tokens that aren't found by their plain text: {odd}")
+        self.special = {t.content.encode(): i for i, t in special.items()}
+        # Texts are cut at these strings, so that what looks like one after lower-casing is ordinary text.
+        self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")")
+        self.tokenizer.encode_special_tokens = True
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
@@ -82,7 +91,25 @@ class Encoder:
         return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (uint32) of all texts (large_binary) and the bounds of each text's ids."""
+        """Ids (uint32) of all texts (large_binary) and the bounds of each text's ids, as the tokenizer itself gives them:
+        the string of an added token is that token, wherever it stands, and parts the text around it."""
+        holds = np.zeros(len(texts), bool)
+        for token in self.special:
+            holds |= np.asarray(pc.match_substring(texts, token))
+        if not holds.any():
+            return self.encode_ordinary(texts)
+        parts = [self.cuts.split(texts[i].as_py()) if h else [texts[i].as_py()] for i, h in enumerate(holds.tolist())]
+        ids, bounds = self.encode_ordinary(pa.array([p for own in parts for p in own[::2]], pa.large_binary()))
+        held, at = [], 0
+        for own in parts:
+            for k, part in enumerate(own):
+                held.append(np.array([self.special[part]], np.uint32) if k % 2 else ids[bounds[at] : bounds[at + 1]])
+                at += k % 2 == 0
+        sizes = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        return np.concatenate(held), sizes[np.concatenate([[0], np.cumsum([len(own) for own in parts])])].astype(np.int64)
+
+    def encode_ordinary(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and bounds of texts that hold no string of an added token."""
         words = Words(texts, lower=True)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
