@@ -1,6 +1,9 @@
 """Pages, WARC records and conversations."""
 
+import base64
 import gzip
+import hashlib
+import html
 import itertools
 import json
 import math
@@ -18,7 +21,7 @@ MENU = "<nav><ul><li><a href='/a'>A</a></li><li><a href='/b'>Menu entry that is
 
 
 @pytest.mark.parametrize(
-    "html",
+    "page",
     [
         f"<html><head><title>T</title><style>p{{}}</style><script>var a='<p>no</p>';</script></head><body>{MENU}<article>{ARTICLE}</article><footer>&copy; someone, all rights reserved by them for ever</footer></body></html>",
         f"<body><header><h1>Site name and a slogan that is rather long</h1></header><main>{ARTICLE}</main><aside>Sidebar words that are also long enough to look like text</aside>",
@@ -31,8 +34,8 @@ MENU = "<nav><ul><li><a href='/a'>A</a></li><li><a href='/b'>Menu entry that is
         f"<body><div class='cookie-notice'>We use cookies to make this site better for all its readers</div><article>{ARTICLE}<!-- hidden <p>words</p> --></article>",
     ],
 )
-def test_extracts_the_article(html):
-    assert html_text.extract(html) == TEXT
+def test_extracts_the_article(page):
+    assert html_text.extract(page) == TEXT
 
 
 def test_extraction_of_odd_pages():
@@ -64,9 +67,9 @@ def test_every_step_decides(monkeypatch, name, value):
         test_ratios_decide_without_telling_containers()
 
 
-def stripped(html):
+def stripped(page):
     """The page with every container a div without attributes."""
-    return re.sub(r"<(/?)(?:nav|article|footer|ul|div|section|aside|header|main|form)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"<(/?)(?:nav|article|footer|ul|div|section|aside|header|main|form)\b[^>]*>", r"<\1div>", page)
 
 
 def plain_content(lines):
@@ -162,13 +165,49 @@ def test_derivatives_are_linked_and_digested(spark, pages):
 
 def test_files_round_trip(spark, pages, tmp_path):
     rows = [r.asDict() for r in warc.members(warc.derivatives(warc.responses(pages))).collect()]
+    seams = warc.SEAM * 2 + b"0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n\r\n" + warc.SEAM
+    for i, block in enumerate((seams, b"WARC/1.1\r\n", b"\r\n\r\n", b"\xff\x00\xfe" * 70_000)):
+        record = {k: None for k in rows[0] if k != "page_id"} | {"warc_type": "resource", "record_id": f"<urn:x:{i}>", "block": block, "content_length": len(block)}
+        rows.insert(3 * i, record | {"member": warc.member(record)})
     held = b"".join(bytes(r["member"]) for r in rows)
     (tmp_path / "a.warc.gz").write_bytes(held)
     (tmp_path / "b.warc").write_bytes(gzip.decompress(held))
-    back = warc.from_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()
-    assert len(back) == 2 * len(rows)
-    key = lambda r: (r["warc_type"], r["record_id"], bytes(r["block"]), r["refers_to"])
+    back = warc.read_files(spark, str(tmp_path)).collect()
+    assert len(back) == 2 * len(rows) and len({r.path for r in back}) == 2
+    key = lambda r: (r["warc_type"], r["record_id"], bytes(r["block"]), r["refers_to"] or "")
     assert sorted(key(r.asDict()) for r in back) == sorted([key(r) for r in rows] * 2)
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "short.warc").write_bytes(gzip.decompress(held)[:-70_000])
+    short = warc.read_files(spark, str(tmp_path / "c")).collect()
+    assert 0 < len(short) <= len(rows) and all(r.content_length == len(r.block) for r in short)
+
+
+def plain_text(page):
+    """Visible lines of a page, by patterns instead of a parser."""
+    page = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\b.*?</\1>", "\n", page)
+    page = re.sub(r"(?i)<(/?)(a|b|i|em|strong|span|code|img)\b[^>]*>", "", page)
+    return [t for t in (" ".join(html.unescape(x).split()) for x in re.sub(r"<[^>]*>", "\n\0", page.replace("\n", " ")).replace("\0", "").split("\n")) if t]
+
+
+def test_derivatives_equal_brute_force(spark, sf_dir):
+    """All columns of the query, derived plainly from the pages."""
+    found = {(r.page_id, r.warc_type): r for r in queries.op8_warc_derivatives(spark, sf_dir).collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(found) == 2 * len(pages)
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for p in pages:
+        payload = p.html.encode()
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+        metadata, conversion = found[p.page_id, "metadata"], found[p.page_id, "conversion"]
+        assert conversion.block.split("\n") == plain_text(p.html)
+        title = " ".join(html.unescape(re.search(r"(?is)<title>(.*?)</title>", p.html)[1]).split())
+        links = [" ".join(html.unescape(x).split()) for x in re.findall(r'<a href="([^"]*)"', p.html)]
+        fields = [("http-status", "200"), ("http-content-type", "text/html; charset=utf-8"), ("http-content-length", str(len(payload))), ("source-payload-digest", sha1(payload)), ("source-block-digest", sha1(block)), ("source-length", str(len(payload))), ("title", title), *(("outlink", x) for x in links)]
+        assert metadata.block == "".join(f"{a}: {b}\r\n" for a, b in fields)
+        for r, kind in ((metadata, "application/warc-fields"), (conversion, "text/plain; charset=utf-8")):
+            assert (r.target_uri, r.warc_date, r.content_type, r.payload_digest) == (p.url, "2024-01-01T00:00:00Z", kind, sha1(payload))
+            assert (r.block_digest, r.content_length) == (sha1(r.block.encode()), len(r.block.encode()))
+        assert metadata.refers_to == conversion.refers_to and len({metadata.refers_to, metadata.record_id, conversion.record_id}) == 3
 
 
 def test_responses_that_do_not_parse():

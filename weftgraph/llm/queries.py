@@ -95,7 +95,7 @@ def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
-    return rows.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest", "content_length")
+    return rows.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest", "content_length", F.col("block").cast("string").alias("block"))  # both kinds are UTF-8
 
 
 def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

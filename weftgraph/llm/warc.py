@@ -4,7 +4,8 @@ A response gives two records of its own: ``metadata`` (application/warc-fields:
 its payload digest, title and outlinks) and ``conversion`` (text/plain: the visible text). Both name the response
 in WARC-Refers-To, keep its WARC-Target-URI, WARC-Date and WARC-Payload-Digest, and carry a WARC-Block-Digest of
 their own. Record ids derive from the response's id, so that a task that runs again writes the same records.
-``member`` gives a record's bytes as a gzip member; members one after the other are a .warc.gz file.
+``member`` gives a record's bytes as a gzip member; members one after the other are a .warc.gz file. ``read_files``
+streams files record by record, so that a task holds a record and not a file.
 
 Defined cases: a null page is an empty payload, whose conversion is an empty block; a null URL leaves out
 WARC-Target-URI; repeated rows give records of one id; a response without a record id gets none to refer to and is
@@ -17,19 +18,23 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.cluster import map_arrow, take
+from weftgraph.llm.cluster import BATCH_BYTES, bound_batches, map_arrow, ship, take
 from weftgraph.llm.html_text import INLINE, VOID
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 DATE = "2024-01-01T00:00:00Z"
+#: What ends a block and begins the next record.
+SEAM = b"\r\n\r\nWARC/1."
 QUIET = frozenset("script style noscript template".split())
 RECORD = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, block binary"
 
@@ -135,16 +140,32 @@ def member(record: dict) -> bytes:
     return gzip.compress(header(record) + record["block"] + b"\r\n\r\n", mtime=0)
 
 
-def read_records(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (gap := data.find(b"\r\n\r\n", at)) >= 0:
-        own = {a.strip().lower(): b.strip() for a, _, b in (line.partition(":") for line in data[at:gap].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(own.get("content-length", 0))
-        yield {"warc_type": own.get("warc-type"), "record_id": own.get("warc-record-id"), "refers_to": own.get("warc-refers-to"), "target_uri": own.get("warc-target-uri"), "warc_date": own.get("warc-date"), "content_type": own.get("content-type"), "payload_digest": own.get("warc-payload-digest"), "block_digest": own.get("warc-block-digest"), "content_length": size, "block": data[gap + 4 : gap + 4 + size]}
-        at = gap + 4 + size + 4
+def parse(data: bytes) -> dict | None:
+    """The record that ``data`` begins with, or None if its header or block isn't all there."""
+    gap = data.find(b"\r\n\r\n")
+    if gap < 0:
+        return None
+    own = {a.strip().lower(): b.strip() for a, _, b in (line.partition(":") for line in data[:gap].decode("utf-8", "replace").split("\r\n")[1:])}
+    size = int(own["content-length"]) if own.get("content-length", "").isdigit() else 0
+    if len(data) < gap + 4 + size:
+        return None
+    return {"warc_type": own.get("warc-type"), "record_id": own.get("warc-record-id"), "refers_to": own.get("warc-refers-to"), "target_uri": own.get("warc-target-uri"), "warc_date": own.get("warc-date"), "content_type": own.get("content-type"), "payload_digest": own.get("warc-payload-digest"), "block_digest": own.get("warc-block-digest"), "content_length": size, "block": data[gap + 4 : gap + 4 + size]}
+
+
+def read_records(parts: Iterable[bytes]) -> Iterator[dict]:
+    """Records of a file that was cut at every SEAM. A seam inside a block belongs to the block: parts are joined until
+    the record has the length that its header tells."""
+    held, n = b"", 0
+    for part in parts:
+        held = held + SEAM + part if held else (SEAM[4:] + part if n else part)
+        n += 1
+        if record := parse(held):
+            yield record
+            held = b""
+    if held and (gap := held.find(b"\r\n\r\n")) >= 0:  # cut short
+        size = len(held) - gap - 4
+        if record := parse(re.sub(rb"(?i)(\r\ncontent-length:)[^\r]*", rb"\g<1> %d" % size, held[:gap]) + held[gap:]):
+            yield record
 
 
 def _batch(records: list[dict], more: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -181,21 +202,34 @@ def responses(pages: DataFrame) -> DataFrame:
     return map_arrow(pages, run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {RECORD}")
 
 
-def from_files(paths: DataFrame) -> DataFrame:
-    """Records of WARC files given as spark.read.format("binaryFile") gives them."""
+def read_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """path and records of WARC files, compressed (.gz) or not, that Spark's readers can open.
 
-    def run(batch: pa.RecordBatch):
-        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+    Spark reads and decompresses a file as a stream that is cut at the seams between records. Files are read by a
+    session of their own, in which none is split, so that a block that holds a seam is put together again.
+    """
+    reader = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        reader.conf.set(key, str(1 << 60))
+    rows = reader.read.option("lineSep", SEAM.decode()).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = ((path, part) for batch in batches for path, part in zip(batch["path"].to_pylist(), batch["part"].to_pylist(), strict=True))
+        for path, own in itertools.groupby(every, key=lambda x: x[0]):
             held: list[dict] = []
-            for record in read_records(content.as_py()):
+            size = 0
+            for record in read_records(part for _, part in own):
                 held.append(record)
-                if len(held) == 256:
+                size += len(record["block"])
+                if size > BATCH_BYTES or len(held) == 256:
                     yield _batch(held, {"path": pa.array([path] * len(held))})
-                    held = []
+                    held, size = [], 0
             if held:
                 yield _batch(held, {"path": pa.array([path] * len(held))})
 
-    return map_arrow(paths.select("path", "content"), run, f"path string, {RECORD}")
+    ship(spark)
+    bound_batches(reader)
+    return rows.mapInArrow(run, f"path string, {RECORD}")
 
 
 def members(records: DataFrame) -> DataFrame:
