@@ -11,24 +11,22 @@ Groups under ``min_group`` rows, five for each coordinate, are pooled with the o
 small with one another. A pool that is still small takes the floors as its scatter.
 
 Defined cases: a null or empty text has no words and fails the base rules; null lang or source form groups of
-their own; repeated rows count as often as they occur; an empty table gives an empty result; other columns pass
-through or are ignored; a text of any length is read whole.
+their own; repeated rows count as often as they occur; all rows whose distance equals the half's greatest are in
+the half, and a distance equal to the limit is within it; an empty table gives an empty result; other columns pass
+through or are ignored; a text of any length is read whole, in memory in proportion to it.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from functools import reduce
-from operator import add
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import quality_stats
-from weftgraph.llm.cluster import cut, map_arrow, places, ship, take
+from weftgraph.llm.cluster import cut, map_arrow, places, take
 from weftgraph.llm.words import slices
 
 STATS = quality_stats.NAMES
@@ -37,11 +35,12 @@ STATS = quality_stats.NAMES
 FLOORS = (0.06, 0.04, 0.20, 0.25)
 P = len(FLOORS)
 UNIT = 1000
-#: Tables with a row for a group are written in a sixteenth of the shuffle partitions.
-SMALL = 16
+#: Tables with a row for a group are written in a sixty-fourth of the shuffle partitions.
+SMALL = 64
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-MODEL = ["floor_only boolean", *(f"m{i} double" for i in range(P)), *(f"p{i}{j} double" for i, j in PAIRS)]
+#: Columns of a model: whether it has the floors as its scatter, the location, and the inverse of the scatter.
+MODEL = ["floor_only", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
 
 
 def with_statistics(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -83,8 +82,7 @@ def chi2_quantile(q: float, k: int) -> float:
 
 def distance2() -> Column:
     """Squared Mahalanobis distance of the row's vector from the model beside it."""
-    d = [F.col(X[i]) - F.col(f"m{i}") for i in range(P)]
-    return reduce(add, ((1 if i == j else 2) * F.col(f"p{i}{j}") * d[i] * d[j] for i, j in PAIRS))
+    return F.expr(" + ".join(f"{1 if i == j else 2} * p{i}{j} * (x{i} - m{i}) * (x{j} - m{j})" for i, j in PAIRS))
 
 
 def _keys(df: DataFrame) -> DataFrame:
@@ -101,33 +99,39 @@ def _groups(vectors: DataFrame, min_group: int) -> DataFrame:
     return counts.join(small, "lang_key", "left").select("lang_key", "source_key", F.when(F.col("n") >= min_group, own).when(F.col("pool") >= min_group, pooled).otherwise(F.lit("")).alias("grp"))
 
 
-def _model(sums: pd.DataFrame, min_group: int, share: float) -> pd.DataFrame:
-    """Models from the counts and sums of the chosen rows of each group; share: of a normal group's rows chosen."""
+def _minor(i: int, j: int) -> str:
+    """SQL of the determinant of the scatter c without row i and column j."""
+    rows, columns = ([k for k in range(P) if k != x] for x in (i, j))
+    c = lambda a, b: f"c{min(a, b)}{max(a, b)}"
+    parity = lambda order: 1 - 2 * (sum(a > b for a, b in itertools.combinations(order, 2)) % 2)
+    return " + ".join(f"{parity(order)} * " + " * ".join(c(rows[k], columns[o]) for k, o in enumerate(order)) for order in itertools.permutations(range(P - 1)))
+
+
+def _with_precision(sums: DataFrame, min_group: int, share: float) -> DataFrame:
+    """Models (grp, MODEL) from the counts and sums of the chosen rows of each group; share: of a group's rows chosen.
+
+    The scatter, scaled as for a normal group, is inverted by its minors.
+    """
     scale = chi2_cdf(chi2_quantile(share, P), P + 2) / share
-    floor = (np.array(FLOORS) * UNIT) ** 2
-    out = []
-    for row in sums.to_dict("records"):
-        n = max(row["n"], 1)
-        mean = np.array([row[f"s{i}"] for i in range(P)], float) / n
-        cov = np.zeros((P, P))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = (row[f"s{i}{j}"] / n - mean[i] * mean[j]) / scale
-        few = row["n"] < min_group * share * 0.5
-        # Floors: each coordinate's scatter is raised to its floor, so that the matrix stays positive definite.
-        cov = np.diag(floor) if few else cov + np.diag(np.maximum(floor - np.diag(cov), 0.05 * floor))
-        inverse = np.linalg.inv(cov)
-        out.append({"grp": row["grp"], "floor_only": few} | {f"m{i}": mean[i] for i in range(P)} | {f"p{i}{j}": inverse[i, j] for i, j in PAIRS})
-    return pd.DataFrame(out, columns=["grp", "floor_only", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)])
+    floor = [(f * UNIT) ** 2 for f in FLOORS]
+    out = sums.selectExpr("grp", f"n < {min_group * share * 0.5} AS floor_only", *(f"s{i} / n AS m{i}" for i in range(P)), *(f"(s{i}{j} / n - s{i} / n * s{j} / n) / {scale!r}D AS c{i}{j}" for i, j in PAIRS))
+    # Floors: each coordinate's scatter is raised to its floor, so that the matrix stays positive definite.
+    raised = lambda i, j: f"c{i}{j} + greatest({floor[i]!r}D - c{i}{j}, {0.05 * floor[i]!r}D)" if i == j else f"c{i}{j}"
+    out = out.selectExpr("grp", "floor_only", *(f"m{i}" for i in range(P)), *(f"CASE WHEN floor_only THEN {floor[i] if i == j else 0.0!r}D ELSE {raised(i, j)} END AS c{i}{j}" for i, j in PAIRS))
+    out = out.selectExpr("*", *(f"{(-1) ** (i + j)} * ({_minor(i, j)}) AS k{i}{j}" for i, j in PAIRS))
+    determinant = " + ".join(f"c0{j} * k0{j}" for j in range(P))
+    return out.selectExpr("grp", "floor_only", *(f"m{i}" for i in range(P)), *(f"k{i}{j} / ({determinant}) AS p{i}{j}" for i, j in PAIRS))
 
 
 def fit(statistics: DataFrame, min_group: int = 5 * P, steps: int = 4, share: float = 0.5) -> DataFrame:
-    """A model for each (lang_key, source_key) of ``statistics`` (lang, source, STATS), from rows that pass the base rules.
+    """A model for each (lang_key, source_key) of the written table ``statistics`` (lang, source, STATS), from rows that
+    pass the base rules.
 
     The result is a written table with a row for each group. ``share``: of a group's rows the half that each
-    concentration step keeps.
+    concentration step keeps. Vectors are taken from the statistics anew in each step, whose only written table is
+    that of the groups' models; no step runs Python.
     """
-    ship(statistics.sparkSession)
-    vectors = cut(_keys(statistics.where(~base_failed())).select("lang_key", "source_key", *coordinates()))
+    vectors = _keys(statistics.where(~base_failed())).select("lang_key", "source_key", *coordinates())
     groups = cut(_groups(vectors, min_group), SMALL)
     placed = lambda models: vectors.join(groups.join(models, "grp"), ["lang_key", "source_key"])
     half = lambda c: F.percentile(c, F.lit(0.5))
@@ -135,13 +139,12 @@ def fit(statistics: DataFrame, min_group: int = 5 * P, steps: int = 4, share: fl
     spread = placed(start).groupBy("grp").agg(*(half(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(X)))
     precision = lambda i, j: 1 / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i] * UNIT)) ** 2 if i == j else F.lit(0.0)
     models = cut(start.join(spread, "grp").select("grp", *(f"m{i}" for i in range(P)), *(precision(i, j).alias(f"p{i}{j}") for i, j in PAIRS)), SMALL)
-    schema = ", ".join(["grp string", *MODEL])
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+    sums = [F.expr(f"sum({x}) AS s{i}") for i, x in enumerate(X)] + [F.expr(f"sum({X[i]} * {X[j]}) AS s{i}{j}") for i, j in PAIRS]
     for _ in range(steps):
         near = F.round(F.log1p(F.greatest(distance2(), F.lit(0.0))) * UNIT).cast("long")
         reach = placed(models).groupBy("grp").agg(F.percentile(near, F.lit(share)).alias("reach"))
         chosen = placed(models.join(reach, "grp")).where(near <= F.col("reach")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums)
-        models = cut(chosen.mapInPandas(lambda frames: (_model(f, min_group, share) for f in frames if len(f)), schema), SMALL)
+        models = cut(_with_precision(chosen, min_group, share), SMALL)
     return cut(groups.join(models, "grp"), SMALL)
 
 
