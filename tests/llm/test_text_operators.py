@@ -356,6 +356,40 @@ def test_spans_name_the_words(spark):
     assert [text[s["start"] : s["end"]] for s in spans[0]] == ["filthy,"] and scores[0] > 0.5 > scores[1] and scores[2] == 0
 
 
+def test_scores_do_not_grow_with_length():
+    """Clean texts joined to long ones stay clean, and harmless words in front change no span."""
+    rng = random.Random(12)
+    clean, foul = texts(500, 7), ["filthy", "vileness", "scummy", "rotten", "wretched"]
+    rows = [(t, 0.0) for t in clean[:300]]
+    for t in clean[300:400]:
+        own = t.split()
+        for _ in range(3):
+            own.insert(rng.randrange(len(own)), rng.choice(foul))
+        rows.append((" ".join(own), 1.0))
+    model = crf.train(rows)
+    tag = lambda every: model.tag(pa.array([t.encode() for t in every], pa.large_binary()))
+    for joined in (1, 10, 100):
+        scores, spans = tag([" ".join(clean[400 + i * joined % 100 : 400 + i * joined % 100 + joined]) for i in range(100 // joined)])
+        assert (scores < 0.3).all()
+    bad = [t for t, y in rows if y][:20]
+    scores, spans = tag(bad)
+    assert (scores > 0.5).all()
+    for n in (1, 17, 63, 64, 65, 200):
+        front = " ".join((clean[450] + " " + clean[451] + " " + clean[452]).split()[:n]) + " "
+        moved = tag([front + t for t in bad])[1]
+        assert [[(s["start"] + len(front), s["end"] + len(front)) for s in own] for own in spans] == [[(s["start"], s["end"]) for s in own] for own in moved]
+
+
+def test_logistic_equals_a_plain_search():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=200)
+    y = (rng.random(200) < 1 / (1 + np.exp(1 - 2 * x))).astype(float)
+    loss = lambda a, b: -sum(math.log(p if t else 1 - p) for p, t in zip(1 / (1 + np.exp(-a - b * x)), y)) + 0.005 * (a * a + b * b)
+    a, b = crf.logistic(x, y)
+    assert all(loss(a, b) <= loss(a + da, b + db) for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+    assert crf.logistic(x, 1 - y)[1] == 0.0
+
+
 def test_mixture_meets_targets(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -12,12 +12,15 @@ then refitted to the documents' own labels, by the likelihood that at least one
 of a clean document's) is toxic, which the same forward-backward sums give. That step corrects tokens the first
 labels got wrong. At most ``sample`` labelled documents, those of the smallest hashed doc_id, teach.
 
-A document's score is the chance that any of its words is toxic; offending offsets are the code points of the
-words whose marginal is one half or more.
+A document's score is a logistic function of the logarithm of its expected share of toxic words (the sum of its
+marginals over its length), so that it doesn't grow with a text's length. The function's two numbers are fitted to
+the sample's documents that taught no words, about a fifth, parted by a hash of the text so that copies stay
+together. Offending offsets are the code points of the words whose marginal is one half or more.
 
 Defined cases: a null or empty text has no words and scores zero; rows without label teach nothing; repeated rows
 are scored each; without documents of both labels every weight is zero and scores are the share of label 1 (one
-half without labels); an empty table gives an empty result; other columns pass through; texts are read whole.
+half without labels); a score equal to the threshold is predicted toxic; an empty table gives an empty result; other
+columns pass through; texts of any length are read whole, in memory in proportion to the text.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.cluster import crc_mod, map_arrow, take
-from weftgraph.llm.mil import labelled
+from weftgraph.llm.mil import labelled, sigmoid
 from weftgraph.llm.words import LEAD, Words, slices
 
 WINDOW = 64
@@ -41,6 +44,8 @@ KEPT_WORDS = 300_000
 BUCKETS = 1 << 20
 #: Words that training works on at once.
 PART = 200_000
+#: One in so many texts, by hash, calibrates scores; toxic and other words that a text counts as having besides its own.
+CALIBRATES, TOXIC_MORE, WORDS_MORE = 5, 1e-3, 10
 
 
 def normal(word: bytes) -> str:
@@ -152,22 +157,34 @@ def beliefs(emission: np.ndarray, chains: Chains, move: np.ndarray) -> tuple[np.
 
 
 class Model:
-    """``weights`` by hashed feature, and the constant of the toxic state."""
+    """``weights`` by hashed feature, the constant of the toxic state, transitions, and the score's two numbers."""
 
-    def __init__(self, weights: np.ndarray, bias: float, move: np.ndarray, rate: float | None = None) -> None:
-        self.weights, self.bias, self.move, self.rate = weights.astype(np.float32), bias, move, rate
+    def __init__(self, weights: np.ndarray, bias: float, move: np.ndarray, rate: float | None = None, scale: tuple[float, float] = (0.0, 1.0)) -> None:
+        self.weights, self.bias, self.move, self.rate, self.scale = weights.astype(np.float32), bias, move, rate, scale
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def emission(self, word: bytes) -> float:
-        if (found := self.known.get(word)) is None:
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            weight = self.weights.item
-            found = self.known[word] = self.bias + sum([weight(f) for f in features(normal(word))])
-        return found
+    def emissions(self, words: list[bytes]) -> np.ndarray:
+        """The potential of each word in the toxic state."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        known = self.known
+        out = list(map(known.get, words))
+        if new := [i for i, x in enumerate(out) if x is None]:
+            lists = [features(normal(words[i])) for i in new]
+            sizes = np.array([len(x) for x in lists])
+            ids = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
+            found = self.bias + np.bincount(np.repeat(np.arange(len(lists)), sizes), self.weights[ids], minlength=len(lists))
+            for i, x in zip(new, found.tolist(), strict=True):
+                out[i] = known[words[i]] = x
+        return np.array(out)
+
+    def marginals(self, words: Words) -> np.ndarray:
+        """The marginal of the toxic state of each word."""
+        codes, known = words.encoded()
+        return beliefs(self.emissions(known.to_pylist())[codes], Chains(words.counts), self.move)[0]
 
     def tag(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         """Score of each text, and its spans: start, end (code points) and marginal of every toxic word."""
@@ -175,22 +192,54 @@ class Model:
         spans: list[list[dict]] = [[] for _ in range(words.n_docs)]
         if self.rate is not None or not len(words):
             return np.full(words.n_docs, self.rate or 0.0), spans
-        codes, known = words.encoded()
-        chains = Chains(words.counts)
-        toxic, clean, _ = beliefs(np.array([self.emission(w) for w in known.to_pylist()])[codes], chains, self.move)
-        total = np.concatenate([[0.0], np.cumsum(clean)])
-        scores = -np.expm1(total[chains.bounds[1:]] - total[chains.bounds[:-1]])
+        toxic = self.marginals(words)
+        scores = np.where(words.counts > 0, sigmoid(self.scale[0] + self.scale[1] * evidence(toxic, words)), 0.0)
         at = np.flatnonzero(toxic >= 0.5)
         if len(at):
             points = np.concatenate([[0], np.cumsum(LEAD[words.data])])
             base = points[words.offsets[:-1]][words.doc[at]]
             for d, a, b, p in zip(words.doc[at].tolist(), (points[words.starts[at]] - base).tolist(), (points[words.ends[at]] - base).tolist(), toxic[at].tolist(), strict=True):
                 spans[d].append({"start": a, "end": b, "marginal": p})
-        return np.clip(scores, 0, 1), spans
+        return scores, spans
+
+
+def evidence(toxic: np.ndarray, words: Words) -> np.ndarray:
+    """Logarithm of the expected share of toxic words of each text."""
+    return np.log((np.bincount(words.doc, toxic, minlength=words.n_docs) + TOXIC_MORE) / (words.counts + WORDS_MORE))
 
 
-def train(rows: Iterable[tuple[str, float]], rounds: int = 25, refits: int = 40, rate: float = 0.3, decay: float = 2e-4, rare: int = 4) -> Model:
-    """A model from whole texts and their labels. Features of fewer than ``rare`` texts are left out.
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.01) -> tuple[float, float]:
+    """Constant and slope (not negative) of a logistic function, by Newton's steps."""
+    rows, w = np.stack([np.ones(len(x)), x], 1), np.zeros(2)
+    for _ in range(50):
+        p = sigmoid(rows @ w)
+        w = w + np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + decay * np.eye(2), rows.T @ (y - p) - decay * w)
+    return (float(w[0]), float(w[1])) if w[1] >= 0 else (float(np.log(y.mean() / (1 - y.mean()))), 0.0)
+
+
+def train(rows: Iterable[tuple[str, float]], **how) -> Model:
+    """A model from whole texts and their labels, by ``learn``, with calibrated scores.
+
+    If the texts that are held back, or those that aren't, lack a label, all texts do both.
+    """
+    rows = list(rows)
+    held = np.array([crc32(text.encode()) % CALIBRATES == 0 for text, _ in rows], bool)
+    y = np.array([label for _, label in rows], float)
+    if any(not len(part) or part.min() == part.max() for part in (y[held], y[~held])):
+        held[:] = False
+    model = learn((row for row, out in zip(rows, held, strict=True) if not out), **how)
+    if model.rate is None:
+        own = np.flatnonzero(held if held.any() else ~held)
+        found = []
+        for at in range(0, len(own), 256):
+            words = Words(pa.array([rows[i][0].encode() for i in own[at : at + 256]], pa.large_binary()))
+            found.append(evidence(model.marginals(words) if len(words) else np.zeros(0), words))
+        model.scale = logistic(np.concatenate(found), y[own])
+    return model
+
+
+def learn(rows: Iterable[tuple[str, float]], rounds: int = 25, refits: int = 40, rate: float = 0.3, decay: float = 2e-4, rare: int = 4) -> Model:
+    """Weights and transitions from whole texts and their labels. Features of fewer than ``rare`` texts are left out.
 
     Texts are kept as numbers of their distinct words; arrays by token exist for ``PART`` words at a time.
     """
@@ -276,7 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """A model of ``labels.label`` from rows whose crc32(doc_id) mod ``folds`` isn't ``held_out``."""
     rows = labelled(docs, labels, label, sample, folds, held_out).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "y")
     found = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train((text.as_py(), float(y.as_py())) for text, y in zip(found["text"], found["y"], strict=True))
+    held = list(zip(found["text"].to_pylist(), map(float, found["y"].to_pylist()), strict=True))
+    del found
+    return train(held)
 
 
 def with_tags(docs: DataFrame, model: Model, score: str = "score", spans: str = "spans", column: str = "text") -> DataFrame:
