@@ -26,12 +26,31 @@ def test_preprocess_train_evaluate(spark, tmp_path):
     args = cli.parser().parse_args(["preprocess", "--edges", str(tmp_path / "edges.tsv"), "--output_directory", out, "--num_partitions", "2", "--dataset_split", "0.8", "0.1", "0.1"])
     stats = cli.preprocess(spark, args)
     assert stats == {"num_nodes": 13, "num_relations": 2, "num_partitions": 2, "num_train": 48, "num_valid": 6, "num_test": 6}
-    settings = C.merge({"model": {"embedding_dim": 4}, "storage": {"dataset_dir": out, "model_dir": str(tmp_path / "model")}, "training": {"num_epochs": 2, "batch_size": 16, "negative_sampling": {"negatives_per_positive": 5}}})
-    losses = cli.train(spark, settings)["losses"]
-    assert losses[1] < losses[0]
+    model = {"embedding_dim": 4, "decoder": {"type": "COMPLEX"}, "dense_optimizer": {"type": "SGD"}}
+    training = {"num_epochs": 2, "batch_size": 16, "batches_per_step": 1, "negative_sampling": {"negatives_per_positive": 5}, "checkpoint": {"interval": 1, "save_best": True, "save_state": True}}
+    settings = C.merge({"model": model, "storage": {"dataset_dir": out, "model_dir": str(tmp_path / "model"), "export_encoded_nodes": True}, "training": training})
+    trained = cli.train(spark, settings)
+    assert trained["losses"][1] < trained["losses"][0]
+    assert [r["epoch"] for r in trained["reports"]] == [1, 2] and all(r["split"] == "valid" and r["n_ranks"] == 12 for r in trained["reports"])
     found = cli.evaluate(spark, settings)
-    assert found["split"] == "test" and found["n_ranks"] == 6 and 1 <= found["mean_rank"] <= 13
+    assert found["split"] == "test" and found["n_ranks"] == 12 and 1 <= found["mean_rank"] <= 13
     json.dumps(found)
+    # An epoch, and one more from its checkpoint, are two epochs.
+    vectors = lambda path: {r.id: r.emb for r in spark.read.parquet(path).collect()}
+    once = C.merge({"model": model, "storage": {"dataset_dir": out, "model_dir": str(tmp_path / "once")}, "training": training | {"num_epochs": 1}})
+    cli.train(spark, once)
+    again = C.merge({"model": model, "storage": {"dataset_dir": out, "model_dir": str(tmp_path / "again")}, "training": training | {"resume_from_checkpoint": str(tmp_path / "once")}})
+    assert len(cli.train(spark, again)["losses"]) == 2
+    one, other = (vectors(str(tmp_path / name / "v2" / "nodes")) for name in ("model", "again"))
+    assert one.keys() == other.keys() and all(abs(a - b) < 1e-9 for k in one for a, b in zip(one[k], other[k]))
+    assert vectors(str(tmp_path / "model" / "encoded_nodes")) == one
+
+
+def test_what_training_cannot_do_is_an_error():
+    for bad in ({"model": {"layers": [1]}}, {"model": {"learning_task": "ENCODE"}}, {"storage": {"shuffle_input": False}}, {"storage": {"full_graph_evaluation": False}}, {"training": {"negative_sampling": {"filtered": True}}}, {"evaluation": {"negative_sampling": {"filtered": False}}}):
+        with pytest.raises(ValueError):
+            cli.train_settings(C.merge(bad))
+    assert cli.train_settings(C.merge({})).loss == "softmax_ce"
 
 
 def test_two_files_are_train_and_test(spark, tmp_path):

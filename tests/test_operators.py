@@ -165,20 +165,6 @@ def test_gat_and_rgcn_equal_numpy(spark, edges):
         assert np.allclose(found[n], emb[n] @ own + (sum(emb[d] @ relw[r] for r, d in out) / len(out) if out else 0))
 
 
-def test_softmax_gradients_by_differences():
-    rng = np.random.default_rng(3)
-    s, r, d, n = rng.normal(size=(3, 4)), rng.normal(size=(3, 4)), rng.normal(size=(3, 4)), rng.normal(size=(5, 4))
-    _, *grads = T.softmax_gradients(s, r, d, n)
-    for k, x in enumerate((s, r, d, n)):
-        for i in np.ndindex(*x.shape):
-            x[i] += 1e-6
-            up = T.softmax_gradients(s, r, d, n)[0]
-            x[i] -= 2e-6
-            down = T.softmax_gradients(s, r, d, n)[0]
-            x[i] += 1e-6
-            assert abs((up - down) / 2e-6 - grads[k][i]) < 1e-4
-
-
 def test_optimizers_by_hand():
     p = {"w": np.array([1.0])}
     optim.SGD(0.1).step(p, {"w": np.array([2.0])})

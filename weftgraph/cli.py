@@ -87,39 +87,99 @@ def dataset(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return edges, stats
 
 
-def relation_table(spark: SparkSession, decoder: str, n: int, dim: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("rel"), S.relation_init(decoder, dim).alias("vec"))
-
-
-def report(edges: DataFrame, emb: DataFrame, rels: DataFrame, decoder: str) -> dict:
-    """Metrics of the test edges (validation edges without any), all splits known."""
-    for split in ("test", "valid"):
-        asked = edges.where(F.col("split") == split)
+def report(edges: DataFrame, emb: DataFrame, relations: dict[str, DataFrame], decoder: str, splits: tuple[str, ...] = ("test", "valid")) -> dict:
+    """Metrics of the edges of the first of ``splits`` that has any, among all nodes, all splits known; with inverse
+    relations both ends are asked for."""
+    flipped = lambda df: df.select("edge_id", F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
+    for split in splits:
+        asked = edges.where(F.col("split") == split).select("edge_id", "src", "rel", "dst")
         if asked.limit(1).count():
-            ranks = S.filtered_ranks(asked.select("edge_id", "src", "rel", "dst"), emb, rels, edges, decoder)
+            known = edges.select("edge_id", "src", "rel", "dst")
+            ranks = S.filtered_ranks(asked, emb, relations["relations"], known, decoder)
+            if "inverse_relations" in relations:
+                ranks = ranks.unionByName(S.filtered_ranks(flipped(asked), emb, relations["inverse_relations"], flipped(known), decoder))
             return {"split": split} | S.metrics(ranks).first().asDict()
     return {}
 
 
-def train(spark: SparkSession, settings: dict) -> dict:
+def train_settings(settings: dict) -> T.Settings:
+    """What training takes from a configuration; what it can't do is an error that names its place."""
     model, storage, training = settings["model"], settings["storage"], settings["training"]
-    if model["learning_task"] != "LINK_PREDICTION" or model["layers"]:
-        raise ValueError("the command trains vectors for link prediction; layers are composed in Python")
+    negatives, parts = training["negative_sampling"], storage["partitions"]
+    wanted = [
+        ("model.learning_task", model["learning_task"], "LINK_PREDICTION"), ("model.layers", model["layers"], []), ("storage.shuffle_input", storage["shuffle_input"], True),
+        ("storage.full_graph_evaluation", storage["full_graph_evaluation"], True), ("training.negative_sampling.filtered", negatives["filtered"], False), ("evaluation.negative_sampling.filtered", settings["evaluation"]["negative_sampling"]["filtered"], True),
+    ]
+    for place, value, only in wanted:
+        if value != only:
+            raise ValueError(f"{place} can only be {only!r} here, not {value!r}")
+    return T.Settings(
+        dim=model["embedding_dim"], decoder=model["decoder"]["type"].lower(), inverse_edges=model["decoder"]["inverse_edges"], loss=model["loss"]["type"].lower(), reduction=model["loss"]["reduction"].lower(), margin=model["loss"]["margin"],
+        dense_optimizer=model["dense_optimizer"]["type"].lower(), dense_rate=model["dense_optimizer"]["learning_rate"], rate=model["sparse_optimizer"]["learning_rate"], epochs=training["num_epochs"], batch=training["batch_size"], step_batches=training["batches_per_step"],
+        chunks=negatives["num_chunks"], negatives=negatives["negatives_per_positive"], degree_fraction=negatives["degree_fraction"], local_filter=negatives["local_filter_mode"].lower(), method=training["negative_sampling_method"].lower(),
+        selected_ratio=training["negative_sampling_selected_ratio"], tournament=negatives["tournament_selection"], parts=parts["number"], capacity=parts["capacity"], ordering=parts["ordering"], ratio=parts["fine_to_coarse_ratio"], pinned=parts["pinned"], seed=model["random_seed"],
+    )
+
+
+def train(spark: SparkSession, settings: dict) -> dict:
+    """Train as configured: epochs, reports on the validation edges, checkpoints by interval or of the best epoch."""
+    storage, training, how = settings["storage"], settings["training"], train_settings(settings)
     edges, stats = dataset(spark, storage["dataset_dir"])
-    own = edges.where("split = 'train'").drop("split")
-    own = files.with_edge_ids(own.drop("edge_id"), ["src", "rel", "dst"])
-    dim = model["embedding_dim"]
-    table, losses = T.train(own, stats["num_nodes"], dim, training["num_epochs"], training["batch_size"], training["negative_sampling"]["negatives_per_positive"], model["sparse_optimizer"]["learning_rate"], {r: np.ones(dim) for r in range(stats["num_relations"])})
-    files.save_checkpoint({"nodes": table}, storage["model_dir"], training["num_epochs"], {"losses": losses, "settings": settings})
-    return {"losses": losses}
+    own = files.with_edge_ids(edges.where("split = 'train'").select("src", "rel", "dst"), ["src", "rel", "dst"])
+    n_nodes, n_relations = stats["num_nodes"], stats["num_relations"]
+    state, first = None, 0
+    if training["resume_from_checkpoint"]:
+        about = files.load_checkpoint(spark, training["resume_from_checkpoint"], -1)[1]
+        state, first = restored(spark, training["resume_from_checkpoint"], how), about["epochs"]
+    checkpoint, every, reports = training["checkpoint"], settings["evaluation"]["epochs_per_eval"], []
+
+    def save(epoch: int, at: T.State, version: int) -> None:
+        kept = [c for c in at.table.columns if c in ("id", "emb") or checkpoint["save_state"]]
+        tables = {"nodes": at.table.select(kept)} | {k: T.relation_table(spark, v) for k, v in at.relations.items()}
+        files.save_checkpoint(tables, storage["model_dir"], version, {"losses": at.losses, "settings": settings, "epochs": epoch + 1})
+
+    def after_epoch(epoch: int, at: T.State) -> None:
+        if every > 0 and (epoch + 1) % every == 0:
+            relations = {k: T.relation_table(spark, v) for k, v in at.relations.items()}
+            if found := report(edges, at.table.select("id", "emb"), relations, how.decoder, ("valid",)):
+                best = max((r["mrr"] for r in reports), default=-1.0)
+                reports.append({"epoch": epoch + 1} | found)
+                if checkpoint["save_best"] and found["mrr"] > best:
+                    save(epoch, at, BEST)
+        if checkpoint["interval"] > 0 and (epoch + 1) % checkpoint["interval"] == 0 and epoch + 1 < how.epochs:
+            save(epoch, at, epoch + 1)
+
+    state = T.train(own, n_nodes, how, n_relations, state, first, after_epoch)
+    save(how.epochs - 1, state, how.epochs)
+    save(how.epochs - 1, state, LAST)
+    if storage["export_encoded_nodes"]:
+        state.table.select("id", "emb").write.mode("overwrite").parquet(f"{storage['model_dir']}/encoded_nodes")
+    return {"losses": state.losses, "reports": reports}
+
+
+#: Checkpoints beside those named by their epoch.
+LAST, BEST = -1, -2
+
+
+def restored(spark: SparkSession, path: str, how: T.Settings, version: int = LAST) -> T.State:
+    """The state of a checkpoint; sums of squares that it doesn't hold start at zero."""
+    tables, about = files.load_checkpoint(spark, path, version)
+    nodes = tables["nodes"]
+    for emb, name in (("emb", "state"), ("emb_g", "state_g")):
+        if emb in nodes.columns and name not in nodes.columns:
+            nodes = nodes.withColumn(name, F.transform(emb, lambda x: F.lit(0.0)))
+    if how.method == "gan" and "emb_g" not in nodes.columns:
+        raise ValueError("training.resume_from_checkpoint has no generator")
+    relations = {k: np.array([r["vec"] for r in tables[k].orderBy("rel").collect()]) for k in ("relations", "inverse_relations") if k in tables}
+    return T.State(cut(nodes), relations, T.optimizer(how.dense_optimizer, how.dense_rate), about["losses"])
 
 
 def evaluate(spark: SparkSession, settings: dict) -> dict:
-    storage, decoder = settings["storage"], settings["model"]["decoder"]["type"].lower()
-    edges, stats = dataset(spark, storage["dataset_dir"])
-    tables, _ = files.load_checkpoint(spark, storage["model_dir"], settings["training"]["num_epochs"])
-    rels = relation_table(spark, decoder, stats["num_relations"], settings["model"]["embedding_dim"])
-    return report(edges, tables["nodes"].select("id", "emb"), rels, decoder)
+    """Metrics of the last checkpoint, by the relations learned with it."""
+    storage, how = settings["storage"], train_settings(settings)
+    edges, _ = dataset(spark, storage["dataset_dir"])
+    tables, _ = files.load_checkpoint(spark, storage["model_dir"], LAST)
+    return report(edges, tables["nodes"].select("id", "emb"), tables, how.decoder)
 
 
 def main(argv: list[str] | None = None) -> None:

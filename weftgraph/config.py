@@ -23,9 +23,10 @@ DEFAULTS: dict[str, Any] = {
         "dense_optimizer": {"type": "ADAGRAD", "learning_rate": 0.1},
         "sparse_optimizer": {"type": "ADAGRAD", "learning_rate": 0.1},
     },
-    "storage": {"dataset_dir": None, "model_dir": None, "shuffle_input": True, "full_graph_evaluation": True, "export_encoded_nodes": False, "partitions": {"number": 16, "capacity": 8, "ordering": "COMET", "fine_to_coarse_ratio": 2, "pinned": 0}},
+    "storage": {"dataset_dir": None, "model_dir": None, "shuffle_input": True, "full_graph_evaluation": True, "export_encoded_nodes": False, "partitions": {"number": 1, "capacity": 1, "ordering": "COMET", "fine_to_coarse_ratio": 1, "pinned": 0}},
     "training": {
         "batch_size": 1000,
+        "batches_per_step": 0,
         "num_epochs": 10,
         "negative_sampling_method": "RNS",
         "negative_sampling_selected_ratio": 1.0,
@@ -44,6 +45,7 @@ CHOICES = {
     "model.dense_optimizer.type": ["SGD", "ADAGRAD", "ADAM"],
     "storage.partitions.ordering": ["BETA", "OLD_BETA", "NEW_BETA", "COMET", "CUSTOM", "COVER"],
     "training.negative_sampling_method": ["RNS", "DNS", "GAN"],
+    "training.negative_sampling.local_filter_mode": ["DEG", "ALL"],
 }
 
 

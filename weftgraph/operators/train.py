@@ -1,23 +1,82 @@
-"""Training of node vectors for link prediction, a superstep at a time.
+"""Training of node vectors for link prediction, a superstep at a time, and of a softmax over encoded nodes.
 
-A superstep takes all its batches from the same table of vectors: each batch is scored against its negatives in one
-task, which hands on gradients by node. Gradients of a node are summed, and a single sparse Adagrad step follows.
-The new table is written before the next superstep, so that the plan doesn't grow and lost executors cost one
-superstep at most. The order of batches inside a superstep therefore doesn't matter.
+An epoch goes through the states of a schedule (all nodes at once unless partitions are asked for): a state's edges are
+those of the buckets it owns, and its negatives come from its resident partitions. A state's edges, in seeded order,
+are cut into batches, and a superstep takes ``step_batches`` of them from the same table of vectors. Each batch is one
+task's work: its edges and negatives as ids, and the vectors of its distinct nodes once. The task hands on a gradient
+for each of them and for each relation; a node's gradients are summed and a sparse Adagrad step follows. The new table
+is written before the next superstep, so that the plan doesn't grow and lost executors cost one superstep at most.
+
+Relations (two vectors each with inverse edges) are parameters of the decoder, as many as the graph has kinds of
+edges; the driver holds them, ``RELATION_BYTES`` at most, and steps them by the dense optimizer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.hashing import uniform
-from weftgraph.functions.optim import Adam
+from weftgraph.functions import gradients as G
+from weftgraph.functions.hashing import pick, uniform
+from weftgraph.functions.optim import SGD, Adagrad, Adam
 from weftgraph.functions.vectors import dimension, sum_vectors
-from weftgraph.operators.sampling import batches, shuffle_edges, uniform_negatives
-from weftgraph.sources.shared import cut, ship
+from weftgraph.operators import partition as P
+from weftgraph.operators import schedule as K
+from weftgraph.operators.sampling import batches, shuffle_edges
+from weftgraph.sources.shared import cut, release, ship
+
+RELATION_BYTES = 256 << 20
+NODE, RELATION, INVERSE, GENERATOR, LOSS = range(5)
+GRADIENTS = "kind int, id long, grad array<double>"
+
+
+@dataclass
+class Settings:
+    """What is trained and how; names follow the configuration's."""
+
+    dim: int = 16
+    decoder: str = "distmult"
+    inverse_edges: bool = False
+    loss: str = "softmax_ce"
+    reduction: str = "sum"
+    margin: float = 0.1
+    dense_optimizer: str = "adagrad"
+    dense_rate: float = 0.1
+    rate: float = 0.1
+    epochs: int = 2
+    batch: int = 1000
+    step_batches: int = 0  # batches of a superstep; none: all of a state's
+    chunks: int = 1
+    negatives: int = 100
+    degree_fraction: float = 0.0
+    local_filter: str = "deg"
+    method: str = "rns"
+    selected_ratio: float = 1.0
+    tournament: bool = False
+    parts: int = 1
+    capacity: int = 1
+    ordering: str = "COMET"
+    ratio: int = 1
+    pinned: int = 0
+    seed: int = 0
+    scale: float = 0.5
+
+
+@dataclass
+class State:
+    """Node table (id, emb, state, and emb_g, state_g for a generator), relations by kind, the dense optimizer, and the
+    mean loss of each epoch."""
+
+    table: DataFrame
+    relations: dict[str, np.ndarray]
+    optimizer: object
+    losses: list[float] = field(default_factory=list)
 
 
 def initial_vectors(spark: SparkSession, n_nodes: int, dim: int, scale: float = 0.5, seed: str = "init") -> DataFrame:
@@ -26,68 +85,228 @@ def initial_vectors(spark: SparkSession, n_nodes: int, dim: int, scale: float =
     return spark.range(n_nodes).select("id", place.alias("emb"), F.array_repeat(F.lit(0.0), dim).alias("state"))
 
 
-def sparse_adagrad(table: DataFrame, gradients: DataFrame, rate: float = 0.1, eps: float = 1e-10) -> DataFrame:
-    """id, emb, state after s += g^2, x -= rate g / (sqrt(s) + eps) of rows that have a gradient (id, grad)."""
+def initial_relations(decoder: str, n: int, dim: int, inverse: bool) -> dict[str, np.ndarray]:
+    """Relation vectors with which a decoder starts: ones, the complex one, or zeros for a translation."""
+    if 16 * n * dim > RELATION_BYTES:
+        raise ValueError(f"{n} relations of {dim} components are more than the driver holds")
+    start = np.zeros((n, dim)) if decoder == "transe" else np.ones((n, dim))
+    if decoder == "complex":
+        start[:, dim // 2 :] = 0
+    return {"relations": start} | ({"inverse_relations": start.copy()} if inverse else {})
+
+
+def sparse_adagrad(table: DataFrame, gradients: DataFrame, rate: float = 0.1, eps: float = 1e-10, emb: str = "emb", state: str = "state") -> DataFrame:
+    """``table`` after s += g^2, x -= rate g / (sqrt(s) + eps) of rows that have a gradient (id, grad)."""
     rows = table.join(gradients, "id", "left")
-    state = F.when(F.col("grad").isNull(), F.col("state")).otherwise(F.zip_with("state", "grad", lambda s, g: s + g * g))
-    rows = rows.withColumn("state", state)
-    step = F.zip_with("state", "grad", lambda s, g: -rate * g / (F.sqrt(s) + eps))
-    emb = F.when(F.col("grad").isNull(), F.col("emb")).otherwise(F.zip_with("emb", step, lambda x, d: x + d))
-    return rows.select("id", emb.alias("emb"), "state")
-
-
-def softmax_gradients(s: np.ndarray, r: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Loss (sum) of DistMult edges s, r, d against shared negatives n (k, dim), and gradients by each."""
-    query = s * r
-    scores = np.concatenate([(query * d).sum(1, keepdims=True), query @ n.T], 1)
-    top = scores.max(1, keepdims=True)
-    e = np.exp(scores - top)
-    p = e / e.sum(1, keepdims=True)
-    loss = float((np.log(e.sum(1)) + top[:, 0] - scores[:, 0]).sum())
-    g0, gn = p[:, :1] - 1, p[:, 1:]
-    dq = g0 * d + gn @ n
-    return loss, dq * r, dq * s, g0 * query, gn.T @ query
-
-
-def superstep(edges: DataFrame, table: DataFrame, rels: dict[int, np.ndarray], drawn: DataFrame, rate: float = 0.1) -> tuple[DataFrame, float]:
-    """The table after one superstep over ``edges`` (batch, row, src, rel, dst) and negatives (batch, slot, node), and
-    the mean loss."""
+    new = F.when(F.col("grad").isNull(), F.col(state)).otherwise(F.zip_with(state, "grad", lambda s, g: s + g * g))
+    rows = rows.withColumn(state, new)
+    step = F.zip_with(state, "grad", lambda s, g: -rate * g / (F.sqrt(s) + eps))
+    moved = F.when(F.col("grad").isNull(), F.col(emb)).otherwise(F.zip_with(emb, step, lambda x, d: x + d))
+    return rows.select(*[moved.alias(emb) if c == emb else F.col(c) for c in table.columns])
+
+
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    held = column.combine_chunks()
+    held = held if isinstance(held, pa.ListArray) else pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
+    return held.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def batch_gradients(settings: Settings, relations: dict[str, np.ndarray], edges: dict[str, np.ndarray], drawn: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, generators: np.ndarray | None, rng: np.random.Generator) -> tuple[float, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Loss of a batch and its gradients by kind: ids and rows.
+
+    ``edges``: src, rel, dst in order; ``drawn``: side, chunk, slot, node; ``vectors`` of the sorted ``ids``.
+    """
+    s = settings
+    at = {k: np.searchsorted(ids, edges[k]) for k in ("src", "dst")}
+    total, nodes = 0.0, np.zeros_like(vectors)
+    rels = {k: np.zeros_like(v) for k, v in relations.items()}
+    gens = None if generators is None else np.zeros_like(generators)
+    size = -(-len(edges["src"]) // s.chunks)
+    weighted = int(s.negatives * s.degree_fraction)
+    sides = [("src", "dst", "relations")] + ([("dst", "src", "inverse_relations")] if s.inverse_edges else [])
+    for number, (kept, replaced, kind) in enumerate(sides):
+        for chunk in range(s.chunks):
+            own = np.arange(chunk * size, min((chunk + 1) * size, len(edges["src"])))
+            if not len(own):
+                continue
+            mine = (drawn["side"] == number) & (drawn["chunk"] == chunk)
+            rows = rng.integers(0, len(edges["src"]), weighted)  # edges whose ends are negatives by degree
+            nodes_of = np.concatenate([edges[replaced][rows], drawn["node"][mine][np.argsort(drawn["slot"][mine])]])
+            places = np.searchsorted(ids, nodes_of)
+            masked = None
+            if s.local_filter == "all":  # negatives that make an edge of the batch
+                keys = np.stack([edges[kept], edges["rel"]], 1)
+                _, group = np.unique(keys, axis=0, return_inverse=True)
+                facts = np.unique(group.astype(np.int64) * (len(ids) + 1) + at[replaced])
+                masked = np.isin(group[own][:, None].astype(np.int64) * (len(ids) + 1) + places[None, :], facts)
+            elif weighted:  # negatives that were drawn from the very edge
+                masked = np.zeros((len(own), len(places)), bool)
+                masked[:, :weighted] = own[:, None] == rows[None, :]
+            a, b, n = vectors[at[kept][own]], vectors[at[replaced][own]], vectors[places]
+            r = relations[kind][edges["rel"][own]]
+            chosen = None
+            k = int(len(places) * s.selected_ratio)
+            if s.method != "rns" and 0 < k < len(places):
+                if s.method == "dns":
+                    scores = G.compare_all(s.decoder, G.operate(s.decoder, a, r), n)
+                else:
+                    scores = G.compare_all(s.decoder, generators[at[kept][own]], generators[places])
+                chosen = G.select(-scores if s.decoder == "transe" else scores, k, s.tournament)
+            loss, da, dr, db, dn = G.side(s.decoder, s.loss, a, r, b, n, s.reduction, s.margin, chosen, masked)
+            if s.reduction == "mean":  # of the batch, not of a chunk
+                share = len(own) / len(edges["src"])
+                loss, da, dr, db, dn = (x * share for x in (loss, da, dr, db, dn))
+            total += loss
+            for places_of, grad in ((at[kept][own], da), (at[replaced][own], db), (places, dn)):
+                np.add.at(nodes, places_of, grad)
+            np.add.at(rels[kind], edges["rel"][own], dr)
+            if s.method == "gan":
+                reward = 2 * G.sigmoid(G.compare_all(s.decoder, G.operate(s.decoder, a, r), n)) - 1
+                _, ga, gn = G.generator(s.decoder, generators[at[kept][own]], generators[places], reward)
+                np.add.at(gens, at[kept][own], ga)
+                np.add.at(gens, places, gn)
+    out = {NODE: (ids, nodes)}
+    for code, kind in ((RELATION, "relations"), (INVERSE, "inverse_relations")):
+        if kind in rels:
+            used = np.unique(edges["rel"])
+            out[code] = (used, rels[kind][used])
+    if gens is not None:
+        out[GENERATOR] = (ids, gens)
+    return total, out
+
+
+def superstep(settings: Settings, edges: DataFrame, drawn: DataFrame, state: State, tag: int = 0) -> tuple[State, float]:
+    """The state after one superstep over ``edges`` (batch, row, src, rel, dst) and negatives (batch, side, chunk, slot,
+    node), and the sum of losses."""
     ship(edges.sparkSession)
-    emb = table.select("id", "emb")
-    left = edges.join(emb.select(F.col("id").alias("src"), F.col("emb").alias("s")), "src").join(emb.select(F.col("id").alias("dst"), F.col("emb").alias("d")), "dst")
-    right = drawn.join(emb.select(F.col("id").alias("node"), F.col("emb").alias("n")), "node")
-
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "loss": [], "grad": []}).astype({"id": "int64", "loss": "float64"})
-        a, b = a.sort_values("row"), b.sort_values("slot")
-        r = np.stack([rels[x] for x in a["rel"]])
-        loss, gs, _, gd, gn = softmax_gradients(np.stack(a["s"].to_numpy()), r, np.stack(a["d"].to_numpy()), np.stack(b["n"].to_numpy()))
-        ids = np.concatenate([a["src"], a["dst"], b["node"]])
-        unique, inverse = np.unique(ids, return_inverse=True)
-        summed = np.zeros((len(unique), gs.shape[1]))
-        np.add.at(summed, inverse, np.concatenate([gs, gd, gn]))
-        return pd.DataFrame({"id": unique, "loss": np.where(np.arange(len(unique)) == 0, loss, 0.0), "grad": list(summed)})
-
-    found = cut(left.groupBy("batch").cogroup(right.groupBy("batch")).applyInPandas(work, "id long, loss double, grad array<double>"))
-    loss = found.agg(F.sum("loss")).first()[0] or 0.0
-    grads = found.groupBy("id").agg(sum_vectors("grad", dimension(table)).alias("grad"))
-    return cut(sparse_adagrad(table, grads, rate)), loss / max(edges.count(), 1)
-
-
-def train(edges: DataFrame, n_nodes: int, dim: int = 16, epochs: int = 2, batch: int = 1000, n_negatives: int = 100, rate: float = 0.1, rels: dict[int, np.ndarray] | None = None) -> tuple[DataFrame, list[float]]:
-    """id, emb, state after ``epochs`` over ``edges`` (edge_id, src, rel, dst), and the mean loss of each."""
-    spark = edges.sparkSession
-    table, losses = cut(initial_vectors(spark, n_nodes, dim)), []
-    kinds = [r["rel"] for r in edges.select("rel").distinct().collect()] if rels is None else []  # relations: one row each
-    rels = rels or {k: np.ones(dim) for k in kinds}
-    n_batches = -(-edges.count() // batch)
-    for epoch in range(epochs):
-        cutting = batches(shuffle_edges(edges, f"epoch{epoch}"), batch)
-        drawn = uniform_negatives(spark, n_batches, 1, n_negatives, n_nodes, f"train{epoch}")
-        table, loss = superstep(cutting, table, rels, drawn, rate)
-        losses.append(loss)
-    return table, losses
+    table, relations, s = state.table, state.relations, settings
+    with_generator = s.method == "gan"
+    narrow = edges.select("batch", "row", "src", "rel", "dst", *[F.lit(None).cast("int").alias(c) for c in ("side", "chunk", "slot")])
+    narrow = narrow.unionByName(drawn.select("batch", "side", "chunk", "slot", F.col("node").alias("src")), allowMissingColumns=True)
+    needed = edges.select(F.col("batch").alias("own"), F.explode(F.array("src", "dst")).alias("id")).union(drawn.select("batch", "node")).distinct()
+    held = needed.join(table.select("id", "emb", *(["emb_g"] if with_generator else [])), "id")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"kind": pa.array([], pa.int32()), "id": pa.array([], pa.int64()), "grad": pa.array([], pa.list_(pa.float64()))})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        left = left.sort_by([("row", "ascending")])
+        is_edge = np.asarray(left["row"].is_valid())
+        column = lambda name: left[name].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        edge = {k: column(k)[is_edge] for k in ("src", "rel", "dst")}
+        if not is_edge.any():
+            return empty
+        negatives = {"node": column("src")[~is_edge]} | {k: column(k)[~is_edge] for k in ("side", "chunk", "slot")}
+        right = right.sort_by([("id", "ascending")])
+        ids = right["id"].to_numpy()
+        generators = _matrix(right["emb_g"], len(ids)) if with_generator else None
+        rng = np.random.default_rng([s.seed, tag, int(left["batch"][0].as_py())])
+        loss, found = batch_gradients(s, relations, edge, negatives, ids, _matrix(right["emb"], len(ids)), generators, rng)
+        found[LOSS] = (np.zeros(1, np.int64), np.array([[loss]]))
+        parts = [pa.table({"kind": pa.array(np.full(len(i), kind, np.int32)), "id": pa.array(i.astype(np.int64)), "grad": pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * g.shape[1]), pa.array(g.ravel()))}) for kind, (i, g) in found.items()]
+        return pa.concat_tables(parts)
+
+    found = cut(narrow.groupBy("batch").cogroup(held.groupBy("own")).applyInArrow(work, GRADIENTS))
+    summed = lambda kind, dim: found.where(F.col("kind") == kind).groupBy("id").agg(sum_vectors("grad", dim).alias("grad"))
+    dense = {k: np.zeros_like(v) for k, v in relations.items()}
+    for kind, name in ((RELATION, "relations"), (INVERSE, "inverse_relations")):
+        if name in dense:
+            for row in summed(kind, s.dim).collect():  # a row for each relation
+                dense[name][row["id"]] = row["grad"]
+    relations = dict(relations)
+    if s.decoder != "dot":
+        state.optimizer.step(relations, dense)
+    new = sparse_adagrad(table, summed(NODE, s.dim), s.rate)
+    if with_generator:
+        new = sparse_adagrad(new, summed(GENERATOR, s.dim), s.rate, emb="emb_g", state="state_g")
+    new = cut(new)
+    loss = found.where(F.col("kind") == LOSS).agg(F.sum(F.col("grad")[0])).first()[0] or 0.0
+    release(found, table)
+    return State(new, relations, state.optimizer, state.losses), loss
+
+
+def optimizer(kind: str, rate: float):
+    return {"sgd": SGD, "adagrad": Adagrad, "adam": Adam}[kind](rate)
+
+
+def start(spark: SparkSession, settings: Settings, n_nodes: int, n_relations: int) -> State:
+    """The state before the first epoch."""
+    s = settings
+    table = initial_vectors(spark, n_nodes, s.dim, s.scale, f"init{s.seed}")
+    if s.method == "gan":
+        other = initial_vectors(spark, n_nodes, s.dim, s.scale, f"generator{s.seed}")
+        table = table.join(other.select("id", F.col("emb").alias("emb_g"), F.col("state").alias("state_g")), "id")
+    return State(cut(table), initial_relations(s.decoder, n_relations, s.dim, s.inverse_edges), optimizer(s.dense_optimizer, s.dense_rate))
+
+
+def states_of(settings: Settings) -> list[tuple[int, ...]]:
+    """The resident partitions of each state of an epoch."""
+    s = settings
+    if s.parts <= 1:
+        return [(0,)]
+    if s.capacity >= s.parts:
+        return [tuple(range(s.parts))]
+    return K.order_buckets(s.ordering, s.parts, s.capacity, s.ratio, s.pinned, s.seed)
+
+
+def resident_node(n_nodes: int, parts: int, resident: tuple[int, ...], *draw: Column | str) -> Column:
+    """A seeded node of the resident partitions, all with the same chance."""
+    size = P.partition_size(n_nodes, parts)
+    own = [p for p in sorted(resident) if p * size < n_nodes]  # a short partition is the last of all
+    total = sum(min(size, n_nodes - p * size) for p in own)
+    local = pick(total, *draw)
+    return F.element_at(F.array(*[F.lit(p) for p in own]), (F.floor(local / size) + 1).cast("int")).cast("long") * size + F.pmod(local, F.lit(size))
+
+
+def draw_negatives(spark: SparkSession, settings: Settings, n_nodes: int, resident: tuple[int, ...], begin: int, end: int, seed: str) -> DataFrame:
+    """batch, side, chunk, slot, node: the uniform negatives of batches ``begin`` to ``end``; a batch draws those by degree
+    from its own edges."""
+    s = settings
+    sides, n = 2 if s.inverse_edges else 1, s.negatives - int(s.negatives * s.degree_fraction)
+    each = sides * s.chunks * n
+    every = spark.range(begin * each, end * each)
+    digit = lambda over, k: F.pmod(F.floor(F.col("id") / max(over, 1)), F.lit(max(k, 1))).cast("int")
+    rows = every.select(F.floor(F.col("id") / max(each, 1)).cast("long").alias("batch"), digit(s.chunks * n, sides).alias("side"), digit(n, s.chunks).alias("chunk"), digit(1, n).alias("slot"))
+    return rows.withColumn("node", resident_node(n_nodes, max(s.parts, 1), resident, seed, F.col("batch"), F.col("side"), F.col("chunk"), F.col("slot")))
+
+
+def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int | None = None, state: State | None = None, first: int = 0, after_epoch: Callable[[int, State], None] | None = None) -> State:
+    """The state after ``settings.epochs`` epochs from ``first`` on over ``edges`` (edge_id, src, rel, dst)."""
+    s, spark = settings, edges.sparkSession
+    if n_relations is None:
+        n_relations = (edges.agg(F.max("rel")).first()[0] or 0) + 1
+    state = state or start(spark, s, n_nodes, n_relations)
+    schedule = states_of(s)
+    bucketed = P.with_buckets(edges.select("edge_id", "src", "rel", "dst"), n_nodes, max(s.parts, 1))
+    owned = F.broadcast(P.assign_buckets(P.states_table(spark, schedule)))  # parts squared rows
+    placed = cut(bucketed.join(owned, ["src_part", "dst_part"]).select("edge_id", "src", "rel", "dst", F.col("state").alias("at")))
+    counts = {r["at"]: r["n"] for r in placed.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for epoch in range(first, s.epochs):
+        total = 0.0
+        for number, resident in enumerate(schedule):
+            if not counts.get(number):
+                continue
+            n_batches = -(-counts[number] // s.batch)
+            per_step = s.step_batches or n_batches
+            own = batches(shuffle_edges(placed.where(F.col("at") == number), f"epoch{s.seed}:{epoch}"), s.batch)
+            own = cut(own) if per_step < n_batches else own
+            for begin in range(0, n_batches, per_step):
+                end = min(begin + per_step, n_batches)
+                drawn = draw_negatives(spark, s, n_nodes, resident, begin, end, f"train{s.seed}:{epoch}:{number}")
+                mine = own.where((F.col("batch") >= begin) & (F.col("batch") < end))
+                state, loss = superstep(s, mine, drawn, state, epoch * len(schedule) + number)
+                total += loss
+            release(own)
+        state.losses.append(total / max(sum(counts.values()), 1))
+        if after_epoch:
+            after_epoch(epoch, state)
+    release(placed)
+    return state
+
+
+def relation_table(spark: SparkSession, vectors: np.ndarray) -> DataFrame:
+    """rel and vec of each relation."""
+    return spark.createDataFrame(pd.DataFrame({"rel": np.arange(len(vectors), dtype=np.int32), "vec": [v.tolist() for v in vectors]}), "rel int, vec array<double>")
 
 
 def train_classifier(rows: DataFrame, n_classes: int, epochs: int = 30, optimizer=None) -> tuple[np.ndarray, list[float]]:
@@ -120,4 +339,5 @@ def train_classifier(rows: DataFrame, n_classes: int, epochs: int = 30, optimize
         parts = rows.mapInPandas(work, "loss double, grad array<double>").collect()
         losses.append(sum(p["loss"] for p in parts) / max(n, 1))
         optimizer.step(params, {"w": sum(np.array(p["grad"]) for p in parts).reshape(w.shape) / max(n, 1)})
+    release(rows)
     return params["w"], losses

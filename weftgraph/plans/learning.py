@@ -10,12 +10,14 @@ from weftgraph.functions import losses as L
 from weftgraph.functions import vectors as V
 from weftgraph.functions.optim import Adagrad, Adam, SGD, average, generator_reward, init, policy_loss
 from weftgraph.operators import messages as E
+from weftgraph.operators import sampling as N
 from weftgraph.operators import scoring as S
 from weftgraph.operators import train as T
 from weftgraph.plans.base import query
 from weftgraph.plans.graph import first_four
 from weftgraph.plans.ingest import EDGE_IDS, edges_with_ids
 from weftgraph.sources.graphs import FOLDED, RELATIONS, VECTORS, folded, n_vectors, relation_vectors, table, vectors
+from weftgraph.sources.shared import cut
 
 ENDS = f"{EDGE_IDS}, {VECTORS}, {RELATIONS}, ends AS (SELECT edge_id, ids.rel, a.emb AS s, r.vec AS r, b.emb AS d FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = ids.rel)"
 
@@ -218,12 +220,54 @@ def s17_encode_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unfold(S.encode_nodes(vectors(spark, sf_dir), lambda x: x @ weights).select("id", F.col("emb").alias("vec")))
 
 
+def _trained(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """Mean loss by epoch of training over the folded graph."""
+    settings = T.Settings(**({"dim": 16, "epochs": 2, "batch": 2000, "step_batches": 100, "negatives": 50, "inverse_edges": True} | how))
+    state = T.train(edges_with_ids(spark, sf_dir), n_vectors(spark, sf_dir), settings, 3)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(state.losses)], "epoch int, loss double")
+
+
 @query()
 def train_link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean loss of two epochs over the folded graph."""
-    edges = edges_with_ids(spark, sf_dir)
-    _, found = T.train(edges, n_vectors(spark, sf_dir), dim=8, epochs=2, batch=4000, n_negatives=50, rels={k: np.ones(8) for k in range(3)})
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(found)], "epoch int, loss double")
+    return _trained(spark, sf_dir)
+
+
+@query()
+def train_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir, decoder="complex", loss="softplus", reduction="mean", dense_optimizer="adam", dense_rate=0.01)
+
+
+@query()
+def train_transe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives, held in four partitions of which two are resident."""
+    return _trained(spark, sf_dir, decoder="transe", method="dns", selected_ratio=0.5, tournament=True, parts=4, capacity=2, ordering="BETA")
+
+
+@query()
+def train_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives chosen by a second table of vectors that learns from their scores."""
+    return _trained(spark, sf_dir, loss="ranking", method="gan", selected_ratio=0.2, degree_fraction=0.5, chunks=4)
+
+
+STEP_SQL = f"""WITH {EDGE_IDS}, {VECTORS}, {RELATIONS},
+ends AS (SELECT a.id AS src, b.id AS dst, ids.rel, edge_id, a.emb AS s, r.vec AS r, b.emb AS d FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = ids.rel),
+err AS (SELECT *, 2 * (list_dot_product([s[i] * r[i] FOR i IN range(1, 65)], d) - 1) AS e FROM ends),
+grads AS (SELECT src AS id, i, e * r[i] * d[i] AS g FROM err, range(1, 65) t(i) UNION ALL SELECT dst, i, e * s[i] * r[i] FROM err, range(1, 65) t(i)),
+total AS (SELECT id, i, sum(g) AS g FROM grads GROUP BY ALL)
+SELECT emb.id, i, round(emb[i] - CASE WHEN g IS NULL THEN 0 ELSE 0.1 * g / (sqrt(0.25 + g * g) + 1e-10) END, 5) AS x FROM emb CROSS JOIN range(1, 65) t(i) LEFT JOIN total USING (id, i)"""
+
+
+@query(STEP_SQL)
+def train_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors after one superstep over all edges by squared error without negatives, from given vectors."""
+    settings = T.Settings(dim=64, loss="mse", batch=1000, negatives=0)
+    vecs = np.array([r["vec"] for r in relation_vectors(spark).orderBy("rel").collect()])
+    table = cut(vectors(spark, sf_dir).select("id", "emb", F.transform("emb", lambda x: F.lit(0.25)).alias("state")))
+    edges = N.batches(N.shuffle_edges(edges_with_ids(spark, sf_dir)), 1000)
+    none = spark.range(0).select(F.col("id").alias("batch"), *[F.lit(0).alias(c) for c in ("side", "chunk", "slot")], F.col("id").alias("node"))
+    state, _ = T.superstep(settings, edges, none, T.State(table, {"relations": vecs}, T.optimizer("sgd", 0.1)))
+    out = state.table.select("id", F.posexplode("emb").alias("i", "x"))
+    return out.select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
 @query()
