@@ -76,10 +76,10 @@ def test_listed_and_arithmetic_ids_agree(spark, edges):
 
 def test_uniform_sample_draws_with_replacement(spark, edges):
     roots = spark.createDataFrame([(0, 0)], "root long, node long")
-    found = N.sample_uniform(N.neighbours(roots, edges, incoming=False), 3)
+    found = N.sample_uniform(roots, N.adjacency(edges, incoming=False), 3)
     rows = found.collect()
     assert sorted(r.slot for r in rows) == [0, 1, 2] and {r.src for r in rows} == {0}
-    every = N.sample_uniform(N.neighbours(roots, edges, incoming=False), 5).collect()
+    every = N.sample_uniform(roots, N.adjacency(edges, incoming=False), 5).collect()
     assert sorted(r.edge_id for r in every) == [0, 1, 5, 6, 7]
 
 
@@ -133,7 +133,7 @@ def test_candidate_scores_by_matrix_and_by_join(spark, edges, decoder):
     rels = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(2)], "rel int, vec array<double>")
     rows = edges.select("edge_id", "src", "rel", F.col("dst").alias("node"))
     rows = rows.unionByName(spark.createDataFrame([(90, 0, 7, 1), (91, 99, 0, 1), (92, 0, 0, None)], rows.schema))
-    by = [{r.edge_id: round(r.score, 9) for r in S.score_candidates(rows, nodes, rels, decoder, small).collect()} for small in (1 << 20, 0)]
+    by = [{r.edge_id: round(r.score, 9) for r in S.score_candidates(rows, nodes, rels, decoder, small).collect()} for small in (1 << 20, -1)]
     assert by[0] == by[1] and sorted(by[0]) == [i for i, e in enumerate(EDGES) if 4 not in e]
 
 

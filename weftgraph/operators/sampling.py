@@ -37,21 +37,32 @@ def neighbours(frontier: DataFrame, edges: DataFrame, incoming: bool = True, out
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def sample_uniform(found: DataFrame, most: int, seed: str = "uniform") -> DataFrame:
-    """Rows of ``neighbours`` with slot: all of a node's edges if there are at most ``most``, else that many draws
-    with replacement from its edges in order of edge_id.
+def adjacency(edges: DataFrame, incoming: bool = True, outgoing: bool = True) -> DataFrame:
+    """The written table node, direction, _at, edge_id, src, rel, dst: every edge at each of its ends, with its place (from
+    0, by edge_id) among those of the node. Places are counted by ranges of ids, so that no task holds all edges of a
+    node that has very many."""
+    out = []
+    for wanted, at, direction in ((incoming, "dst", "in"), (outgoing, "src", "out")):
+        if wanted:
+            out.append(edges.select(F.col(at).alias("node"), F.lit(direction).alias("direction"), "edge_id", "src", "rel", "dst"))
+    return cut(places_within(out[0] if len(out) == 1 else out[0].unionByName(out[1]), ["node", "direction"], "edge_id", "_at"))
+
 
-    The edges of a node are placed by ranges of ids, so that no task holds all edges of a node that has very many.
+def sample_uniform(frontier: DataFrame, listed: DataFrame, most: int, seed: str = "uniform") -> DataFrame:
+    """Rows of ``neighbours`` of ``frontier`` (root, node) with slot: all of a node's edges in a direction if there are at
+    most ``most``, else that many draws with replacement from its edges in order of edge_id. ``listed``: ``adjacency``.
+
+    Places are drawn from the degrees, and only drawn edges are looked up: a root costs ``most`` rows, whatever the
+    degrees of what it reaches.
     """
-    keys = ["root", "node", "direction"]
-    listed = places_within(found, keys, "edge_id", "_at")
-    degree = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_degree"))
-    small = listed.join(degree.where(F.col("_degree") <= most), keys).withColumn("slot", F.col("_at").cast("int"))
-    draws = degree.where(F.col("_degree") > most).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    draws = draws.withColumn("_at", pick(F.col("_degree"), seed, F.col("root"), F.col("node"), F.col("direction"), F.col("slot")))
-    drawn = listed.join(draws, [*keys, "_at"])
-    columns = [*found.columns, "slot"]
-    return small.select(*columns).unionByName(drawn.select(*columns))
+    degrees = listed.groupBy("node", "direction").agg(F.count(F.lit(1)).alias("_degree"))
+    met = frontier.select("root", "node").distinct().join(degrees, "node")
+    slots = F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("_degree")).cast("int") - 1))
+    draws = met.withColumn("slot", slots)
+    drawn = pick(F.col("_degree"), seed, F.col("root"), F.col("node"), F.col("direction"), F.col("slot"))
+    draws = draws.withColumn("_at", F.when(F.col("_degree") <= most, F.col("slot").cast("long")).otherwise(drawn))
+    found = draws.join(listed, ["node", "direction", "_at"])
+    return found.select("root", "node", "edge_id", "src", "rel", "dst", "direction", "slot")
 
 
 def sample_dropout(found: DataFrame, rate: float, seed: str = "dropout") -> DataFrame:
@@ -64,15 +75,18 @@ def k_hop(roots: DataFrame, edges: DataFrame, hops: int, incoming: bool = True,
     the hop before reached for the first time. ``roots``: root."""
     visited = roots.select("root", F.col("root").alias("node")).distinct()
     frontier, layers = visited, []
+    listed = adjacency(edges, incoming, outgoing) if most is not None else None
     for hop in range(hops):
-        found = neighbours(frontier, edges, incoming, outgoing)
-        if most is not None:
-            found = sample_uniform(found, most, f"{seed}{hop}").drop("slot")
-        layers.append(found.withColumn("hop", F.lit(hop)))
+        if most is None:
+            found = neighbours(frontier, edges, incoming, outgoing)
+        else:
+            found = sample_uniform(frontier, listed, most, f"{seed}{hop}").drop("slot")
         if hop + 1 < hops:
+            found = cut(found)
             reached = found.select("root", F.when(F.col("direction") == "in", F.col("src")).otherwise(F.col("dst")).alias("node")).distinct()
             frontier = cut(reached.join(visited, ["root", "node"], "left_anti"))
             visited = visited.unionByName(frontier)
+        layers.append(found.withColumn("hop", F.lit(hop)))
     out = layers[0]
     for layer in layers[1:]:
         out = out.unionByName(layer)

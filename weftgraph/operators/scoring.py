@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import gradients as G
 from weftgraph.functions import vectors as V
 from weftgraph.operators.sampling import select_top, select_tournament
+from weftgraph.sources.shared import cut, ship
 
 Score = Callable[[Column, Column, Column], Column]
 
@@ -57,65 +59,79 @@ def gather_once(ids: DataFrame, emb: DataFrame, column: str = "node") -> DataFra
 
 def score_positives(edges: DataFrame, emb: DataFrame, rels: DataFrame, decoder: str = "distmult", inverse: DataFrame | None = None) -> DataFrame:
     """``edges`` with score, and inverse_score (dst, inverse relation, src) if there are inverse relations."""
-    rows = with_relation(with_ends(edges, emb), rels)
-    out = rows.withColumn("score", decoder_score(decoder, F.col("src_emb"), F.col("rel_vec"), F.col("dst_emb")))
-    if inverse is not None:
-        out = with_relation(out, inverse, "inv_vec").withColumn("inverse_score", decoder_score(decoder, F.col("dst_emb"), F.col("inv_vec"), F.col("src_emb")))
-    return out.drop("src_emb", "dst_emb", "rel_vec", "inv_vec")
+    wanted = {"score": (decoder, "src", "dst", rels)} | ({} if inverse is None else {"inverse_score": (decoder, "dst", "src", inverse)})
+    return scored(edges, emb, wanted, positive=True)
 
 
 def score_candidates(rows: DataFrame, emb: DataFrame, rels: DataFrame, decoder: str = "distmult", small: int = 64 << 20) -> DataFrame:
-    """``rows`` (src, rel, node, ...) with score of (src, rel, node); rows without a vector for one of these are left out.
+    """``rows`` (src, rel, node, ...) with score of (src, rel, node); rows without a vector for one of these are left out."""
+    return scored(rows, emb, {"score": (decoder, "src", "node", rels)}, positive=False, small=small)
 
-    If the vectors of all nodes take ``small`` bytes at most, tasks get them as a matrix and rows stay narrow. Else
-    vectors are joined; a source's meets its relation's once for each distinct pair, not for each candidate.
-    """
-    operate, _, candidate, _ = DECODERS[decoder]
-    size = emb.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.size("emb")).alias("dim")).first()
-    if size["n"] and size["first"] >= 0 and 8 * (size["last"] + 1) * size["dim"] <= small:
-        return _score_by_matrix(rows, emb, rels, decoder)
-    pairs = with_relation(rows.select("src", "rel").distinct().join(emb.select(F.col("id").alias("src"), F.col("emb").alias("_src")), "src"), rels, "_rel")
-    queries = pairs.select("src", "rel", operate(F.col("_src"), F.col("_rel")).alias("_query"))
-    known = rows.join(queries, ["src", "rel"]).join(emb.select(F.col("id").alias("node"), F.col("emb").alias("_node")), "node")
-    return known.withColumn("score", candidate(F.col("_query"), F.col("_node"))).select(*rows.columns, "score")
 
+def scored(rows: DataFrame, emb: DataFrame, wanted: dict[str, tuple[str, str, str, DataFrame]], positive: bool, small: int = 64 << 20) -> DataFrame:
+    """``rows`` (rel and the ends' columns, ...) with scores by name, each of (decoder, kept end, replaced end, relations);
+    rows without one of the vectors are left out.
 
-def _matrix(table: DataFrame, key: str, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors by id, and which ids have one."""
-    held = table.select(key, column).toArrow()
-    ids = held[key].to_numpy()
-    values = np.zeros((int(ids.max(initial=-1)) + 1, len(held[column][0]) if len(held) else 0))
-    values[ids] = np.array(held[column].to_pylist()).reshape(len(ids), -1)
-    there = np.zeros(len(values), bool)
-    there[ids] = True
-    return values, there
-
-
-def _score_by_matrix(rows: DataFrame, emb: DataFrame, rels: DataFrame, decoder: str) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    nodes, relations = context.broadcast(_matrix(emb, "id", "emb")), context.broadcast(_matrix(rels, "rel", "vec"))
-    names = rows.columns
+    Scores are products of matrices of a batch's rows. If the vectors of all nodes take ``small`` bytes at most (their
+    ids are counted first), tasks get them as one matrix and rows stay narrow. Else vectors are joined as floats of
+    their own width: one shuffle of narrow rows for the first end, one of rows with a vector for the second.
+    """
+    ends = list(dict.fromkeys(e for _, a, b, _ in wanted.values() for e in (a, b)))
+    size = emb.agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.size("emb")).alias("dim")).first()
+    few = size["last"] is not None and size["first"] >= 0 and 8 * (size["last"] + 1) * size["dim"] <= small
+    context, names, found = rows.sparkSession.sparkContext, rows.columns, list(wanted)
+    tables = {id(r): context.broadcast(_matrix(r, "rel", "vec")) for _, _, _, r in wanted.values()}  # a row for each relation
+    plan = [(name, decoder, a, b, tables[id(r)]) for name, (decoder, a, b, r) in wanted.items()]
+    nodes = context.broadcast(_matrix(emb, "id", "emb")) if few else None
+    if not few:
+        for i, end in enumerate(ends):
+            rows = rows.join(emb.select(F.col("id").alias(end), F.col("emb").alias(f"_v{i}")), end)
 
     def known(ids: np.ndarray, there: np.ndarray) -> np.ndarray:
         inside = (ids >= 0) & (ids < len(there))
-        return inside & there[np.where(inside, ids, 0)]
+        return inside & there[np.where(inside, ids, 0)] if len(there) else inside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (e, has), (r, has_rel) = nodes.value, relations.value
         for batch in batches:
-            src, rel, node = (np.asarray(batch[c].fill_null(-1)).astype(np.int64) for c in ("src", "rel", "node"))
-            kept = known(src, has) & known(node, has) & known(rel, has_rel)
-            a, b, c = e[src[kept]], r[rel[kept]], e[node[kept]]
-            if decoder == "complex":
-                half = a.shape[1] // 2
-                a = np.concatenate([a[:, :half] * b[:, :half] - a[:, half:] * b[:, half:], a[:, :half] * b[:, half:] + a[:, half:] * b[:, :half]], 1)
-            elif decoder != "dot":
-                a = a + b if decoder == "transe" else a * b
-            scores = np.sqrt(np.maximum(((a - c) ** 2).sum(1), 1e-8)) if decoder == "transe" else np.einsum("nd,nd->n", a, c)
+            ids = {c: np.asarray(batch[c].fill_null(-1)).astype(np.int64) for c in ("rel", *ends)}
+            kept = np.ones(batch.num_rows, bool)
+            for _, _, _, _, relations in plan:
+                kept &= known(ids["rel"], relations.value[1])
+            if few:
+                matrix, there = nodes.value
+                for end in ends:
+                    kept &= known(ids[end], there)
             own = batch.filter(pa.array(kept))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores)], names=[*names, "score"])
+            if not own.num_rows:
+                continue
+            at = {c: x[kept] for c, x in ids.items()}
+            held = {end: matrix[at[end]] if few else vectors_of(own[f"_v{i}"]) for i, end in enumerate(ends)}
+            out = []
+            for _, decoder, a, b, relations in plan:
+                q = G.operate(decoder, held[a], relations.value[0][at["rel"]])
+                out.append(pa.array(G.compare(decoder, q, held[b]) if positive else G.candidate_scores(decoder, q, held[b])))
+            yield pa.RecordBatch.from_arrays([*(own[c] for c in names), *out], names=[*names, *found])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "score double"]))
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names), *(f"{n} double" for n in wanted)]
+    ship(rows.sparkSession)
+    return rows.select(*names, *([] if few else [f"_v{i}" for i in range(len(ends))])).mapInArrow(run, ", ".join(fields))
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _matrix(table: DataFrame, key: str, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors by id, and which ids have one."""
+    held = table.select(key, column).toArrow()
+    ids, vectors = held[key].to_numpy(), held[column].combine_chunks()
+    values = np.zeros((int(ids.max(initial=-1)) + 1, len(vectors[0]) if len(vectors) else 0))
+    if len(ids):
+        values[ids] = vectors_of(vectors)
+    there = np.zeros(len(values), bool)
+    there[ids] = True
+    return values, there
 
 
 def select_hard(scored: DataFrame, n: int, ratio: float, by: list[str], tournament: bool = True) -> DataFrame:
@@ -154,32 +170,32 @@ def argmax(scores: Column) -> Column:
 def filtered_ranks(edges: DataFrame, emb: DataFrame, rels: DataFrame, known: DataFrame, decoder: str = "distmult", block: int = 4096, rows: int = 4096, places: int = 6) -> DataFrame:
     """edge_id, src, rel, dst, score, rank of each of ``edges`` among all nodes, without those that make a known edge.
 
-    Every edge meets every node, as the metric asks. Nodes and edges are parted into blocks that meet by their numbers,
-    and each pair of blocks is one matrix product, which hands on a count for an edge; known edges are taken out by
-    their own scores, since only they are listed. Scores are rounded, so that ties don't hang on the last bits.
+    Every edge meets every node, as the metric asks. Nodes and asked edges are dealt by hashes into blocks of about
+    ``block`` and ``rows``, as many as their counts say, and each pair of blocks is one matrix product, which hands on a
+    count for an edge; known edges are taken out by their own scores, since only they are listed. Scores are rounded,
+    so that ties don't hang on the last bits.
     """
     operate, _, _, _ = DECODERS[decoder]
     queries = with_relation(edges.join(emb.select(F.col("id").alias("src"), F.col("emb").alias("_src")), "src"), rels, "_rel")
     queries = queries.join(emb.select(F.col("id").alias("dst"), F.col("emb").alias("_dst")), "dst")
-    queries = queries.select("edge_id", "src", "rel", "dst", operate(F.col("_src"), F.col("_rel")).alias("query"), F.round(decoder_score(decoder, F.col("_src"), F.col("_rel"), F.col("_dst"), positive=False), places).alias("score"))
-    nodes = emb.select(F.floor(F.col("id") / block).cast("long").alias("block"), "id", "emb")
-    left = queries.withColumn("rows", F.floor(F.col("edge_id") / rows).cast("long"))
-    n_blocks, n_groups = (df.agg(F.max(c)).first()[0] for df, c in ((nodes, "block"), (left, "rows")))
-    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n or 0).cast("long"))).alias(name)
-    keyed_edges = left.select("edge_id", "query", "score", "rows", every(n_blocks, "block"))
-    keyed_nodes = nodes.select("id", "emb", "block", every(n_groups, "rows"))
-    distance = decoder == "transe"
-
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"edge_id": [], "beaten": []}).astype("int64")
-        q, e = np.stack(a["query"].to_numpy()), np.stack(b["emb"].to_numpy())
-        scores = q @ e.T
-        if distance:
-            scores = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (e**2).sum(1)[None, :] - 2 * scores, 1e-8))
-        return pd.DataFrame({"edge_id": a["edge_id"].to_numpy(), "beaten": (np.round(scores, places) >= a["score"].to_numpy()[:, None]).sum(1)})
-
-    beaten = keyed_edges.groupBy("rows", "block").cogroup(keyed_nodes.groupBy("rows", "block")).applyInPandas(count, "edge_id long, beaten long").groupBy("edge_id").agg(F.sum("beaten").alias("beaten"))
+    queries = cut(queries.select("edge_id", "src", "rel", "dst", operate(F.col("_src"), F.col("_rel")).alias("query"), F.round(decoder_score(decoder, F.col("_src"), F.col("_rel"), F.col("_dst"), positive=False), places).alias("score")))
+    n_blocks, n_groups = (max(1, -(-df.count() // n)) for df, n in ((emb, block), (queries, rows)))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("long")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    keyed_edges = queries.select("edge_id", "query", "score", dealt("edge_id", n_groups).alias("rows"), every(n_blocks, "block"))
+    keyed_nodes = emb.select("id", "emb", dealt("id", n_blocks).alias("node_block"), every(n_groups, "node_rows"))
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        beaten = np.zeros(a.num_rows, np.int64)
+        if a.num_rows and b.num_rows:
+            q, e = vectors_of(a["query"].combine_chunks()), vectors_of(b["emb"].combine_chunks())
+            own = a["score"].to_numpy()
+            for at in range(0, len(q), 512):
+                beaten[at : at + 512] = (np.round(G.compare_all(decoder, q[at : at + 512], e), places) >= own[at : at + 512, None]).sum(1)
+        return pa.table({"edge_id": a["edge_id"], "beaten": pa.array(beaten)})
+
+    ship(edges.sparkSession)
+    beaten = keyed_edges.groupBy("rows", "block").cogroup(keyed_nodes.groupBy("node_rows", "node_block")).applyInArrow(count, "edge_id long, beaten long").groupBy("edge_id").agg(F.sum("beaten").alias("beaten"))
     facts = known.select("src", "rel", F.col("dst").alias("node")).distinct()
     listed = queries.select("edge_id", "src", "rel", F.col("score").alias("_own")).join(facts, ["src", "rel"])
     dropped = score_candidates(listed, emb, rels, decoder).where(F.round("score", places) >= F.col("_own")).groupBy("edge_id").agg(F.count(F.lit(1)).alias("dropped"))

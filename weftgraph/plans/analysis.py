@@ -27,14 +27,33 @@ def _sizes(spark: SparkSession, sf_dir: str, parts: int) -> list[int]:
     return [held[i] for i in range(parts * parts)]
 
 
-@query()
+def schedule_facts(spark: SparkSession, states) -> DataFrame:
+    """What a schedule promises, as rows (fact, a, b): "met" for partitions a and b that are resident together, "size" for
+    the b partitions of state a, "swaps" for the b partitions that state a admits."""
+    rows = schedule_table(spark, states)
+    met = P.covering(rows).select(F.lit("met").alias("fact"), F.col("src_part").alias("a"), F.col("dst_part").alias("b")).distinct()
+    sizes = rows.groupBy("state").agg(F.countDistinct("part").alias("b")).select(F.lit("size").alias("fact"), F.col("state").alias("a"), F.col("b").cast("int").alias("b"))
+    old = rows.select((F.col("state") + 1).alias("state"), "part")
+    fresh = rows.where("state > 0").join(old, ["state", "part"], "left_anti").groupBy("state").agg(F.count(F.lit(1)).alias("b")).select(F.lit("swaps").alias("fact"), F.col("state").alias("a"), F.col("b").cast("int").alias("b"))
+    return met.unionByName(sizes).unionByName(fresh).select("fact", F.col("a").cast("int").alias("a"), "b")
+
+
+def swap_facts(parts: int, groups: int, slots: int, capacity: int, swapped: int) -> str:
+    """SQL of the facts of a one-swap order of groups: all pairs meet, and each state admits one group. A pass goes
+    through the groups that wait, then fills the other slots with some of them."""
+    return f"""WITH RECURSIVE passes AS (SELECT {groups - slots} AS waiting, 1 AS n UNION ALL SELECT waiting - least({slots - 1}, waiting), n + waiting + least({slots - 1}, waiting) FROM passes WHERE waiting > 0), k AS (SELECT max(n) AS n FROM passes)
+SELECT 'met' AS fact, CAST(x.a AS INTEGER) AS a, CAST(y.b AS INTEGER) AS b FROM range({parts}) x(a), range({parts}) y(b) UNION ALL SELECT 'size', CAST(s AS INTEGER), {capacity} FROM range((SELECT n FROM k)) t(s) UNION ALL SELECT 'swaps', CAST(s AS INTEGER), {swapped} FROM range(1, (SELECT n FROM k)) t(s)"""
+
+
+@query(swap_facts(16, 16, 4, 4, 1))
 def k1_one_swap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule_table(spark, K.order_buckets("BETA", 16, 4))
+    return schedule_facts(spark, K.order_buckets("BETA", 16, 4))
 
 
-@query()
+@query(swap_facts(16, 7, 3, 8, 2))
 def k2_two_level_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule_table(spark, K.order_buckets("COMET", 16, 8, ratio=2, pinned=1))
+    """Groups of two, one of which is pinned: three of the other seven groups are resident at once."""
+    return schedule_facts(spark, K.order_buckets("COMET", 16, 8, ratio=2, pinned=1))
 
 
 @query("SELECT a AS src_part, b AS dst_part, CASE WHEN a = b THEN 5 ELSE 1 END AS n_states FROM range(16) x(a), range(16) y(b)")
@@ -70,11 +89,13 @@ def k6_optimized_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, int(a), int(b)) for n, a, b in zip(names, before, after, strict=True)], "measure string, before long, after long")
 
 
-@query()
+@query("SELECT CAST(s // 4 AS INTEGER) AS round, 4 AS n_lanes, CAST(s AS INTEGER) AS state FROM range(20) t(s)")
 def k7_lane_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each state is worked on once, in its round, by a lane of its own."""
     states = K.cover(16)
     path, _, _ = K.lane_orders([list(range(i, i + 4)) for i in range(0, 20, 4)], states, K.hotness(_sizes(spark, sf_dir, 16), 16))
-    return spark.createDataFrame([(r, lane, s) for r, own in enumerate(path) for lane, s in enumerate(own)], "round int, lane int, state int")
+    rows = spark.createDataFrame([(r, lane, s) for r, own in enumerate(path) for lane, s in enumerate(own)], "round int, lane int, state int")
+    return rows.join(rows.groupBy("round").agg(F.countDistinct("lane").cast("int").alias("n_lanes")), "round").select("round", "n_lanes", "state")
 
 
 @query(f"WITH {BUCKETS}, st AS (SELECT * FROM (VALUES {', '.join(f'({s}, {p})' for s, own in enumerate(STATES) for p in own)}) t(state, part)), w AS (SELECT a.state, count(*) AS weight FROM st a JOIN st b ON a.state = b.state JOIN bucketed ON src_part = a.part AND dst_part = b.part GROUP BY a.state) SELECT CAST(state // 2 AS INTEGER) AS round FROM w GROUP BY 1 ORDER BY max(weight), sum(weight), 1 LIMIT 1")
@@ -85,33 +106,45 @@ def k8_startup_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(K.startup_round([[0, 1], [2, 3], [4, 5]], weights, [0] * len(STATES)),)], "round int")
 
 
-@query()
+def group_facts(spark: SparkSession, groups, states) -> DataFrame:
+    """superstep, n_states, n_parts (distinct partitions of its states) of groups of states."""
+    rows = spark.createDataFrame([(i, s, p) for i, own in enumerate(groups) for s in own for p in states[s]], "superstep int, state int, part int")
+    return rows.groupBy("superstep").agg(F.countDistinct("state").cast("int").alias("n_states"), F.countDistinct("part").cast("int").alias("n_parts"))
+
+
+DISJOINT = "SELECT CAST(s AS INTEGER) AS superstep, 4 AS n_states, 16 AS n_parts FROM range(5) t(s)"
+
+
+@query(DISJOINT)
 def k9_supersteps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = K.supersteps(K.cover(16), 4) or []
-    return spark.createDataFrame([(i, s) for i, own in enumerate(groups) for s in own], "superstep int, state int")
+    """Four states a superstep that share no partition."""
+    return group_facts(spark, K.supersteps(K.cover(16), 4) or [], K.cover(16))
 
 
-@query()
+@query(DISJOINT)
 def k10_regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = K.cover(16)
-    groups = K.regroup(K.supersteps(states, 4) or [], states, _sizes(spark, sf_dir, 16), 16)
-    return spark.createDataFrame([(i, lane, s) for i, own in enumerate(groups) for lane, s in enumerate(own)], "superstep int, lane int, state int")
+    return group_facts(spark, K.regroup(K.supersteps(states, 4) or [], states, _sizes(spark, sf_dir, 16), 16), states)
 
 
-@query()
+@query("SELECT 'met' AS fact, CAST(x.a AS INTEGER) AS a, CAST(y.b AS INTEGER) AS b FROM range(8) x(a), range(8) y(b)")
 def k11_access_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule_table(spark, K.access_aware(8, 4, 2))
+    """All pairs meet (tests look at lanes and at what each step brings)."""
+    return schedule_facts(spark, K.access_aware(8, 4, 2)).where("fact = 'met'")
 
 
-@query()
+@query("SELECT CAST(p AS INTEGER) AS part, true AS resident FROM range(16) t(p)")
 def k12_dispersed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule_table(spark, K.dispersed(16, 4))
+    """Every partition is resident at some time."""
+    return schedule_table(spark, K.dispersed(16, 4)).select("part", F.lit(True).alias("resident")).distinct()
 
 
-@query("SELECT p AS part FROM range(3) t(p)")
+@query("SELECT CAST(p AS INTEGER) AS slot, p < 3 AS trains, true AS distinct_part FROM range(5) t(p)")
 def k13_sequential_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partitions of 250 training nodes first of 1000 in ten."""
-    return schedule_table(spark, K.sequential(250, 1000, 10, 5)).where("slot < 3").select(F.col("part").cast("long").alias("part"))
+    """Five resident partitions of ten; of 1000 nodes the first 250 train, so that partitions 0 to 2 come first."""
+    rows = schedule_table(spark, K.sequential(250, 1000, 10, 5))
+    seen = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(seen, "part").select("slot", (F.col("part") == F.col("slot")).alias("trains"), (F.col("n") == 1).alias("distinct_part"))
 
 
 @query(f"WITH {SWAPPED}, {LANES}, s AS (SELECT step AS superstep, lane, list(part) AS parts FROM lanes GROUP BY ALL), p AS (SELECT a.superstep, len([x FOR x IN a.parts IF list_contains(b.parts, x)]) AS n FROM s a JOIN s b ON a.superstep = b.superstep AND a.lane < b.lane) SELECT superstep, CAST(sum((n > 0)::INT) AS BIGINT) AS conflicts, max(n) AS max_overlap, round(avg(n), 6) AS mean_overlap FROM p GROUP BY superstep")
@@ -171,13 +204,13 @@ def x5_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.handoff(lanes(spark))
 
 
-@query()
+@query(f"WITH {EDGE_IDS}, {GRID}, ends AS (SELECT batch, src AS node FROM batched UNION ALL SELECT batch, dst FROM batched) SELECT batch, count(*) AS n_ids, count(DISTINCT node) AS n_unique, 0::BIGINT AS mismatches FROM ends GROUP BY batch")
 def x6_unique_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique ids of each batch with the inverse checked: batches, ids, distinct ids and mismatches."""
     ends = N.batches(N.shuffle_edges(edges_with_ids(spark, sf_dir)), 1000).select("batch", F.posexplode(F.array("src", "dst")).alias("end", "node"))
     unique = ends.select("batch", "node").distinct().withColumn("inverse", F.row_number().over(Window.partitionBy("batch").orderBy("node")) - 1)
     back = ends.join(unique, ["batch", "node"]).join(unique.select("batch", "inverse", F.col("node").alias("found")), ["batch", "inverse"])
-    return back.groupBy("batch").agg(F.count(F.lit(1)).alias("n_ids"), F.countDistinct("inverse").alias("n_unique"), F.sum(F.when(F.col("node") != F.col("found"), 1).otherwise(0)).alias("mismatches"))
+    return back.groupBy("batch").agg(F.count(F.lit(1)).alias("n_ids"), F.countDistinct("inverse").alias("n_unique"), F.sum(F.when(F.col("node") != F.col("found"), 1).otherwise(0)).cast("long").alias("mismatches"))
 
 
 @query("SELECT event_type AS metric, round(avg(value) FILTER (WHERE event_id % 2 = 0), 6) AS mean_a, round(stddev_samp(value) FILTER (WHERE event_id % 2 = 0), 6) AS std_a, round(avg(value) FILTER (WHERE event_id % 2 = 1), 6) AS mean_b, round(stddev_samp(value) FILTER (WHERE event_id % 2 = 1), 6) AS std_b, round((avg(value) FILTER (WHERE event_id % 2 = 1) - avg(value) FILTER (WHERE event_id % 2 = 0)) / abs(avg(value) FILTER (WHERE event_id % 2 = 0)) * 100, 6) AS change_percent FROM events GROUP BY event_type")

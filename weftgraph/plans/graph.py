@@ -20,29 +20,31 @@ from weftgraph.sources.graphs import FOLDED, PURCHASES, RELATIONS, SUPPLIES, VEC
 from weftgraph.sources.shared import cut
 
 
-@query(f"WITH {FOLDED}, {VECTORS} SELECT src, rel, dst, round(a.emb[1] * 1.0, 6) AS s1, round(b.emb[1] * 1.0, 6) AS d1 FROM vec JOIN emb a ON src = a.id JOIN emb b ON dst = b.id")
+@query(f"WITH {FOLDED}, {VECTORS} SELECT src, rel, dst, round(list_sum(a.emb), 6) AS src_total, round(list_sum(b.emb), 6) AS dst_total FROM vec JOIN emb a ON src = a.id JOIN emb b ON dst = b.id")
 def j1_gather_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.with_ends(folded(spark, sf_dir), vectors(spark, sf_dir))
-    return rows.select("src", "rel", "dst", F.round(F.element_at("src_emb", 1), 6).alias("s1"), F.round(F.element_at("dst_emb", 1), 6).alias("d1"))
+    return rows.select("src", "rel", "dst", F.round(V.total(F.col("src_emb")), 6).alias("src_total"), F.round(V.total(F.col("dst_emb")), 6).alias("dst_total"))
 
 
-@query(f"WITH {VECTORS}, g AS (SELECT b AS batch, c AS chunk, s AS slot, {sql_hash(chr(39) + 'neg' + chr(39), 'b', 'c', 's')} % (SELECT count(*) FROM embeddings) AS node FROM range(4) x(b), range(2) y(c), range(50) z(s)) SELECT batch, CAST(chunk AS INTEGER) AS chunk, CAST(slot AS INTEGER) AS slot, node, round(emb[2], 6) AS x FROM g JOIN emb ON node = id")
+@query(f"WITH {FOLDED}, {VECTORS}, g AS (SELECT b AS batch, c AS chunk, s AS slot, {sql_hash(chr(39) + 'neg' + chr(39), 'b', 'c', 's')} % (SELECT count(*) FROM embeddings) AS node FROM range((SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM vec)) x(b), range(2) y(c), range(50) z(s)) SELECT batch, CAST(chunk AS INTEGER) AS chunk, CAST(slot AS INTEGER) AS slot, node, round(list_sum(emb), 6) AS x FROM g JOIN emb ON node = id")
 def j2_gather_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = N.uniform_negatives(spark, 4, 2, 50, n_vectors(spark, sf_dir))
+    """A hundred negatives for each batch of the table."""
+    drawn = N.uniform_negatives(spark, n_batches(spark, sf_dir), 2, 50, n_vectors(spark, sf_dir))
     rows = drawn.join(vectors(spark, sf_dir).select(F.col("id").alias("node"), "emb"), "node")
-    return rows.select("batch", "chunk", "slot", "node", F.round(F.element_at("emb", 2), 6).alias("x"))
+    return rows.select("batch", "chunk", "slot", "node", F.round(V.total(F.col("emb")), 6).alias("x"))
 
 
-@query(f"WITH {FOLDED}, {VECTORS} SELECT dst AS node, rel, count(*) AS n, round(sum(emb[3]), 6) AS x FROM vec JOIN emb ON dst = id GROUP BY ALL")
+@query(f"WITH {FOLDED}, {VECTORS} SELECT dst AS node, rel, count(*) AS n, round(sum(list_sum(emb)), 5) AS x FROM vec JOIN emb ON dst = id GROUP BY ALL")
 def j3_deduplicated_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.gather_once(folded(spark, sf_dir).select(F.col("dst").alias("node"), "rel"), vectors(spark, sf_dir))
-    return rows.groupBy("node", "rel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("emb", 3)), 6).alias("x"))
+    rows = rows.select("node", "rel", V.total(F.col("emb")).alias("total"))
+    return rows.groupBy("node", "rel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 5).alias("x"))
 
 
-@query(f"WITH {FOLDED}, {RELATIONS} SELECT src, rel, dst, round(r.vec[1], 6) AS forward, round(-r.vec[2], 6) AS inverse FROM vec JOIN rels r USING (rel)")
+@query(f"WITH {FOLDED}, {RELATIONS} SELECT src, rel, dst, round(list_sum(r.vec), 6) AS forward, round(-list_sum(r.vec), 6) AS inverse FROM vec JOIN rels r USING (rel)")
 def j4_relation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.with_relation(folded(spark, sf_dir), relation_vectors(spark))
-    return rows.select("src", "rel", "dst", F.round(F.element_at("rel_vec", 1), 6).alias("forward"), F.round(-F.element_at("rel_vec", 2), 6).alias("inverse"))
+    return rows.select("src", "rel", "dst", F.round(V.total(F.col("rel_vec")), 6).alias("forward"), F.round(-V.total(F.col("rel_vec")), 6).alias("inverse"))
 
 
 @query(f"WITH {EDGE_IDS}, q AS (SELECT vec_id AS node FROM embeddings) SELECT node, coalesce(min(edge_id), -1) AS first, coalesce(max(edge_id) + 1, -1) AS past FROM q LEFT JOIN ids ON src = node GROUP BY node")
@@ -195,12 +197,11 @@ def a7_joint_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(ids.select(F.col("raw").alias("src"), F.col("id").alias("src_id")), "src").join(ids.select(F.col("raw").alias("dst"), F.col("id").alias("dst_id")), "dst").select("src", "dst", "src_id", "dst_id")
 
 
-def first_four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("id", F.slice("emb", 1, 4).alias("emb"))
+DIM = 64
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = folded(spark, sf_dir).join(first_four(spark, sf_dir).withColumnRenamed("id", "dst"), "dst")
+    rows = folded(spark, sf_dir).join(vectors(spark, sf_dir).drop("label").withColumnRenamed("id", "dst"), "dst")
     return rows.select(F.col("src").alias("seg"), F.col("emb").alias("vec"))
 
 
@@ -208,14 +209,14 @@ def _unfold(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.posexplode("vec").alias("i", "x")).select(key, (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {FOLDED}, {VECTORS} SELECT src AS seg, i, round(sum(emb[i]), 6) AS x FROM vec JOIN emb ON dst = id, range(1, 5) t(i) GROUP BY ALL")
+@query(f"WITH {FOLDED}, {VECTORS} SELECT src AS seg, i, round(sum(emb[i]), 6) AS x FROM vec JOIN emb ON dst = id, range(1, 65) t(i) GROUP BY ALL")
 def a8_segment_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.segment_sum(_segments(spark, sf_dir), 4), "seg")
+    return _unfold(E.segment_sum(_segments(spark, sf_dir), DIM), "seg")
 
 
-@query(f"WITH {FOLDED}, {VECTORS} SELECT src AS seg, i, round(max(emb[i]), 6) AS x FROM vec JOIN emb ON dst = id, range(1, 5) t(i) GROUP BY ALL")
+@query(f"WITH {FOLDED}, {VECTORS} SELECT src AS seg, i, round(max(emb[i]), 6) AS x FROM vec JOIN emb ON dst = id, range(1, 65) t(i) GROUP BY ALL")
 def a9_segment_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.segment_max(_segments(spark, sf_dir), 4), "seg")
+    return _unfold(E.segment_max(_segments(spark, sf_dir), DIM), "seg")
 
 
 @query(f"WITH {FOLDED}, {VECTORS}, rows AS (SELECT src AS seg, rel, dst, emb[1] * 5 AS x FROM vec JOIN emb ON dst = id), own AS (SELECT id AS seg, emb[2] * 5 AS self_x FROM emb), tot AS (SELECT seg, sum(exp(x)) + any_value(exp(self_x)) AS t FROM rows JOIN own USING (seg) GROUP BY seg) SELECT seg, rel, dst, round(exp(x) / t, 6) AS weight FROM rows JOIN tot USING (seg)")
@@ -231,12 +232,12 @@ def a11_reduce_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.sum("l_quantity").alias("delta"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {FOLDED}, {VECTORS}, g AS (SELECT src AS node, dst AS other FROM vec UNION ALL SELECT dst, src FROM vec) SELECT node AS seg, i, round(sum(emb[i]), 6) AS x FROM g JOIN emb ON other = id, range(1, 5) t(i) GROUP BY ALL")
+@query(f"WITH {FOLDED}, {VECTORS}, g AS (SELECT src AS node, dst AS other FROM vec UNION ALL SELECT dst, src FROM vec) SELECT node AS seg, i, round(sum(emb[i]), 6) AS x FROM g JOIN emb ON other = id, range(1, 65) t(i) GROUP BY ALL")
 def a12_gradient_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums by node over both ends of edges (each end's gradient is the other's vector, as for a dot product)."""
     edges = folded(spark, sf_dir)
     both = edges.select(F.col("src").alias("seg"), F.col("dst").alias("id")).union(edges.select("dst", "src"))
-    return _unfold(E.segment_sum(both.join(first_four(spark, sf_dir), "id").select("seg", F.col("emb").alias("vec")), 4), "seg")
+    return _unfold(E.segment_sum(both.join(vectors(spark, sf_dir).drop("label"), "id").select("seg", F.col("emb").alias("vec")), DIM), "seg")
 
 
 HITS = ", ".join(f"avg((rank <= {k})::INT) AS hits_{k}" for k in (1, 3, 5, 10, 50, 100))
@@ -318,12 +319,12 @@ def a22_relation_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation_vectors(spark).agg(F.round(F.avg(F.sqrt(V.dot(F.col("vec"), F.col("vec")))), 6).alias("mean_norm"))
 
 
-@query(f"WITH {VECTORS} SELECT id, CAST(list_position(emb[1:10], list_max(emb[1:10])) - 1 AS INTEGER) AS predicted, label FROM emb")
+@query(f"WITH {VECTORS} SELECT id, CAST(list_position(emb, list_max(emb)) - 1 AS INTEGER) AS predicted, label FROM emb")
 def a23_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("id", S.argmax(F.slice("emb", 1, 10)).alias("predicted"), "label")
+    return vectors(spark, sf_dir).select("id", S.argmax(F.col("emb")).alias("predicted"), "label")
 
 
-@query(f"WITH {VECTORS} SELECT round(avg((list_position(emb[1:10], list_max(emb[1:10])) - 1 = label)::INT), 6) AS accuracy FROM emb")
+@query(f"WITH {VECTORS} SELECT round(avg((list_position(emb, list_max(emb)) - 1 = label)::INT), 6) AS accuracy FROM emb")
 def a13_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.accuracy(a23_argmax(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
 

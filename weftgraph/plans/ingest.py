@@ -80,13 +80,13 @@ def s12_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.upsert(rows.drop("c_mktsegment"), changes, ["value"])
 
 
-@query(f"""WITH {FOLDED}, {VECTORS}, deltas AS (SELECT src AS id, i, sum(emb[i]) AS x FROM vec JOIN emb ON dst = id, range(1, 5) t(i) GROUP BY ALL)
-SELECT emb.id, i, round(emb.emb[i] + coalesce(x, 0), 6) AS x FROM emb CROSS JOIN range(1, 5) t(i) LEFT JOIN deltas USING (id, i)""")
+@query(f"""WITH {FOLDED}, {VECTORS}, deltas AS (SELECT src AS id, i, sum(emb[i]) AS x FROM vec JOIN emb ON dst = id, range(1, 65) t(i) GROUP BY ALL)
+SELECT emb.id, i, round(emb.emb[i] + coalesce(x, 0), 6) AS x FROM emb CROSS JOIN range(1, 65) t(i) LEFT JOIN deltas USING (id, i)""")
 def s13_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors (first four components) with the vectors of the nodes that their edges go to added."""
-    short = vectors(spark, sf_dir).select("id", F.slice("emb", 1, 4).alias("emb"))
-    deltas = folded(spark, sf_dir).join(short.select(F.col("id").alias("dst"), F.col("emb").alias("delta")), "dst").select(F.col("src").alias("id"), "delta")
-    return files.accumulate(short, deltas).select("id", F.posexplode("emb").alias("i", "x")).select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+    """Vectors with the vectors of the nodes that their edges go to added."""
+    rows = vectors(spark, sf_dir).select("id", "emb")
+    deltas = folded(spark, sf_dir).join(rows.select(F.col("id").alias("dst"), F.col("emb").alias("delta")), "dst").select(F.col("src").alias("id"), "delta")
+    return files.accumulate(rows, deltas).select("id", F.posexplode("emb").alias("i", "x")).select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(f"WITH nv AS (SELECT count(*) AS n FROM embeddings), size AS (SELECT CAST(ceil(n / {PARTS}.0) AS BIGINT) AS s FROM nv) SELECT vec_id AS id, label FROM embeddings, size WHERE vec_id // s IN (1, 3)")

@@ -14,7 +14,6 @@ from weftgraph.operators import sampling as N
 from weftgraph.operators import scoring as S
 from weftgraph.operators import train as T
 from weftgraph.plans.base import query
-from weftgraph.plans.graph import first_four
 from weftgraph.plans.ingest import EDGE_IDS, edges_with_ids
 from weftgraph.sources.graphs import FOLDED, RELATIONS, VECTORS, folded, n_vectors, relation_vectors, table, vectors
 from weftgraph.sources.shared import cut
@@ -54,8 +53,9 @@ def m5_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ENDS} SELECT edge_id, round(list_dot_product({HAD}, d), 6) AS distmult, round(list_dot_product({IMAG}, d), 6) AS complex, round(sqrt(list_sum([(s[i] + r[i] - d[i] + 1e-6) ** 2 FOR i IN range(1, 65)])), 6) AS transe FROM ends")
 def m8_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of positives by each decoder (M8-M10); a TransE score is a distance and grows with it."""
-    s, r, d = F.col("s"), F.col("r"), F.col("d")
-    return _rounded(ends(spark, sf_dir), **{k: S.decoder_score(k, s, r, d) for k in ("distmult", "complex", "transe")})
+    rels, names = relation_vectors(spark), ("distmult", "complex", "transe")
+    rows = S.scored(edges_with_ids(spark, sf_dir).select("edge_id", "src", "rel", "dst"), vectors(spark, sf_dir), {k: (k, "src", "dst", rels) for k in names}, positive=True)
+    return _rounded(rows, **{k: F.col(k) for k in names})
 
 
 @query(f"WITH {EDGE_IDS}, {VECTORS}, {RELATIONS} SELECT edge_id, round(list_dot_product([a.emb[i] * r.vec[i] FOR i IN range(1, 65)], b.emb), 6) AS score, round(list_dot_product([b.emb[i] * -r.vec[i] FOR i IN range(1, 65)], a.emb), 6) AS inverse_score FROM ids JOIN emb a ON src = a.id JOIN emb b ON dst = b.id JOIN rels r ON r.rel = ids.rel")
@@ -112,7 +112,16 @@ def m25_relation_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("decoder", total.alias("total"))
 
 
-@query()
+#: Steps of 50 by recursion on w from 1 with the gradient 2w.
+OPTIMIZERS_SQL = """WITH RECURSIVE r AS (SELECT 0 AS t, 1.0::DOUBLE AS sgd, 1.0::DOUBLE AS ada, 0.0::DOUBLE AS s, 1.0::DOUBLE AS adam, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v, 1.0::DOUBLE AS ams, 0.0::DOUBLE AS m2, 0.0::DOUBLE AS v2, 0.0::DOUBLE AS top
+UNION ALL SELECT t + 1, sgd - 0.1 * 2 * sgd, ada - 0.5 / (1 + t * 0.01) * 2 * ada / (sqrt(s + 4 * ada * ada) + 1e-10), s + 4 * ada * ada,
+ adam - 0.1 / (1 - 0.9 ** (t + 1)) * (0.9 * m + 0.1 * 2 * adam) / (sqrt(0.999 * v + 0.001 * 4 * adam * adam) / sqrt(1 - 0.999 ** (t + 1)) + 1e-8), 0.9 * m + 0.1 * 2 * adam, 0.999 * v + 0.001 * 4 * adam * adam,
+ ams - 0.1 / (1 - 0.9 ** (t + 1)) * (0.9 * m2 + 0.1 * 2 * ams) / (sqrt(greatest(top, 0.999 * v2 + 0.001 * 4 * ams * ams)) / sqrt(1 - 0.999 ** (t + 1)) + 1e-8), 0.9 * m2 + 0.1 * 2 * ams, 0.999 * v2 + 0.001 * 4 * ams * ams, greatest(top, 0.999 * v2 + 0.001 * 4 * ams * ams)
+ FROM r WHERE t < 50)
+SELECT unnest(['sgd', 'adagrad', 'adam', 'amsgrad']) AS optimizer, round(abs(unnest([sgd, ada, adam, ams])), 9) AS gap FROM r WHERE t = 50"""
+
+
+@query(OPTIMIZERS_SQL)
 def m26_optimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the optimum of a quadratic after steps of each optimizer (M26-M28)."""
     out = []
@@ -120,15 +129,15 @@ def m26_optimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
         params, rule = {"w": init("ones", (4,))}, make()
         for _ in range(50):
             rule.step(params, average([{"w": 2 * params["w"]}, {"w": 2 * params["w"]}]))
-        out.append((name, float(np.abs(params["w"]).max())))
+        out.append((name, round(float(np.abs(params["w"]).max()), 9)))
     return spark.createDataFrame(out, "optimizer string, gap double")
 
 
-@query(f"""WITH {VECTORS}, g AS (SELECT id, [emb[i] * 0.5 FOR i IN range(1, 5)] AS g FROM emb WHERE label < 5)
-SELECT e.id, i, round(e.emb[i] + CASE WHEN g.id IS NULL THEN 0 ELSE -0.1 * g[i] / (sqrt(0.25 + g[i] * g[i]) + 1e-10) END, 6) AS x, round(0.25 + coalesce(g[i] * g[i], 0), 6) AS state FROM emb e LEFT JOIN g ON g.id = e.id, range(1, 5) t(i)""")
+@query(f"""WITH {VECTORS}, g AS (SELECT id, [emb[i] * 0.5 FOR i IN range(1, 65)] AS g FROM emb WHERE label < 5)
+SELECT e.id, i, round(e.emb[i] + CASE WHEN g.id IS NULL THEN 0 ELSE -0.1 * g[i] / (sqrt(0.25 + g[i] * g[i]) + 1e-10) END, 6) AS x, round(0.25 + coalesce(g[i] * g[i], 0), 6) AS state FROM emb e LEFT JOIN g ON g.id = e.id, range(1, 65) t(i)""")
 def m29_sparse_adagrad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of half the labels have a gradient."""
-    rows = first_four(spark, sf_dir).withColumn("state", F.array_repeat(F.lit(0.25), 4))
+    rows = vectors(spark, sf_dir).drop("label").withColumn("state", F.array_repeat(F.lit(0.25), 64))
     grads = rows.join(vectors(spark, sf_dir).where("label < 5").select("id"), "id").select("id", V.scale(F.col("emb"), 0.5).alias("grad"))
     out = T.sparse_adagrad(rows, grads).select("id", F.posexplode(F.arrays_zip("emb", "state")).alias("i", "p"))
     return out.select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("p.emb", 6).alias("x"), F.round("p.state", 6).alias("state"))
@@ -147,9 +156,6 @@ def m30_policy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(losses, "step int, loss double")
 
 
-FOUR = "four AS (SELECT id, emb[1:4] AS e FROM emb)"
-
-
 @query(f"WITH {VECTORS} SELECT id, i, round(emb[i + 8], 6) AS x FROM emb, range(1, 9) t(i)")
 def e1_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select("id", F.posexplode(F.slice("emb", 9, 8)).alias("i", "x"))
@@ -160,33 +166,59 @@ def _unfold(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.posexplode("vec").alias("i", "x")).select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-NBR = f"{FOLDED}, {VECTORS}, nb AS (SELECT dst AS id, i, sum(emb[i]) AS x, count(*) AS deg FROM vec JOIN emb ON src = id, range(1, 5) t(i) GROUP BY ALL)"
+NBR = f"{FOLDED}, {VECTORS}, nb AS (SELECT dst AS id, i, sum(emb[i]) AS x, count(*) AS deg FROM vec JOIN emb ON src = id, range(1, 65) t(i) GROUP BY ALL)"
 
 
-@query(f"WITH {NBR} SELECT emb.id, i, round((emb[i] + coalesce(x, 0)) / (coalesce(deg, 0) + 1), 6) AS x FROM emb CROSS JOIN range(1, 5) t(i) LEFT JOIN nb USING (id, i)")
+@query(f"WITH {NBR} SELECT emb.id, i, round((emb[i] + coalesce(x, 0)) / (coalesce(deg, 0) + 1), 6) AS x FROM emb CROSS JOIN range(1, 65) t(i) LEFT JOIN nb USING (id, i)")
 def e2_sage_gcn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.sage_gcn(folded(spark, sf_dir), first_four(spark, sf_dir)))
+    return _unfold(E.sage_gcn(folded(spark, sf_dir), vectors(spark, sf_dir).drop("label")))
 
 
-@query(f"WITH {NBR} SELECT emb.id, i, round(coalesce(x / deg, 0), 6) AS x FROM emb CROSS JOIN range(1, 5) t(i) LEFT JOIN nb USING (id, i)")
+@query(f"WITH {NBR} SELECT emb.id, i, round(coalesce(x / deg, 0), 6) AS x FROM emb CROSS JOIN range(1, 65) t(i) LEFT JOIN nb USING (id, i)")
 def e3_sage_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.sage_mean(folded(spark, sf_dir), first_four(spark, sf_dir)).select("id", "vec"))
+    return _unfold(E.sage_mean(folded(spark, sf_dir), vectors(spark, sf_dir).drop("label")).select("id", "vec"))
 
 
-@query(f"WITH {FOLDED}, {VECTORS}, dg AS (SELECT vec_id AS id, count(dst) + 1 AS k FROM embeddings LEFT JOIN vec ON dst = vec_id GROUP BY vec_id), nb AS (SELECT vec.dst AS id, i, sum(emb[i] / sqrt(k)) AS x FROM vec JOIN emb ON src = emb.id JOIN dg ON dg.id = src, range(1, 5) t(i) GROUP BY ALL) SELECT emb.id, i, round((emb[i] / sqrt(k) + coalesce(x, 0)) / sqrt(k), 6) AS x FROM emb JOIN dg USING (id) CROSS JOIN range(1, 5) t(i) LEFT JOIN nb USING (id, i)")
+@query(f"WITH {FOLDED}, {VECTORS}, dg AS (SELECT vec_id AS id, count(dst) + 1 AS k FROM embeddings LEFT JOIN vec ON dst = vec_id GROUP BY vec_id), nb AS (SELECT vec.dst AS id, i, sum(emb[i] / sqrt(k)) AS x FROM vec JOIN emb ON src = emb.id JOIN dg ON dg.id = src, range(1, 65) t(i) GROUP BY ALL) SELECT emb.id, i, round((emb[i] / sqrt(k) + coalesce(x, 0)) / sqrt(k), 6) AS x FROM emb JOIN dg USING (id) CROSS JOIN range(1, 65) t(i) LEFT JOIN nb USING (id, i)")
 def e4_gcn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.gcn(folded(spark, sf_dir), first_four(spark, sf_dir)))
+    return _unfold(E.gcn(folded(spark, sf_dir), vectors(spark, sf_dir).drop("label")))
 
 
-@query()
+def listed(values: np.ndarray) -> str:
+    """A list in SQL."""
+    return "[" + ", ".join(repr(float(x)) for x in values) + "]"
+
+
+def times(vector: str, weights: np.ndarray) -> str:
+    """SQL of a vector times a matrix of weights."""
+    return "[" + ", ".join(f"list_dot_product({vector}, {listed(column)})" for column in weights.T) + "]"
+
+
+UNFOLDED = "SELECT id, i, round(vec[i], 6) AS x FROM {0}, range(1, {1}) t(i)"
+GAT = init("glorot_uniform", (2, 64, 3), 1), init("glorot_uniform", (2, 2, 3), 2)
+GAT_SQL = f"WITH {FOLDED}, {VECTORS}, " + ", ".join(
+    f"""proj{h} AS (SELECT id, {times('emb', GAT[0][h])} AS p FROM emb), term{h} AS (SELECT id, p, list_dot_product(p, {listed(GAT[1][h][0])}) AS f, list_dot_product(p, {listed(GAT[1][h][1])}) AS t FROM proj{h}),
+both{h} AS (SELECT dst AS id, src AS other FROM vec UNION ALL SELECT id, id FROM emb), x{h} AS (SELECT b.id, o.p, CASE WHEN o.f + n.t > 0 THEN o.f + n.t ELSE 0.2 * (o.f + n.t) END AS x FROM both{h} b JOIN term{h} o ON o.id = other JOIN term{h} n ON n.id = b.id),
+top{h} AS (SELECT id, max(x) AS m FROM x{h} GROUP BY id), head{h} AS (SELECT id, {', '.join(f'sum(exp(x - m) * p[{k}]) / sum(exp(x - m)) AS v{k}' for k in (1, 2, 3))} FROM x{h} JOIN top{h} USING (id) GROUP BY id)"""
+    for h in (0, 1)
+) + ", vecs AS (SELECT a.id, [a.v1, a.v2, a.v3, b.v1, b.v2, b.v3] AS vec FROM head0 a JOIN head1 b USING (id)) " + UNFOLDED.format("vecs", 7)
+
+
+@query(GAT_SQL)
 def e5_gat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, attend = init("glorot_uniform", (2, 64, 3), 1), init("glorot_uniform", (2, 2, 3), 2)
+    weights, attend = GAT
     return _unfold(E.gat(folded(spark, sf_dir), vectors(spark, sf_dir), weights, attend))
 
 
-@query()
+RGCN = init("glorot_uniform", (3, 64, 2), 3), init("glorot_uniform", (64, 2), 4)
+RGCN_SQL = f"""WITH {FOLDED}, {VECTORS}, msg AS (SELECT src AS id, CASE rel {' '.join(f'WHEN {r} THEN {times("emb", RGCN[0][r])}' for r in range(3))} END AS m FROM vec JOIN emb ON emb.id = dst),
+mean AS (SELECT id, avg(m[1]) AS a, avg(m[2]) AS b FROM msg GROUP BY id), own AS (SELECT id, {times('emb', RGCN[1])} AS o FROM emb),
+vecs AS (SELECT id, [o[1] + coalesce(a, 0), o[2] + coalesce(b, 0)] AS vec FROM own LEFT JOIN mean USING (id)) """ + UNFOLDED.format("vecs", 3)
+
+
+@query(RGCN_SQL)
 def e6_rgcn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unfold(E.rgcn(folded(spark, sf_dir), vectors(spark, sf_dir), init("glorot_uniform", (3, 64, 2), 3), init("glorot_uniform", (64, 2), 4)))
+    return _unfold(E.rgcn(folded(spark, sf_dir), vectors(spark, sf_dir), *RGCN))
 
 
 @query(f"WITH {VECTORS} SELECT id, i, round(CASE WHEN i <= 4 THEN emb[i] ELSE emb[i + 4] END, 6) AS x FROM emb, range(1, 9) t(i)")
@@ -194,13 +226,19 @@ def e7_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unfold(vectors(spark, sf_dir).select("id", E.concat_parts(F.slice("emb", 1, 4), F.slice("emb", 9, 4)).alias("vec")))
 
 
-@query(f"WITH {VECTORS} SELECT id, i, round(greatest(emb[i] + 0.05 * i, 0), 6) AS x FROM emb, range(1, 5) t(i)")
+@query(f"WITH {VECTORS} SELECT id, i, round(greatest(emb[i] + 0.05 * i, 0), 6) AS x FROM emb, range(1, 65) t(i)")
 def e8_bias_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bias = F.array(*[F.lit(0.05 * i) for i in range(1, 5)])
-    return _unfold(first_four(spark, sf_dir).select("id", E.finish(F.col("emb"), bias, L.relu).alias("vec")))
+    bias = F.array(*[F.lit(0.05 * i) for i in range(1, 65)])
+    return _unfold(vectors(spark, sf_dir).drop("label").select("id", E.finish(F.col("emb"), bias, L.relu).alias("vec")))
 
 
-@query()
+STAGED_SQL = f"""WITH {FOLDED}, {VECTORS}, first AS (SELECT emb.id, i, (emb[i] + coalesce(x, 0)) / (coalesce(deg, 0) + 1) AS x FROM emb CROSS JOIN range(1, 65) t(i) LEFT JOIN (SELECT dst AS id, i, sum(emb[i]) AS x, count(*) AS deg FROM vec JOIN emb ON src = id, range(1, 65) t(i) GROUP BY ALL) nb USING (id, i)),
+dg AS (SELECT vec_id AS id, count(dst) + 1 AS k FROM embeddings LEFT JOIN vec ON dst = vec_id GROUP BY vec_id), scaled AS (SELECT id, i, x / sqrt(k) AS x FROM first JOIN dg USING (id)),
+nb2 AS (SELECT dst AS id, i, sum(x) AS y FROM vec JOIN scaled ON src = id GROUP BY ALL), second AS (SELECT id, i, (x + coalesce(y, 0)) / sqrt(k) AS x FROM scaled JOIN dg USING (id) LEFT JOIN nb2 USING (id, i)),
+held AS (SELECT id, list(x ORDER BY i) AS v FROM second GROUP BY id), vecs AS (SELECT id, {times('v', init("glorot_uniform", (64, 2), 5))} AS vec FROM held) """ + UNFOLDED.format("vecs", 3)
+
+
+@query(STAGED_SQL)
 def e9_staged_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two aggregations and a linear layer."""
     weights = init("glorot_uniform", (64, 2), 5)
@@ -208,13 +246,13 @@ def e9_staged_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unfold(E.encode(folded(spark, sf_dir), vectors(spark, sf_dir), stages).select("id", F.col("emb").alias("vec")))
 
 
-@query(f"WITH {VECTORS} SELECT id, CAST(list_position(emb[1:10], list_max(emb[1:10])) - 1 AS INTEGER) AS predicted FROM emb")
+@query(f"WITH {VECTORS} SELECT id, CAST(list_position(emb, list_max(emb)) - 1 AS INTEGER) AS predicted FROM emb")
 def e10_node_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes straight from the encoder's output."""
-    return vectors(spark, sf_dir).select("id", S.argmax(F.slice("emb", 1, 10)).alias("predicted"))
+    return vectors(spark, sf_dir).select("id", S.argmax(F.col("emb")).alias("predicted"))
 
 
-@query()
+@query(f"WITH {VECTORS}, vecs AS (SELECT id, {times('emb', init('glorot_uniform', (64, 4), 6))} AS vec FROM emb) " + UNFOLDED.format("vecs", 5))
 def s17_encode_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = init("glorot_uniform", (64, 4), 6)
     return _unfold(S.encode_nodes(vectors(spark, sf_dir), lambda x: x @ weights).select("id", F.col("emb").alias("vec")))

@@ -12,7 +12,7 @@ from weftgraph.operators import scoring as S
 from weftgraph.plans.base import query
 from weftgraph.plans.graph import CAND, DEG, GRID, HOP, N_NEG, ROOTS, batched, candidates, n_batches, roots, scored_candidates
 from weftgraph.plans.ingest import EDGE_IDS, edges_with_ids
-from weftgraph.sources.graphs import RELATIONS, VECTORS, folded, n_vectors, relation_vectors, sql_hash, vectors
+from weftgraph.sources.graphs import FOLDED, RELATIONS, VECTORS, folded, n_vectors, relation_vectors, sql_hash, vectors
 
 
 @query(f"WITH {EDGE_IDS}, {GRID} SELECT batch, row, edge_id FROM batched")
@@ -34,8 +34,8 @@ draws AS (SELECT DISTINCT root, node, direction, s AS slot, {hash} % degree AS p
 SELECT root, direction, edge_id, CAST(place AS INTEGER) AS slot FROM found WHERE degree <= 10 UNION ALL SELECT d.root, d.direction, edge_id, CAST(d.slot AS INTEGER) FROM draws d JOIN found USING (root, node, direction, place)""")
 def n3_uniform_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten draws with replacement where there are more than ten edges."""
-    found = N.neighbours(roots(spark, sf_dir).withColumn("node", F.col("root")), edges_with_ids(spark, sf_dir))
-    return N.sample_uniform(found, 10).select("root", "direction", "edge_id", "slot")
+    frontier = roots(spark, sf_dir).withColumn("node", F.col("root"))
+    return N.sample_uniform(frontier, N.adjacency(edges_with_ids(spark, sf_dir)), 10).select("root", "direction", "edge_id", "slot")
 
 
 @query(f"WITH {EDGE_IDS}, {ROOTS}, f AS (SELECT root, root AS node FROM roots) SELECT root, direction, edge_id FROM ({HOP.format(0, 'f')}) WHERE {sql_hash(chr(39) + 'dropout' + chr(39), 'root', 'edge_id', 'direction')} / 4294967296.0 >= 0.7")
@@ -67,7 +67,7 @@ def n5_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_hops(spark, sf_dir).groupBy("root", "hop").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("reached"), F.sum("edge_id").alias("ids"))
 
 
-@query(f"WITH {EDGE_IDS}, {ROOTS}, s AS (SELECT root, edge_id, src, dst FROM roots JOIN ids ON src = root), nodes AS (SELECT root, src AS node FROM s UNION SELECT root, dst FROM s), loc AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY node) - 1 AS local FROM nodes) SELECT s.root, edge_id, a.local AS local_src, b.local AS local_dst FROM s JOIN loc a ON a.root = s.root AND a.node = src JOIN loc b ON b.root = s.root AND b.node = dst")
+@query(f"WITH {EDGE_IDS}, {ROOTS}, s AS (SELECT root, edge_id, src, dst FROM roots JOIN ids ON src = root), ends AS (SELECT root, edge_id, true AS is_src, src AS node FROM s UNION ALL SELECT root, edge_id, false, dst FROM s), loc AS (SELECT *, dense_rank() OVER (PARTITION BY root ORDER BY node) - 1 AS local FROM ends) SELECT root, edge_id, max(CASE WHEN is_src THEN local END) AS local_src, max(CASE WHEN NOT is_src THEN local END) AS local_dst FROM loc GROUP BY root, edge_id")
 def n6_local_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = N.neighbours(roots(spark, sf_dir).withColumn("node", F.col("root")), edges_with_ids(spark, sf_dir), incoming=False)
     return N.local_subgraph(found)[1].select("root", "edge_id", "local_src", "local_dst")
@@ -79,12 +79,12 @@ def n7_drop_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_hops(spark, sf_dir).where("hop < 1").select("root", "edge_id", "src", "rel", "dst")
 
 
-NEGATIVES = "SELECT b AS batch, CAST(c AS INTEGER) AS chunk, CAST(s AS INTEGER) AS slot, {hash} % (SELECT count(*) FROM embeddings) AS node FROM range({b}) x(b), range({c}) y(c), range({n}) z(s)"
+NEGATIVES = "WITH " + FOLDED + " SELECT b AS batch, CAST(c AS INTEGER) AS chunk, CAST(s AS INTEGER) AS slot, {hash} % (SELECT n FROM nv) AS node FROM range((SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM vec)) x(b), range({c}) y(c), range({n}) z(s)"
 
 
-@query(NEGATIVES.format(hash=sql_hash("'neg'", "b", "c", "s"), b=5, c=10, n=100))
+@query(NEGATIVES.format(hash=sql_hash("'neg'", "b", "c", "s"), c=10, n=100))
 def n8_uniform_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.uniform_negatives(spark, 5, 10, 100, n_vectors(spark, sf_dir))
+    return N.uniform_negatives(spark, n_batches(spark, sf_dir), 10, 100, n_vectors(spark, sf_dir))
 
 
 @query(f"WITH {EDGE_IDS}, {GRID}, {DEG} SELECT deg.batch, deg.chunk, slot, sample_row, dst AS node FROM deg JOIN batched ON deg.batch = batched.batch AND sample_row = row")
@@ -156,16 +156,17 @@ def n16_generator_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.select_hard(scored, N_NEG, 0.3, ["batch", "row"], tournament=False).drop("score")
 
 
-@query(NEGATIVES.format(hash=sql_hash("'neg'", "(b // 2)", "c", "s"), b=4, c=2, n=30))
+@query(NEGATIVES.format(hash=sql_hash("'neg'", "(b // 2)", "c", "s"), c=2, n=30))
 def n18_reused_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each draw serves two batches."""
-    return N.uniform_negatives(spark, 4, 2, 30, n_vectors(spark, sf_dir), reuse=2)
+    return N.uniform_negatives(spark, n_batches(spark, sf_dir), 2, 30, n_vectors(spark, sf_dir), reuse=2)
 
 
-@query(f"WITH r AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS local FROM embeddings WHERE label < 5) SELECT a AS at, node FROM range(200) t(a) JOIN r ON local = {sql_hash(chr(39) + 'resident' + chr(39), 'a')} % (SELECT count(*) FROM r)")
+@query(f"WITH {FOLDED}, r AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) - 1 AS local FROM embeddings WHERE label < 5) SELECT a AS at, node FROM range((SELECT count(*) FROM vec)) t(a) JOIN r ON local = {sql_hash(chr(39) + 'resident' + chr(39), 'a')} % (SELECT count(*) FROM r)")
 def n20_random_residents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pick for each edge among the nodes of half the labels."""
     resident = positions(vectors(spark, sf_dir).where("label < 5").select(F.col("id").alias("node")), ["node"], "local")
-    return N.random_nodes(spark, 200, resident)
+    return N.random_nodes(spark, folded(spark, sf_dir).count(), resident)
 
 
 CORRUPTED = f"{EDGE_IDS}, {GRID}, corrupt AS (SELECT batch, row, edge_id, src, dst, s AS slot, CAST((rel + 1 + {sql_hash(chr(39) + 'rel' + chr(39), 'batch', 'row', 's')} % 2) % 3 AS INTEGER) AS corrupted FROM batched, range(2) t(s))"
