@@ -112,7 +112,7 @@ def scored(rows: DataFrame, emb: DataFrame, wanted: dict[str, tuple[str, str, st
                 out.append(pa.array(G.compare(decoder, q, held[b]) if positive else G.candidate_scores(decoder, q, held[b])))
             yield pa.RecordBatch.from_arrays([*(own[c] for c in names), *out], names=[*names, *found])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names), *(f"{n} double" for n in wanted)]
+    fields = [*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names), *(f"{n} double" for n in wanted)]
     ship(rows.sparkSession)
     return rows.select(*names, *([] if few else [f"_v{i}" for i in range(len(ends))])).mapInArrow(run, ", ".join(fields))
 
