@@ -11,11 +11,20 @@ Counts are held in unary (0: 00, 1: 01, 2: 11), in which Manhattan distance is t
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; a text of one or two
 words is one shingle; repeated rows share a fingerprint; rows without doc_id link, but name no component (a
-component of only such rows has a null id); an empty table gives an empty result; other columns are ignored.
+component of only such rows has a null id); an empty table gives an empty result; other columns are ignored; a text
+of any length is read whole, in memory in proportion to it.
+
+Two unrelated fingerprints share half a cell by chance once in (8 / 3)^16, 6.5 million, pairs, the cells one step up
+count some twelve times that: candidates grow with the square of distinct fingerprints, 1.8e-6 of all pairs, and
+each is one comparison of two longs. A billion distinct fingerprints make some 4e12 candidates (both halves)
+and 3e10 narrow rows to shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -117,12 +126,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest doc_id, and of rows that share it the one of the
-    smallest fingerprint and text."""
+    smallest fingerprint and hashes of its text (any one of rows alike in these).
+
+    Texts are fingerprinted once. What goes is decided on narrow rows, and texts meet the list of what goes in one
+    join, which shuffles them only if that list is too long to be sent to every task.
+    """
     plain, place, inner = places(docs)
-    plain = with_fingerprint(plain, "fp", place["text"])
-    fps = cut(with_fingerprint(take(docs, "doc_id", "text")).drop("text"))
-    heads = classes(fps).where("fp = head").select(F.col("fp").alias("head"), "component_id")
-    kept = plain.join(heads, (F.col("fp") == F.col("head")) & F.col(place["doc_id"]).eqNullSafe(F.col("component_id")))
-    order = Window.partitionBy("fp", place["doc_id"]).orderBy(place["text"])
-    kept = kept.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    keys = ["_id", "_h1", "_h2"]
+    hashed = plain.withColumns({"_id": F.col(place["doc_id"]), "_h1": F.xxhash64(place["text"]), "_h2": F.hash(place["text"])})
+    fps = cut(with_fingerprint(hashed.select(F.col("_id").alias("doc_id"), F.col(place["text"]).alias("text"), "_h1", "_h2")).drop("text"))
+    rows = fps.groupBy(F.col("doc_id").alias("_id"), "fp", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    heads = classes(fps).where("fp = head").select("component_id", "head")
+    first = rows.join(heads, (F.col("fp") == F.col("head")) & F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "fp").agg(F.min(F.struct("_h1", "_h2", "_n")).alias("_x"))
+    winners = cut(first.select("_id", "_x.*"), 16)
+    gone = cut(_without(rows.select(keys), winners, keys), 16)
+    kept = _without(hashed, gone, keys)
+    if winners.where("_n > 1").limit(1).count():
+        again = winners.where("_n > 1").select(keys)
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_h1"))
+        one = _matching(kept, again, keys, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+        kept = _without(kept, again, keys).unionByName(one)
     return kept.select(*[F.col(c).alias(o) for c, o in zip(inner, docs.columns, strict=True)])
+
+
+def _matching(rows: DataFrame, listed: DataFrame, keys: list[str], how: str) -> DataFrame:
+    a, b = rows.alias("_a"), listed.alias("_b")
+    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in keys]
+    return a.join(b, reduce(and_, same), how)
+
+
+def _without(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys aren't listed; nulls are equal."""
+    return _matching(rows, listed, keys, "left_anti")
