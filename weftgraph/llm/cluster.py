@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.sources.shared import cut, narrowed, shared_folder, ship
+from weftgraph.sources.shared import cut, discard_on_exit, narrowed, release, shared_folder, ship
 
-__all__ = ["bound_batches", "bounded_sample", "crc_mod", "cut", "map_arrow", "narrowed", "places", "shared_folder", "ship", "take"]
+__all__ = ["bound_batches", "bounded_sample", "crc_mod", "cut", "discard_on_exit", "map_arrow", "narrowed", "places", "release", "shared_folder", "ship", "take"]
 
 BATCH_BYTES = 8 << 20
 

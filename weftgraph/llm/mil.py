@@ -7,8 +7,9 @@ texts (those of the smallest hashed doc_id); all texts are scored where they lie
 
 Defined cases: a null or empty text is a bag of one passage without words; rows without label, or whose label is
 neither 0 nor 1, teach nothing; labels of an absent document are ignored; repeated rows are scored each; without
-labels of both kinds every score is the share of label 1 (one half without labels); an empty table gives an empty
-result; other columns pass through.
+labels of both kinds every score is the share of label 1 (one half without labels); a score equal to the threshold
+is predicted 1; an empty table gives an empty result; other columns pass through; a text of any length is read
+whole, in memory in proportion to it.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier learned from a labelled table gives every document posteriors of the domains. Documents then get
-nonnegative rates such that the expected tokens of each domain (the sum of tokens x rate x posterior) meet targets:
+nonnegative rates such that the expected tokens of each domain (the sum of tokens x rate x posterior) meet targets; a
+token is a word between white space, whatever tokenizer the mixture meets later:
 least squares, by projected gradient from a rate of one for all. Distances of rates are weighed by tokens and the
 residual by the inverse of the domains' second moments, which makes the unit step safe and, as long as no rate is
 clipped at zero, exact. A rate then depends on the posterior alone, so that posteriors (rounded to thousandths)
@@ -15,7 +16,8 @@ Defined cases: a null or empty text has no words: posteriors as the classifier g
 like others of its posterior; rows without label and labels without a target teach nothing; repeated rows count
 each; without labels the domains have equal posteriors; a domain with a target but no labelled document counts for
 nothing, and the other weights are scaled up; without tokens all rates are one; an empty table gives an empty
-result; other columns pass through or are ignored; texts of any length are read whole.
+result; other columns pass through or are ignored; texts of any length are read whole, in memory in proportion to
+the text; of equal greatest posteriors the first domain is the likeliest.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: i
     return train(rows, np.array([domains.index(d) for d in found["domain"]], np.int64), domains)
 
 
-def with_posteriors(docs: DataFrame, model: Classifier, rates: Rates | None = None, tokens: str = "tokens", posterior: str = "posterior", rate: str = "rate", column: str = "text") -> DataFrame:
+def with_posteriors(docs: DataFrame, model: Classifier, rates: Rates | None = None, words: str = "words", posterior: str = "posterior", rate: str = "rate", column: str = "text") -> DataFrame:
     """``docs`` with the words of ``column`` and its posteriors in thousandths (their sum is about 1000), and the rates
     of the posteriors if they are given."""
 
@@ -126,9 +128,9 @@ def with_posteriors(docs: DataFrame, model: Classifier, rates: Rates | None = No
             p, n_words = model.posteriors(texts)
             held = pa.FixedSizeListArray.from_arrays(pa.array(np.round(p * UNIT).astype(np.int32).ravel()), p.shape[1]).cast(pa.list_(pa.int32()))
             more = [] if rates is None else [pa.array(rates(shares(held, p.shape[1])))]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words.astype(np.int64)), held, *more], names=[*rows.schema.names, tokens, posterior, rate][: len(rows.schema) + 2 + len(more)])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_words.astype(np.int64)), held, *more], names=[*rows.schema.names, words, posterior, rate][: len(rows.schema) + 2 + len(more)])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{tokens}` long", f"`{posterior}` array<int>", *([] if rates is None else [f"`{rate}` double"])])
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{words}` long", f"`{posterior}` array<int>", *([] if rates is None else [f"`{rate}` double"])])
     return map_arrow(docs, run, fields)
 
 
@@ -151,7 +153,7 @@ def shares(posterior: pa.Array, k: int) -> np.ndarray:
 
 
 def solve(cells: DataFrame, targets: np.ndarray, total: float | None = None, steps: int = 100, tolerance: float = 1e-6) -> tuple[Rates, np.ndarray, np.ndarray]:
-    """Rates for ``cells`` (posterior, tokens), the target totals and the totals reached.
+    """Rates for ``cells`` (posterior, words), the target totals and the totals reached.
 
     ``total``: tokens of the mixture; without it as many as leave the domain of the greatest weight at its size.
     """
@@ -159,12 +161,12 @@ def solve(cells: DataFrame, targets: np.ndarray, total: float | None = None, ste
     targets = targets / targets.sum()
 
     def moments(batch: pa.RecordBatch):
-        p, t = shares(batch["posterior"], k), np.asarray(batch["tokens"]).astype(float)
+        p, t = shares(batch["posterior"], k), np.asarray(batch["words"]).astype(float)
         yield pa.RecordBatch.from_arrays([pa.array([i * k + j for i in range(k) for j in range(k)]), pa.array(((p * t[:, None]).T @ p).ravel())], names=["at", "value"])
 
     def totals(rates: Rates):
         def run(batch: pa.RecordBatch):
-            p, t = shares(batch["posterior"], k), np.asarray(batch["tokens"]).astype(float)
+            p, t = shares(batch["posterior"], k), np.asarray(batch["words"]).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array((t * rates(p)) @ p)], names=["at", "value"])
 
         return run
@@ -210,16 +212,16 @@ def copies(rate, doc_id):
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = 4000) -> DataFrame:
-    """doc_id, tokens, domain (the likeliest), posterior, rate and copies of each row of ``docs`` (doc_id, text)."""
+    """doc_id, words, domain (the likeliest), posterior, rate and copies of each row of ``docs`` (doc_id, text)."""
     model = fit(docs, labels, targets, sample)
     rows = cut(with_posteriors(take(docs, "doc_id", "text"), model).drop("text"))
     rates, _, _ = _rates(rows, model, targets)
     best = F.element_at(F.array(*[F.lit(d) for d in model.domains]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    return with_rates(rows, rates, len(model.domains)).select("doc_id", "tokens", best.alias("domain"), "posterior", "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return with_rates(rows, rates, len(model.domains)).select("doc_id", "words", best.alias("domain"), "posterior", "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def _rates(rows: DataFrame, model: Classifier, targets: dict[str, float]) -> tuple[Rates, np.ndarray, np.ndarray]:
-    cells = cut(rows.groupBy("posterior").agg(F.sum("tokens").alias("tokens")))
+    cells = cut(rows.groupBy("posterior").agg(F.sum("words").alias("words")))
     return solve(cells, np.array([targets[d] for d in model.domains]))
 
 

@@ -11,7 +11,8 @@ so that texts can't open or end turns.
 Defined cases: null roles and texts equal one another and render as empty; a null conversation has no turns;
 conversations that are alike have empty completions; without a common first turn the prompt is empty; turns of one
 number are ordered by role and text, repeated ones kept; a conversation without an assistant's turn is chosen
-whole; an empty table gives an empty result; other columns are ignored.
+whole; an empty table gives an empty result; other columns are ignored; texts of any length are kept whole. A
+conversation is one row, as its rendering is, so that one of very many turns needs memory for all of them.
 """
 
 from __future__ import annotations

@@ -81,7 +81,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_domains(table(spark, sf_dir, "labels")), TARGETS)
-    return rows.select("doc_id", "tokens", "domain", F.array_join(F.transform("posterior", lambda p: p.cast("string")), " ").alias("posterior"), "rate", "copies")
+    return rows.select("doc_id", "words", "domain", F.array_join(F.transform("posterior", lambda p: p.cast("string")), " ").alias("posterior"), "rate", "copies")
 
 
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
