@@ -247,3 +247,31 @@ def test_event_counts_and_scores(spark, sf_dir, tmp_path):
 def test_relation_corruption_changes_the_relation(spark, edges):
     rows = N.relation_negatives(N.batches(N.shuffle_edges(edges), 5), 3, 4).collect()
     assert len(rows) == 3 * len(EDGES) and all(r.corrupted != r.rel and 0 <= r.corrupted < 4 for r in rows)
+
+
+def test_node_dataset(spark, tmp_path):
+    """A bundle of edges, splits, features and labels, whose universe is wider than its edges."""
+    (tmp_path / "edge.csv").write_text("0,1\n1,2\n4,0\n")
+    for name, ids in (("train", "0\n1\n"), ("valid", "2\n"), ("test", "3\n\n")):
+        (tmp_path / name).write_text(ids)
+    (tmp_path / "feat.csv").write_text("".join(f"{i}.5,{-i}\n" for i in range(5)))
+    (tmp_path / "label.csv").write_text("".join(f"{i % 2}\n" for i in range(5)))
+    at = lambda name: str(tmp_path / name)
+    raw = files.load_node_dataset(spark, "ogbn_arxiv", at("edge.csv"), {k: at(k) for k in ("train", "valid", "test")}, at("feat.csv"), at("label.csv"))
+    assert {r.raw for r in raw["known"].collect()} == {"0", "1", "2", "3", "4"}
+    nodes = spark.createDataFrame([(str(i), 10 - i) for i in range(5)], "raw string, id long")
+    held = {k: v.collect() for k, v in files.remap_node_dataset(raw, nodes).items()}
+    assert sorted((r.src, r.dst) for r in held["edges"]) == [(6, 10), (9, 8), (10, 9)]
+    assert {r.id: r.split for r in held["split"]} == {10: "train", 9: "train", 8: "valid", 7: "test"}
+    assert {r.id: (r.vec, r.label) for r in files.remap_node_dataset(raw, nodes)["features"].join(files.remap_node_dataset(raw, nodes)["labels"], "id").collect()} == {10 - i: ([i + 0.5, -i], i % 2) for i in range(5)}
+
+
+def test_lines_of_a_split_file_keep_their_places(spark, tmp_path):
+    (tmp_path / "lines").write_text("".join(f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.numbered_lines(spark, str(tmp_path / "lines")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.at, r.line) for r in rows) == [(i, f"line {i}") for i in range(5000)]

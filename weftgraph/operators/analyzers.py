@@ -58,19 +58,20 @@ def sketch_overlap(sketch: DataFrame, key: str) -> DataFrame:
     return out.select("a", "b", (F.col("common") / F.least("na", "nb")).alias("overlap"))
 
 
-def coverage(counts: DataFrame, tops: Sequence[int], fractions: Sequence[float] = ()) -> DataFrame:
-    """One row: total, n_keys and the share of all accesses (key, n) that the most frequent keys take.
+def coverage(counts: DataFrame, tops: Sequence[int], fractions: Sequence[float] = (), by: Sequence[str] = ()) -> DataFrame:
+    """A row for each ``by`` (one without): total, n_keys and the share of all accesses (key, n) that the most frequent
+    keys take.
 
     The sum of the greatest counts depends on how many keys have each count, of which there are few: the keys
     themselves are never ranked.
     """
-    alike = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_c"))
-    later = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = alike.select("n", "_c", F.coalesce(F.sum("_c").over(later), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_keys"))
+    alike = counts.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("_c"))
+    later = Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.select(*by, "n", "_c", F.coalesce(F.sum("_c").over(later), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_keys"))
     wanted = [(f"top_{k}", F.lit(k)) for k in tops] + [(f"top_{f:g}_of_keys".replace(".", "_"), F.greatest(F.lit(1), F.floor(F.col("_keys") * f))) for f in fractions]
     taken = lambda k: F.col("n") * F.least("_c", F.greatest(k - F.col("_before"), F.lit(0)))
     total = F.sum(F.col("n") * F.col("_c"))
-    return placed.agg(total.alias("total"), F.sum("_c").alias("n_keys"), *[(F.sum(taken(k)) / total).alias(name) for name, k in wanted])
+    return placed.groupBy(*by).agg(total.alias("total"), F.sum("_c").alias("n_keys"), *[(F.sum(taken(k)) / total).alias(name) for name, k in wanted])
 
 
 def runs(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -126,6 +127,22 @@ def touch_summary(touched: DataFrame, blocks: Sequence[int] = (64, 256, 1024, 40
     return held.select("part", "touches", "distinct_rows", (1 - F.col("distinct_rows") / F.col("touches")).alias("duplicate_ratio"), (F.col("_again") / F.col("touches")).alias("repeated_fraction"), *[f"blocks_{b}" for b in blocks])
 
 
+def block_fill(touched: DataFrame, blocks: Sequence[int] = (64, 256, 1024, 4096)) -> DataFrame:
+    """part, block, n_blocks, fill: blocks of so many rows that a batch touches, and the mean share of their rows that
+    it does touch."""
+    sized = touched.select("batch", "part", "row", F.explode(F.array(*[F.lit(b) for b in blocks])).alias("block"))
+    held = sized.groupBy("batch", "part", "block", F.floor(F.col("row") / F.col("block")).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    return held.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n_blocks"), F.avg(F.col("_n") / F.col("block")).alias("fill"))
+
+
+def captured(touched: DataFrame, horizons: Sequence[int] = (1, 2, 4, 8, 16)) -> DataFrame:
+    """part, horizon, n, captured: touches whose row was touched in one of so many batches before."""
+    before = F.lag("batch").over(Window.partitionBy("part", "row").orderBy("batch"))
+    gaps = touched.select("part", (F.col("batch") - before).alias("gap"))
+    hit = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.coalesce(F.col("gap") <= h, F.lit(False)).cast("int").alias("hit")) for h in horizons])).alias("x")
+    return gaps.select("part", hit).groupBy("part", "x.horizon").agg(F.count(F.lit(1)).alias("n"), F.sum("x.hit").alias("captured"))
+
+
 def revisit_gaps(touched: DataFrame) -> DataFrame:
     """part, gap, n: batches between touches of the same row."""
     before = F.lag("batch").over(Window.partitionBy("part", "row").orderBy("batch"))

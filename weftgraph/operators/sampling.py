@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import digest, pick, uniform
 from weftgraph.functions.ranking import places_within, shuffled_positions
-from weftgraph.sources.shared import cut
+from weftgraph.sources.shared import cut, discard_on_exit, new_path
 
 
 def shuffle_edges(edges: DataFrame, seed: str = "shuffle") -> DataFrame:
@@ -115,6 +115,16 @@ def uniform_negatives(spark: SparkSession, n_batches: int, chunks: int, n: int,
     return grid(spark, n_batches, chunks, n).withColumn("node", pick(n_nodes, seed, drawn, F.col("chunk"), F.col("slot")))
 
 
+def planned_negatives(spark: SparkSession, n_batches: int, chunks: int, n: int, n_nodes: int, ahead: int, seed: str = "neg") -> DataFrame:
+    """The written table plan, batch, chunk, slot, node: draws made ahead for ``ahead`` batches at a time, a folder for
+    each plan, so that the batches of a plan read theirs alone."""
+    drawn = uniform_negatives(spark, n_batches, chunks, n, n_nodes, seed).withColumn("plan", F.floor(F.col("batch") / ahead).cast("int"))
+    path = new_path(spark)
+    drawn.write.partitionBy("plan").parquet(path)
+    discard_on_exit(spark, path)
+    return spark.read.parquet(path).select("plan", "batch", "chunk", "slot", "node")
+
+
 def degree_negatives(batched: DataFrame, n_batches: int, chunks: int, n: int, end: str = "dst", seed: str = "deg") -> DataFrame:
     """batch, chunk, slot, sample_row, node: ends of random edges of the batch, so that nodes come as often as they
     have edges. ``batched``: batch, row, src, dst."""

@@ -13,7 +13,9 @@ from weftgraph.operators import schedule as K
 from weftgraph.plans.base import query
 from weftgraph.plans.graph import GRID, LANES, SWAPPED, batched, lanes
 from weftgraph.plans.ingest import BUCKETS, EDGE_IDS, PARTS, STATES, bucketed, edges_with_ids
+from weftgraph.sources import files
 from weftgraph.sources.graphs import folded, n_vectors, sql_hash, table
+from weftgraph.sources.shared import discard_on_exit, new_path
 
 
 def schedule_table(spark: SparkSession, states) -> DataFrame:
@@ -183,10 +185,35 @@ def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.touches(batched(spark, sf_dir), P.partition_size(n_vectors(spark, sf_dir), PARTS))
 
 
-@query(f"WITH {TOUCHED}, r AS (SELECT part, row, count(*) AS n FROM touched GROUP BY ALL) SELECT part, CAST(sum(n) AS BIGINT) AS touches, count(*) AS distinct_rows, round(1 - count(*) / sum(n), 6) AS duplicate_ratio, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS repeated_fraction, count(DISTINCT row // 64) AS blocks_64, count(DISTINCT row // 256) AS blocks_256 FROM r GROUP BY part")
+@query(f"WITH {TOUCHED}, r AS (SELECT part, row, count(*) AS n FROM touched GROUP BY ALL) SELECT part, CAST(sum(n) AS BIGINT) AS touches, count(*) AS distinct_rows, round(1 - count(*) / sum(n), 6) AS duplicate_ratio, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS repeated_fraction, count(DISTINCT row // 64) AS blocks_64, count(DISTINCT row // 256) AS blocks_256, count(DISTINCT row // 1024) AS blocks_1024, count(DISTINCT row // 4096) AS blocks_4096 FROM r GROUP BY part")
 def x4_touched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.touch_summary(touched(spark, sf_dir), (64, 256))
-    return rows.select("part", "touches", "distinct_rows", F.round("duplicate_ratio", 6).alias("duplicate_ratio"), F.round("repeated_fraction", 6).alias("repeated_fraction"), "blocks_64", "blocks_256")
+    rows = X.touch_summary(touched(spark, sf_dir))
+    return rows.select("part", "touches", "distinct_rows", F.round("duplicate_ratio", 6).alias("duplicate_ratio"), F.round("repeated_fraction", 6).alias("repeated_fraction"), "blocks_64", "blocks_256", "blocks_1024", "blocks_4096")
+
+
+@query(f"WITH {TOUCHED}, c AS (SELECT part, row, count(*) AS n FROM touched GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, row) AS nth FROM c) SELECT part, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_keys, round(sum(CASE WHEN nth <= 256 THEN n ELSE 0 END) / sum(n), 6) AS top_256, round(sum(CASE WHEN nth <= 1024 THEN n ELSE 0 END) / sum(n), 6) AS top_1024, round(sum(CASE WHEN nth <= 4096 THEN n ELSE 0 END) / sum(n), 6) AS top_4096 FROM r GROUP BY part")
+def x4_touch_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a partition's touches that its most touched rows take."""
+    counts = touched(spark, sf_dir).groupBy("part", "row").agg(F.count(F.lit(1)).alias("n"))
+    rows = X.coverage(counts, [256, 1024, 4096], by=["part"])
+    return rows.select("part", "total", "n_keys", *[F.round(c, 6).alias(c) for c in ("top_256", "top_1024", "top_4096")])
+
+
+@query(f"WITH {TOUCHED}, g AS (SELECT *, row - row_number() OVER (PARTITION BY batch, part ORDER BY row) AS k FROM touched), r AS (SELECT batch, part, k, count(*) AS length FROM g GROUP BY ALL) SELECT part, count(*) AS n_runs, max(length) AS longest, round(avg(length), 6) AS mean_length FROM r GROUP BY part")
+def x4_row_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbouring rows that a batch touches."""
+    rows = X.runs(touched(spark, sf_dir), ["batch", "part"], "row")
+    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_runs"), F.max("length").alias("longest"), F.round(F.avg("length"), 6).alias("mean_length"))
+
+
+@query(f"WITH {TOUCHED}, h AS (SELECT batch, part, block, row // block AS at, count(*) AS n FROM touched, (VALUES (64), (256), (1024), (4096)) b(block) GROUP BY ALL) SELECT part, block, count(*) AS n_blocks, round(avg(n / block), 6) AS fill FROM h GROUP BY ALL")
+def x4_block_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.block_fill(touched(spark, sf_dir)).select("part", "block", "n_blocks", F.round("fill", 6).alias("fill"))
+
+
+@query(f"WITH {TOUCHED}, g AS (SELECT part, batch - lag(batch) OVER (PARTITION BY part, row ORDER BY batch) AS gap FROM touched) SELECT part, horizon, count(*) AS n, CAST(sum(coalesce(gap <= horizon, false)::INT) AS BIGINT) AS captured FROM g, (VALUES (1), (2), (4), (8), (16)) t(horizon) GROUP BY ALL")
+def x4_captured_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.captured(touched(spark, sf_dir))
 
 
 @query(f"WITH {TOUCHED}, g AS (SELECT part, batch - lag(batch) OVER (PARTITION BY part, row ORDER BY batch) AS gap FROM touched) SELECT part, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY ALL")
@@ -206,11 +233,15 @@ def x5_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EDGE_IDS}, {GRID}, ends AS (SELECT batch, src AS node FROM batched UNION ALL SELECT batch, dst FROM batched) SELECT batch, count(*) AS n_ids, count(DISTINCT node) AS n_unique, 0::BIGINT AS mismatches FROM ends GROUP BY batch")
 def x6_unique_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique ids of each batch with the inverse checked: batches, ids, distinct ids and mismatches."""
-    ends = N.batches(N.shuffle_edges(edges_with_ids(spark, sf_dir)), 1000).select("batch", F.posexplode(F.array("src", "dst")).alias("end", "node"))
-    unique = ends.select("batch", "node").distinct().withColumn("inverse", F.row_number().over(Window.partitionBy("batch").orderBy("node")) - 1)
-    back = ends.join(unique, ["batch", "node"]).join(unique.select("batch", "inverse", F.col("node").alias("found")), ["batch", "inverse"])
-    return back.groupBy("batch").agg(F.count(F.lit(1)).alias("n_ids"), F.countDistinct("inverse").alias("n_unique"), F.sum(F.when(F.col("node") != F.col("found"), 1).otherwise(0)).cast("long").alias("mismatches"))
+    """Unique ids of each captured batch with the inverse checked: batches, ids, distinct ids and mismatches."""
+    path = new_path(spark)
+    batches = N.batches(N.shuffle_edges(edges_with_ids(spark, sf_dir)), 1000)
+    files.capture(batches.select("batch", F.posexplode(F.array("src", "dst")).alias("_end", "id"), "row").select("batch", (F.col("row") * 2 + F.col("_end")).alias("at"), "id"), path)
+    discard_on_exit(spark, path)
+    ends = files.replay(spark, path)
+    unique = ends.select("batch", "id").distinct().withColumn("inverse", F.row_number().over(Window.partitionBy("batch").orderBy("id")) - 1)
+    back = ends.join(unique, ["batch", "id"]).join(unique.select("batch", "inverse", F.col("id").alias("found")), ["batch", "inverse"])
+    return back.groupBy("batch").agg(F.count(F.lit(1)).alias("n_ids"), F.countDistinct("inverse").alias("n_unique"), F.sum(F.when(F.col("id") != F.col("found"), 1).otherwise(0)).cast("long").alias("mismatches"))
 
 
 @query("SELECT event_type AS metric, round(avg(value) FILTER (WHERE event_id % 2 = 0), 6) AS mean_a, round(stddev_samp(value) FILTER (WHERE event_id % 2 = 0), 6) AS std_a, round(avg(value) FILTER (WHERE event_id % 2 = 1), 6) AS mean_b, round(stddev_samp(value) FILTER (WHERE event_id % 2 = 1), 6) AS std_b, round((avg(value) FILTER (WHERE event_id % 2 = 1) - avg(value) FILTER (WHERE event_id % 2 = 0)) / abs(avg(value) FILTER (WHERE event_id % 2 = 0)) * 100, 6) AS change_percent FROM events GROUP BY event_type")

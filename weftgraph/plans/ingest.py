@@ -13,7 +13,7 @@ from weftgraph.operators import schedule as K
 from weftgraph.plans.base import query
 from weftgraph.sources import files
 from weftgraph.sources.graphs import FOLDED, PURCHASES, SUPPLIES, VECTORS, folded, n_vectors, purchases, sql_hash, sql_order, supplies, table, vectors
-from weftgraph.sources.shared import new_path
+from weftgraph.sources.shared import discard_on_exit, new_path
 
 PARTS = 4
 
@@ -89,6 +89,26 @@ def s13_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.accumulate(rows, deltas).select("id", F.posexplode("emb").alias("i", "x")).select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+@query("SELECT event_type AS label, CAST(event_id AS VARCHAR) AS id, value AS score FROM events")
+def s15_score_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and labels written as text with a header, and read back."""
+    path = new_path(spark, "csv")
+    files.write_scores(table(spark, sf_dir, "events").select("event_id", "value", "event_type"), path)
+    discard_on_exit(spark, path)
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(F.col("event_type").alias("label"), F.col("event_id").alias("id"), F.col("value").cast("double").alias("score"))
+
+
+@query(f"WITH {FOLDED} SELECT pos // 1000 AS batch, CAST(pos % 1000 AS INTEGER) AS at, src AS id FROM (SELECT row_number() OVER (ORDER BY src, rel, dst) - 1 AS pos, src FROM vec)")
+def s18_capture_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of batches of edges in their order, written and read back."""
+    path = new_path(spark)
+    rows = edges_with_ids(spark, sf_dir)
+    files.capture(rows.select(F.floor(F.col("edge_id") / 1000).cast("long").alias("batch"), F.pmod("edge_id", F.lit(1000)).cast("int").alias("at"), F.col("src").alias("id")), path)
+    discard_on_exit(spark, path)
+    return files.replay(spark, path)
+
+
 @query(f"WITH nv AS (SELECT count(*) AS n FROM embeddings), size AS (SELECT CAST(ceil(n / {PARTS}.0) AS BIGINT) AS s FROM nv) SELECT vec_id AS id, label FROM embeddings, size WHERE vec_id // s IN (1, 3)")
 def s14_partition_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two resident partitions."""

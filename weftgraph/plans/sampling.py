@@ -156,6 +156,12 @@ def n16_generator_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.select_hard(scored, N_NEG, 0.3, ["batch", "row"], tournament=False).drop("score")
 
 
+@query("SELECT CAST(batch // 8 AS INTEGER) AS plan, batch, chunk, slot, node FROM (" + NEGATIVES.format(hash=sql_hash("'neg'", "b", "c", "s"), c=2, n=30) + ")")
+def n17_plan_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws made ahead for eight batches at a time."""
+    return N.planned_negatives(spark, n_batches(spark, sf_dir), 2, 30, n_vectors(spark, sf_dir), 8)
+
+
 @query(NEGATIVES.format(hash=sql_hash("'neg'", "(b // 2)", "c", "s"), c=2, n=30))
 def n18_reused_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each draw serves two batches."""

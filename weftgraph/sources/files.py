@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,53 @@ def load_dataset(spark: SparkSession, name: str, train: str, valid: str | None =
     return {k: scan_delimited(spark, p, columns, sep, header) for k, p in (("train", train), ("valid", valid), ("test", test)) if p}
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """at, line: the lines of a text file and their places (from 0)."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    return positions(lines, ["_start", "_line"], "at").select("at", "line")
+
+
+def load_node_dataset(spark: SparkSession, name: str, edges: str, splits: dict[str, str], features: str | None = None, labels: str | None = None) -> dict[str, DataFrame]:
+    """Tables of a named dataset for node classification whose files lie at the given paths.
+
+    edges (src, dst, and rel for typed ones), known (raw: every node of the edges and of the splits), split (raw, split),
+    features (raw, vec) and labels (raw, label). ``splits``: files of node ids by split. Line i of the features' and
+    the labels' file is that of node i; numbers are parted by commas.
+    """
+    columns, sep, header, _ = DATASETS[name]
+    rows = scan_delimited(spark, edges, columns, sep, header)
+    parts = [spark.read.text(path).where("trim(value) != ''").select(F.trim("value").alias("raw"), F.lit(split).alias("split")) for split, path in splits.items()]
+    split = reduce(DataFrame.unionByName, parts)
+    known = rows.select(F.col("src").alias("raw")).union(rows.select("dst")).union(split.select("raw")).distinct()
+    out = {"edges": rows, "known": known, "split": split}
+    raw = F.col("at").cast("string").alias("raw")
+    if features:
+        out["features"] = numbered_lines(spark, features).select(raw, F.split("line", ",").cast("array<double>").alias("vec"))
+    if labels:
+        out["labels"] = numbered_lines(spark, labels).select(raw, F.trim("line").cast("double").cast("int").alias("label"))
+    return out
+
+
+def remap_node_dataset(tables: dict[str, DataFrame], nodes: DataFrame) -> dict[str, DataFrame]:
+    """The tables with ids of the dictionary ``nodes`` (raw, id) in place of raw ones; nodes without features or labels
+    have no row there."""
+    named = lambda df: df.join(nodes, "raw").select("id", *[c for c in df.columns if c != "raw"])
+    edges = tables["edges"]
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select(F.col("raw").alias(end), F.col("id").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    return {"edges": edges.select(tables["edges"].columns)} | {k: named(v) for k, v in tables.items() if k != "edges"}
+
+
+def capture(batches: DataFrame, path: str, most: int | None = None) -> None:
+    """Write the ids of batches (batch, at, id) to replay them later; the first ``most`` batches, or all."""
+    (batches if most is None else batches.where(F.col("batch") < most)).select("batch", "at", "id").write.mode("overwrite").parquet(path)
+
+
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """batch, at, id as captured."""
+    return spark.read.parquet(path)
+
+
 def write_edges(bucketed: DataFrame, path: str, stats: dict | None = None) -> None:
     """Edges by bucket as a partitioned table, which scans of a state's buckets prune, with its statistics beside it."""
     bucketed.write.partitionBy("src_part", "dst_part").parquet(path)
