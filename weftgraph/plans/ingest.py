@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ def s1_delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written with columns permuted to (src, dst, rel) and read by places (0, 2, 1)."""
     path = new_path(spark, "tsv")
     purchases(spark, sf_dir).select("src", "dst", "rel").write.option("sep", "\t").csv(path)
+    discard_on_exit(spark, path)
     return files.scan(spark, path, "TSV", columns=(0, 2, 1))
 
 
@@ -32,13 +34,21 @@ def s2_array_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan(spark, list(zip(*held.to_pydict().values(), strict=True)), "NUMPY", names=("src", "dst")).select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
 
 
-@query("SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation")
+@query(f"WITH {SUPPLIES} SELECT 'p' || src AS src, 's' || dst AS dst FROM cooc")
 def s5_strip_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file with four lines before its edges."""
+    """Files with four lines each before their edges."""
     path = new_path(spark, "txt")
-    head = spark.createDataFrame([(i - 4, "# about") for i in range(4)], "at int, line string")
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("at"), F.concat(F.lit("n"), "n_nationkey", F.lit("\t"), F.lit("r"), "n_regionkey").alias("line"))
-    head.union(rows).coalesce(1).sortWithinPartitions("at").select("line").write.text(path)
+    rows = supplies(spark, sf_dir).select(F.concat(F.lit("p"), "src", F.lit("\t"), F.lit("s"), "dst").alias("line"))
+
+    def headed(batches):
+        head = pa.RecordBatch.from_arrays([pa.array(["# about"] * 4)], names=["line"])
+        for i, batch in enumerate(batches):
+            if i == 0:
+                yield head
+            yield batch
+
+    rows.mapInArrow(headed, "line string").write.text(path)
+    discard_on_exit(spark, path)
     return files.scan(spark, path, "TXT", columns=(0, 1), header=4)
 
 
