@@ -83,14 +83,3 @@ def init(kind: str, shape: tuple[int, ...], seed: int = 0, value: float = 0.0, s
 def generator_reward(score: np.ndarray) -> np.ndarray:
     """2 (sigmoid - 1/2) of the discriminator's scores of what the generator chose."""
     return 2 / (1 + np.exp(-score)) - 1
-
-
-def policy_loss(logits: np.ndarray, chosen: np.ndarray, reward: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean of -reward ln softmax of the chosen candidate, and its gradient by the logits."""
-    top = logits - logits.max(1, keepdims=True)
-    p = np.exp(top) / np.exp(top).sum(1, keepdims=True)
-    rows = np.arange(len(logits))
-    loss = float((-reward * np.log(p[rows, chosen])).mean())
-    grad = p * reward[:, None]
-    grad[rows, chosen] -= reward
-    return loss, grad / len(logits)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import gradients as G
 from weftgraph.functions.hashing import pick, uniform
-from weftgraph.functions.optim import SGD, Adagrad, Adam
+from weftgraph.functions.optim import SGD, Adagrad, Adam, generator_reward
 from weftgraph.functions.vectors import dimension, sum_vectors
 from weftgraph.operators import partition as P
 from weftgraph.operators import schedule as K
@@ -161,7 +161,7 @@ def batch_gradients(settings: Settings, relations: dict[str, np.ndarray], edges:
                 np.add.at(nodes, places_of, grad)
             np.add.at(rels[kind], edges["rel"][own], dr)
             if s.method == "gan":
-                reward = 2 * G.sigmoid(G.compare_all(s.decoder, G.operate(s.decoder, a, r), n)) - 1
+                reward = generator_reward(G.compare_all(s.decoder, G.operate(s.decoder, a, r), n))
                 _, ga, gn = G.generator(s.decoder, generators[at[kept][own]], generators[places], reward)
                 np.add.at(gens, at[kept][own], ga)
                 np.add.at(gens, places, gn)

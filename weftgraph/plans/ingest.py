@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import uniform_int
 from weftgraph.functions.ranking import shuffled_positions
+from weftgraph.functions.vectors import total
 from weftgraph.operators import dictionary as D
 from weftgraph.operators import partition as P
 from weftgraph.operators import schedule as K
@@ -76,10 +77,10 @@ def s8_range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_range(edges_with_ids(spark, sf_dir), 1000, 500)
 
 
-@query("SELECT event_id AS at, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, label FROM events, (SELECT count(*) AS n FROM embeddings), embeddings WHERE vec_id = user_id % n")
+@query("SELECT event_id AS at, vec_id AS id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS x, label FROM events, (SELECT count(*) AS n FROM embeddings), embeddings WHERE vec_id = user_id % n")
 def s11_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), (F.col("user_id") % n_vectors(spark, sf_dir)).alias("id"))
-    return files.gather(ids, vectors(spark, sf_dir)).select("at", "id", F.element_at("emb", 1).alias("x"), "label")
+    return files.gather(ids, vectors(spark, sf_dir)).select("at", "id", F.round(total(F.col("emb")), 6).alias("x"), "label")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS value FROM customer")

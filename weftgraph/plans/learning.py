@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import losses as L
 from weftgraph.functions import vectors as V
-from weftgraph.functions.optim import Adagrad, Adam, SGD, average, generator_reward, init, policy_loss
+from weftgraph.functions.optim import SGD, Adagrad, Adam, average, init
 from weftgraph.operators import messages as E
 from weftgraph.operators import sampling as N
 from weftgraph.operators import scoring as S
 from weftgraph.operators import train as T
 from weftgraph.plans.base import query
+from weftgraph.plans.graph import SCORED_CAND, scored_candidates
 from weftgraph.plans.ingest import EDGE_IDS, edges_with_ids
 from weftgraph.sources.graphs import FOLDED, RELATIONS, VECTORS, folded, n_vectors, relation_vectors, table, vectors
 from weftgraph.sources.shared import cut
@@ -143,17 +144,14 @@ def m29_sparse_adagrad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("p.emb", 6).alias("x"), F.round("p.state", 6).alias("state"))
 
 
-@query()
+@query(f"""WITH {SCORED_CAND}, z AS (SELECT batch, row, sum(exp(score)) AS z FROM sc GROUP BY ALL), p AS (SELECT batch, row, score, exp(score) / z AS p FROM sc JOIN z USING (batch, row))
+SELECT batch, round(-avg((2 / (1 + exp(-score)) - 1) * p * ln(p)), 9) AS loss FROM p GROUP BY batch""")
 def m30_policy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generator that is paid for one candidate comes to choose it."""
-    logits, chosen = np.zeros((8, 4)), np.arange(8) % 4
-    reward = generator_reward(np.where(chosen == 2, 3.0, -3.0))
-    losses = []
-    for step in range(30):
-        loss, grad = policy_loss(logits, chosen, reward)
-        logits = logits - grad * 4
-        losses.append((step, loss))
-    return spark.createDataFrame(losses, "step int, loss double")
+    """A generator's loss by batch: rewards of its candidates, weighed by its chances of choosing them."""
+    rows = scored_candidates(spark, sf_dir).select("batch", "row", "score")
+    sums = rows.groupBy("batch", "row").agg(F.sum(F.exp("score")).alias("z"))
+    p = F.exp("score") / F.col("z")
+    return rows.join(sums, ["batch", "row"]).groupBy("batch").agg(F.round(-F.avg((2 * L.sigmoid(F.col("score")) - 1) * p * F.log(p)), 9).alias("loss"))
 
 
 @query(f"WITH {VECTORS} SELECT id, i, round(emb[i + 8], 6) AS x FROM emb, range(1, 9) t(i)")
