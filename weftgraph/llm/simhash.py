@@ -129,7 +129,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     smallest fingerprint and hashes of its text (any one of rows alike in these).
 
     Texts are fingerprinted once. What goes is decided on narrow rows, and texts meet the list of what goes in one
-    join, which shuffles them only if that list is too long to be sent to every task.
+    join by a shuffle, at every size.
     """
     plain, place, inner = places(docs)
     keys = ["_id", "_h1", "_h2"]
@@ -150,7 +150,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def _matching(rows: DataFrame, listed: DataFrame, keys: list[str], how: str) -> DataFrame:
-    a, b = rows.alias("_a"), listed.alias("_b")
+    a, b = rows.alias("_a"), listed.alias("_b").hint("merge")
     same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in keys]
     return a.join(b, reduce(and_, same), how)
 
