@@ -45,7 +45,7 @@ def empty(spark):
 
 def clashing(documents):
     """Extra columns whose names are those of operators' own."""
-    return documents.select("doc_id", "text", F.lit("x").alias("TEXT"), F.lit(1).alias("DOC_ID"), "lang", "source", "n_chars", *[F.lit(7).alias(c) for c in ("n_words", "fp", "score", "kept", "tokens", "rate", "copies", "posterior", "rank", "bucket", "nth", "head")])
+    return documents.select("doc_id", "text", F.lit("x").alias("TEXT"), F.lit(1).alias("DOC_ID"), "lang", "source", "n_chars", *[F.lit(7).alias(c) for c in ("n_words", "fp", "score", "kept", "words", "rate", "copies", "posterior", "rank", "bucket", "nth", "head")])
 
 
 def split(text):
@@ -222,6 +222,60 @@ def test_passages_cover_whole_texts():
     assert not np.allclose(features[4], other[4]) and np.allclose(features[:4], other[:4])
 
 
+def plain_passages(text):
+    """Features of each passage, from the text's bytes in loops."""
+    data = (text or "").encode()
+    found = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    out = []
+    for k in range(max(1, -(-len(found) // 64))):
+        own = found[64 * k : 64 * k + 64]
+        begin = own[0][0] if k else 0
+        part = data[begin : found[64 * k + 64][0] if 64 * k + 64 < len(found) else len(data)]
+        counts = [0] * mil.N_CLASSES
+        for b in part:
+            c = chr(b)
+            if b >= 128:
+                at = 7 if b < 192 else 6
+            elif b in mil.MARKS:
+                at = 8 + mil.MARKS.index(b)
+            else:
+                at = 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4 if c in "\t " else 5 if c == "\n" else 0
+            counts[at] += 1
+        words_of = [w for _, w in own]
+        n = max(1, len(own))
+        points = len(part.decode("utf-8", "ignore"))
+        same = sum(a == b for a, b in zip(words_of, words_of[1:]))
+        out.append([math.sqrt(c / max(1, len(part))) for c in counts] + [math.log1p(points / n) - 1.5, len(own) / 64, len(set(words_of)) / n, math.sqrt(same / n), float(not own)])
+    return out
+
+
+def plain_score(w, passages):
+    """Gated attention over passages, one by one."""
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    encodings, logits = [], []
+    for p in passages:
+        x = [(v - m) / s for v, m, s in zip(p, w["mean"], w["scale"])]
+        h = [math.tanh(dot(x, w["encode"][:, j]) + w["encode0"][j]) for j in range(w["encode"].shape[1])]
+        gated = [math.tanh(dot(h, w["tanh"][:, j])) * logistic(dot(h, w["gate"][:, j])) for j in range(w["tanh"].shape[1])]
+        encodings.append(h)
+        logits.append(dot(gated, w["attend"]))
+    weights = [math.exp(x - max(logits)) for x in logits]
+    bag = [sum(a * h[j] for a, h in zip(weights, encodings)) / sum(weights) for j in range(len(w["out"]))]
+    return logistic(dot(bag, w["out"]) + w["out0"])
+
+
+def test_passages_and_scores_equal_a_plain_pass():
+    every = [*ODD, *texts(12, 31, 300), "é" * 500 + " x " * 200, " ".join(["same"] * 130)]
+    features, bounds = mil.passages(words.text_array(pa.array(every)))
+    plain = [plain_passages(t) for t in every]
+    assert np.diff(bounds).tolist() == [len(p) for p in plain]
+    assert np.allclose(features, np.array([x for p in plain for x in p]), atol=1e-5)
+    y = np.array([i % 3 > 0 for i in range(len(every))], float)
+    model = mil.train(features, bounds, y, epochs=3)
+    assert np.allclose(model.score(features, bounds), [plain_score(model.weights, p) for p in plain], atol=1e-5)
+
+
 def test_attention_gradients_by_differences():
     rng = np.random.default_rng(2)
     x, bounds, y = rng.normal(size=(9, 5)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
@@ -397,13 +451,13 @@ def test_mixture_meets_targets(spark):
     targets = {"quality 1, toxic 0": 0.9, "quality 0, toxic 0": 0.05, "quality 1, toxic 1": 0.05}
     model = mixing.fit(docs, labels, targets)
     rows = mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text")
-    cells = rows.groupBy("posterior").agg(F.sum("tokens").alias("tokens"))
+    cells = rows.groupBy("posterior").agg(F.sum("words").alias("words"))
     rates, goal, reached = mixing.solve(cells, np.array([targets[d] for d in model.domains]))
     assert np.allclose(reached, goal, rtol=1e-3)
     held = rows.collect()
     p = np.array([r.posterior for r in held], float)
     p /= p.sum(1, keepdims=True)
-    t = np.array([r.tokens for r in held], float)
+    t = np.array([r.words for r in held], float)
     assert np.allclose((t * rates(p)) @ p, reached) and (rates(p) >= 0).all()
     # The point of least squares: one plain solution of the same problem by clipped multipliers.
     z, metric = np.zeros(3), np.linalg.inv((p * t[:, None]).T @ p)
@@ -420,7 +474,7 @@ def test_every_labelled_domain_has_a_target(spark):
     rows = mixing.mix(docs, labels, queries.TARGETS).join(labels.withColumnRenamed("domain", "told"), "doc_id").collect()
     unwanted = [r for r in rows if r.told == "quality 0, toxic 1"]
     assert all(len(r.posterior) == 4 for r in rows) and sum(r.domain == r.told for r in unwanted) > len(unwanted) / 2
-    share = lambda held: sum(r.tokens * r.rate for r in held) / sum(r.tokens for r in held)
+    share = lambda held: sum(r.words * r.rate for r in held) / sum(r.words for r in held)
     assert share(unwanted) < 0.2 * share(rows)
 
 
@@ -577,8 +631,30 @@ def test_piecewise_hashes_equal_brute_force():
     assert ctph.likeness(found, found).tolist() == [1.0] * len(every)
 
 
+def in_order(documents):
+    """Rows by descending doc_id, those of one doc_id by a hash of their text."""
+    hashed = documents.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return sorted(hashed.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+
+
+def test_a_doc_id_of_very_many_rows_is_parted(spark):
+    """Without a doc_id, or of one: rows are dealt to many ranges and still follow one another."""
+    own = texts(60, 21, 80)
+    rows = [(None, t) for t in own[:25]] + [(7, t) for t in own[25:50]] + [(i, t) for i, t in enumerate(own[50:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = docs.select(F.coalesce("doc_id", F.lit(ctph.NONE)).alias("key"))
+    bucket_of = ctph._ranges(ids, 60, 20, 100)
+    assert bucket_of.widths[np.searchsorted(bucket_of.splits, 7)] == 9
+    ordered = in_order(docs)
+    dealt = bucket_of(np.array([ctph.NONE if r.doc_id is None else r.doc_id for r in ordered]), np.array([r.h for r in ordered]))
+    assert (np.diff(dealt) >= 0).all() and len(set(dealt.tolist())) > 20
+    found = Counter((r.doc_id, r.edited_sha256) for r in ctph.neighbours(docs).collect())
+    following = ordered[1:] + ordered[:1]
+    assert found == Counter((a.doc_id, hashlib.sha256(ctph.edited(a.text, b.text).encode()).hexdigest()) for a, b in zip(ordered, following))
+
+
 def test_neighbours_on_odd_documents(spark, documents, empty):
-    rows = sorted(documents.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text or ""))
+    rows = in_order(documents)
     found = ctph.neighbours(clashing(documents)).collect()
     expected = []
     for r, after in zip(rows, rows[1:] + rows[:1]):

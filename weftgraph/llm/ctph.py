@@ -8,8 +8,9 @@ their likeness is one less the edit distance over the longer length, in chunks (
 word holds a column of the distance matrix). Without a common block size it is zero.
 
 Defined cases: a null text reads as an empty one, whose fingerprint has no chunks; two empty texts are alike (1),
-an empty and another aren't (0); rows of one doc_id follow one another by text, rows without doc_id come last; a
-single row is its own next one; an empty table gives an empty result; other columns are ignored.
+an empty and another aren't (0); rows of one doc_id follow one another by a hash of their text, rows without doc_id
+come last; a single row is its own next one; an empty table gives an empty result; other columns are ignored; a text
+of any length is read whole, in memory in proportion to it. Ids that aren't whole numbers count as missing.
 """
 
 from __future__ import annotations
@@ -187,49 +188,75 @@ def _compare(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+class Ranges:
+    """Ranges of rows in descending order of a key, by bounds of keys; a key of very many rows has several ranges, by slices
+    of a second key in ascending order. ``heavy``: the number of slices by key."""
+
+    def __init__(self, splits: list[int], heavy: dict[int, int]) -> None:
+        own = [k for h in heavy for k in (h - 1, h) if k >= NONE]
+        self.splits = np.unique(np.array([*splits, *own], np.int64))
+        widths = np.ones(len(self.splits) + 1, np.int64)
+        for key, n in heavy.items():
+            widths[np.searchsorted(self.splits, key, "left")] = n
+        self.widths, self.first = widths, np.cumsum(widths[::-1])[::-1] - widths
+
+    def __call__(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.splits, keys, "left")
+        slice_of = ((second.astype(np.float64) / 2.0**64 + 0.5) * self.widths[at]).astype(np.int64)
+        return self.first[at] + np.clip(slice_of, 0, self.widths[at] - 1)
+
+
+NONE = -(1 << 63)  # the key of rows without doc_id
+
+
+def _ranges(ids: DataFrame, rows: int, n: int, most: int) -> Ranges:
+    """About ``n`` ranges of the ``rows`` of ``ids`` (key); keys of very many rows add ``most`` at most."""
+    per_range = max(1, -(-rows // n))
+    splits = ids.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    heavy = ids.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_range).orderBy(F.desc("n")).limit(most)
+    return Ranges([int(x) for x in splits], {r["key"]: min(most, -(-r["n"] // per_range)) for r in heavy.collect()})
+
+
+def neighbours(docs: DataFrame, range_bytes: int = 16 << 20, most: int = 1 << 16) -> DataFrame:
     """RESULT for each row of ``docs`` (doc_id, text): its fingerprint, that of its text edited with the next row's
     (descending doc_id, the first after the last), and their likeness.
 
-    Texts are shuffled once, into ranges of doc_id. The first row of a range also goes to the range before it, where
-    it is the next one of the last row, so that no task has to see another's rows; the driver holds the ranges'
-    bounds and first ids only.
+    Texts are shuffled once, into ranges of doc_id of about ``range_bytes`` (larger where that would make more than
+    ``most`` ranges; a doc_id of very many rows has several). The first row of a range also goes to the range before it,
+    where it is the next one of the last row, so that no task has to see another's rows; the driver holds the ranges'
+    bounds and first rows only.
     """
     spark, docs = docs.sparkSession, take(docs, "doc_id", "text")
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    none = -(1 << 63)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("key"))
-    ranges = 4 * n
-    splits = np.unique(np.array(ids.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.25 / ranges), np.int64))
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def bucket_of(keys: np.ndarray) -> np.ndarray:
-        return len(splits) - np.searchsorted(splits, keys, "left")  # descending
+    docs = docs.withColumns({"key": F.coalesce(F.col("doc_id").try_cast("long"), F.lit(NONE)), "text": F.coalesce("text", F.lit(""))}).withColumn("h", F.xxhash64("text"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    n = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["bytes"] or 0) // range_bytes))
+    bucket_of = _ranges(docs.select("key"), total["n"], min(n, most, max(1, total["n"])), most)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, int] = {}
+        best: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            keys = np.asarray(batch["key"])
-            buckets = bucket_of(keys)
-            order = np.lexsort((keys, buckets))
-            last = np.flatnonzero(np.diff(buckets[order], append=-1))
-            for b, k in zip(buckets[order][last].tolist(), keys[order][last].tolist(), strict=True):
-                best[b] = max(best.get(b, none), k)
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())], names=["bucket", "key"])
-
-    heads = ids.mapInArrow(firsts, "bucket long, key long").groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()
-    before = {r["key"]: heads[i - 1]["bucket"] for i, r in enumerate(heads)}  # a range's first key: the range before
-    head_keys, head_to = np.array(sorted(before), np.int64), np.array([before[k] for k in sorted(before)], np.int64)
+            keys, second = np.asarray(batch["key"]), np.asarray(batch["h"])
+            buckets = bucket_of(keys, second)
+            order = np.lexsort((second, -1 - keys, buckets))  # ~key: descending without overflow
+            first = np.flatnonzero(np.diff(buckets[order], prepend=-1))
+            for b, k, h in zip(buckets[order][first].tolist(), keys[order][first].tolist(), second[order][first].tolist(), strict=True):
+                best[b] = min(best.get(b, (1 << 63, 0)), (-1 - k, h))
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([k for k, _ in best.values()], pa.int64()), pa.array([h for _, h in best.values()], pa.int64())], names=["bucket", "key", "h"])
+
+    heads = docs.select("key", "h").mapInArrow(firsts, "bucket long, key long, h long").groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("x")).orderBy("bucket").collect()
+    before = {(-1 - r["x"]["key"], r["x"]["h"]): heads[i - 1]["bucket"] for i, r in enumerate(heads)}  # a range's first row: the range before
+    head_keys = np.unique(np.array([k for k, _ in before], np.int64))
 
     def deal(batch: pa.RecordBatch):
-        keys = batch["doc_id"].cast(pa.int64()).fill_null(none).to_numpy(zero_copy_only=False)
-        at = np.searchsorted(head_keys, keys)
-        first = np.flatnonzero(head_keys[np.minimum(at, len(head_keys) - 1)] == keys)
-        rows = np.concatenate([np.arange(len(keys)), first])
-        bucket = np.concatenate([bucket_of(keys), head_to[at[first]]])
-        text = batch["text"].fill_null("")
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.arange(len(rows)) >= len(keys)), pa.array(keys[rows]), batch["doc_id"].take(pa.array(rows)), text.take(pa.array(rows))], names=["bucket", "copied", "key", "doc_id", "text"])
+        keys, second = np.asarray(batch["key"]), np.asarray(batch["h"])
+        # Rows that equal a range's first row in both keys; one of them for each range is enough.
+        near = np.flatnonzero(head_keys[np.minimum(np.searchsorted(head_keys, keys), len(head_keys) - 1)] == keys)
+        copied = {pair: i for i, pair in zip(near[::-1].tolist(), zip(keys[near[::-1]].tolist(), second[near[::-1]].tolist(), strict=True), strict=True) if pair in before}
+        rows = np.concatenate([np.arange(len(keys)), np.array(list(copied.values()), np.int64)])
+        bucket = np.concatenate([bucket_of(keys, second), np.array([before[pair] for pair in copied], np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.arange(len(rows)) >= len(keys)), *(batch[c].take(pa.array(rows)) for c in ("key", "h", "doc_id", "text"))], names=["bucket", "copied", "key", "h", "doc_id", "text"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of one range that wait for the next one
@@ -248,6 +275,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                         yield _compare(held, type_of)
                     held, size = ([], 0) if copied else ([held[-1]], len(text))
 
-    dealt = map_arrow(docs, deal, f"bucket long, copied boolean, key long, doc_id {kind}, text string")
-    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "copied", F.desc("key"), "text")
+    dealt = map_arrow(docs, deal, f"bucket long, copied boolean, key long, h long, doc_id {kind}, text string")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(heads) // 2)
+    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "copied", F.desc("key"), "h", "text")
     return ordered.mapInArrow(walk, RESULT.replace("doc_id long", f"doc_id {kind}"))
