@@ -16,7 +16,6 @@ from weftgraph.operators import messages as E
 from weftgraph.operators import partition as P
 from weftgraph.operators import sampling as N
 from weftgraph.operators import scoring as S
-from weftgraph.operators import train as T
 from weftgraph.sources import files
 from weftgraph.sources.shared import new_path
 

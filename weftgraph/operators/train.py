@@ -279,7 +279,7 @@ def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int |
     schedule = states_of(s)
     bucketed = P.with_buckets(edges.select("edge_id", "src", "rel", "dst"), n_nodes, max(s.parts, 1))
     owned = F.broadcast(P.assign_buckets(P.states_table(spark, schedule)))  # parts squared rows
-    placed = cut(bucketed.join(owned, ["src_part", "dst_part"]).select("edge_id", "src", "rel", "dst", F.col("state").alias("at")))
+    placed = cut(bucketed.join(owned, ["src_part", "dst_part"]).select("edge_id", "src", "rel", "dst", F.col("state").alias("at")), by=("at",))
     counts = {r["at"]: r["n"] for r in placed.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
     for epoch in range(first, s.epochs):
         total = 0.0
