@@ -124,3 +124,22 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.shared_folder(Cluster)
+
+
+def test_a_superstep_over_a_small_table_writes_no_gradients(spark, edges, monkeypatch):
+    settings = T.Settings(dim=4, negatives=3)
+    written, cut = [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df, *a, **b: (written.append(df.columns), cut(df, *a, **b))[1])
+    own = edges.withColumn("batch", F.floor(F.col("edge_id") / 10).cast("long")).withColumn("row", F.pmod("edge_id", F.lit(10)).cast("int"))
+    drawn = T.draw_negatives(spark, settings, N, (0,), 0, 5, "x")
+    tables = []
+    for held in (T.HELD_BYTES, 0):
+        monkeypatch.setattr(T, "HELD_BYTES", held)
+        begin = T.start(spark, settings, N, 2)
+        written.clear()
+        state, loss = T.superstep(settings, own, drawn, begin, 3)
+        if held:
+            assert written == [["id", "emb", "state"]]
+        tables.append((loss, state.relations["relations"], {r.id: r.emb + r.state for r in state.table.collect()}))
+    assert np.isclose(tables[0][0], tables[1][0]) and np.allclose(tables[0][1], tables[1][1])
+    assert all(np.allclose(tables[0][2][i], tables[1][2][i]) for i in range(N))

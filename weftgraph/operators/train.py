@@ -7,18 +7,24 @@ task's work: its edges and negatives as ids, and the vectors of its distinct nod
 for each of them and for each relation; a node's gradients are summed and a sparse Adagrad step follows. The new table
 is written before the next superstep, so that the plan doesn't grow and lost executors cost one superstep at most.
 
+A table of ``HELD_BYTES`` at most isn't joined but goes to every task as one matrix, and the driver holds and steps it:
+edges are packed into a row for each batch (``packed``), tasks sum the gradients of all their batches and draw the same
+negatives themselves, and a superstep moves one matrix for each task.
+
 Relations (two vectors each with inverse edges) are parameters of the decoder, as many as the graph has kinds of
 edges; the driver holds them, ``RELATION_BYTES`` at most, and steps them by the dense optimizer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +38,8 @@ from weftgraph.operators.sampling import batches, shuffle_edges
 from weftgraph.sources.shared import cut, release, ship
 
 RELATION_BYTES = 256 << 20
+HELD_BYTES = 4 << 20  # of the vectors of all nodes, for training from a matrix in every task
+SENT_BYTES = 64 << 20  # of the gradients that tasks send to the driver at once
 NODE, RELATION, INVERSE, GENERATOR, LOSS = range(5)
 GRADIENTS = "kind int, id long, grad array<double>"
 
@@ -175,10 +183,175 @@ def batch_gradients(settings: Settings, relations: dict[str, np.ndarray], edges:
     return total, out
 
 
+@dataclass
+class Held:
+    """A small node table as matrices, in order of its ids."""
+
+    ids: np.ndarray
+    columns: dict[str, np.ndarray]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The table, written."""
+        lists = {c: pa.array(list(m), pa.list_(pa.float64())) for c, m in self.columns.items()}
+        kinds = ", ".join(["id long", *(f"{c} array<double>" for c in self.columns)])
+        return cut(spark.createDataFrame(pa.table({"id": self.ids} | lists), kinds))
+
+    def step(self, gradient: np.ndarray, touched: np.ndarray, rate: float, emb: str = "emb", state: str = "state", eps: float = 1e-10) -> None:
+        """``sparse_adagrad`` of the rows that have a gradient."""
+        g = gradient[touched]
+        self.columns[state][touched] += g * g
+        self.columns[emb][touched] -= rate * g / (np.sqrt(self.columns[state][touched]) + eps)
+
+
+def hold(settings: Settings, table: DataFrame, n_nodes: int | None = None) -> Held | None:
+    """``table`` as matrices if its vectors take ``HELD_BYTES`` at most."""
+    n = table.count() if n_nodes is None else n_nodes
+    if not n or 8 * n * settings.dim * (2 if settings.method == "gan" else 1) > HELD_BYTES:
+        return None
+    found = table.toArrow().sort_by([("id", "ascending")])
+    return Held(found["id"].to_numpy(), {c: _matrix(found[c], found.num_rows).copy() for c in table.columns if c != "id"})
+
+
+PACKED = "batch long, src array<long>, rel array<long>, dst array<long>, side array<long>, chunk array<long>, slot array<long>, node array<long>"
+PACKED_ARROW = pa.schema([("batch", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("src", "rel", "dst", "side", "chunk", "slot", "node"))])
+
+
+def packed(edges: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
+    """A row for each batch: its edges (batch, row, src, rel, dst) in order, and its negatives (batch, side, chunk, slot,
+    node) if they are drawn."""
+    ship(edges.sparkSession)
+    number = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    rows = edges.select(*number("batch", "row", "src", "rel", "dst"))
+    if drawn is not None:
+        rows = rows.unionByName(drawn.select(*number("batch", "side", "chunk", "slot", "node")), allowMissingColumns=True)
+        of_draw = ["side", "chunk", "slot", "node"]
+    else:
+        of_draw = []
+    dealt = rows.repartition("batch").sortWithinPartitions("batch", F.col("row").asc_nulls_last())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.Table]) -> pa.RecordBatch:
+            table = pa.concat_tables(held)
+            is_edge = table["row"].is_valid()
+            n = pa.compute.sum(is_edge).as_py() or 0
+            out = [table["batch"].combine_chunks()[:1]]
+            for c in ("src", "rel", "dst", "side", "chunk", "slot", "node"):
+                if c in ("src", "rel", "dst"):
+                    values = table[c].slice(0, n)
+                else:
+                    values = table[c].slice(n) if c in of_draw else pa.chunked_array([pa.array([], pa.int64())])
+                values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.int64())
+                out.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+            return pa.RecordBatch.from_arrays(out, schema=PACKED_ARROW)
+
+        held, now, done = [], None, []
+        for whole in batches:
+            ids = whole["batch"].to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+                if first == last:
+                    continue
+                if held and ids[first] != now:
+                    done.append(flush(held))
+                    held = []
+                now = ids[first]
+                held.append(pa.Table.from_batches([whole.slice(first, last - first)]))
+            if done:
+                yield from done
+                done = []
+        if held:
+            yield flush(held)
+
+    return dealt.mapInArrow(pack, PACKED)
+
+
+def node_draws(settings: Settings, n_nodes: int, resident: tuple[int, ...], seed: str) -> Callable[[int], dict[str, np.ndarray]]:
+    """The negatives of a batch, the same as ``draw_negatives`` gives."""
+    s = settings
+    sides, n = 2 if s.inverse_edges else 1, s.negatives - int(s.negatives * s.degree_fraction)
+    size = P.partition_size(n_nodes, max(s.parts, 1))
+    own = np.array([p for p in sorted(resident) if p * size < n_nodes], np.int64)
+    total = sum(min(size, n_nodes - int(p) * size) for p in own)
+    places = [(side, chunk, slot) for side in range(sides) for chunk in range(s.chunks) for slot in range(n)]
+    side, chunk, slot = (np.array([p[i] for p in places], np.int64) for i in range(3))
+
+    def draw(batch: int) -> dict[str, np.ndarray]:
+        local = np.array([int(hashlib.md5(f"{seed}:{batch}:{a}:{b}:{c}".encode(), usedforsecurity=False).hexdigest()[:8], 16) for a, b, c in places], np.int64) % total
+        return {"side": side, "chunk": chunk, "slot": slot, "node": own[local // size] * size + local % size}
+
+    return draw
+
+
+def held_step(settings: Settings, rows: DataFrame, held: Held, relations: dict[str, np.ndarray], dense_optimizer: object, tag: int = 0, draw: Callable[[int], dict[str, np.ndarray]] | None = None) -> tuple[dict[str, np.ndarray], float]:
+    """Steps ``held`` by the batches of ``rows`` (``packed``) and returns the relations after it and the sum of losses.
+
+    ``draw``: negatives of a batch; without it those of ``rows``.
+    """
+    s, context = settings, rows.sparkSession.sparkContext
+    with_generator = s.method == "gan"
+    sent = context.broadcast((held.ids, held.columns["emb"], held.columns.get("emb_g"), relations))
+    ship(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, generators, rels = sent.value
+        total, sums, touched, some = 0.0, {}, {}, False
+        for whole in batches:
+            for i in range(whole.num_rows):
+                list_of = lambda c: whole[c].slice(i, 1).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                edge = {c: list_of(c) for c in ("src", "rel", "dst")}
+                if not len(edge["src"]):
+                    continue
+                batch = whole["batch"][i].as_py()
+                negatives = {c: list_of(c) for c in ("side", "chunk", "slot", "node")} if draw is None else draw(batch)
+                needed = np.unique(np.concatenate([edge["src"], edge["dst"], negatives["node"]]))
+                at = np.searchsorted(ids, needed)
+                rng = np.random.default_rng([s.seed, tag, batch])
+                loss, found = batch_gradients(s, rels, edge, negatives, needed, vectors[at], generators[at] if with_generator else None, rng)
+                total, some = total + loss, True
+                for kind, (own, grad) in found.items():
+                    if kind not in sums:
+                        n = len(ids) if kind in (NODE, GENERATOR) else len(next(iter(rels.values())))
+                        sums[kind], touched[kind] = np.zeros((n, grad.shape[1])), np.zeros(n, bool)
+                    place = at if kind in (NODE, GENERATOR) else own
+                    sums[kind][place] += grad
+                    touched[kind][place] = True
+        if some:
+            sums[LOSS], touched[LOSS] = np.array([[total]]), np.ones(1, bool)
+            for kind, grad in sums.items():
+                own = np.flatnonzero(touched[kind])
+                values = np.ascontiguousarray(grad[own])
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([own.astype("<i8").tobytes()], pa.binary()), pa.array([values.astype("<f8").tobytes()], pa.binary())], names=["kind", "places", "grad"])
+
+    most = max(1, SENT_BYTES // held.columns["emb"].nbytes // (2 if with_generator else 1))
+    parts = rows.coalesce(most).mapInArrow(work, "kind int, places binary, grad binary").collect()
+    sums = {k: np.zeros_like(held.columns[c]) for k, c in ((NODE, "emb"), (GENERATOR, "emb_g")) if c in held.columns}
+    sums |= {k: np.zeros_like(relations[c]) for k, c in ((RELATION, "relations"), (INVERSE, "inverse_relations")) if c in relations}
+    sums[LOSS] = np.zeros((1, 1))
+    touched = {k: np.zeros(len(v), bool) for k, v in sums.items()}
+    for part in parts:
+        own = np.frombuffer(part["places"], "<i8")
+        sums[part["kind"]][own] += np.frombuffer(part["grad"], "<f8").reshape(len(own), -1)
+        touched[part["kind"]][own] = True
+    sent.destroy()
+    relations = dict(relations)
+    if s.decoder != "dot":
+        dense_optimizer.step(relations, {c: sums[k] for k, c in ((RELATION, "relations"), (INVERSE, "inverse_relations")) if c in relations})
+    held.step(sums[NODE], touched[NODE], s.rate)
+    if with_generator:
+        held.step(sums[GENERATOR], touched[GENERATOR], s.rate, "emb_g", "state_g")
+    return relations, float(sums[LOSS][0, 0])
+
+
 def superstep(settings: Settings, edges: DataFrame, drawn: DataFrame, state: State, tag: int = 0) -> tuple[State, float]:
     """The state after one superstep over ``edges`` (batch, row, src, rel, dst) and negatives (batch, side, chunk, slot,
     node), and the sum of losses."""
-    ship(edges.sparkSession)
+    spark = edges.sparkSession
+    if held := hold(settings, state.table):
+        relations, loss = held_step(settings, packed(edges, drawn), held, state.relations, state.optimizer, tag)
+        new = held.table(spark)
+        release(state.table)
+        return State(new, relations, state.optimizer, state.losses), loss
+    ship(spark)
     table, relations, s = state.table, state.relations, settings
     with_generator = s.method == "gan"
     narrow = edges.select("batch", "row", "src", "rel", "dst", *[F.lit(None).cast("int").alias(c) for c in ("side", "chunk", "slot")])
@@ -281,6 +454,7 @@ def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int |
     owned = F.broadcast(P.assign_buckets(P.states_table(spark, schedule)))  # parts squared rows
     placed = cut(bucketed.join(owned, ["src_part", "dst_part"]).select("edge_id", "src", "rel", "dst", F.col("state").alias("at")), by=("at",))
     counts = {r["at"]: r["n"] for r in placed.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+    state, held = State(state.table, state.relations, state.optimizer, state.losses), hold(s, state.table, n_nodes)
     for epoch in range(first, s.epochs):
         total = 0.0
         for number, resident in enumerate(schedule):
@@ -289,15 +463,29 @@ def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int |
             n_batches = -(-counts[number] // s.batch)
             per_step = s.step_batches or n_batches
             own = batches(shuffle_edges(placed.where(F.col("at") == number), f"epoch{s.seed}:{epoch}"), s.batch)
+            seed, tag = f"train{s.seed}:{epoch}:{number}", epoch * len(schedule) + number
+            if held:
+                own = packed(own)
+                own = cut(own.withColumn("step", F.floor(F.col("batch") / per_step).cast("int")), by=("step",)) if per_step < n_batches else own
+                draw = node_draws(s, n_nodes, resident, seed)
+                for step in range(-(-n_batches // per_step)):
+                    mine = own.where(F.col("step") == step) if per_step < n_batches else own
+                    state.relations, loss = held_step(s, mine, held, state.relations, state.optimizer, tag, draw)
+                    total += loss
+                release(own)
+                continue
             own = cut(own) if per_step < n_batches else own
             for begin in range(0, n_batches, per_step):
                 end = min(begin + per_step, n_batches)
-                drawn = draw_negatives(spark, s, n_nodes, resident, begin, end, f"train{s.seed}:{epoch}:{number}")
+                drawn = draw_negatives(spark, s, n_nodes, resident, begin, end, seed)
                 mine = own.where((F.col("batch") >= begin) & (F.col("batch") < end))
-                state, loss = superstep(s, mine, drawn, state, epoch * len(schedule) + number)
+                state, loss = superstep(s, mine, drawn, state, tag)
                 total += loss
             release(own)
         state.losses.append(total / max(sum(counts.values()), 1))
+        if held and (after_epoch or epoch == s.epochs - 1):
+            release(state.table)
+            state = State(held.table(spark), state.relations, state.optimizer, state.losses)
         if after_epoch:
             after_epoch(epoch, state)
     release(placed)
