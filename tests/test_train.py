@@ -143,3 +143,36 @@ def test_a_superstep_over_a_small_table_writes_no_gradients(spark, edges, monkey
         tables.append((loss, state.relations["relations"], {r.id: r.emb + r.state for r in state.table.collect()}))
     assert np.isclose(tables[0][0], tables[1][0]) and np.allclose(tables[0][1], tables[1][1])
     assert all(np.allclose(tables[0][2][i], tables[1][2][i]) for i in range(N))
+
+
+#: Ways of training that differ by what a superstep needs.
+BOTH_WAYS = {
+    "train_link_prediction": dict(),
+}
+
+
+@pytest.mark.parametrize("name", BOTH_WAYS)
+def test_training_from_matrices_equals_joins_and_writes_no_table_a_superstep(spark, edges, monkeypatch, name):
+    settings = T.Settings(**({"dim": 4, "epochs": 1, "batch": 8, "step_batches": 1, "negatives": 10, "inverse_edges": True} | BOTH_WAYS[name]))
+    found, written, cut = [], [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df, *a, **b: (written.append(df.columns), cut(df, *a, **b))[1])
+    for held in (T.HELD_BYTES, 0):
+        monkeypatch.setattr(T, "HELD_BYTES", held)
+        written.clear()
+        state = T.train(edges, N, settings, 2)
+        states = len(T.states_of(settings))
+        assert len(written) <= 3 + states or not held  # the start, the end, the edges and those of each state
+        found.append((state.losses, state.relations, {r.id: sum((r[c] for c in r.asDict() if c != "id"), []) for r in state.table.collect()}))
+    (losses, relations, table), (other_losses, other_relations, other) = found
+    assert np.allclose(losses, other_losses) and all(np.allclose(relations[k], other_relations[k]) for k in relations)
+    assert sorted(table) == sorted(other) == list(range(N)) and all(np.allclose(table[i], other[i]) for i in table)
+
+
+@pytest.mark.parametrize("name", BOTH_WAYS)
+def test_tasks_draw_the_negatives_of_draw_negatives(spark, name):
+    settings = T.Settings(**({"negatives": 7, "inverse_edges": True} | BOTH_WAYS[name]))
+    resident = (0,) if settings.parts == 1 else (3, 0)
+    draw = T.node_draws(settings, 23, resident, "x")
+    for batch in (3, 4):
+        rows = T.draw_negatives(spark, settings, 23, resident, batch, batch + 1, "x").orderBy("side", "chunk", "slot").collect()
+        assert [tuple(r[1:]) for r in rows] == list(zip(*(draw(batch)[c].tolist() for c in ("side", "chunk", "slot", "node")), strict=True))
