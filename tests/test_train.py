@@ -148,6 +148,7 @@ def test_a_superstep_over_a_small_table_writes_no_gradients(spark, edges, monkey
 #: Ways of training that differ by what a superstep needs.
 BOTH_WAYS = {
     "train_link_prediction": dict(),
+    "train_complex": dict(decoder="complex", loss="softplus", reduction="mean", dense_optimizer="adam", dense_rate=0.01),
 }
 
 
