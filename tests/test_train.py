@@ -149,6 +149,7 @@ def test_a_superstep_over_a_small_table_writes_no_gradients(spark, edges, monkey
 BOTH_WAYS = {
     "train_link_prediction": dict(),
     "train_complex": dict(decoder="complex", loss="softplus", reduction="mean", dense_optimizer="adam", dense_rate=0.01),
+    "train_transe": dict(decoder="transe", method="dns", selected_ratio=0.5, tournament=True, parts=4, capacity=2, ordering="BETA"),
     "train_generator": dict(loss="ranking", method="gan", selected_ratio=0.4, degree_fraction=0.5, chunks=2),
 }
 
