@@ -317,3 +317,11 @@ def test_lines_of_a_split_file_keep_their_places(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r.at, r.line) for r in rows) == [(i, f"line {i}") for i in range(5000)]
+
+
+def test_the_report_lists_no_known_edges_per_edge(spark, sf_dir, monkeypatch):
+    """What is scored one by one are the test edges themselves."""
+    scored, seen = S.score_candidates, []
+    monkeypatch.setattr(S, "score_candidates", lambda rows, *a, **b: (seen.append(rows.count()), scored(rows, *a, **b))[1])
+    report = registry.QUERIES["link_prediction_report"](spark, sf_dir).first()
+    assert seen == [report.n_ranks]
