@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions import gradients as G
+from weftgraph.functions import ranking
 from weftgraph.operators import partition as P
 from weftgraph.operators import scoring as S
 from weftgraph.operators import train as T
@@ -179,3 +181,35 @@ def test_tasks_draw_the_negatives_of_draw_negatives(spark, name):
     for batch in (3, 4):
         rows = T.draw_negatives(spark, settings, 23, resident, batch, batch + 1, "x").orderBy("side", "chunk", "slot").collect()
         assert [tuple(r[1:]) for r in rows] == list(zip(*(draw(batch)[c].tolist() for c in ("side", "chunk", "slot", "node")), strict=True))
+
+
+@pytest.mark.parametrize(("heads", "span", "size"), [(3, 100, 20), (1, 40, 20), (1, 700, 7), (3, 10, 64), (1, 1 << 15, 5000)])
+def test_batches_are_packed_in_the_seeded_order(spark, monkeypatch, heads, span, size):
+    """Also where a range of hashes lies in several spans, a span is one batch, or all edges are."""
+    monkeypatch.setattr(T, "SPAN", span)
+    monkeypatch.setattr(ranking, "HEX", heads)
+    rows = spark.range(0, 3000, 1, 5).select((F.col("id") * 7).alias("edge_id"), (F.col("id") % 71).alias("src"), (F.col("id") % 3).cast("int").alias("rel"), (F.col("id") * 11 % 83).alias("dst"))
+    found = T.packed_in_order(rows, 3000, size, "x").collect()
+    held = {r.batch: list(zip(*(np.frombuffer(r[c], "<i4").tolist() for c in ("src", "rel", "dst")), strict=True)) for r in found}
+    assert len(held) == len(found) == -(-3000 // size)
+    expected = T.batches(T.shuffle_edges(rows, "x"), size).orderBy("batch", "row").collect()
+    assert [e for b in sorted(held) for e in held[b]] == [(r.src, r.rel, r.dst) for r in expected]
+    assert all(len(held[b]) == size for b in range(3000 // size))
+
+
+def test_an_epoch_sorts_edges_once(spark, edges, monkeypatch):
+    """Batches come from one sort of the edges: none by rank in a window, and none by batch after it."""
+    plans, cut = [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df, *a, **b: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, *a, **b))[1])
+    T.train(edges, N, T.Settings(dim=4, epochs=1, batch=8, step_batches=1, negatives=5), 2)
+    packing = [p for p in plans if "MapInArrow" in p and "_span" in p]
+    assert len(packing) == 1 and "Window" not in packing[0] and packing[0].count("Exchange hashpartitioning") == 1
+
+
+def test_sums_of_rows_by_place():
+    rng = np.random.default_rng(2)
+    parts = [(rng.integers(0, 7, k), rng.normal(size=(k, 3))) for k in (5, 0, 40)]
+    expected = np.zeros((9, 3))
+    for places, rows in parts:
+        np.add.at(expected, places, rows)
+    assert np.array_equal(G.sum_rows(9, 3, parts), expected) and not G.sum_rows(2, 3, []).any()

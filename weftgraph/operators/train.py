@@ -8,8 +8,8 @@ for each of them and for each relation; a node's gradients are summed and a spar
 is written before the next superstep, so that the plan doesn't grow and lost executors cost one superstep at most.
 
 A table of ``HELD_BYTES`` at most isn't joined but goes to every task as one matrix, and the driver holds and steps it:
-edges are packed into a row for each batch (``packed``), tasks sum the gradients of all their batches and draw the same
-negatives themselves, and a superstep moves one matrix for each task.
+edges are packed into a row for each batch (``packed_in_order``), tasks sum the gradients of all their batches and draw
+the same negatives themselves, and a superstep moves one matrix for each task.
 
 Relations (two vectors each with inverse edges) are parameters of the decoder, as many as the graph has kinds of
 edges; the driver holds them, ``RELATION_BYTES`` at most, and steps them by the dense optimizer.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import gradients as G
 from weftgraph.functions.hashing import pick, uniform
 from weftgraph.functions.optim import SGD, Adagrad, Adam, generator_reward
+from weftgraph.functions.ranking import spans_in_order
 from weftgraph.functions.vectors import dimension, sum_vectors
 from weftgraph.operators import partition as P
 from weftgraph.operators import schedule as K
@@ -39,6 +40,7 @@ from weftgraph.sources.shared import cut, release, ship
 
 RELATION_BYTES = 256 << 20
 HELD_BYTES = 4 << 20  # of the vectors of all nodes, for training from a matrix in every task
+SPAN = 1 << 15  # edges that a task packs together, of a table that isn't very large
 SENT_BYTES = 64 << 20  # of the gradients that tasks send to the driver at once
 NODE, RELATION, INVERSE, GENERATOR, LOSS = range(5)
 GRADIENTS = "kind int, id long, grad array<double>"
@@ -126,9 +128,8 @@ def batch_gradients(settings: Settings, relations: dict[str, np.ndarray], edges:
     """
     s = settings
     at = {k: np.searchsorted(ids, edges[k]) for k in ("src", "dst")}
-    total, nodes = 0.0, np.zeros_like(vectors)
-    rels = {k: np.zeros_like(v) for k, v in relations.items()}
-    gens = None if generators is None else np.zeros_like(generators)
+    total, nodes, gens = 0.0, [], []
+    rels = {k: [] for k in relations}
     size = -(-len(edges["src"]) // s.chunks)
     weighted = int(s.negatives * s.degree_fraction)
     sides = [("src", "dst", "relations")] + ([("dst", "src", "inverse_relations")] if s.inverse_edges else [])
@@ -165,21 +166,19 @@ def batch_gradients(settings: Settings, relations: dict[str, np.ndarray], edges:
                 share = len(own) / len(edges["src"])
                 loss, da, dr, db, dn = (x * share for x in (loss, da, dr, db, dn))
             total += loss
-            for places_of, grad in ((at[kept][own], da), (at[replaced][own], db), (places, dn)):
-                np.add.at(nodes, places_of, grad)
-            np.add.at(rels[kind], edges["rel"][own], dr)
+            nodes += [(at[kept][own], da), (at[replaced][own], db), (places, dn)]
+            rels[kind].append((edges["rel"][own], dr))
             if s.method == "gan":
                 reward = generator_reward(G.compare_all(s.decoder, G.operate(s.decoder, a, r), n))
                 _, ga, gn = G.generator(s.decoder, generators[at[kept][own]], generators[places], reward)
-                np.add.at(gens, at[kept][own], ga)
-                np.add.at(gens, places, gn)
-    out = {NODE: (ids, nodes)}
+                gens += [(at[kept][own], ga), (places, gn)]
+    out = {NODE: (ids, G.sum_rows(*vectors.shape, nodes))}
     for code, kind in ((RELATION, "relations"), (INVERSE, "inverse_relations")):
         if kind in rels:
             used = np.unique(edges["rel"])
-            out[code] = (used, rels[kind][used])
-    if gens is not None:
-        out[GENERATOR] = (ids, gens)
+            out[code] = (used, G.sum_rows(*relations[kind].shape, rels[kind])[used])
+    if generators is not None:
+        out[GENERATOR] = (ids, G.sum_rows(*generators.shape, gens))
     return total, out
 
 
@@ -265,6 +264,54 @@ def packed(edges: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
     return dealt.mapInArrow(pack, PACKED)
 
 
+def packed_in_order(edges: DataFrame, n: int, size: int, seed: str) -> DataFrame:
+    """A row for each batch of ``size`` of the ``n`` edges (edge_id, src, rel, dst) in seeded order: batch, and the src, rel
+    and dst of its edges as the bytes of 32-bit numbers, which the ids of a held table always are.
+
+    Edges go once to the task of their span of the order, which counts places and cuts the span into whole batches.
+    """
+    places = max(SPAN, 16 * (n // 4096))  # enough for few of the order's ranges to lie in two spans
+    span = max(1, places // size) * size
+    dealt, starts = spans_in_order(edges, ["edge_id"], seed, span)
+    ship(edges.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut_up(held: list[list[np.ndarray]], now: int, at: int, last: bool) -> tuple[list[list[np.ndarray]], int, pa.RecordBatch]:
+            """What is left of ``held``, its place, and the batches before it."""
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            skip = min(max(0, now * span - at), len(columns[0]))
+            at += skip
+            columns = [c[skip : skip + max(0, (now + 1) * span - at)] for c in columns]
+            found = len(columns[0])
+            end = found if last else max(0, found - (at + found) % size)
+            firsts = range(0, end, size)
+            lists = [pa.array([c[i : min(i + size, end)].tobytes() for i in firsts], pa.binary()) for c in columns]
+            out = pa.RecordBatch.from_arrays([pa.array([(at + i) // size for i in firsts], pa.int64()), *lists], names=["batch", "src", "rel", "dst"])
+            return [[c[end:] for c in columns]], at + end, out
+
+        held, now, at = [], None, 0
+        for whole in batches:
+            spans = whole["_span"].to_numpy()
+            columns = [whole[c].to_numpy().astype("<i4") for c in ("src", "rel", "dst")]
+            bounds = [0, *(np.flatnonzero(np.diff(spans)) + 1).tolist(), len(spans)]
+            for first, end in zip(bounds[:-1], bounds[1:], strict=True):
+                if first == end:
+                    continue
+                if spans[first] != now:
+                    if held:
+                        yield cut_up(held, now, at, True)[2]
+                    held, now, at = [], int(spans[first]), starts[int(spans[first])]
+                held.append([c[first:end] for c in columns])
+            if held:
+                held, at, out = cut_up(held, now, at, False)
+                if out.num_rows:
+                    yield out
+        if held:
+            yield cut_up(held, now, at, True)[2]
+
+    return dealt.select("_span", "src", "rel", "dst").mapInArrow(pack, "batch long, src binary, rel binary, dst binary")
+
+
 def node_draws(settings: Settings, n_nodes: int, resident: tuple[int, ...], seed: str) -> Callable[[int], dict[str, np.ndarray]]:
     """The negatives of a batch, the same as ``draw_negatives`` gives."""
     s = settings
@@ -283,7 +330,7 @@ def node_draws(settings: Settings, n_nodes: int, resident: tuple[int, ...], seed
 
 
 def held_step(settings: Settings, rows: DataFrame, held: Held, relations: dict[str, np.ndarray], dense_optimizer: object, tag: int = 0, draw: Callable[[int], dict[str, np.ndarray]] | None = None) -> tuple[dict[str, np.ndarray], float]:
-    """Steps ``held`` by the batches of ``rows`` (``packed``) and returns the relations after it and the sum of losses.
+    """Steps ``held`` by the batches of ``rows`` (``packed`` or ``packed_in_order``) and returns the relations after it and the sum of losses.
 
     ``draw``: negatives of a batch; without it those of ``rows``.
     """
@@ -296,8 +343,9 @@ def held_step(settings: Settings, rows: DataFrame, held: Held, relations: dict[s
         ids, vectors, generators, rels = sent.value
         total, sums, touched, some = 0.0, {}, {}, False
         for whole in batches:
+            in_bytes = pa.types.is_binary(whole["src"].type)
             for i in range(whole.num_rows):
-                list_of = lambda c: whole[c].slice(i, 1).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                list_of = lambda c: np.frombuffer(whole[c][i].as_py(), "<i4").astype(np.int64) if in_bytes else whole[c].slice(i, 1).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 edge = {c: list_of(c) for c in ("src", "rel", "dst")}
                 if not len(edge["src"]):
                     continue
@@ -462,10 +510,10 @@ def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int |
                 continue
             n_batches = -(-counts[number] // s.batch)
             per_step = s.step_batches or n_batches
-            own = batches(shuffle_edges(placed.where(F.col("at") == number), f"epoch{s.seed}:{epoch}"), s.batch)
+            own, order = placed.where(F.col("at") == number).drop("at"), f"epoch{s.seed}:{epoch}"
             seed, tag = f"train{s.seed}:{epoch}:{number}", epoch * len(schedule) + number
             if held:
-                own = packed(own)
+                own = packed_in_order(own, counts[number], s.batch, order)
                 own = cut(own.withColumn("step", F.floor(F.col("batch") / per_step).cast("int")), by=("step",)) if per_step < n_batches else own
                 draw = node_draws(s, n_nodes, resident, seed)
                 for step in range(-(-n_batches // per_step)):
@@ -474,6 +522,7 @@ def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int |
                     total += loss
                 release(own)
                 continue
+            own = batches(shuffle_edges(own, order), s.batch)
             own = cut(own) if per_step < n_batches else own
             for begin in range(0, n_batches, per_step):
                 end = min(begin + per_step, n_batches)
