@@ -9,7 +9,8 @@ is written before the next superstep, so that the plan doesn't grow and lost exe
 
 A table of ``HELD_BYTES`` at most isn't joined but goes to every task as one matrix, and the driver holds and steps it:
 edges are packed into a row for each batch (``packed_in_order``), tasks sum the gradients of all their batches and draw
-the same negatives themselves, and a superstep moves one matrix for each task.
+the same negatives themselves, and a superstep moves one matrix for each task. Where these are large, other tasks sum
+them by blocks of nodes, and the driver gets one matrix.
 
 Relations (two vectors each with inverse edges) are parameters of the decoder, as many as the graph has kinds of
 edges; the driver holds them, ``RELATION_BYTES`` at most, and steps them by the dense optimizer.
@@ -29,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import gradients as G
-from weftgraph.functions.hashing import pick, uniform
+from weftgraph.functions import ranking
+from weftgraph.functions.hashing import digest_numbers, pick, uniform
 from weftgraph.functions.optim import SGD, Adagrad, Adam, generator_reward
-from weftgraph.functions.ranking import spans_in_order
 from weftgraph.functions.vectors import dimension, sum_vectors
 from weftgraph.operators import partition as P
 from weftgraph.operators import schedule as K
@@ -39,9 +40,12 @@ from weftgraph.operators.sampling import batches, shuffle_edges
 from weftgraph.sources.shared import cut, release, ship
 
 RELATION_BYTES = 256 << 20
-HELD_BYTES = 4 << 20  # of the vectors of all nodes, for training from a matrix in every task
+HELD_BYTES = 64 << 20  # of the vectors of all nodes, for training from a matrix in every task
 SPAN = 1 << 15  # edges that a task packs together, of a table that isn't very large
+DEALT = 1 << 20  # edges that a task cuts into spans at once
 SENT_BYTES = 64 << 20  # of the gradients that tasks send to the driver at once
+SUMMED_BYTES = 512 << 20  # of those that tasks hand to others, which sum them
+BLOCK_BYTES = 1 << 20  # of gradients that are summed together
 NODE, RELATION, INVERSE, GENERATOR, LOSS = range(5)
 GRADIENTS = "kind int, id long, grad array<double>"
 
@@ -191,7 +195,7 @@ class Held:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The table, written."""
-        lists = {c: pa.array(list(m), pa.list_(pa.float64())) for c, m in self.columns.items()}
+        lists = {c: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for c, m in self.columns.items()}
         kinds = ", ".join(["id long", *(f"{c} array<double>" for c in self.columns)])
         return cut(spark.createDataFrame(pa.table({"id": self.ids} | lists), kinds))
 
@@ -264,52 +268,92 @@ def packed(edges: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
     return dealt.mapInArrow(pack, PACKED)
 
 
-def packed_in_order(edges: DataFrame, n: int, size: int, seed: str) -> DataFrame:
-    """A row for each batch of ``size`` of the ``n`` edges (edge_id, src, rel, dst) in seeded order: batch, and the src, rel
-    and dst of its edges as the bytes of 32-bit numbers, which the ids of a held table always are.
+def packed_in_order(edges: DataFrame, n: int, size: int, seed: str, most: int | None = None) -> DataFrame:
+    """A row for each batch of ``size`` of the ``n`` edges (edge_id, src, rel, dst) in seeded order, that of
+    ``shuffled_positions``: batch, and the src, rel and dst of its edges as the bytes of 32-bit numbers, which the ids of a
+    held table always are. ``most``: edges that a task packs together.
 
-    Edges go once to the task of their span of the order, which counts places and cuts the span into whole batches.
+    Tasks cut their edges into spans of the order and hand each piece on as one row; who gets a span sorts it and cuts it
+    into whole batches. A range of hashes that lies in several spans goes to each of them.
     """
-    places = max(SPAN, 16 * (n // 4096))  # enough for few of the order's ranges to lie in two spans
+    digits = ranking.HEX + 1
+    shift, n_heads = np.uint64(64 - 4 * digits), 1 << 4 * digits
+    places = max(most or SPAN, 16 * (n // n_heads))  # enough for few ranges of hashes to lie in two spans
     span = max(1, places // size) * size
-    dealt, starts = spans_in_order(edges, ["edge_id"], seed, span)
     ship(edges.sparkSession)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut_up(held: list[list[np.ndarray]], now: int, at: int, last: bool) -> tuple[list[list[np.ndarray]], int, pa.RecordBatch]:
-            """What is left of ``held``, its place, and the batches before it."""
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            skip = min(max(0, now * span - at), len(columns[0]))
-            at += skip
-            columns = [c[skip : skip + max(0, (now + 1) * span - at)] for c in columns]
-            found = len(columns[0])
-            end = found if last else max(0, found - (at + found) % size)
-            firsts = range(0, end, size)
-            lists = [pa.array([c[i : min(i + size, end)].tobytes() for i in firsts], pa.binary()) for c in columns]
-            out = pa.RecordBatch.from_arrays([pa.array([(at + i) // size for i in firsts], pa.int64()), *lists], names=["batch", "src", "rel", "dst"])
-            return [[c[end:] for c in columns]], at + end, out
-
-        held, now, at = [], None, 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(n_heads, np.int64)
         for whole in batches:
-            spans = whole["_span"].to_numpy()
-            columns = [whole[c].to_numpy().astype("<i4") for c in ("src", "rel", "dst")]
+            heads = digest_numbers(seed, whole["edge_id"].to_numpy())[0] >> shift
+            found += np.bincount(heads.astype(np.int64), minlength=n_heads)
+        own = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found[own])], names=["head", "n"])
+
+    sizes = np.zeros(n_heads, np.int64)
+    counted = edges.select(F.col("edge_id").cast("long")).mapInArrow(count, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).toArrow()
+    sizes[counted["head"].to_numpy()] = counted["n"].to_numpy()
+    before = np.cumsum(sizes) - sizes
+    firsts, lasts = before // span, (before + sizes - 1) // span  # spans of each range of hashes
+    sent = edges.sparkSession.sparkContext.broadcast((before, firsts, lasts))
+    names = ["edge_id", "src", "rel", "dst"]
+    kinds = dict(zip(names, ("<i8", "<i4", "<i4", "<i4"), strict=True))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first_of, last_of = sent.value
+
+        def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            heads = (digest_numbers(seed, columns[0])[0] >> shift).astype(np.int64)
+            times = (last_of - first_of)[heads] + 1
+            rows = np.repeat(np.arange(len(heads)), times)
+            spans = first_of[heads][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+            order = np.argsort(spans, kind="stable")
+            rows, spans = rows[order], spans[order]
             bounds = [0, *(np.flatnonzero(np.diff(spans)) + 1).tolist(), len(spans)]
-            for first, end in zip(bounds[:-1], bounds[1:], strict=True):
-                if first == end:
-                    continue
-                if spans[first] != now:
-                    if held:
-                        yield cut_up(held, now, at, True)[2]
-                    held, now, at = [], int(spans[first]), starts[int(spans[first])]
-                held.append([c[first:end] for c in columns])
-            if held:
-                held, at, out = cut_up(held, now, at, False)
-                if out.num_rows:
-                    yield out
+            columns = [c[rows] for c in columns]
+            lists = [pa.array([c[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(spans[bounds[:-1]]), *lists], names=["_span", *names])
+
+        held, n_held = [], 0
+        for whole in batches:
+            if whole.num_rows:
+                held.append([whole[c].to_numpy().astype(kinds[c]) for c in names])
+                n_held += whole.num_rows
+            if n_held >= DEALT:
+                yield flush(held)
+                held, n_held = [], 0
+        if n_held:
+            yield flush(held)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, first_of, last_of = sent.value
+
+        def cut_up(held: list[list[bytes]], now: int) -> pa.RecordBatch:
+            ids, *columns = [np.frombuffer(b"".join(c), kinds[name]) for name, c in zip(names, zip(*held, strict=True), strict=True)]
+            head, rest = digest_numbers(seed, ids)
+            order = np.argsort(head)
+            if (np.diff(head[order]) == 0).any():
+                order = np.lexsort((ids, rest, head))
+            begin = starts[np.searchsorted(last_of, now)]  # of the first range that reaches into the span
+            order = order[now * span - begin :][:span]
+            cuts = range(0, len(order), size)
+            lists = [pa.array([c[order[i : i + size]].tobytes() for i in cuts], pa.binary()) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([(now * span + i) // size for i in cuts], pa.int64()), *lists], names=["batch", *names[1:]])
+
+        held, now = [], None
+        for whole in batches:
+            for row in zip(*(whole[c].to_pylist() for c in ("_span", *names)), strict=True):
+                if row[0] != now and held:
+                    yield cut_up(held, now)
+                    held = []
+                now = row[0]
+                held.append(row[1:])
         if held:
-            yield cut_up(held, now, at, True)[2]
+            yield cut_up(held, now)
 
-    return dealt.select("_span", "src", "rel", "dst").mapInArrow(pack, "batch long, src binary, rel binary, dst binary")
+    pieces = edges.select(*[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(deal, "_span long, " + ", ".join(f"{c} binary" for c in names))
+    return pieces.repartition("_span").sortWithinPartitions("_span").mapInArrow(pack, "batch long, src binary, rel binary, dst binary")
 
 
 def node_draws(settings: Settings, n_nodes: int, resident: tuple[int, ...], seed: str) -> Callable[[int], dict[str, np.ndarray]]:
@@ -329,6 +373,15 @@ def node_draws(settings: Settings, n_nodes: int, resident: tuple[int, ...], seed
     return draw
 
 
+GRADIENT_ROWS = "kind int, block long, places binary, grad binary"
+
+
+def gradient_rows(kind: int, block: int, places: np.ndarray, grad: np.ndarray) -> pa.RecordBatch:
+    """A row of ``GRADIENT_ROWS``: the gradients of the places of a block."""
+    out = [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([places.astype("<i8").tobytes()], pa.binary()), pa.array([grad.astype("<f8").tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(out, names=["kind", "block", "places", "grad"])
+
+
 def held_step(settings: Settings, rows: DataFrame, held: Held, relations: dict[str, np.ndarray], dense_optimizer: object, tag: int = 0, draw: Callable[[int], dict[str, np.ndarray]] | None = None) -> tuple[dict[str, np.ndarray], float]:
     """Steps ``held`` by the batches of ``rows`` (``packed`` or ``packed_in_order``) and returns the relations after it and the sum of losses.
 
@@ -366,12 +419,34 @@ def held_step(settings: Settings, rows: DataFrame, held: Held, relations: dict[s
         if some:
             sums[LOSS], touched[LOSS] = np.array([[total]]), np.ones(1, bool)
             for kind, grad in sums.items():
-                own = np.flatnonzero(touched[kind])
-                values = np.ascontiguousarray(grad[own])
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([own.astype("<i8").tobytes()], pa.binary()), pa.array([values.astype("<f8").tobytes()], pa.binary())], names=["kind", "places", "grad"])
-
-    most = max(1, SENT_BYTES // held.columns["emb"].nbytes // (2 if with_generator else 1))
-    parts = rows.coalesce(most).mapInArrow(work, "kind int, places binary, grad binary").collect()
+                for block in range(0, len(grad), width):
+                    own = block + np.flatnonzero(touched[kind][block : block + width])
+                    if len(own):
+                        yield gradient_rows(kind, block // width, own, grad[own])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for whole in parts:
+            for kind, block, places, grad in zip(*(whole[c].to_pylist() for c in ("kind", "block", "places", "grad")), strict=True):
+                own = np.frombuffer(places, "<i8") - block * width
+                values = np.frombuffer(grad, "<f8").reshape(len(own), -1)
+                if (kind, block) not in sums:
+                    sums[kind, block] = np.zeros((width, values.shape[1])), np.zeros(width, bool)
+                total, touched = sums[kind, block]
+                total[own] += values
+                touched[own] = True
+        for (kind, block), (total, touched) in sums.items():
+            own = np.flatnonzero(touched)
+            yield gradient_rows(kind, block, own + block * width, total[own])
+
+    size, cores = held.columns["emb"].nbytes * (2 if with_generator else 1), context.defaultParallelism
+    width = max(1, BLOCK_BYTES // (8 * s.dim))
+    if (most := max(1, SENT_BYTES // size)) >= 4 * cores:
+        found = rows.coalesce(most).mapInArrow(work, GRADIENT_ROWS)
+    else:  # tasks enough for all cores send more than the driver should take
+        found = rows.coalesce(max(2 * cores, SUMMED_BYTES // size)).mapInArrow(work, GRADIENT_ROWS)
+        found = found.repartition(cores, "kind", "block").mapInArrow(add, GRADIENT_ROWS)
+    parts = found.collect()
     sums = {k: np.zeros_like(held.columns[c]) for k, c in ((NODE, "emb"), (GENERATOR, "emb_g")) if c in held.columns}
     sums |= {k: np.zeros_like(relations[c]) for k, c in ((RELATION, "relations"), (INVERSE, "inverse_relations")) if c in relations}
     sums[LOSS] = np.zeros((1, 1))
@@ -541,6 +616,25 @@ def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int |
     return state
 
 
+def step_over(edges: DataFrame, settings: Settings, state: State, seed: str = "shuffle") -> tuple[State, float]:
+    """The state after one superstep over all ``edges`` (edge_id, src, rel, dst; read twice) in seeded order, without drawn
+    negatives, and the sum of losses."""
+    s, spark = settings, edges.sparkSession
+    if not (held := hold(s, state.table)):
+        none = draw_negatives(spark, s, 1, (0,), 0, 0, seed)
+        return superstep(s, batches(shuffle_edges(edges, seed), s.batch), none, state)
+    first, last = (int(held.ids[i]) for i in (0, -1))
+    edges = edges.where(F.col("src").between(first, last) & F.col("dst").between(first, last))  # others have no vectors
+    if last - first >= len(held.ids):
+        known = F.broadcast(spark.createDataFrame(pa.table({"_known": held.ids}), "_known long"))
+        edges = edges.join(known, F.col("src") == F.col("_known"), "left_semi").join(known, F.col("dst") == F.col("_known"), "left_semi")
+    rows = packed_in_order(edges, edges.count(), s.batch, seed)
+    none = {c: np.zeros(0, np.int64) for c in ("side", "chunk", "slot", "node")}
+    relations, loss = held_step(s, rows, held, state.relations, state.optimizer, draw=lambda batch: none)
+    release(state.table)
+    return State(held.table(spark), relations, state.optimizer, state.losses), loss
+
+
 def relation_table(spark: SparkSession, vectors: np.ndarray) -> DataFrame:
     """rel and vec of each relation."""
     return spark.createDataFrame(pd.DataFrame({"rel": np.arange(len(vectors), dtype=np.int32), "vec": [v.tolist() for v in vectors]}), "rel int, vec array<double>")

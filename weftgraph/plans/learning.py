@@ -10,7 +10,6 @@ from weftgraph.functions import losses as L
 from weftgraph.functions import vectors as V
 from weftgraph.functions.optim import SGD, Adagrad, Adam, average, init
 from weftgraph.operators import messages as E
-from weftgraph.operators import sampling as N
 from weftgraph.operators import scoring as S
 from weftgraph.operators import train as T
 from weftgraph.plans.base import query
@@ -299,9 +298,7 @@ def train_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = T.Settings(dim=64, loss="mse", batch=1000, negatives=0)
     vecs = np.array([r["vec"] for r in relation_vectors(spark).orderBy("rel").collect()])
     table = cut(vectors(spark, sf_dir).select("id", "emb", F.transform("emb", lambda x: F.lit(0.25)).alias("state")))
-    edges = N.batches(N.shuffle_edges(edges_with_ids(spark, sf_dir)), 1000)
-    none = spark.range(0).select(F.col("id").alias("batch"), *[F.lit(0).alias(c) for c in ("side", "chunk", "slot")], F.col("id").alias("node"))
-    state, _ = T.superstep(settings, edges, none, T.State(table, {"relations": vecs}, T.optimizer("sgd", 0.1)))
+    state, _ = T.step_over(edges_with_ids(spark, sf_dir), settings, T.State(table, {"relations": vecs}, T.optimizer("sgd", 0.1)))
     out = state.table.select("id", F.posexplode("emb").alias("i", "x"))
     return out.select("id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
 
