@@ -227,7 +227,7 @@ def test_digests_in_numbers():
     assert len(digest_numbers("x", ids[:0])[0]) == 0
 
 
-@pytest.mark.parametrize("name", ["train_one_step"])
+@pytest.mark.parametrize("name", ["train_one_step", "train_link_prediction"])
 def test_vectors_of_fifty_thousand_nodes_are_held(spark, name):
     settings = T.Settings(**({"dim": 64 if name == "train_one_step" else 16} | BOTH_WAYS.get(name, {})))
     table = spark.range(3).select("id", *[F.array(F.lit(0.5), F.col("id").cast("double")).alias(c) for c in ("emb", "state", "emb_g", "state_g")])
@@ -256,3 +256,15 @@ def test_large_gradients_are_summed_by_blocks_before_the_driver(spark, edges, mo
         found.append((loss, state.relations["relations"], np.array([r.emb + r.state for r in state.table.orderBy("id").collect()])))
     for other in found[1:]:
         assert np.isclose(found[0][0], other[0]) and np.allclose(found[0][1], other[1]) and np.allclose(found[0][2], other[2])
+
+
+@pytest.mark.parametrize("name", BOTH_WAYS)
+def test_pieces_of_spans_are_dealt_not_edges(spark, name):
+    """A task hands on one row for a span, whatever edges it has of it."""
+    rows = spark.range(0, 5000, 1, 2).select(F.col("id").alias("edge_id"), (F.col("id") % 71).alias("src"), F.lit(0).alias("rel"), (F.col("id") % 83).alias("dst"))
+    found = T.packed_in_order(rows, 5000, 100, name, 500)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "md5" not in plan and "conv(" not in plan
+    held = {r.batch: np.frombuffer(r["src"], "<i4").tolist() for r in found.collect()}
+    expected = T.batches(T.shuffle_edges(rows, name), 100).orderBy("pos").collect()
+    assert sorted(held) == list(range(50)) and sum((held[b] for b in range(50)), []) == [r.src for r in expected]

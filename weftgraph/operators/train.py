@@ -588,7 +588,8 @@ def train(edges: DataFrame, n_nodes: int, settings: Settings, n_relations: int |
             own, order = placed.where(F.col("at") == number).drop("at"), f"epoch{s.seed}:{epoch}"
             seed, tag = f"train{s.seed}:{epoch}:{number}", epoch * len(schedule) + number
             if held:
-                own = packed_in_order(own, counts[number], s.batch, order)
+                spread = -(-min(per_step, n_batches) // (2 * spark.sparkContext.defaultParallelism))  # batches of a superstep's tasks
+                own = packed_in_order(own, counts[number], s.batch, order, min(SPAN, spread * s.batch))
                 own = cut(own.withColumn("step", F.floor(F.col("batch") / per_step).cast("int")), by=("step",)) if per_step < n_batches else own
                 draw = node_draws(s, n_nodes, resident, seed)
                 for step in range(-(-n_batches // per_step)):
