@@ -227,7 +227,7 @@ def test_digests_in_numbers():
     assert len(digest_numbers("x", ids[:0])[0]) == 0
 
 
-@pytest.mark.parametrize("name", ["train_one_step", "train_link_prediction", "train_complex", "train_transe"])
+@pytest.mark.parametrize("name", ["train_one_step", "train_link_prediction", "train_complex", "train_transe", "train_generator"])
 def test_vectors_of_fifty_thousand_nodes_are_held(spark, name):
     settings = T.Settings(**({"dim": 64 if name == "train_one_step" else 16} | BOTH_WAYS.get(name, {})))
     table = spark.range(3).select("id", *[F.array(F.lit(0.5), F.col("id").cast("double")).alias(c) for c in ("emb", "state", "emb_g", "state_g")])
